@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.session import ensure_checkpoint_dir
+from textlab.session import materialize
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -22,11 +22,15 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 
 def range_checkpoint(df: DataFrame, order_cols, partitions: int | None = None) -> DataFrame:
-    """Range-partition on ``order_cols``, tag ``__pid`` and checkpoint to shared storage."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Range-partition on ``order_cols`` and tag each row with its partition id ``__pid``.
+
+    The tagged rows are written to shared storage once, so the id of every
+    row is fixed data from then on (a re-run task cannot move a row to a
+    different range partition).
+    """
     n = _partitions(df, partitions)
     ranged = df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id())
-    return ranged.checkpoint(eager=True)
+    return materialize(ranged, "ranged")
 
 
 def running_total(df: DataFrame, order_cols, value_col: str, group_cols=(), out: str = "cum",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textlab.operators.common import attach
 from textlab.operators.quantiles import _is_integral, quantiles
-from textlab.session import ensure_checkpoint_dir
+from textlab.session import materialize
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 LENGTH_PROBS = (0.5, 0.8, 0.9, 0.95, 0.99)
@@ -41,8 +41,7 @@ def describe(df: DataFrame, cols, group_cols=(), ddof: int = 1, probs=DESCRIBE_P
     narrow = df.select(*gcols, *cols)
     frac = [c for c in cols if not _is_integral(narrow, c)]
     if frac:
-        ensure_checkpoint_dir(df.sparkSession)
-        narrow = narrow.checkpoint(eager=True)
+        narrow = materialize(narrow, "describe")
     parr = F.array(*[F.lit(float(p)) for p in probs])
     aggs = []
     for c in cols:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions.cleaning import clean_text_columns, newline_to_space
 from textlab.operators.filters import filter_len_ratio, with_pair_lengths
+from textlab.session import stage_table
 from textlab.sources import tables
 
 LENGTH_COLS = ("char_len", "highlight_len", "highlight_ratio")
@@ -20,11 +21,15 @@ def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw pairs + ``cleaned_text``/``removed_chars`` (article) and cleaned highlights."""
-    p = raw_pairs(spark, sf_dir)
-    p = clean_text_columns(p, "article", "cleaned_text", "removed_chars")
-    p = clean_text_columns(p, "highlights", "cleaned_highlights", "removed_chars_hl")
-    return p
+    """Raw pairs + ``cleaned_text``/``removed_chars`` (article) and cleaned highlights.
+
+    Stage table: cleaned once per session and read back from shared storage.
+    """
+    def build():
+        p = raw_pairs(spark, sf_dir)
+        p = clean_text_columns(p, "article", "cleaned_text", "removed_chars")
+        return clean_text_columns(p, "highlights", "cleaned_highlights", "removed_chars_hl")
+    return stage_table(spark, f"cleaned_pairs:{sf_dir}", build)
 
 
 def post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

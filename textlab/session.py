@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,3 +52,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str = "t"):
+    """Write ``df`` as parquet under the shared checkpoint directory and read it back.
+
+    Cuts the lineage (later passes and retried tasks read files, not the
+    upstream plan) and runs the upstream plan exactly once -- unlike an eager
+    ``Dataset.checkpoint``, which evaluates it twice when not cached.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+_STAGES: dict = {}
+
+
+def stage_table(spark, key: str, build):
+    """Session-scoped stage table: ``build()`` is written once (see ``materialize``)
+    and every later request for ``key`` reads the written files.
+
+    Used for pipeline stage outputs (e.g. the cleaned corpus) that several
+    reports read; it also keeps the optimizer from pushing filters below an
+    expensive projection and re-evaluating it inside the filter.
+    """
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _STAGES:
+        _STAGES[k] = materialize(build(), key.replace("/", "_").replace(":", "_")[-60:])
+    return _STAGES[k]
