@@ -233,11 +233,14 @@ _ALL_SPLITS = (f"SELECT doc_id, split, CASE WHEN split = 'test' THEN article ELS
                f"FROM ({S.CLEANED_PAIRS})")
 
 
-@register("oov_summary", " UNION ALL ".join(
+ORACLE_OOV_SUMMARY = " UNION ALL ".join(
     f"""SELECT '{k}' AS tokenizer, CAST(count(*) + 2 * (SELECT count(*) FROM ({_ALL_SPLITS})) AS BIGINT) AS tokens,
   CAST(count_if(id = 1) AS BIGINT) AS unk,
   round(count_if(id = 1)::DOUBLE / (count(*) + 2 * (SELECT count(*) FROM ({_ALL_SPLITS}))), 6) AS ratio
-FROM ({Q.token_rows(k, v, 'src_text', _ALL_SPLITS)})""" for k, v in SQL_KINDS))
+FROM ({Q.token_rows(k, v, 'src_text', _ALL_SPLITS)})""" for k, v in SQL_KINDS)
+
+
+@register("oov_summary", ORACLE_OOV_SUMMARY)
 def oov_summary(spark, sf_dir):
     """Per tokenizer over the encoded splits (articles with bos/eos): tokens, unk count, ratio."""
     out = []
