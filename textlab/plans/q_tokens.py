@@ -310,3 +310,28 @@ def filter_long_sentences(spark, sf_dir):
     from textlab.functions.text import concat_fields
     c = P.cleaned_pairs(spark, sf_dir).select("doc_id", concat_fields("cleaned_text", "cleaned_highlights").alias("line"))
     return FL.filter_long_sentences(c, "line", FL.MAX_SENTENCE_BYTES["unigram"]).select("doc_id")
+
+
+# ---- iterative tokenizers (rows-only checks; pytest holds their references) ---
+
+@register("train_bpe")
+def train_bpe(spark, sf_dir):
+    """K3: BPE vocabulary (specials, merges by rank with score -rank, characters)."""
+    return TK.train(spark, sf_dir, "bpe")
+
+
+@register("encode_bpe")
+def encode_bpe(spark, sf_dir):
+    """K7: articles encoded with the trained BPE merges."""
+    return _encode_query("bpe", TK.FIXTURE_VOCAB["bpe"])(spark, sf_dir)
+
+
+@register("oov_summary_all")
+def oov_summary_all(spark, sf_dir):
+    """A13 for all four tokenizers over the encoded splits: tokens, unk count, ratio."""
+    u = reduce(lambda a, b: a.unionByName(b),
+               [_encode_splits(spark, sf_dir, k).select("tokenizer", "article_ids") for k in TR.NAMES])
+    g = u.groupBy("tokenizer").agg(F.sum(F.size("article_ids")).alias("tokens"),
+                                   F.sum(SQ.ids_count_value("article_ids", SQ.UNK_ID)).alias("unk"))
+    return g.select("tokenizer", F.col("tokens").cast("bigint").alias("tokens"), F.col("unk").cast("bigint").alias("unk"),
+                    F.round(F.try_divide(F.col("unk").cast("double"), F.col("tokens").cast("double")), 6).alias("ratio"))

@@ -15,7 +15,7 @@ from textlab.session import stage_table
 
 # --- fixed values -----------------------------------------------------------
 # Vocabulary sizes used by the registered fixture queries.
-FIXTURE_VOCAB = {"word": 8000, "char": 32000, "bpe": 1000, "unigram": 1000}
+FIXTURE_VOCAB = {"word": 8000, "char": 32000, "bpe": 250, "unigram": 250}
 # ----------------------------------------------------------------------------
 
 
