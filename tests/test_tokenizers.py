@@ -65,3 +65,42 @@ def test_word_and_char_round_trip(spark):
         out = decode(enc(df, "t", v, "ids"), "ids", v, "back").orderBy("id").collect()
         assert [r["back"] for r in out] == texts
         assert all(1 not in r["ids"] for r in out)
+
+
+def _all_segmentations(w, pieces):
+    if not w:
+        yield []
+        return
+    for j in range(1, len(w) + 1):
+        if w[:j] in pieces:
+            for rest in _all_segmentations(w[j:], pieces):
+                yield [w[:j]] + rest
+
+
+def test_viterbi_is_optimal():
+    import math
+    from textlab.operators.tokenizers import unigram
+    rnd = random.Random(11)
+    for _ in range(50):
+        alphabet = "abc"
+        pieces = {c: math.log(rnd.random()) for c in alphabet}
+        for _ in range(8):
+            p = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(2, 4)))
+            pieces[p] = math.log(rnd.random())
+        w = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 8)))
+        seg, score = unigram.viterbi(w, pieces)
+        best = max(sum(pieces[p] for p in s) for s in _all_segmentations(w, pieces))
+        assert abs(score - best) < 1e-9 and "".join(seg) == w
+
+
+def test_unigram_em_does_not_lower_likelihood(spark):
+    from textlab.operators.tokenizers import unigram
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(300)]
+    df = spark.createDataFrame([(w,) for w in words], "word STRING")
+    hist = []
+    unigram.train_unigram(df, 30, seed_size=60, history=hist)
+    # within each prune round the two EM steps run on the same piece set
+    for (n1, l1), (n2, l2) in zip(hist, hist[1:]):
+        if n1 == n2:
+            assert l2 >= l1 - 1e-6

@@ -335,3 +335,15 @@ def oov_summary_all(spark, sf_dir):
                                    F.sum(SQ.ids_count_value("article_ids", SQ.UNK_ID)).alias("unk"))
     return g.select("tokenizer", F.col("tokens").cast("bigint").alias("tokens"), F.col("unk").cast("bigint").alias("unk"),
                     F.round(F.try_divide(F.col("unk").cast("double"), F.col("tokens").cast("double")), 6).alias("ratio"))
+
+
+@register("train_unigram")
+def train_unigram(spark, sf_dir):
+    """K4: Unigram-LM vocabulary (EM + pruning), pieces by log-probability."""
+    return TK.train(spark, sf_dir, "unigram")
+
+
+@register("encode_unigram")
+def encode_unigram(spark, sf_dir):
+    """K8: articles encoded by Viterbi segmentation under the Unigram model."""
+    return _encode_query("unigram", TK.FIXTURE_VOCAB["unigram"])(spark, sf_dir)
