@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from textlab.plans import (  # noqa: F401
-        q_cleaning, q_profile, q_tokens, q_log, q_augment, q_scoring,
+        q_cleaning, q_profile, q_tokens, q_log, q_augment, q_scoring, q_io,
     )
