@@ -152,3 +152,16 @@ def softmax_entropy(spark, sf_dir):
     d = SEL.shares(tables.weighted_items(spark, sf_dir), "grp", "score", out="p_share")
     d = SEL.softmax_entropy(d.select("grp", "item", F.col("p_share").alias("score")), "grp", "score")
     return d.select("grp", "item", *[F.round(c, 6).alias(c) for c in ("p", "entropy", "temp", "p_temp")])
+
+
+@register("log_keep_last_stream", f"SELECT run, step, round(loss, 6) AS loss, ingest_seq FROM ({LAST})")
+def log_keep_last_stream(spark, sf_dir):
+    """W1 as a Structured Streaming aggregation over the events files (state store, complete mode)."""
+    from textlab.streaming.trainlog import keep_last_stream, run_to_memory
+    schema = tables.load(spark, sf_dir, "events").schema
+    # the table directory holds every table: pick the events file by name
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    s = s.select((F.col("user_id") % 5).alias("run"), (F.col("event_id") % 500).alias("step"),
+                 F.col("value").alias("loss"), F.col("event_id").alias("ingest_seq"))
+    _, name = run_to_memory(spark, keep_last_stream(s, ["run", "step"], "ingest_seq"))
+    return spark.table(name).select("run", "step", F.round("loss", 6).alias("loss"), "ingest_seq")
