@@ -83,3 +83,28 @@ def stage_table(spark, key: str, build):
     if k not in _STAGES:
         _STAGES[k] = materialize(build(), key.replace("/", "_").replace(":", "_")[-60:])
     return _STAGES[k]
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``textlab`` importable on executors (UDFs are pickled by module
+    reference): zip the package once per application and ``addPyFile`` it."""
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    ensure_checkpoint_dir(spark)
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(root)
+    out = os.path.join(tempfile.mkdtemp(prefix="textlab-py-"), "textlab.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, base))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(app)
