@@ -14,8 +14,9 @@ Per (document, field):
 4. the synonym is picked by a second seeded hash (W6);
 5. tokens are reassembled in position order and joined by single spaces (G1).
 
-The window (step 3) and the aggregation (step 5) are both keyed by
-(document, field), so the token rows are shuffled once.
+The text rows are hash-partitioned by (document, field) once, before the
+explode; the window (step 3) and the aggregation (step 5) reuse that
+partitioning, so exploded token rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -49,8 +50,15 @@ def hash_int(s: Column) -> Column:
 
 
 def tag_tokens(df: DataFrame, keys, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """``(*keys, pos_in_doc, token, tag, synonyms)`` with a broadcast lexicon join."""
-    toks = df.select(*keys, F.posexplode_outer(pretokens(text_col)).alias("pos_in_doc", "token"))
+    """``(*keys, pos_in_doc, token, tag, synonyms)`` with a broadcast lexicon join.
+
+    The text rows are hash-partitioned by ``keys`` *before* the explode: the
+    compact text moves once, and the per-document window and aggregation
+    downstream find their distribution already satisfied (no shuffle of the
+    exploded token rows).
+    """
+    toks = df.repartition(*keys).select(
+        *keys, F.posexplode_outer(pretokens(text_col)).alias("pos_in_doc", "token"))
     lex = lexicon.select(F.col("token").alias("__lk"), F.col("pos").alias("__lpos"),
                          F.col("synonyms").alias("__syn"))
     # the lexicon is bounded by construction (LEXICON_SIZE rows)
@@ -58,8 +66,10 @@ def tag_tokens(df: DataFrame, keys, text_col: str, lexicon: DataFrame) -> DataFr
     tag = (F.when(F.col("token").isNull(), F.lit(None))
            .when(F.col("token").rlike(PUNCT_RE), "PUNCT")
            .otherwise(F.coalesce(F.col("__lpos"), F.lit("NOUN"))))
-    syn = F.filter(F.coalesce(F.col("__syn"), F.array().cast("array<string>")),
-                   lambda x: F.lower(x) != F.lower(F.col("token")))
+    # synonyms matter only for candidates: evaluate the (interpreted) filter lambda there only
+    empty = F.array().cast("array<string>")
+    syn = F.when(tag.isin(*CANDIDATE_POS) & F.col("__syn").isNotNull(),
+                 F.filter(F.col("__syn"), lambda x: F.lower(x) != F.lower(F.col("token")))).otherwise(empty)
     return t.select(*keys, "pos_in_doc", "token", tag.alias("tag"), syn.alias("synonyms"))
 
 
@@ -73,12 +83,14 @@ def choose_replacements(tagged: DataFrame, keys, ratio: float = REPLACE_RATIO, s
     d = d.withColumn("content", F.count_if(F.col("token").isNotNull() & ~F.col("tag").isin(*NON_CONTENT_POS)).over(w))
     d = d.withColumn("n_cand", F.count_if(F.col("is_cand")).over(w))
     d = d.withColumn("k", F.least(F.floor(F.col("content") * F.lit(ratio)), F.col("n_cand")))
-    rank_w = Window.partitionBy(*keys).orderBy(F.desc("has_syn"), F.md5(_key_str(keys, "pos_in_doc", seed)))
+    # the hash is only needed to order the candidates that have synonyms
+    rank_w = Window.partitionBy(*keys).orderBy(
+        F.desc("has_syn"), F.when(F.col("has_syn"), F.md5(_key_str(keys, "pos_in_doc", seed))))
     d = d.withColumn("replace", F.col("has_syn") & (F.row_number().over(rank_w) <= F.col("k")))
     pick = F.element_at(F.array_sort("synonyms"),
                         (F.pmod(hash_int(_key_str(keys, "pos_in_doc", seed, "syn")),
                                 F.greatest(F.size("synonyms"), F.lit(1))) + 1).cast("int"))
-    return d.withColumn("out_token", F.when(F.col("replace"), pick).otherwise(F.col("token")))
+    return d.withColumn("out_token", F.when(F.col("replace"), pick).otherwise(F.col("token"))).drop("k", "n_cand")
 
 
 def retag(df: DataFrame, lexicon: DataFrame) -> DataFrame:

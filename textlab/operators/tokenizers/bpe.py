@@ -87,28 +87,19 @@ def merge_symbols(sym: list, merges: dict) -> list:
 
 
 def apply_merges(sym, batch) -> F.Column:
-    """Apply a batch of independent merges, left to right, JVM-side.
-
-    Only words that contain the first symbol of some merged pair run the
-    (interpreted) ``aggregate``; all other rows keep their symbols.
-    """
-    keys = F.array(*[F.lit(a + SEP + b) for a, b, _ in batch])
-    firsts = F.array(*[F.lit(a) for a in sorted({a for a, _, _ in batch})])
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("merged"))
-
-    def step(acc, x):
-        out = acc["out"]
-        n = F.size(out)
-        last = F.element_at(out, F.greatest(n, F.lit(1)))
-        can = (n > 0) & ~acc["merged"] & F.array_contains(keys, F.concat(last, F.lit(SEP), x))
-        merged_out = F.concat(F.slice(out, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(last, x)))
-        return F.when(can, F.struct(merged_out.alias("out"), F.lit(True).alias("merged"))) \
-            .otherwise(F.struct(F.concat(out, F.array(x)).alias("out"), F.lit(False).alias("merged")))
-    return F.when(F.arrays_overlap(sym, firsts), F.aggregate(sym, init, step, lambda acc: acc["out"])).otherwise(sym)
+    """Apply a batch of independent merges, left to right (Arrow-batched helper;
+    words without the first symbol of a merged pair pass through untouched)."""
+    merges = {(a, b): a + b for a, b, _ in batch}
+    firsts = frozenset(a for a, _, _ in batch)
+
+    @F.pandas_udf("array<string>")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: merge_symbols(w, merges) if not firsts.isdisjoint(w) else w)
+    return f(sym)
 
 
 def train_bpe(words: DataFrame, vocab_size: int, max_piece_len: int = MAX_PIECE_LEN, top_k: int = TOP_K,
-              checkpoint_every: int = CHECKPOINT_EVERY, rows_per_partition: int = 200_000) -> DataFrame:
+              checkpoint_every: int = CHECKPOINT_EVERY, rows_per_partition: int = 20_000) -> DataFrame:
     """K3: vocabulary = 4 specials, merged pieces in merge order (score = -rank), then characters."""
     spark = words.sparkSession
     counts = words.select(F.concat(F.lit(SPACE), F.col("word")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
