@@ -28,6 +28,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than there are cores (a small
+    input with few row groups) before CPU-heavy text work; scans that already
+    have enough partitions -- any large input -- are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def noisy_article_expr(text="text", doc_id="doc_id") -> F.Column:
     """News-style noise injected by ``doc_id % 8`` (byline, wire marker, dateline, ...)."""
     t = F.col(text)
@@ -56,7 +66,7 @@ def first_line(x) -> F.Column:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, article, highlights)``: noisy article + first line of the raw text (one scan)."""
-    return load(spark, sf_dir, "documents").select(
+    return balanced(load(spark, sf_dir, "documents")).select(
         "doc_id", noisy_article_expr().alias("article"), first_line(F.col("text")).alias("highlights"))
 
 
@@ -103,7 +113,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     synonyms are the other entries with the same POS and first letter, sorted.
     The table has at most ``LEXICON_SIZE`` rows, so it is safe to broadcast.
     """
-    d = load(spark, sf_dir, "documents")
+    d = balanced(load(spark, sf_dir, "documents").select("text"))
     counts = (d.select(F.explode(pretokens("text")).alias("token"))
               .where(F.col("token").rlike("^[a-z]+$"))
               .groupBy("token").count())
