@@ -33,25 +33,34 @@ def range_checkpoint(df: DataFrame, order_cols, partitions: int | None = None) -
     return materialize(ranged, "ranged")
 
 
-def running_total(df: DataFrame, order_cols, value_col: str, group_cols=(), out: str = "cum",
+def running_total(df: DataFrame, order_cols, value_col, group_cols=(), out="cum",
                   partitions: int | None = None, inclusive: bool = True) -> DataFrame:
-    """Running sum of ``value_col`` in ``order_cols`` order, restarting per ``group_cols``.
+    """Running sum(s) of ``value_col`` (a name or a list) in ``order_cols`` order,
+    restarting per ``group_cols``; ``out`` names the result column(s).
 
     ``order_cols`` must start with ``group_cols`` and identify rows uniquely
     (ties would make the running total order-dependent).
     """
+    vals = [value_col] if isinstance(value_col, str) else list(value_col)
+    outs = [out] if isinstance(out, str) else list(out)
     gcols = list(group_cols)
     ranged = range_checkpoint(df, order_cols, partitions)
     frame_end = 0 if inclusive else -1
     local_w = (Window.partitionBy("__pid", *gcols).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, frame_end))
-    local = ranged.withColumn("__local", F.coalesce(F.sum(value_col).over(local_w), F.lit(0)))
-    tot = ranged.groupBy("__pid", *gcols).agg(F.sum(value_col).alias("__ptot"))
+    local = ranged
+    for i, v in enumerate(vals):
+        local = local.withColumn(f"__local{i}", F.coalesce(F.sum(v).over(local_w), F.lit(0)))
+    tot = ranged.groupBy("__pid", *gcols).agg(*[F.sum(v).alias(f"__ptot{i}") for i, v in enumerate(vals)])
     off_w = Window.partitionBy(*gcols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per (partition, group): bounded by partitions x groups
-    off = tot.select("__pid", *gcols, F.coalesce(F.sum("__ptot").over(off_w), F.lit(0)).alias("__off"))
+    off = tot.select("__pid", *gcols, *[F.coalesce(F.sum(f"__ptot{i}").over(off_w), F.lit(0)).alias(f"__off{i}")
+                                        for i in range(len(vals))])
     res = local.join(F.broadcast(off), ["__pid", *gcols])
-    return res.withColumn(out, F.col("__local") + F.col("__off")).drop("__local", "__off", "__pid")
+    for i, o in enumerate(outs):
+        res = res.withColumn(o, F.col(f"__local{i}") + F.col(f"__off{i}"))
+    drop = [f"__local{i}" for i in range(len(vals))] + [f"__off{i}" for i in range(len(vals))] + ["__pid"]
+    return res.drop(*drop)
 
 
 def global_row_number(df: DataFrame, order_cols, group_cols=(), out: str = "rn",

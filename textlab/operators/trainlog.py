@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from textlab.operators.prefix import running_total
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -36,9 +38,28 @@ def keep_last(df: DataFrame, key_cols, seq_col: str = "ingest_seq") -> DataFrame
 
 def moving_avg(df: DataFrame, value_col: str, order_col: str = "step", run_cols=("run",),
                window: int = MOVING_WINDOW, out: str = "loss_avg") -> DataFrame:
-    """Mean of the last ``window`` values (fewer at the start), per run."""
-    w = Window.partitionBy(*run_cols).orderBy(order_col).rowsBetween(-(window - 1), 0)
-    return df.withColumn(out, F.coalesce(F.avg(value_col).over(w), F.lit(0.0)))
+    """Mean of the last ``window`` values (fewer at the start), per run.
+
+    Expressed without a per-run window (a run may hold a large share of all
+    rows): exact DECIMAL prefix sums S and row numbers i per run come from the
+    two-phase prefix sum, and ``S(i - window)`` is fetched by an equi-join on
+    ``(run, i)``; the mean is ``(S(i) - S(i - window)) / min(i, window)``.
+    """
+    runs = list(run_cols)
+    d = df.withColumn("__x", F.col(value_col).cast("decimal(38,18)")).withColumn("__one", F.lit(1))
+    d = running_total(d, [*runs, order_col], ["__x", "__one"], group_cols=runs, out=["__S", "__i"])
+    lag = d.select(*runs, (F.col("__i") + window).alias("__i"), F.col("__S").alias("__S_lag"))
+    j = d.join(lag, [*runs, "__i"], "left")
+    n = F.least(F.col("__i"), F.lit(window))
+    avg = ((F.col("__S") - F.coalesce(F.col("__S_lag"), F.lit(0))) / n).cast("double")
+    return j.withColumn(out, avg).drop("__x", "__one", "__S", "__i", "__S_lag")
+
+
+def position_in_run(df: DataFrame, order_col: str = "step", run_cols=("run",), out: str = "pos") -> DataFrame:
+    """1-based position in ``order_col`` order per run (two-phase prefix sum)."""
+    from textlab.operators.prefix import global_row_number
+    runs = list(run_cols)
+    return global_row_number(df, [*runs, order_col], group_cols=runs, out=out)
 
 
 def lr_factor(step: Column, total: Column, warmup: Column) -> Column:

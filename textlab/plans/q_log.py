@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textlab.functions import sequences as SQ
@@ -47,8 +46,8 @@ def log_keep_last(spark, sf_dir):
 def log_sorted(spark, sf_dir):
     """Deduplicated log in step order (position within the run)."""
     d = TL.keep_last(tables.train_log(spark, sf_dir), ["run", "step"])
-    w = Window.partitionBy("run").orderBy("step")
-    return d.select("run", "step", F.round("loss", 6).alias("loss"), F.row_number().over(w).alias("pos"))
+    d = TL.position_in_run(d, "step", ["run"], "pos")
+    return d.select("run", "step", F.round("loss", 6).alias("loss"), F.col("pos").cast("int").alias("pos"))
 
 
 @register("loss_moving_avg", f"SELECT run, step, round(avg(loss) OVER (PARTITION BY run ORDER BY step "
@@ -70,8 +69,9 @@ def loss_moving_avg(spark, sf_dir):
 def lr_schedule(spark, sf_dir):
     """Warm-up/decay factor for every logged step (total = last step + 1, warm-up = 10 %)."""
     d = TL.keep_last(tables.train_log(spark, sf_dir), ["run", "step"])
-    w = Window.partitionBy("run")
-    d = d.withColumn("total", F.max("step").over(w) + 1).withColumn("warm", F.floor(F.col("total") / 10))
+    # run totals by aggregation + join (no per-run window)
+    tot = d.groupBy("run").agg((F.max("step") + 1).alias("total"))
+    d = d.join(tot, "run").withColumn("warm", F.floor(F.col("total") / 10))
     return d.select("run", "step", F.round(TL.lr_factor(F.col("step"), F.col("total"), F.col("warm")), 6)
                     .alias("lr_factor"))
 

@@ -16,10 +16,9 @@ from textlab.sources import tables
 
 KEYS = ["conv_id", "turn"]
 
-PAIRS = """SELECT conv_id, turn, coalesce(text, '') AS reference, coalesce(next_text, '') AS prediction FROM (
-  SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations)
-WHERE role = 'user' AND next_role = 'assistant'"""
+PAIRS = """SELECT u.conv_id, u.turn, coalesce(u.text, '') AS reference, coalesce(a.text, '') AS prediction
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'"""
 
 
 def _toks_sql(x):
@@ -144,11 +143,7 @@ FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn =
 WHERE u.role = 'user' AND a.role = 'assistant'""")
 def zip_pairs(spark, sf_dir):
     """Predictions and references aligned by key (equi-join), never by position."""
-    c = tables.load(spark, sf_dir, "conversations")
-    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("reference"))
-    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
-                                                     F.coalesce("text", F.lit("")).alias("prediction"))
-    return u.join(a, KEYS)
+    return tables.score_pairs(spark, sf_dir)
 
 
 def score_all(spark, sf_dir):

@@ -77,16 +77,13 @@ def split_name(doc_id) -> F.Column:
 
 
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(conv_id, turn, reference, prediction)``: user turn and the assistant reply after it."""
+    """``(conv_id, turn, reference, prediction)``: a user turn and the assistant reply at the
+    next turn, aligned by key (equi-join on ``(conv_id, turn + 1)``; no per-conversation window)."""
     c = load(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (c.select("conv_id", "turn", "role", "text",
-                     F.lead("role").over(w).alias("next_role"),
-                     F.lead("text").over(w).alias("next_text"))
-            .where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-            .select("conv_id", "turn",
-                    F.coalesce("text", F.lit("")).alias("reference"),
-                    F.coalesce("next_text", F.lit("")).alias("prediction")))
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("reference"))
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("prediction"))
+    return u.join(a, ["conv_id", "turn"])
 
 
 def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
