@@ -87,15 +87,18 @@ def merge_symbols(sym: list, merges: dict) -> list:
 
 
 def apply_merges(sym, batch) -> F.Column:
-    """Apply a batch of independent merges, left to right (Arrow-batched helper;
-    words without the first symbol of a merged pair pass through untouched)."""
+    """Apply a batch of independent merges, left to right, with a small Arrow helper.
+
+    Rows without the first symbol of any merged pair are passed to the helper
+    as NULL (the test runs JVM-side) and keep their symbols.
+    """
     merges = {(a, b): a + b for a, b, _ in batch}
-    firsts = frozenset(a for a, _, _ in batch)
+    firsts = F.array(*[F.lit(a) for a in sorted({a for a, _, _ in batch})])
 
     @F.pandas_udf("array<string>")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: merge_symbols(w, merges) if not firsts.isdisjoint(w) else w)
-    return f(sym)
+        return s.map(lambda w: merge_symbols(w, merges) if w is not None else None)
+    return F.coalesce(f(F.when(F.arrays_overlap(sym, firsts), sym)), sym)
 
 
 def train_bpe(words: DataFrame, vocab_size: int, max_piece_len: int = MAX_PIECE_LEN, top_k: int = TOP_K,
