@@ -1,8 +1,8 @@
 """Prediction/reference scoring.
 
-ROUGE-N is fully relational: n-grams are exploded, counted per (pair, gram)
-with partial aggregation, and the clipped overlap comes from an equi-join on
-(pair, gram). ROUGE-L (LCS) and METEOR (alignment) are per-pair dynamic
+ROUGE-N is fully relational: both sides' n-grams are exploded together,
+counted per (pair, gram) with partial aggregation, and a second aggregation
+per pair yields the clipped overlap (no join). ROUGE-L (LCS) and METEOR (alignment) are per-pair dynamic
 programs, run as Arrow-batched pandas UDFs on the two token arrays of a row.
 """
 
@@ -62,18 +62,25 @@ def _fmeasure(p: Column, r: Column) -> Column:
 
 
 def rouge_n(df: DataFrame, keys, pred_tokens: str, ref_tokens: str, n: int, prefix: str | None = None) -> DataFrame:
-    """ROUGE-N precision, recall and F1 per pair (clipped n-gram overlap)."""
+    """ROUGE-N precision, recall and F1 per pair (clipped n-gram overlap).
+
+    One pass, no join: both sides' n-grams are exploded together with a side
+    flag, counted per (pair, gram) with partial aggregation, and a second
+    aggregation per pair gives the clipped overlap and both totals. Pairs
+    without any n-gram survive through ``explode_outer`` and score 0.
+    """
     k = list(keys)
     pre = prefix or f"rouge{n}"
-    base = df.select(*k, ngrams(F.col(pred_tokens), n).alias("__pg"), ngrams(F.col(ref_tokens), n).alias("__rg"))
-    pc = base.select(*k, F.explode("__pg").alias("__g")).groupBy(*k, "__g").agg(F.count("*").alias("__cp"))
-    rc = base.select(*k, F.explode("__rg").alias("__g")).groupBy(*k, "__g").agg(F.count("*").alias("__cr"))
-    ov = pc.join(rc, [*k, "__g"]).groupBy(*k).agg(F.sum(F.least("__cp", "__cr")).alias("__ov"))
-    tot = base.select(*k, F.size("__pg").alias("__np"), F.size("__rg").alias("__nr"))
-    j = tot.join(ov, k, "left")
-    p = F.coalesce(F.col("__ov"), F.lit(0)) / F.greatest(F.col("__np"), F.lit(1)).cast("double")
-    r = F.coalesce(F.col("__ov"), F.lit(0)) / F.greatest(F.col("__nr"), F.lit(1)).cast("double")
-    j = j.select(*k, p.alias(f"{pre}_p"), r.alias(f"{pre}_r"))
+    tagged = F.concat(F.transform(ngrams(F.col(pred_tokens), n), lambda g: F.struct(F.lit(True).alias("p"), g.alias("g"))),
+                      F.transform(ngrams(F.col(ref_tokens), n), lambda g: F.struct(F.lit(False).alias("p"), g.alias("g"))))
+    ex = df.select(*k, F.explode_outer(tagged).alias("__t"))
+    per_gram = ex.groupBy(*k, F.col("__t.g").alias("__g")).agg(
+        F.count_if(F.col("__t.p")).alias("__cp"), F.count_if(~F.col("__t.p")).alias("__cr"))
+    per_pair = per_gram.groupBy(*k).agg(F.sum(F.least("__cp", "__cr")).alias("__ov"),
+                                        F.sum("__cp").alias("__np"), F.sum("__cr").alias("__nr"))
+    p = F.col("__ov") / F.greatest(F.col("__np"), F.lit(1)).cast("double")
+    r = F.col("__ov") / F.greatest(F.col("__nr"), F.lit(1)).cast("double")
+    j = per_pair.select(*k, p.alias(f"{pre}_p"), r.alias(f"{pre}_r"))
     return j.withColumn(f"{pre}_f", _fmeasure(F.col(f"{pre}_p"), F.col(f"{pre}_r")))
 
 
@@ -129,14 +136,14 @@ def meteor_one(hyp, ref, synonyms: dict | None = None, alpha=METEOR_ALPHA, beta=
     r_left = list(range(len(ref)))
     matches = []
 
-    def stage(key_h, key_r):
+    def stage(same):
         nonlocal h_left, r_left
         used_h, used_r = set(), set()
         for i in h_left:
             for j in r_left:
                 if j in used_r:
                     continue
-                if key_h(hyp[i], ref[j]):
+                if same(hyp[i], ref[j]):
                     matches.append((i, j))
                     used_h.add(i)
                     used_r.add(j)
@@ -144,10 +151,10 @@ def meteor_one(hyp, ref, synonyms: dict | None = None, alpha=METEOR_ALPHA, beta=
         h_left = [i for i in h_left if i not in used_h]
         r_left = [j for j in r_left if j not in used_r]
 
-    stage(lambda a, b: a == b, None)
-    stage(lambda a, b: stem(a) == stem(b), None)
+    stage(lambda a, b: a == b)
+    stage(lambda a, b: stem(a) == stem(b))
     if synonyms:
-        stage(lambda a, b: b in synonyms.get(a, ()), None)
+        stage(lambda a, b: b in synonyms.get(a, ()))
     m = len(matches)
     if m == 0:
         return 0.0
