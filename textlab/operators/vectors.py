@@ -6,6 +6,8 @@ is bounded by the lexicon, so it is the broadcast side of every join here.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,9 +51,10 @@ def greedy_match_udf(bc_vectors, baseline: float | None = None):
 
     Each prediction token is matched to its most similar reference token
     (cosine) and vice versa; P and R are the means of those maxima, F1 their
-    harmonic mean. Only tokens with a vector take part; the work per pair is
-    |pred| x |ref| over the *distinct* vectors present, which the bounded
-    vector table caps. Optional baseline rescaling ``(x - b) / (1 - b)``.
+    harmonic mean. Only tokens with a vector take part; the similarity matrix
+    is built over the *distinct* such tokens of each side (weighted by their
+    counts), so its size is capped by the bounded vector table, not by text
+    length. Optional baseline rescaling ``(x - b) / (1 - b)``.
     """
     schema = T.StructType([T.StructField("precision", T.DoubleType()),
                            T.StructField("recall", T.DoubleType()),
@@ -62,15 +65,21 @@ def greedy_match_udf(bc_vectors, baseline: float | None = None):
         table = bc_vectors.value
         out_p, out_r, out_f = [], [], []
         for ps, rs in zip(pred, ref):
-            pv = [table[t] for t in (ps if ps is not None else []) if t in table]
-            rv = [table[t] for t in (rs if rs is not None else []) if t in table]
-            if not pv or not rv:
+            # distinct tokens with a vector and their occurrence counts: the
+            # similarity matrix is bounded by the vector table on both sides
+            pc = Counter(t for t in (ps if ps is not None else []) if t in table)
+            rc = Counter(t for t in (rs if rs is not None else []) if t in table)
+            if not pc or not rc:
                 out_p.append(None), out_r.append(None), out_f.append(None)
                 continue
-            a, b = _norm_rows(np.asarray(pv)), _norm_rows(np.asarray(rv))
+            pt, rt = list(pc), list(rc)
+            a = _norm_rows(np.asarray([table[t] for t in pt]))
+            b = _norm_rows(np.asarray([table[t] for t in rt]))
             sim = a @ b.T
-            p = float(sim.max(axis=1).mean())
-            r = float(sim.max(axis=0).mean())
+            pw = np.asarray([pc[t] for t in pt], dtype=np.float64)
+            rw = np.asarray([rc[t] for t in rt], dtype=np.float64)
+            p = float((sim.max(axis=1) * pw).sum() / pw.sum())
+            r = float((sim.max(axis=0) * rw).sum() / rw.sum())
             if baseline is not None:
                 p, r = (p - baseline) / (1 - baseline), (r - baseline) / (1 - baseline)
             f = 2 * p * r / (p + r) if (p + r) != 0 else 0.0

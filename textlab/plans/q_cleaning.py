@@ -34,18 +34,15 @@ _noisy_q(C.straight_quotes, S.straight_quotes, "straight_quotes")
 
 @register("clean_text", f"SELECT doc_id, {S.clean('article')} AS cleaned_text FROM ({NOISY})")
 def clean_text(spark, sf_dir):
-    """The full cleaning chain on the noisy articles."""
-    n = tables.noisy_articles(spark, sf_dir)
-    return C.clean_text_columns(n, "article", "cleaned_text", None).select("doc_id", "cleaned_text")
+    """The full cleaning chain on the noisy articles (the cleaned-corpus stage table's column)."""
+    return P.cleaned_pairs(spark, sf_dir).select("doc_id", "cleaned_text")
 
 
 @register("removed_chars",
           f"SELECT doc_id, {S.removed('article')} AS removed_chars FROM ({NOISY})")
 def removed_chars(spark, sf_dir):
     """Characters removed by fold + filter per document (may be negative)."""
-    n = tables.noisy_articles(spark, sf_dir)
-    return (C.clean_text_columns(n, "article", "cleaned_text", "removed_chars")
-            .select("doc_id", F.col("removed_chars").cast("bigint").alias("removed_chars")))
+    return P.cleaned_pairs(spark, sf_dir).select("doc_id", F.col("removed_chars").cast("bigint").alias("removed_chars"))
 
 
 @register("newline_to_space", "SELECT doc_id, replace(text, chr(10), ' ') AS out FROM documents")
