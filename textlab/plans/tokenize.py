@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from textlab.functions.sequences import UNK_ID, ids_count_value
 from textlab.functions.text import word_len_re
-from textlab.operators.tokenizers import char as CH
-from textlab.operators.tokenizers import word as WD
 from textlab.operators.tokenizers.vocab import training_words
 from textlab.plans import preprocess as P
 from textlab.session import stage_table
