@@ -53,3 +53,15 @@ def test_vocab_text_round_trip(spark):
     write_vocab_text(v, d)
     back = sorted(tuple(r) for r in read_vocab_text(spark, d).collect())
     assert back == sorted(tuple(r) for r in v.collect())
+
+
+def test_read_splits_parquet_fast_path(spark):
+    d = tempfile.mkdtemp(prefix="pq-")
+    paths = {}
+    for split in ("train", "test"):
+        p = os.path.join(d, f"{split}.parquet")
+        spark.createDataFrame([("x1", f"a {split}", "h")], "id STRING, article STRING, highlights STRING") \
+            .write.parquet(p)
+        paths[split] = p
+    df = IO.read_splits(spark, paths)
+    assert sorted((r["split"], r["article"]) for r in df.collect()) == [("test", "a test"), ("train", "a train")]

@@ -58,3 +58,11 @@ def test_registry_and_unk():
     with pytest.raises(KeyError):
         registry.get("wordpiece")
     assert unk_id() == 1
+
+
+def test_describe_approx_close_to_exact(spark):
+    df = spark.createDataFrame([(float(i) / 7,) for i in range(1000)], "x DOUBLE")
+    ex = PR.describe(df, ["x"]).first()
+    ap = PR.describe(df, ["x"], approx=True).first()
+    for c in ("p25", "p50", "p75"):
+        assert abs(ex[c] - ap[c]) < 0.2

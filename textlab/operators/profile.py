@@ -24,12 +24,13 @@ def _pname(p: float) -> str:
 
 
 def describe(df: DataFrame, cols, group_cols=(), ddof: int = 1, probs=DESCRIBE_PROBS,
-             digits: int | None = 6) -> DataFrame:
+             digits: int | None = 6, approx: bool = False) -> DataFrame:
     """A1/A2: count, mean, std, min, percentiles, max per column (long format).
 
     ``ddof=1`` is the sample standard deviation (pandas ``describe``),
     ``ddof=0`` the population one (NumPy ``std``). Percentiles are exact with
-    linear interpolation.
+    linear interpolation (``approx=True`` switches every column to
+    ``percentile_approx`` with bounded memory instead).
 
     Moments and the percentiles of integral columns come from one aggregation
     pass. Fractional columns need the distributed rank path (several passes),
@@ -39,7 +40,7 @@ def describe(df: DataFrame, cols, group_cols=(), ddof: int = 1, probs=DESCRIBE_P
     gcols = list(group_cols)
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
     narrow = df.select(*gcols, *cols)
-    frac = [c for c in cols if not _is_integral(narrow, c)]
+    frac = [] if approx else [c for c in cols if not _is_integral(narrow, c)]
     if frac:
         narrow = materialize(narrow, "describe")
     parr = F.array(*[F.lit(float(p)) for p in probs])
@@ -48,7 +49,10 @@ def describe(df: DataFrame, cols, group_cols=(), ddof: int = 1, probs=DESCRIBE_P
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), std(x).alias(f"{c}__std"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        if c not in frac:
+        if approx:
+            aggs.append(F.percentile_approx(x, [float(p) for p in probs], 100000).cast("array<double>")
+                        .alias(f"{c}__q"))
+        elif c not in frac:
             aggs.append(F.percentile(x, parr).alias(f"{c}__q"))
     moments = narrow.groupBy(*gcols).agg(*aggs)
     qn = [_pname(p) for p in probs]
@@ -76,9 +80,9 @@ def describe(df: DataFrame, cols, group_cols=(), ddof: int = 1, probs=DESCRIBE_P
     return long.select(*gcols, "column", "count", *[r(F.col(s)).alias(s) for s in stat_cols])
 
 
-def length_stats(df: DataFrame, cols, group_cols=(), digits: int | None = 6) -> DataFrame:
+def length_stats(df: DataFrame, cols, group_cols=(), digits: int | None = 6, approx: bool = False) -> DataFrame:
     """A2: count, mean, std (population), min, p50/80/90/95/99, max."""
-    return describe(df, cols, group_cols, ddof=0, probs=LENGTH_PROBS, digits=digits)
+    return describe(df, cols, group_cols, ddof=0, probs=LENGTH_PROBS, digits=digits, approx=approx)
 
 
 def char_freq(df: DataFrame, col: str) -> DataFrame:

@@ -178,3 +178,16 @@ def split_union(spark, sf_dir):
     return c.groupBy("split").agg(F.count("*").alias("n_rows"),
                                   F.sum(F.length("cleaned_text")).cast("bigint").alias("cleaned_chars"),
                                   F.sum("removed_chars").cast("bigint").alias("removed_chars"))
+
+
+_FIRST = f"""CASE WHEN NOT coalesce(length(cleaned_text) > 250, false) THEN 'short'
+  WHEN NOT coalesce({_RATIO} >= 0.05, false) THEN 'ratio_low'
+  WHEN NOT coalesce({_RATIO} <= 0.5, false) THEN 'ratio_high' END"""
+
+
+@register("filter_first_reason", f"""SELECT coalesce(reason, 'kept') AS reason, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT {_FIRST} AS reason FROM ({S.CLEANED_PAIRS})) GROUP BY 1""")
+def filter_first_reason(spark, sf_dir):
+    """F3 (quirk Q6): disjoint breakdown by the first failing rule (rows kept as 'kept')."""
+    c = FL.with_pair_lengths(P.cleaned_pairs(spark, sf_dir), "cleaned_text", "cleaned_highlights")
+    return c.groupBy(F.coalesce(FL.first_violation(), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))

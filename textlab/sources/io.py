@@ -27,6 +27,16 @@ def read_csv_splits(spark: SparkSession, paths: dict[str, str], schema: str = SP
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def read_splits(spark: SparkSession, paths: dict[str, str], schema: str = SPLIT_SCHEMA) -> DataFrame:
+    """S1 with a Parquet fast path: ``.parquet`` inputs are read columnar (projection
+    and filters reach the reader), anything else as quoted multi-line CSV."""
+    if all(str(p).rstrip("/").endswith(".parquet") for p in paths.values()):
+        frames = [spark.read.parquet(p).select("article", "highlights").withColumn("split", F.lit(s))
+                  for s, p in paths.items()]
+        return reduce(lambda a, b: a.unionByName(b), frames)
+    return read_csv_splits(spark, paths, schema)
+
+
 def write_processed(df: DataFrame, path: str, cols=("cleaned_text", "highlights"), fmt: str = "parquet") -> None:
     """Project to the text columns (no ids) and write."""
     w = df.select(*cols).write.mode("overwrite")
