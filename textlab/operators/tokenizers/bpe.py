@@ -129,7 +129,9 @@ def train_bpe(words: DataFrame, vocab_size: int, max_piece_len: int = MAX_PIECE_
         nxt = state.withColumn("sym", apply_merges(F.col("sym"), batch))
         rounds += 1
         if rounds % checkpoint_every == 0:
-            nxt = materialize(nxt, "bpe")  # cut the lineage on shared storage
+            # cut the lineage on shared storage; words merged into one symbol can never
+            # yield a pair again and leave the state
+            nxt = materialize(nxt.where(F.size("sym") > 1), "bpe")
             state.unpersist()
         else:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)

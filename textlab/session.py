@@ -65,9 +65,29 @@ def materialize(df, name: str = "t"):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: dict = {}
+
+
+def drop_written_tables(spark) -> int:
+    """Delete the tables this application wrote under the checkpoint directory
+    (through the Hadoop FileSystem API, so it works on any shared store)."""
+    app = spark.sparkContext.applicationId
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for p in _WRITTEN.pop(app, []):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).delete(path, True):
+            n += 1
+    for k in [k for k in _STAGES if k[0] == app]:
+        _STAGES.pop(k, None)
+    return n
+
+
 _STAGES: dict = {}
 
 
