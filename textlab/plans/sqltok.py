@@ -5,8 +5,11 @@ from __future__ import annotations
 from textlab.plans import sqlgen as S
 
 CORPUS = f"SELECT doc_id, split, cleaned_text, cleaned_highlights AS highlights FROM ({S.POST_FILTER})"
-WORDS = (f"SELECT unnest(regexp_extract_all(coalesce(cleaned_text, '') || ' ' || coalesce(highlights, ''), "
-         f"'{S.PRETOKEN}')) AS word FROM ({CORPUS})")
+_LINE = (f"array_to_string(regexp_extract_all(coalesce(cleaned_text, '') || ' ' || coalesce(highlights, ''), "
+         f"'{S.PRETOKEN}'), ' ')")
+# trainer input: pre-tokenized lines within the 16,384-byte limit, split into words
+WORDS = (f"SELECT word FROM (SELECT unnest(string_split(line, ' ')) AS word FROM (SELECT {_LINE} AS line "
+         f"FROM ({CORPUS})) WHERE strlen(line) <= 16384) WHERE word <> ''")
 SPECIALS = ("SELECT CAST(0 AS INT) AS id, '<pad>' AS piece, 0.0::DOUBLE AS score UNION ALL "
             "SELECT 1, '<unk>', 0.0 UNION ALL SELECT 2, '<s>', 0.0 UNION ALL SELECT 3, '</s>', 0.0")
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from textlab.functions.sequences import UNK_ID, ids_count_value
 from textlab.functions.text import word_len_re
-from textlab.operators.tokenizers.vocab import training_words
 from textlab.plans import preprocess as P
 from textlab.session import stage_table
 
 # --- fixed values -----------------------------------------------------------
 # Vocabulary sizes used by the registered fixture queries.
 FIXTURE_VOCAB = {"word": 8000, "char": 32000, "bpe": 250, "unigram": 250}
+UNIGRAM_MAX_LINES = 150000
 # ----------------------------------------------------------------------------
 
 
@@ -23,8 +23,24 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "split", "cleaned_text", F.col("cleaned_highlights").alias("highlights"))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_words(corpus(spark, sf_dir), "cleaned_text", "highlights")
+def training_lines(spark: SparkSession, sf_dir: str, kind: str = "word") -> DataFrame:
+    """Trainer input, one pre-tokenized line per pair (T17 + T16), as the trainers see it:
+    lines over the trainer's byte limit are skipped (F9) and the Unigram trainer reads
+    at most 150,000 lines in seeded order (W8)."""
+    from textlab.functions.text import concat_fields, pretokenize
+    from textlab.operators.filters import MAX_SENTENCE_BYTES, filter_long_sentences
+    c = corpus(spark, sf_dir).select("doc_id", pretokenize(concat_fields("cleaned_text", "highlights")).alias("line"))
+    c = filter_long_sentences(c, "line", MAX_SENTENCE_BYTES[kind])
+    if kind == "unigram":
+        from textlab.operators.selection import sample_rows
+        c = sample_rows(c, "doc_id", UNIGRAM_MAX_LINES)
+    return c
+
+
+def words(spark: SparkSession, sf_dir: str, kind: str = "word") -> DataFrame:
+    """``(word)`` rows of the trainer input."""
+    lines = training_lines(spark, sf_dir, kind)
+    return lines.select(F.explode(F.split("line", " ")).alias("word")).where(F.col("word") != "")
 
 
 def train(spark: SparkSession, sf_dir: str, kind: str, vocab_size: int | None = None) -> DataFrame:
@@ -32,7 +48,7 @@ def train(spark: SparkSession, sf_dir: str, kind: str, vocab_size: int | None =
     from textlab.operators.tokenizers import registry
     v = vocab_size or FIXTURE_VOCAB[kind]
     return stage_table(spark, f"vocab:{kind}:{v}:{sf_dir}",
-                       lambda: registry.get(kind).train(words(spark, sf_dir), v))
+                       lambda: registry.get(kind).train(words(spark, sf_dir, kind), v))
 
 
 def encoded(spark: SparkSession, sf_dir: str, kind: str, vocab_size: int | None = None) -> DataFrame:
