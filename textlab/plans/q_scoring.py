@@ -124,7 +124,7 @@ s AS (SELECT pv.conv_id, pv.turn, pv.i, rv.j, list_cosine_similarity(pv.vec, rv.
 pm AS (SELECT conv_id, turn, avg(m) AS p FROM (SELECT conv_id, turn, i, max(c) AS m FROM s GROUP BY ALL) GROUP BY ALL),
 rm AS (SELECT conv_id, turn, avg(m) AS r FROM (SELECT conv_id, turn, j, max(c) AS m FROM s GROUP BY ALL) GROUP BY ALL)
 SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall,
-  round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1
+  round(CASE WHEN p IS NULL OR r IS NULL THEN NULL WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1
 FROM ({PAIRS}) LEFT JOIN pm USING (conv_id, turn) LEFT JOIN rm USING (conv_id, turn)"""
 
 
