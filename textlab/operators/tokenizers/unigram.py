@@ -41,49 +41,77 @@ UNK_PENALTY = 10.0
 NEG_INF = float("-inf")
 
 
-def _lse(a: float, b: float) -> float:
-    if a == NEG_INF:
-        return b
-    if b == NEG_INF:
-        return a
-    m = a if a > b else b
-    return m + math.log(math.exp(a - m) + math.exp(b - m))
+def _logsumexp(vals: list) -> float:
+    if not vals:
+        return NEG_INF
+    m = max(vals)
+    if m == NEG_INF:
+        return NEG_INF
+    return m + math.log(sum(math.exp(v - m) for v in vals))
 
 
-def forward_backward(w: str, logp: dict, max_len: int = MAX_PIECE_LEN):
-    """Expected piece counts for one word and its log-likelihood."""
+_LP = ""  # key of a piece's log-probability inside a trie node (never a character)
+
+
+def build_trie(logp: dict) -> dict:
+    """Character trie of the pieces; a node holds its piece's log-probability under ``_LP``."""
+    root: dict = {}
+    for p, lp in logp.items():
+        node = root
+        for ch in p:
+            node = node.setdefault(ch, {})
+        node[_LP] = lp
+    return root
+
+
+def lattice(w: str, trie: dict, max_len: int = MAX_PIECE_LEN):
+    """Edges (start, end, piece, log p) of ``w``, found by walking the trie from every
+    start (only prefixes of existing pieces are visited)."""
+    L = len(w)
+    ends: list = [[] for _ in range(L + 1)]
+    starts: list = [[] for _ in range(L + 1)]
+    for i in range(L):
+        node = trie
+        for j in range(i, min(L, i + max_len)):
+            node = node.get(w[j])
+            if node is None:
+                break
+            lp = node.get(_LP)
+            if lp is not None:
+                e = (i, j + 1, w[i:j + 1], lp)
+                ends[j + 1].append(e)
+                starts[i].append(e)
+    return ends, starts
+
+
+def forward_backward(w: str, logp: dict, max_len: int = MAX_PIECE_LEN, trie: dict | None = None):
+    """Expected piece counts for one word and its log-likelihood.
+
+    The lattice edges are collected once (trie walk); forward, backward and the
+    expected counts then run over the edges only.
+    """
     L = len(w)
+    ends, starts = lattice(w, trie if trie is not None else build_trie(logp), max_len)
     alpha = [NEG_INF] * (L + 1)
     alpha[0] = 0.0
     for j in range(1, L + 1):
-        acc = NEG_INF
-        for i in range(max(0, j - max_len), j):
-            lp = logp.get(w[i:j])
-            if lp is not None and alpha[i] != NEG_INF:
-                acc = _lse(acc, alpha[i] + lp)
-        alpha[j] = acc
+        alpha[j] = _logsumexp([alpha[i] + lp for i, _, _, lp in ends[j] if alpha[i] != NEG_INF])
     z = alpha[L]
     if z == NEG_INF:
         return {}, NEG_INF
     beta = [NEG_INF] * (L + 1)
     beta[L] = 0.0
     for i in range(L - 1, -1, -1):
-        acc = NEG_INF
-        for j in range(i + 1, min(L, i + max_len) + 1):
-            lp = logp.get(w[i:j])
-            if lp is not None and beta[j] != NEG_INF:
-                acc = _lse(acc, lp + beta[j])
-        beta[i] = acc
+        beta[i] = _logsumexp([lp + beta[j] for _, j, _, lp in starts[i] if beta[j] != NEG_INF])
     exp_counts: dict = {}
     for i in range(L):
-        if alpha[i] == NEG_INF:
+        ai = alpha[i]
+        if ai == NEG_INF:
             continue
-        for j in range(i + 1, min(L, i + max_len) + 1):
-            p = w[i:j]
-            lp = logp.get(p)
-            if lp is None or beta[j] == NEG_INF:
+        for _, j, p, lp in starts[i]:
+            if beta[j] == NEG_INF:
                 continue
-            c = math.exp(alpha[i] + lp + beta[j] - z)
+            c = math.exp(ai + lp + beta[j] - z)
             if c > 0:
                 exp_counts[p] = exp_counts.get(p, 0.0) + c
     return exp_counts, z
@@ -126,11 +154,12 @@ def _estep(state: DataFrame, logp: dict, max_len: int):
 
     def run(it):
         table = bc.value
+        trie = build_trie(table)
         acc: dict = {}
         ll = 0.0
         for pdf in it:
             for w, n in zip(pdf["w"], pdf["n"]):
-                ec, z = forward_backward(w, table, max_len)
+                ec, z = forward_backward(w, table, max_len, trie)
                 ll += n * z
                 for p, c in ec.items():
                     acc[p] = acc.get(p, 0.0) + n * c
@@ -154,12 +183,23 @@ def _mstep(counts: dict, keep: set) -> dict:
 
 
 def seed_pieces(state: DataFrame, seed_size: int, max_len: int = MAX_PIECE_LEN) -> dict:
-    """Initial pieces: the heaviest substrings (count x length) plus all characters."""
-    w = F.col("w")
-    subs = F.flatten(F.transform(F.sequence(F.lit(0), F.length(w) - 1), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_len), F.length(w) - i)), lambda l: F.substring(w, i + 1, l))))
-    ex = state.select(F.explode(subs).alias("piece"), "n")
-    weights = ex.groupBy("piece").agg(F.sum("n").alias("freq"))
+    """Initial pieces: the heaviest substrings (count x length) plus all characters.
+
+    Substrings are enumerated per partition in ``mapInPandas`` (one partial
+    count per distinct substring and partition) and summed with ``groupBy``.
+    """
+    def subs(it):
+        acc: dict = {}
+        for pdf in it:
+            for w, n in zip(pdf["w"], pdf["n"]):
+                L = len(w)
+                for i in range(L):
+                    for j in range(i + 1, min(L, i + max_len) + 1):
+                        p = w[i:j]
+                        acc[p] = acc.get(p, 0.0) + n
+        yield pd.DataFrame({"piece": list(acc), "n": list(acc.values())})
+
+    weights = state.mapInPandas(subs, "piece STRING, n DOUBLE").groupBy("piece").agg(F.sum("n").alias("freq"))
     weights = weights.withColumn("wt", F.col("freq") * F.length("piece"))
     top = weights.where(F.length("piece") > 1).orderBy(F.desc("wt"), "piece").limit(seed_size).collect()
     chars = weights.where(F.length("piece") == 1).collect()  # the alphabet: bounded
@@ -170,12 +210,16 @@ def seed_pieces(state: DataFrame, seed_size: int, max_len: int = MAX_PIECE_LEN)
 
 
 def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = None, max_len: int = MAX_PIECE_LEN,
-                  em_steps: int = EM_STEPS, shrink: float = SHRINK, history: list | None = None) -> DataFrame:
+                  em_steps: int = EM_STEPS, shrink: float = SHRINK, history: list | None = None,
+                  rows_per_partition: int = 20_000) -> DataFrame:
     """K4: vocabulary = 4 specials + pieces by log-probability (score = log p)."""
     spark = words.sparkSession
     counts = words.select(F.concat(F.lit(SPACE), F.col("word")).alias("w")).groupBy("w").agg(
         F.count("*").cast("double").alias("n"))
-    state = materialize(counts, "unigram0")
+    # size the state by its rows (distinct words): the E-step is CPU-bound, and
+    # AQE would otherwise coalesce a small table into a single partition
+    n_rows = counts.count()
+    state = materialize(counts.repartition(max(1, -(-n_rows // rows_per_partition)), "w"), "unigram0")
     target = max(1, vocab_size - len(SPECIAL_PIECES))
     logp = seed_pieces(state, seed_size or min(MAX_SEED, SEED_FACTOR * vocab_size), max_len)
     chars = {p for p in logp if len(p) == 1}
