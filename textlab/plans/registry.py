@@ -14,6 +14,76 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _matching_paren(s: str, start: int) -> int:
+    """Index of the parenthesis closing the one at ``start`` (quotes respected)."""
+    depth, i, quote = 0, start, None
+    while i < len(s):
+        c = s[i]
+        if quote:
+            if c == quote:
+                quote = None
+        elif c in ("'", '"'):
+            quote = c
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                return i
+        i += 1
+    raise ValueError("unbalanced parentheses in oracle SQL")
+
+
+def _split_last_arg(body: str) -> tuple[str, str]:
+    depth, quote = 0, None
+    for i in range(len(body) - 1, -1, -1):
+        c = body[i]
+        if quote:
+            if c == quote:
+                quote = None
+        elif c in ("'", '"'):
+            quote = c
+        elif c == ")":
+            depth += 1
+        elif c == "(":
+            depth -= 1
+        elif c == "," and depth == 0:
+            return body[:i], body[i + 1:]
+    return body, ""
+
+
+def spark_rounding(sql: str) -> str:
+    """Rewrite ``round(x, d)`` so DuckDB rounds like Spark: half-up on the
+    shortest decimal form of the double (DuckDB rounds the binary value, which
+    differs on exact ties such as 333/640 = 0.5203125). String literals are
+    left untouched."""
+    out, i, start, quote = [], 0, 0, None
+    n = len(sql)
+    while i < n:
+        c = sql[i]
+        if quote:
+            if c == quote:
+                quote = None
+            i += 1
+            continue
+        if c in ("'", '"'):
+            quote = c
+            i += 1
+            continue
+        if (sql[i:i + 6].lower() == "round(" and (i == 0 or not (sql[i - 1].isalnum() or sql[i - 1] == "_"))):
+            k = _matching_paren(sql, i + 5)
+            x, d = _split_last_arg(sql[i + 6:k])
+            if d.strip().isdigit():
+                out.append(sql[start:i])
+                out.append(f"CAST(round(CAST(CAST(CAST({spark_rounding(x)} AS DOUBLE) AS VARCHAR) "
+                           f"AS DECIMAL(38, 18)), {d.strip()}) AS DOUBLE)")
+                i = start = k + 1
+                continue
+        i += 1
+    out.append(sql[start:])
+    return "".join(out)
+
+
 def register(name: str, sql: str | None = None):
     """Decorator: register a query builder (and its oracle SQL, if SQL-expressible)."""
     def deco(fn):
@@ -21,7 +91,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = spark_rounding(sql)
         return fn
     return deco
 
