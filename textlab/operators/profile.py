@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.operators.common import attach
-from textlab.operators.quantiles import _is_integral, quantiles
+from textlab.operators.quantiles import _is_integral, quantiles, small_distinct
 from textlab.session import materialize
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
@@ -32,15 +32,19 @@ def describe(df: DataFrame, cols, group_cols=(), ddof: int = 1, probs=DESCRIBE_P
     linear interpolation (``approx=True`` switches every column to
     ``percentile_approx`` with bounded memory instead).
 
-    Moments and the percentiles of integral columns come from one aggregation
-    pass. Fractional columns need the distributed rank path (several passes),
-    so the narrow input is first checkpointed to shared storage and those
-    passes read it instead of recomputing the upstream plan.
+    Moments and the percentiles of integral columns -- and of fractional
+    columns whose per-group distinct count is checked to be small -- come from
+    one aggregation pass. Other fractional columns need the distributed rank
+    path (several passes), so the narrow input is first written to shared
+    storage and those passes read it instead of recomputing the upstream plan.
     """
     gcols = list(group_cols)
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
     narrow = df.select(*gcols, *cols)
     frac = [] if approx else [c for c in cols if not _is_integral(narrow, c)]
+    if frac:  # fractional columns with few distinct values keep the one-pass percentile
+        small = small_distinct(narrow, frac, gcols)
+        frac = [c for c in frac if c not in small]
     if frac:
         narrow = materialize(narrow, "describe")
     parr = F.array(*[F.lit(float(p)) for p in probs])

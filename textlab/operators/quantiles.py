@@ -4,8 +4,10 @@ Integral columns use Spark's exact ``percentile`` aggregate: its state is a
 value -> count map whose size is bounded by the number of distinct values
 (for text lengths: by the maximum length), not by the row count.
 
-Fractional columns can have as many distinct values as rows, so they go
-through a distributed rank computation instead:
+Fractional columns can have as many distinct values as rows: they use
+``percentile`` only after a HyperLogLog pre-pass shows at most
+``PERCENTILE_MAX_DISTINCT`` distinct values per group, and otherwise go
+through a distributed rank computation:
 
 1. ``groupBy(group, value).count()`` -- map-side combined, so a value that
    holds a third of all rows becomes one row;
@@ -29,10 +31,29 @@ from textlab.operators.common import attach
 from textlab.operators.prefix import running_total
 
 
+# --- fixed values -----------------------------------------------------------
+# Largest per-group distinct-value count for which the single-task exact
+# ``percentile`` map is used (about 100-150 MB of state); beyond it, ranks.
+PERCENTILE_MAX_DISTINCT = 2_000_000
+# ----------------------------------------------------------------------------
+
+
 def _is_integral(df: DataFrame, col: str) -> bool:
     return isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
+def small_distinct(df: DataFrame, cols, group_cols=(), limit: int = PERCENTILE_MAX_DISTINCT) -> set:
+    """Columns whose largest per-group distinct count (HyperLogLog estimate) is
+    within ``limit``: for them the exact ``percentile`` map is size-checked."""
+    cols = list(cols)
+    if not cols:
+        return set()
+    g = list(group_cols)
+    per = df.groupBy(*g).agg(*[F.approx_count_distinct(c, 0.05).alias(f"__d{i}") for i, c in enumerate(cols)])
+    row = per.agg(*[F.max(f"__d{i}").alias(f"__d{i}") for i in range(len(cols))]).first()
+    return {c for i, c in enumerate(cols) if (row[f"__d{i}"] or 0) <= limit}
+
+
 def quantiles(df: DataFrame, col: str, probs, group_cols=(), method: str = "auto") -> DataFrame:
     """One row per group: ``q_<i>`` columns (DOUBLE) for each probability.
 
@@ -42,7 +63,8 @@ def quantiles(df: DataFrame, col: str, probs, group_cols=(), method: str = "auto
     probs = [float(p) for p in probs]
     gcols = list(group_cols)
     if method == "auto":
-        method = "percentile" if _is_integral(df, col) else "ranks"
+        method = ("percentile" if _is_integral(df, col) or col in small_distinct(df, [col], gcols)
+                  else "ranks")
     if method == "percentile":
         arr = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs]))
         out = df.groupBy(*gcols).agg(arr.alias("__q"))
