@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textlab.operators.tokenizers.vocab import (
     IDS_TYPE, SPACE, SPECIAL_PIECES, UNK, VOCAB_SCHEMA, broadcast_piece_to_id, specials)
-from textlab.session import materialize
+from textlab.session import conf_override, materialize
 
 # --- fixed values -----------------------------------------------------------
 MAX_PIECE_LEN = 16
@@ -114,9 +114,16 @@ def train_bpe(words: DataFrame, vocab_size: int, max_piece_len: int = MAX_PIECE_
              .orderBy(F.desc("c"), "ch").collect())  # distinct characters: bounded by the alphabet
     char_list = [r["ch"] for r in chars]
     target = max(0, vocab_size - len(SPECIAL_PIECES) - len(char_list))
+    # many tiny jobs: static plans, no adaptive re-planning latency per round
+    with conf_override(spark, {"spark.sql.adaptive.enabled": "false"}):
+        merges = _merge_rounds(state, target, top_k, max_piece_len, checkpoint_every)
+    return _vocab_rows(spark, merges, char_list)
+
+
+def _merge_rounds(state, target, top_k, max_piece_len, checkpoint_every):
     merges: list[tuple[str, str]] = []
     rounds = 0
-    parent = None  # cached state whose child is not materialized yet
+    parent = None
     while len(merges) < target:
         top = top_pairs(state, top_k, max_piece_len)  # action: also fills the cache of `state`
         if parent is not None:
@@ -138,6 +145,10 @@ def train_bpe(words: DataFrame, vocab_size: int, max_piece_len: int = MAX_PIECE_
             parent = state
         state = nxt
     state.unpersist()
+    return merges
+
+
+def _vocab_rows(spark, merges, char_list) -> DataFrame:
     pieces, seen = [], set()
     for a, b in merges:  # two merge paths can spell the same piece: keep its first rank
         if a + b not in seen:

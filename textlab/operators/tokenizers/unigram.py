@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textlab.operators.tokenizers.vocab import (
     IDS_TYPE, SPACE, SPECIAL_PIECES, UNK, VOCAB_SCHEMA, broadcast_piece_to_id, specials)
-from textlab.session import materialize
+from textlab.session import conf_override, materialize
 
 # --- fixed values -----------------------------------------------------------
 MAX_PIECE_LEN = 16
@@ -209,19 +209,7 @@ def seed_pieces(state: DataFrame, seed_size: int, max_len: int = MAX_PIECE_LEN)
     return {p: math.log(f / tot) for p, f in freqs.items()}
 
 
-def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = None, max_len: int = MAX_PIECE_LEN,
-                  em_steps: int = EM_STEPS, shrink: float = SHRINK, history: list | None = None,
-                  rows_per_partition: int = 20_000) -> DataFrame:
-    """K4: vocabulary = 4 specials + pieces by log-probability (score = log p)."""
-    spark = words.sparkSession
-    counts = words.select(F.concat(F.lit(SPACE), F.col("word")).alias("w")).groupBy("w").agg(
-        F.count("*").cast("double").alias("n"))
-    # size the state by its rows (distinct words): the E-step is CPU-bound, and
-    # AQE would otherwise coalesce a small table into a single partition
-    n_rows = counts.count()
-    state = materialize(counts.repartition(max(1, -(-n_rows // rows_per_partition)), "w"), "unigram0")
-    target = max(1, vocab_size - len(SPECIAL_PIECES))
-    logp = seed_pieces(state, seed_size or min(MAX_SEED, SEED_FACTOR * vocab_size), max_len)
+def _em_prune(state, logp, target, max_len, em_steps, shrink, history):
     chars = {p for p in logp if len(p) == 1}
     while True:
         for _ in range(em_steps):
@@ -230,7 +218,7 @@ def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = Non
                 history.append((len(logp), ll))
             logp = _mstep(ec, chars)
         if len(logp) <= target:
-            break
+            return logp
         # pruning loss on the piece table (bounded by the seed size)
         losses = []
         for p, lp in logp.items():
@@ -243,6 +231,24 @@ def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = Non
         n_drop = min(len(logp) - target, max(1, int(len(logp) * (1 - shrink))))
         for _, p in losses[:n_drop]:
             logp.pop(p, None)
+
+
+def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = None, max_len: int = MAX_PIECE_LEN,
+                  em_steps: int = EM_STEPS, shrink: float = SHRINK, history: list | None = None,
+                  rows_per_partition: int = 20_000) -> DataFrame:
+    """K4: vocabulary = 4 specials + pieces by log-probability (score = log p)."""
+    spark = words.sparkSession
+    counts = words.select(F.concat(F.lit(SPACE), F.col("word")).alias("w")).groupBy("w").agg(
+        F.count("*").cast("double").alias("n"))
+    # size the state by its rows (distinct words): the E-step is CPU-bound, and
+    # AQE would otherwise coalesce a small table into a single partition
+    n_rows = counts.count()
+    state = materialize(counts.repartition(max(1, -(-n_rows // rows_per_partition)), "w"), "unigram0")
+    target = max(1, vocab_size - len(SPECIAL_PIECES))
+    logp = seed_pieces(state, seed_size or min(MAX_SEED, SEED_FACTOR * vocab_size), max_len)
+    # EM rounds are a fixed loop of small jobs: static plans, no adaptive re-planning
+    with conf_override(spark, {"spark.sql.adaptive.enabled": "false"}):
+        logp = _em_prune(state, logp, target, max_len, em_steps, shrink, history)
     ranked = sorted(logp.items(), key=lambda t: (-t[1], t[0]))[:target]
     rows = [(i + len(SPECIAL_PIECES), p, round(lp, 6)) for i, (p, lp) in enumerate(ranked)]
     return specials(spark).unionByName(spark.createDataFrame(rows, VOCAB_SCHEMA))

@@ -128,3 +128,25 @@ def ship_package(spark) -> None:
                     z.write(full, os.path.relpath(full, base))
     spark.sparkContext.addPyFile(out)
     _SHIPPED.add(app)
+
+
+class conf_override:
+    """Temporarily set SQL confs on the session (restored on exit), e.g. AQE off
+    for an iterative loop of many tiny jobs where re-planning only adds latency."""
+
+    def __init__(self, spark, confs: dict):
+        self.spark, self.confs, self.prev = spark, dict(confs), {}
+
+    def __enter__(self):
+        for k, v in self.confs.items():
+            self.prev[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, v)
+        return self
+
+    def __exit__(self, *exc):
+        for k, v in self.prev.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+        return False
