@@ -116,7 +116,9 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
               .groupBy("token").count())
     top = counts.orderBy(F.desc("count"), "token").limit(LEXICON_SIZE)
     ln = F.length("token") % 6
-    pos = F.when(ln == 0, "VERB").when(ln == 1, "ADJ").when(ln == 2, "ADV").when(ln == 3, "DET").otherwise(DEFAULT_POS)
+    pos = F.lit(DEFAULT_POS)
+    for m, tag in sorted(POS_BY_LEN_MOD6.items(), reverse=True):
+        pos = F.when(ln == m, tag).otherwise(pos)
     rk = Window.orderBy(F.desc("count"), "token")
     top = top.select("token", pos.alias("pos"), F.col("token").alias("lemma"),
                      F.row_number().over(rk).alias("rank"))
