@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textlab.operators.tokenizers.vocab import (
     IDS_TYPE, SPACE, SPECIAL_PIECES, UNK, VOCAB_SCHEMA, broadcast_piece_to_id, specials)
-from textlab.session import conf_override, materialize
+from textlab.session import conf_override, materialize, partitions_for
 
 # --- fixed values -----------------------------------------------------------
 MAX_PIECE_LEN = 16
@@ -102,20 +102,21 @@ def apply_merges(sym, batch) -> F.Column:
 
 
 def train_bpe(words: DataFrame, vocab_size: int, max_piece_len: int = MAX_PIECE_LEN, top_k: int = TOP_K,
-              checkpoint_every: int = CHECKPOINT_EVERY, rows_per_partition: int = 20_000) -> DataFrame:
+              checkpoint_every: int = CHECKPOINT_EVERY, rows_per_partition: int = 50_000) -> DataFrame:
     """K3: vocabulary = 4 specials, merged pieces in merge order (score = -rank), then characters."""
     spark = words.sparkSession
     counts = words.select(F.concat(F.lit(SPACE), F.col("word")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     state = counts.select("w", "n", F.filter(F.split("w", ""), lambda c: c != "").alias("sym"))
     # size the state by its rows (distinct words), not by the shuffle default
     n_rows = state.count()
-    state = materialize(state.repartition(max(1, -(-n_rows // rows_per_partition)), "w"), "bpe0")
+    n_parts = partitions_for(spark, n_rows, rows_per_partition)
+    state = materialize(state.repartition(n_parts, "w"), "bpe0")
     chars = (state.select(F.explode("sym").alias("ch"), "n").groupBy("ch").agg(F.sum("n").alias("c"))
              .orderBy(F.desc("c"), "ch").collect())  # distinct characters: bounded by the alphabet
     char_list = [r["ch"] for r in chars]
     target = max(0, vocab_size - len(SPECIAL_PIECES) - len(char_list))
     # many tiny jobs: static plans, no adaptive re-planning latency per round
-    with conf_override(spark, {"spark.sql.adaptive.enabled": "false"}):
+    with conf_override(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(n_parts)}):
         merges = _merge_rounds(state, target, top_k, max_piece_len, checkpoint_every)
     return _vocab_rows(spark, merges, char_list)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textlab.operators.tokenizers.vocab import (
     IDS_TYPE, SPACE, SPECIAL_PIECES, UNK, VOCAB_SCHEMA, broadcast_piece_to_id, specials)
-from textlab.session import conf_override, materialize
+from textlab.session import conf_override, materialize, partitions_for
 
 # --- fixed values -----------------------------------------------------------
 MAX_PIECE_LEN = 16
@@ -235,7 +235,7 @@ def _em_prune(state, logp, target, max_len, em_steps, shrink, history):
 
 def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = None, max_len: int = MAX_PIECE_LEN,
                   em_steps: int = EM_STEPS, shrink: float = SHRINK, history: list | None = None,
-                  rows_per_partition: int = 20_000) -> DataFrame:
+                  rows_per_partition: int = 50_000) -> DataFrame:
     """K4: vocabulary = 4 specials + pieces by log-probability (score = log p)."""
     spark = words.sparkSession
     counts = words.select(F.concat(F.lit(SPACE), F.col("word")).alias("w")).groupBy("w").agg(
@@ -243,11 +243,12 @@ def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = Non
     # size the state by its rows (distinct words): the E-step is CPU-bound, and
     # AQE would otherwise coalesce a small table into a single partition
     n_rows = counts.count()
-    state = materialize(counts.repartition(max(1, -(-n_rows // rows_per_partition)), "w"), "unigram0")
+    n_parts = partitions_for(spark, n_rows, rows_per_partition)
+    state = materialize(counts.repartition(n_parts, "w"), "unigram0")
     target = max(1, vocab_size - len(SPECIAL_PIECES))
     logp = seed_pieces(state, seed_size or min(MAX_SEED, SEED_FACTOR * vocab_size), max_len)
     # EM rounds are a fixed loop of small jobs: static plans, no adaptive re-planning
-    with conf_override(spark, {"spark.sql.adaptive.enabled": "false"}):
+    with conf_override(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(n_parts)}):
         logp = _em_prune(state, logp, target, max_len, em_steps, shrink, history)
     ranked = sorted(logp.items(), key=lambda t: (-t[1], t[0]))[:target]
     rows = [(i + len(SPECIAL_PIECES), p, round(lp, 6)) for i, (p, lp) in enumerate(ranked)]

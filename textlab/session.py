@@ -150,3 +150,11 @@ class conf_override:
             else:
                 self.spark.conf.set(k, v)
         return False
+
+
+def partitions_for(spark, n_rows: int, rows_per_partition: int) -> int:
+    """Partitions for a CPU-bound table: by row count, rounded up to a multiple
+    of the cores so no stage ends with a half-empty extra wave."""
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    need = max(1, -(-n_rows // rows_per_partition))
+    return -(-need // cores) * cores
