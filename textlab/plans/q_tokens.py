@@ -347,3 +347,16 @@ def train_unigram(spark, sf_dir):
 def encode_unigram(spark, sf_dir):
     """K8: articles encoded by Viterbi segmentation under the Unigram model."""
     return _encode_query("unigram", TK.FIXTURE_VOCAB["unigram"])(spark, sf_dir)
+
+
+@register("tokenize_splits_char", f"""SELECT a.doc_id, s.split,
+  CASE WHEN a.ids = '' THEN '2 3' ELSE '2 ' || a.ids || ' 3' END AS tokenized_articles,
+  CASE WHEN h.ids = '' THEN '2 3' ELSE '2 ' || h.ids || ' 3' END AS tokenized_highlights
+FROM ({Q.encoded_text('char', CV, 'src_text', _ALL_SPLITS)}) a
+JOIN ({Q.encoded_text('char', CV, 'src_highlights', _ALL_SPLITS)}) h USING (doc_id)
+JOIN ({_ALL_SPLITS}) s USING (doc_id)""")
+def tokenize_splits_char(spark, sf_dir):
+    """K11 with the Char tokenizer: all three splits, both columns, bos/eos added."""
+    e = _encode_splits(spark, sf_dir, "char")
+    return e.select("doc_id", "split", _ids_text("article_ids").alias("tokenized_articles"),
+                    _ids_text("highlight_ids").alias("tokenized_highlights"))
