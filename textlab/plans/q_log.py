@@ -100,12 +100,15 @@ def filter_first_n(spark, sf_dir):
 _ENC = Q.encoded_text("word", TK.FIXTURE_VOCAB["word"], "cleaned_text")
 
 
-@register("batch_pad", f"""WITH e AS (SELECT doc_id, CASE WHEN ids = '' THEN []::VARCHAR[] ELSE string_split(ids, ' ')[1:{SOURCE_LEN}] END AS xs,
+_BATCH_PAD_SQL = f"""WITH e AS (SELECT doc_id, CASE WHEN ids = '' THEN []::VARCHAR[] ELSE string_split(ids, ' ')[1:{SOURCE_LEN}] END AS xs,
   row_number() OVER (ORDER BY doc_id) AS rn FROM ({_ENC})),
 b AS (SELECT doc_id, xs, (rn - 1) // {BATCH_SIZE} AS batch_id, CAST((rn - 1) % {BATCH_SIZE} AS INT) AS row_in_batch,
   max(len(xs)) OVER (PARTITION BY (rn - 1) // {BATCH_SIZE}) AS m FROM e)
 SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, row_in_batch,
-  array_to_string(list_concat(xs, list_transform(range(m - len(xs)), lambda x: '0')), ' ') AS padded FROM b""")
+  array_to_string(list_concat(xs, list_transform(range(m - len(xs)), lambda x: '0')), ' ') AS padded FROM b"""
+
+
+@register("batch_pad", _BATCH_PAD_SQL)
 def batch_pad(spark, sf_dir):
     """Batches of 16 in row order, sources truncated to 256 ids, right-padded with 0."""
     e = TK.encoded(spark, sf_dir, "word").select("doc_id", "article_ids")
@@ -165,3 +168,12 @@ def log_keep_last_stream(spark, sf_dir):
                  F.col("value").alias("loss"), F.col("event_id").alias("ingest_seq"))
     _, name = run_to_memory(spark, keep_last_stream(s, ["run", "step"], "ingest_seq"))
     return spark.table(name).select("run", "step", F.round("loss", 6).alias("loss"), "ingest_seq")
+
+
+@register("ids_strip_pad", f"""SELECT doc_id, array_to_string(list_filter(string_split(padded, ' '), lambda x: x <> '0'), ' ') AS out
+FROM ({_BATCH_PAD_SQL})""")
+def ids_strip_pad(spark, sf_dir):
+    """T20 variant: drop only the pad id (0) from the padded batch rows of W9."""
+    e = TK.encoded(spark, sf_dir, "word").select("doc_id", "article_ids")
+    p = SEL.batch_pad(e, "doc_id", "article_ids", BATCH_SIZE, SOURCE_LEN)
+    return p.select("doc_id", F.array_join(SQ.ids_strip_special("padded", drop=(SQ.PAD_ID,)), " ").alias("out"))
