@@ -66,3 +66,13 @@ def test_describe_approx_close_to_exact(spark):
     ap = PR.describe(df, ["x"], approx=True).first()
     for c in ("p25", "p50", "p75"):
         assert abs(ex[c] - ap[c]) < 0.2
+
+
+def test_conf_override_restores(spark):
+    from textlab.session import conf_override
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    with conf_override(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "3"}):
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
