@@ -166,8 +166,8 @@ def _product(num: int, den: int):
                         near = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= overlap_needed(n[i], n[j], num, den)
                         flip = cls[i] > cls[j]
                         a, b = np.where(flip, j, i), np.where(flip, i, j)
-                        parts.append(pa.table({"a": cls[a], "b": cls[b], "na": n[a], "nb": n[b], "near": near.astype(np.int64),
-                                               "c": np.ones(i.size, np.int64)}))
+                        parts.append(pa.table({"a": cls[a], "b": cls[b], "na": n[a], "nb": n[b],
+                                               "c": np.ones(i.size, np.int64), "near": near.astype(np.int64)}))
             if len(parts) > 64:
                 parts = [_accumulate(parts)]
         if not parts:

@@ -49,7 +49,7 @@ WITH RECURSIVE w AS (
                                       '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 s AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [list_aggregate(words, 'string_agg', ' ')]
-        ELSE list_transform(range(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle
+        ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle
     FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 both_sides AS (
@@ -80,11 +80,11 @@ s AS (
     FROM d GROUP BY source),
 -- a source is capped while the rate that the sources of a larger cap for their weight leave is above its own
 r AS (
-    SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+    SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k,
            coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped_before,
            sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
     FROM s),
-rate AS (SELECT coalesce(min((total - capped_before) / weight_left) FILTER (WHERE (total - capped_before) / weight_left * weight <= cap), 0) AS rate FROM r),
+rate AS (SELECT coalesce(arg_min((total - capped_before) / weight_left, k) FILTER (WHERE (total - capped_before) / weight_left * weight <= cap), 0) AS rate FROM r),
 t AS (SELECT source, source_size, least(cap, weight * rate) AS target FROM s, rate),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS base FROM t),
 u AS (SELECT source, h, sum(size)::BIGINT AS unit FROM d GROUP BY source, h),
