@@ -135,11 +135,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = suspects.groupBy("sha").agg(
         F.count("*").alias("group_size"),
         F.max(F.struct("chars", F.bitwise_not("doc_id").alias("o"), F.bitwise_not("rid").alias("r"))).alias("best"))
-    groups = best.join(classes, "sha").select(
+    groups = materialize(best.join(classes, "sha").select(
         "sha", "group_size", F.bitwise_not("best.o").alias("keep_id"), F.bitwise_not("best.r").alias("keep_rid"),
         F.assert_true((F.col("texts") == 1) & (F.col("verified") >= F.col("group_size")),
-                      F.lit("different texts share a SHA-256")).alias("checked"))
-    return (narrow.join(groups.filter("checked is null"), "sha", "left").select(
+                      F.lit("different texts share a SHA-256")).alias("checked")), "groups")
+    return (narrow.join(groups, "sha", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
