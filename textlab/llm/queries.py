@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textlab.llm import chat
 from textlab.llm.exact_dedup import exact_groups
 from textlab.llm.jaccard import jaccard_components
+from textlab.llm.langid import identify
+from textlab.llm.line_dedup import drop_recurring_lines
+from textlab.llm.lm import score_texts
 from textlab.llm.mixing import mix
+from textlab.llm.packing import best_fit
+from textlab.llm.quality import classify
+from textlab.llm.topk import exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +107,103 @@ FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
 def op10_mix_sources(spark, sf_dir):
     """Operator 10 over all documents: weights 3, 1, 2, a share of 150 %, at most two copies."""
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+@query("op1_exact_topk", sql="""
+WITH v AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.rid AS qrid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op1_exact_topk(spark, sf_dir):
+    """Operator 1: ten best of every hundredth vector against all."""
+    return exact_topk(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024.0)
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark, sf_dir):
+    """Operator 2 over all documents."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_chat_formatting", sql="""
+WITH c AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+    SELECT *, replace(replace(replace(replace(text, '\', '\\'), '</role>', '<\/role>'), '</turn>', '<\/turn>'), '### ', '#\## ') AS esc FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(role) + 7 + length(esc) + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op3_chat_formatting(spark, sf_dir):
+    """Operator 3: every conversation is a tree of one branch, its rows in order of turn."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    tree = rows.unionByName(extra).withColumn("msg", F.row_number().over(order)).withColumn("answers", F.col("msg") - 1)
+    out = chat.conversations(tree, 1, "conv_id", "msg", "answers", "role", "text")
+    turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    return out.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted").select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark, sf_dir):
+    """Operator 4 over all documents."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op6_line_dedup", sql="""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS every FROM documents),
+l AS (
+    SELECT text, unnest(range(len(every))) AS pos, trim(unnest(every), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+    FROM (SELECT DISTINCT text, every FROM d WHERE text IS NOT NULL)),
+t AS (
+    SELECT *, string_split_regex(line, '[\x20\x09-\x0D]+') AS raw,
+           list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens,
+           (len(raw)::VARCHAR || chr(31) || array_to_string(tokens[1:3], chr(31))) AS leaf
+    FROM l WHERE len(string_split_regex(line, '[\x20\x09-\x0D]+')) >= 3),
+leaves AS (SELECT leaf FROM t GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+cand AS (SELECT * FROM t SEMI JOIN leaves USING (leaf)),
+seen AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT text) AS n FROM cand GROUP BY leaf, line),
+tok AS (SELECT leaf, line, n, unnest(tokens) AS token, unnest(range(len(tokens))) AS at FROM seen),
+sup AS (SELECT *, sum(n) OVER (PARTITION BY leaf, at, token) >= 10 AND token <> '<*>' AS fixed FROM tok),
+tmpl AS (
+    SELECT leaf, line, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, chr(31) ORDER BY at) AS template
+    FROM sup GROUP BY leaf, line HAVING avg(fixed::INTEGER) >= 0.6),
+hits AS (SELECT text, pos, leaf, template FROM cand JOIN tmpl USING (leaf, line)),
+rec AS (SELECT leaf, template FROM hits GROUP BY leaf, template HAVING count(DISTINCT text) >= 10),
+drops AS (SELECT text, list(pos) AS gone FROM hits SEMI JOIN rec USING (leaf, template) GROUP BY text)
+SELECT doc_id, CASE WHEN gone IS NULL THEN d.text ELSE
+           coalesce(array_to_string(list_filter(every, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text,
+       coalesce(len(every), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped
+FROM d LEFT JOIN drops ON d.text = drops.text
+""")
+def op6_line_dedup(spark, sf_dir):
+    """Operator 6 over all documents."""
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf_dir):
+    """Operator 7 over all documents."""
+    return best_fit(table(spark, sf_dir, "documents")).drop("rid")
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    """Operator 9 over all documents."""
+    return identify(table(spark, sf_dir, "documents"))
