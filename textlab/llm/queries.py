@@ -130,7 +130,7 @@ def op2_quality_classifier(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op3_chat_formatting", sql="""
+@query("op3_chat_formatting", sql=r"""
 WITH c AS (
     SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -179,10 +179,10 @@ t AS (
 leaves AS (SELECT leaf FROM t GROUP BY leaf HAVING count(DISTINCT text) >= 10),
 cand AS (SELECT * FROM t SEMI JOIN leaves USING (leaf)),
 seen AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT text) AS n FROM cand GROUP BY leaf, line),
-tok AS (SELECT leaf, line, n, unnest(tokens) AS token, unnest(range(len(tokens))) AS at FROM seen),
-sup AS (SELECT *, sum(n) OVER (PARTITION BY leaf, at, token) >= 10 AND token <> '<*>' AS fixed FROM tok),
+tok AS (SELECT leaf, line, n, unnest(tokens) AS token, unnest(range(len(tokens))) AS slot FROM seen),
+sup AS (SELECT *, sum(n) OVER (PARTITION BY leaf, slot, token) >= 10 AND token <> '<*>' AS fixed FROM tok),
 tmpl AS (
-    SELECT leaf, line, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, chr(31) ORDER BY at) AS template
+    SELECT leaf, line, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, chr(31) ORDER BY slot) AS template
     FROM sup GROUP BY leaf, line HAVING avg(fixed::INTEGER) >= 0.6),
 hits AS (SELECT text, pos, leaf, template FROM cand JOIN tmpl USING (leaf, line)),
 rec AS (SELECT leaf, template FROM hits GROUP BY leaf, template HAVING count(DISTINCT text) >= 10),
