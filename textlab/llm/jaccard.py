@@ -14,6 +14,9 @@ near copies does not emit all its pairs:
   left in different components, and drops the pairs whose count, plus all that lies behind
   both prefixes, cannot reach the overlap that their sizes ask for. The others are verified.
 
+In both rounds a pair is dropped on the spot if the parity bitmaps of its sets differ in more bits than the
+sets may differ in elements: an element that one of them lacks flips one bit, so no link is lost.
+
 A pair is verified on the two whole sets, in integers. Pairs that round 1 has already connected
 need no test, as the result is the components.
 """
@@ -33,7 +36,8 @@ from textlab.session import materialize, ship_package
 
 SKETCH_BITS = 21
 BLOCK_ENTRIES = 1 << 18
-TILE = 2048
+BITMAP = 512                 # parity bits of a set
+TILE = 512
 
 
 def overlap_needed(na, nb, num: int, den: int):
@@ -57,19 +61,25 @@ def _sets(batches, width: int, text_at: int = 0):
                 yield b, i + k, s, hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """One bit for each of BITMAP buckets of elements: whether it holds an odd number."""
+    return np.packbits(np.bincount((s & U64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).tobytes()
+
+
 def _profile(width: int, bits: int):
-    """Documents -> (place of the row, set size, signature), and the task's sketch."""
+    """Documents -> (doc_id, set size, signature, parity bitmap), and the task's sketch."""
     def run(batches):
         sketch = Sketch(bits)
 
         def rows(b):
-            n, sig = [], []
+            n, sig, par = [], [], []
             for _, _, s, g in _sets([b], width, 1):
                 if s.size:
                     sketch.add(s)
                 n.append(s.size)
                 sig.append(g)
-            return {"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()),
+                par.append(_parity(s) if s.size else None)
+            return {"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "parity": pa.array(par, pa.binary()),
                     "seg": pa.nulls(len(n), pa.int32()), "counts": pa.nulls(len(n), pa.binary())}
 
         kind = None
@@ -79,7 +89,7 @@ def _profile(width: int, bits: int):
         if kind is not None:
             for seg, part in sketch.parts():
                 yield pa.record_batch({"doc_id": pa.nulls(1, kind), "n": pa.nulls(1, pa.int64()), "sig": pa.nulls(1, pa.binary()),
-                                       "seg": pa.array([seg], pa.int32()), "counts": pa.array([part], pa.binary())})
+                                       "parity": pa.nulls(1, pa.binary()), "seg": pa.array([seg], pa.int32()), "counts": pa.array([part], pa.binary())})
     return run
 
 
@@ -103,44 +113,59 @@ def _entries(width: int, level, bits: int, num: int, den: int):
     return run
 
 
-def _columns(table: pa.Table, extra: str | None = None):
-    """A block's entries sorted by column, size and class, without repeated entries, and the
-    starts of the columns that have two entries or more."""
-    h, cls, at = (table.column(c).to_numpy() for c in ("h", "cls", "at"))
-    n, pos = at >> 32, at & 0xFFFFFFFF
-    o = np.lexsort((cls, n, h))
-    h, cls, n, pos = h[o], cls[o], n[o], pos[o]
-    more = table.column(extra).to_numpy()[o] if extra else None
-    keep = np.ones(h.size, bool)
-    keep[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (n[1:] != n[:-1])
-    h, cls, n, pos = h[keep], cls[keep], n[keep], pos[keep]
-    more = more[keep] if extra else None
+def _columns(table: pa.Table):
+    """A block's entries in order of column, size and class, without repeated ones: columns of
+    the table by name, and the start and length of every matrix column."""
+    t = {c: table.column(c).to_numpy() for c in ("h", "cls", "at")}
+    t["n"], t["pos"] = t["at"] >> 32, t["at"] & 0xFFFFFFFF
+    o = np.lexsort((t["cls"], t["n"], t["h"]))
+    keep = np.ones(o.size, bool)
+    keep[1:] = np.any([t[c][o][1:] != t[c][o][:-1] for c in ("h", "cls", "n")], axis=0)
+    o = o[keep]
+    t = {c: v[o] for c, v in t.items()}
+    for c in ("comp",):
+        if c in table.column_names:
+            t[c] = table.column(c).to_numpy()[o]
+    if "parity" in table.column_names:
+        p = table.column("parity").take(pa.array(o)).combine_chunks()
+        t["known"] = p.is_valid().to_numpy(zero_copy_only=False)
+        p = p.fill_null(bytes(BITMAP // 8))
+        t["parity"] = np.frombuffer(b"".join(p.to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+    h = t["h"]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if h.size else np.empty(0, np.int64)
-    return h, cls, n, pos, more, start, np.diff(np.append(start, h.size))
+    return t, start, np.diff(np.append(start, h.size))
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """The entries of a block's columns that have two or more."""
+    t, _, length = _columns(table)
+    long = np.repeat(length, length) >= 2
+    return pa.table({c: t[c][long] for c in ("h", "cls", "at")})
+
+
+def _may_link(t, i, j, num: int, den: int) -> np.ndarray:
+    """Whether sizes and parity bitmaps leave the entries' sets i and j room for a link."""
+    need = overlap_needed(t["n"][i], t["n"][j], num, den)
+    differ = np.bitwise_count(t["parity"][i] ^ t["parity"][j]).sum(axis=1, dtype=np.int64)
+    return ((need <= np.minimum(t["n"][i], t["n"][j])) & (t["cls"][i] != t["cls"][j])
+            & ((differ <= t["n"][i] + t["n"][j] - 2 * need) | ~t["known"][i] | ~t["known"][j]))
+
+
+def _room(t, i, j, num: int, den: int) -> np.ndarray:
+    """Whether the positions in the shared column leave room for the overlap that is needed."""
+    return np.minimum(t["n"][i] - t["pos"][i], t["n"][j] - t["pos"][j]) >= overlap_needed(t["n"][i], t["n"][j], num, den)
 
 
 def _star(num: int, den: int):
-    """Round 1: (column's smallest set, member) where sizes and positions allow a link, and
-    the entries of columns that this leaves open."""
+    """Round 1: pairs (column's smallest set, member) of class keys."""
     def run(table: pa.Table) -> pa.Table:
-        h, cls, n, pos, _, start, length = _columns(table)
-        first = np.repeat(start, length)
-        other = np.arange(h.size)
-        need = overlap_needed(n[first], n, num, den)
-        ok = (other != first) & (np.minimum(n[first] - pos[first], n - pos) >= need) & (cls[first] != cls)
-        a, b = cls[first][ok], cls[ok]
-        pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
-        m = pairs.num_rows
-        # a pair that its two-entry column does not allow is counted in round 2 if other columns bring it up
-        long = (np.repeat(length, length) >= 3) | ((np.repeat(length, length) == 2) & ~np.repeat(
-            np.logical_or.reduceat(ok, start) if start.size else ok, length))
-        k = int(long.sum())
-        return pa.table({
-            "a": pa.concat_arrays([pairs.column("a").combine_chunks(), pa.nulls(k, pa.int64())]) if m else pa.nulls(k, pa.int64()),
-            "b": pa.concat_arrays([pairs.column("b").combine_chunks(), pa.nulls(k, pa.int64())]) if m else pa.nulls(k, pa.int64()),
-            "h": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(h[long])]),
-            "cls": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(cls[long])]),
-            "at": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array((n[long] << 32) | pos[long])])})
+        t, start, length = _columns(table)
+        i, j = np.repeat(start, length), np.arange(t["h"].size)
+        ok = _room(t, i, j, num, den)
+        i, j = i[ok], j[ok]
+        ok = _may_link(t, i, j, num, den)
+        a, b = t["cls"][i[ok]], t["cls"][j[ok]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
     return run
 
 
@@ -148,7 +173,8 @@ def _product(num: int, den: int):
     """Round 2: overlap counts of the pairs of a block's columns whose members lie in
     different components; ``near`` tells that some shared column leaves room for a link."""
     def run(table: pa.Table) -> pa.Table:
-        _, cls, n, pos, comp, start, length = _columns(table, "comp")
+        t, start, length = _columns(table)
+        cls, n, comp = t["cls"], t["n"], t["comp"]
         parts = []
         for s, m in zip(start.tolist(), length.tolist()):
             if m < 2 or (comp[s:s + m] == comp[s]).all():
@@ -161,9 +187,11 @@ def _product(num: int, den: int):
                     j1 = min(j0 + TILE, s + m)
                     i, j = np.nonzero((comp[i0:i1, None] != comp[None, j0:j1]) & (n[i0:i1, None] * den >= num * n[None, j0:j1])
                                       & (np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None, :]))
+                    i, j = i + i0, j + j0
+                    ok = _may_link(t, i, j, num, den)
+                    i, j = i[ok], j[ok]
                     if i.size:
-                        i, j = i + i0, j + j0
-                        near = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= overlap_needed(n[i], n[j], num, den)
+                        near = _room(t, i, j, num, den)
                         flip = cls[i] > cls[j]
                         a, b = np.where(flip, j, i), np.where(flip, i, j)
                         parts.append(pa.table({"a": cls[a], "b": cls[b], "na": n[a], "nb": n[b],
@@ -255,8 +283,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
     first = materialize(base.mapInArrow(_profile(width, SKETCH_BITS),
-                                        f"doc_id {id_type}, n long, sig binary, seg int, counts binary"), "shingles")
-    rows = first.filter("seg is null").select("doc_id", "n", "sig")
+                                        f"doc_id {id_type}, n long, sig binary, parity binary, seg int, counts binary"), "shingles")
+    rows = first.filter("seg is null").select("doc_id", "n", "sig", "parity")
     counts = sketch_total(first.filter("seg is not null").select("seg", "counts"), SKETCH_BITS)
     level = spark.sparkContext.broadcast(np.minimum(255, np.floor(8 * np.log2(1.0 + counts))).astype(np.uint8))
 
@@ -268,19 +296,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     def blocked(df):
         return df.groupBy(F.pmod(F.col("h"), F.lit(blocks)).alias("block"))
 
-    round1 = materialize(blocked(entries).applyInArrow(_star(num, den), "a long, b long, h long, cls long, at long"), "round1")
-    tested = materialize(round1.filter("a is not null").select("a", "b").distinct(), "pairs")
+    # a key (8 bytes of the signature) that several classes share has no bitmap, so that none of its pairs is dropped
+    keys = (rows.filter("sig is not null").groupBy(_le_long(F.substring("sig", 1, 8)).alias("cls"))
+            .agg(F.min("sig").alias("x"), F.max("sig").alias("y"), F.min("parity").alias("parity"))
+            .select("cls", F.when(F.col("x") == F.col("y"), F.col("parity")).alias("parity")))
+    lists = materialize(blocked(entries).applyInArrow(_shared, "h long, cls long, at long").join(keys, "cls")
+                        .select("h", "cls", "at", "parity"), "columns")
+    tested = materialize(blocked(lists).applyInArrow(_star(num, den), "a long, b long").distinct(), "pairs")
     links = _verified(texts, tested, width, num, den)
     comps = materialize(components(links, "sa", "sb"), "components")
 
-    # several classes can share a key (8 bytes of the signature); their entries then count as apart
-    names = comps.select(F.substring("node", 1, 8).alias("k"), "root").groupBy("k").agg(
-        F.min("root").alias("root"))
-    shared = (rows.filter("sig is not null").groupBy(F.substring("sig", 1, 8).alias("k"))
-              .agg(F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y").select("k"))
-    names = names.join(shared, "k", "left_anti").select(_le_long("k").alias("cls"), F.xxhash64("root").alias("named"))
-    lists = round1.filter("h is not null").select("h", "cls", "at").join(names, "cls", "left").select(
-        "h", "cls", "at", F.coalesce("named", F.xxhash64(F.lit("alone"), "cls")).alias("comp"))
+    names = comps.select(_le_long(F.substring("node", 1, 8)).alias("cls"), F.xxhash64("root").alias("named")).groupBy("cls").agg(
+        F.min("named").alias("named"))
+    lists = lists.join(names, "cls", "left").select("h", "cls", "at", "parity", F.when(
+        F.col("named").isNull() | F.col("parity").isNull(), F.xxhash64(F.lit("alone"), "cls")).otherwise(F.col("named")).alias("comp"))
     pairs = (blocked(lists).applyInArrow(_product(num, den), "a long, b long, na long, nb long, c long, near long")
              .groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("near").alias("near")))
 
@@ -304,7 +333,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _le_long(col: str) -> F.Column:
+def _le_long(col) -> F.Column:
     """The long whose little-endian bytes are the 8 bytes of a binary column."""
     h = F.hex(col)
     big = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
