@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.components import components
-from textlab.llm.kernels import U64, Sketch, mix64, shingle_sets, signed, sketch_total, slices
+from textlab.llm.kernels import U64, Sketch, mix64, shingle_sets, signed, sketch_levels, slices
 from textlab.session import materialize, ship_package
 
-SKETCH_BITS = 21
+SKETCH_BITS = 23             # counters of shingles, for the order
+WANTED_BITS = 21             # counters of class keys that are candidates
 BLOCK_ENTRIES = 1 << 18
 BITMAP = 512                 # parity bits of a set
 TILE = 512
@@ -257,8 +258,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int
     a sketch of the wanted keys, of fixed size, keeps nearly all others from being shuffled."""
     spark = texts.sparkSession
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    has = spark.sparkContext.broadcast(sketch_total(wanted.mapInArrow(_key_sketch(SKETCH_BITS), "seg int, counts binary"), SKETCH_BITS) > 0)
-    sets = texts.mapInArrow(_wanted_sets(width, has, SKETCH_BITS), "cls long, sig binary, hashes binary")
+    has = spark.sparkContext.broadcast(sketch_levels(wanted.mapInArrow(_key_sketch(WANTED_BITS), "seg int, counts binary"), WANTED_BITS) > 0)
+    sets = texts.mapInArrow(_wanted_sets(width, has, WANTED_BITS), "cls long, sig binary, hashes binary")
     sets = materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["sig"]), "sets")
     a = sets.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("hashes").alias("xa"))
     b = sets.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("hashes").alias("xb"))
@@ -285,8 +286,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     first = materialize(base.mapInArrow(_profile(width, SKETCH_BITS),
                                         f"doc_id {id_type}, n long, sig binary, parity binary, seg int, counts binary"), "shingles")
     rows = first.filter("seg is null").select("doc_id", "n", "sig", "parity")
-    counts = sketch_total(first.filter("seg is not null").select("seg", "counts"), SKETCH_BITS)
-    level = spark.sparkContext.broadcast(np.minimum(255, np.floor(8 * np.log2(1.0 + counts))).astype(np.uint8))
+    level = spark.sparkContext.broadcast(sketch_levels(first.filter("seg is not null").select("seg", "counts"), SKETCH_BITS))
 
     texts = base.select("text")
     entries = texts.mapInArrow(_entries(width, level, SKETCH_BITS, num, den), "h long, cls long, at long")
@@ -320,8 +320,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     pairs = pairs.filter((F.col("near") == 1) & (F.col("c") + F.greatest(behind("na"), behind("nb")) >= need))
     pairs = materialize(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.head(1):
-        links = links.unionByName(_verified(texts, pairs, width, num, den))
-        comps = components(links, "sa", "sb")
+        comps = _joined(comps, _verified(texts, pairs, width, num, den))
 
     classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = classes.join(comps, classes["sig"] == comps["node"], "left").select(
@@ -333,6 +332,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, root) after more ``links`` (sa, sb): the components of the links between roots."""
+    a = comps.select(F.col("node").alias("sa"), F.col("root").alias("ra"))
+    b = comps.select(F.col("node").alias("sb"), F.col("root").alias("rb"))
+    between = links.join(a, "sa", "left").join(b, "sb", "left").select(
+        F.coalesce("ra", "sa").alias("ra"), F.coalesce("rb", "sb").alias("rb")).distinct()
+    higher = components(between, "ra", "rb").select(F.col("node").alias("low"), F.col("root").alias("high"))
+    old = comps.join(higher, comps["root"] == higher["low"], "left").select("node", F.coalesce("high", "root").alias("root"))
+    return materialize(old.unionByName(higher.select(F.col("low").alias("node"), F.col("high").alias("root"))).distinct(), "components")
+
+
 def _le_long(col) -> F.Column:
     """The long whose little-endian bytes are the 8 bytes of a binary column."""
     h = F.hex(col)

@@ -217,27 +217,26 @@ class Sketch:
             np.add.at(self.counts, (hashes >> U64(64 - self.bits)).astype(np.int64), np.uint32(1))
 
     def parts(self):
-        """(segment, bytes) of the segments that hold anything."""
+        """(segment, bytes) of the segments that hold anything; a task's counter stops at 255."""
         for i, part in enumerate(self.counts.reshape(SEGMENTS, -1)):
             if part.any():
-                yield i, part.astype("<u4").tobytes()
+                yield i, np.minimum(part, 255).astype(np.uint8).tobytes()
 
 
-def sketch_total(parts, bits: int) -> np.ndarray:
-    """Sum of the emitted segments (columns ``seg`` and ``counts``): an array of 2**bits
-    counters (saturating), whose size does not depend on the data."""
+def sketch_levels(parts, bits: int) -> np.ndarray:
+    """Sum of the emitted segments (columns ``seg`` and ``counts``) as 2**bits levels from 0 to 255:
+    twelve for a doubling of the count, 0 only for none. The size does not depend on the data."""
     def add(table: pa.Table) -> pa.Table:
         total = None
         for x in table.column("counts"):
-            v = np.frombuffer(x.as_py(), "<u4").astype(np.uint64)
+            v = np.frombuffer(x.as_py(), np.uint8).astype(np.int64)
             total = v if total is None else total + v
-        return pa.table({"seg": table.column("seg")[:1], "counts": pa.array(
-            [np.minimum(total, U64(0xFFFFFFFF)).astype("<u4").tobytes()], pa.binary())})
+        level = np.minimum(255, np.floor(12 * np.log2(1.0 + total))).astype(np.uint8)
+        return pa.table({"seg": table.column("seg")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
 
-    rows = parts.groupBy("seg").applyInArrow(add, "seg int, counts binary").collect()
-    out = np.zeros((SEGMENTS, (1 << bits) // SEGMENTS), np.uint32)
-    for r in rows:
-        out[r["seg"]] = np.frombuffer(bytes(r["counts"]), "<u4")
+    out = np.zeros((SEGMENTS, (1 << bits) // SEGMENTS), np.uint8)
+    for r in parts.groupBy("seg").applyInArrow(add, "seg int, levels binary").collect():
+        out[r["seg"]] = np.frombuffer(bytes(r["levels"]), np.uint8)
     return out.ravel()
 
 
