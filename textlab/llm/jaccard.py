@@ -39,6 +39,7 @@ WANTED_BITS = 21             # counters of class keys that are candidates
 BLOCK_ENTRIES = 1 << 18
 BITMAP = 512                 # parity bits of a set
 TILE = 512
+HELD_PAIRS = 1 << 20         # pairs that a task holds before it adds them up
 
 
 def overlap_needed(na, nb, num: int, den: int):
@@ -176,7 +177,7 @@ def _product(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         t, start, length = _columns(table)
         cls, n, comp = t["cls"], t["n"], t["comp"]
-        parts = []
+        parts, held = [], 0
         for s, m in zip(start.tolist(), length.tolist()):
             if m < 2 or (comp[s:s + m] == comp[s]).all():
                 continue
@@ -197,8 +198,9 @@ def _product(num: int, den: int):
                         a, b = np.where(flip, j, i), np.where(flip, i, j)
                         parts.append(pa.table({"a": cls[a], "b": cls[b], "na": n[a], "nb": n[b],
                                                "c": np.ones(i.size, np.int64), "near": near.astype(np.int64)}))
-            if len(parts) > 64:
-                parts = [_accumulate(parts)]
+                    held += i.size
+                    if held > HELD_PAIRS:
+                        parts, held = [_accumulate(parts)], 0
         if not parts:
             return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "na", "nb", "c", "near")})
         return _accumulate(parts).select(["a", "b", "na", "nb", "c", "near"])
@@ -293,24 +295,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     words_total = rows.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, int(words_total * (1 - num / den) * 1.2) // BLOCK_ENTRIES + 1)
 
-    def blocked(df):
+    def blocked(df, blocks):
         return df.groupBy(F.pmod(F.col("h"), F.lit(blocks)).alias("block"))
 
     # a key (8 bytes of the signature) that several classes share has no bitmap, so that none of its pairs is dropped
     keys = (rows.filter("sig is not null").groupBy(_le_long(F.substring("sig", 1, 8)).alias("cls"))
             .agg(F.min("sig").alias("x"), F.max("sig").alias("y"), F.min("parity").alias("parity"))
             .select("cls", F.when(F.col("x") == F.col("y"), F.col("parity")).alias("parity")))
-    lists = materialize(blocked(entries).applyInArrow(_shared, "h long, cls long, at long").join(keys, "cls")
+    lists = materialize(blocked(entries, blocks).applyInArrow(_shared, "h long, cls long, at long").join(keys, "cls")
                         .select("h", "cls", "at", "parity"), "columns")
-    tested = materialize(blocked(lists).applyInArrow(_star(num, den), "a long, b long").distinct(), "pairs")
+    tested = materialize(blocked(lists, blocks).applyInArrow(_star(num, den), "a long, b long").distinct(), "pairs")
     links = _verified(texts, tested, width, num, den)
     comps = materialize(components(links, "sa", "sb"), "components")
 
+    written = lists.count()
     names = comps.select(_le_long(F.substring("node", 1, 8)).alias("cls"), F.xxhash64("root").alias("named")).groupBy("cls").agg(
         F.min("named").alias("named"))
     lists = lists.join(names, "cls", "left").select("h", "cls", "at", "parity", F.when(
         F.col("named").isNull() | F.col("parity").isNull(), F.xxhash64(F.lit("alone"), "cls")).otherwise(F.col("named")).alias("comp"))
-    pairs = (blocked(lists).applyInArrow(_product(num, den), "a long, b long, na long, nb long, c long, near long")
+    # the columns that are left fill fewer blocks, in which the counts of a pair add up before they are sent
+    pairs = (blocked(lists, written // BLOCK_ENTRIES + 1).applyInArrow(_product(num, den), "a long, b long, na long, nb long, c long, near long")
              .groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("near").alias("near")))
 
     def behind(n):
