@@ -35,9 +35,14 @@ IMPACT_PATTERNS = {
     "published": r"PUBLISHED:",
     "curly_quotes": "[“”‘’]",
 }
-# ----------------------------------------------------------------------------
-
 _W = "[" + WS + "]"
+# Spaces around punctuation and runs of full stops.
+PUNCT_RULES = [
+    (_W + "+([.,;!?])", "$1"),
+    (r"\(" + _W + "+", "("),
+    (_W + r"+\)", ")"),
+    (r"\.{2,}", "."),
+]
 BYLINE_RE = r"(?d)^By" + _W + r"+\." + _W + r"+.*?\." + _W + "+"
 DATELINE_RE = (
     r"(?d)^(?:By" + _W + r"*\." + _W + r"*.*?\." + _W + r"*)?"
@@ -47,6 +52,7 @@ DATELINE_RE = (
 )
 WIRE_RE = r"\(CNN\)" + _W + "+--" + _W + "+"
 NON_ASCII_RE = r"[^\x00-\x7F]"
+# ----------------------------------------------------------------------------
 
 
 def _c(x) -> Column:
@@ -91,8 +97,8 @@ def ascii_fold(x) -> Column:
 
 
 def drop_disallowed(x) -> Column:
-    """T5: delete characters outside ASCII letters/digits/whitespace/punctuation."""
-    return F.regexp_replace(_c(x), "[^" + ALLOWED_ASCII + "]", "")
+    """T5: delete characters outside ASCII letters/digits/punctuation and (any) whitespace."""
+    return F.regexp_replace(_c(x), "[^" + ALLOWED_ASCII + WS + "]", "")
 
 
 def squeeze_ws(x) -> Column:
@@ -108,10 +114,10 @@ def squeeze_ws_unicode(x) -> Column:
 
 def fix_punct(x) -> Column:
     """No space before ``.,;!?`` or ``)``, none after ``(``, ``..+`` -> ``.``."""
-    y = F.regexp_replace(_c(x), r" +([.,;!?])", "$1")
-    y = F.regexp_replace(y, r"\( +", "(")
-    y = F.regexp_replace(y, r" +\)", ")")
-    return F.regexp_replace(y, r"\.{2,}", ".")
+    y = _c(x)
+    for pattern, replacement in PUNCT_RULES:
+        y = F.regexp_replace(y, pattern, replacement)
+    return y
 
 
 def straight_quotes(x) -> Column:

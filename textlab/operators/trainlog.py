@@ -43,16 +43,18 @@ def moving_avg(df: DataFrame, value_col: str, order_col: str = "step", run_cols=
     Expressed without a per-run window (a run may hold a large share of all
     rows): exact DECIMAL prefix sums S and row numbers i per run come from the
     two-phase prefix sum, and ``S(i - window)`` is fetched by an equi-join on
-    ``(run, i)``; the mean is ``(S(i) - S(i - window)) / min(i, window)``.
+    ``(run, i)``; the difference is divided by that of the running counts of
+    non-NULL values, so a NULL neither adds to the sum nor to the divisor.
     """
     runs = list(run_cols)
     d = df.withColumn("__x", F.col(value_col).cast("decimal(38,18)")).withColumn("__one", F.lit(1))
-    d = running_total(d, [*runs, order_col], ["__x", "__one"], group_cols=runs, out=["__S", "__i"])
-    lag = d.select(*runs, (F.col("__i") + window).alias("__i"), F.col("__S").alias("__S_lag"))
+    d = d.withColumn("__has", F.col(value_col).isNotNull().cast("int"))
+    d = running_total(d, [*runs, order_col], ["__x", "__one", "__has"], group_cols=runs, out=["__S", "__i", "__n"])
+    lag = d.select(*runs, (F.col("__i") + window).alias("__i"), F.col("__S").alias("__S_lag"), F.col("__n").alias("__n_lag"))
     j = d.join(lag, [*runs, "__i"], "left")
-    n = F.least(F.col("__i"), F.lit(window))
-    avg = ((F.col("__S") - F.coalesce(F.col("__S_lag"), F.lit(0))) / n).cast("double")
-    return j.withColumn(out, avg).drop("__x", "__one", "__S", "__i", "__S_lag")
+    n = F.col("__n") - F.coalesce(F.col("__n_lag"), F.lit(0))
+    avg = F.try_divide(F.col("__S") - F.coalesce(F.col("__S_lag"), F.lit(0)), n).cast("double")
+    return j.withColumn(out, avg).drop("__x", "__one", "__has", "__S", "__i", "__n", "__S_lag", "__n_lag")
 
 
 def position_in_run(df: DataFrame, order_col: str = "step", run_cols=("run",), out: str = "pos") -> DataFrame:

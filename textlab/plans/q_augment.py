@@ -244,7 +244,7 @@ def pos_shift(spark, sf_dir):
 
 
 # ---- G4: cosine of summed word vectors before vs after ------------------------
-TOKVEC = f"""SELECT l.token, e.embedding::DOUBLE[] AS vec FROM ({LEX}) l JOIN embeddings e ON e.vec_id = l.rank % 500"""
+TOKVEC = f"""SELECT l.token, e.embedding::DOUBLE[] AS vec FROM ({LEX}) l JOIN embeddings e ON e.vec_id = l.rank % (SELECT count(*) FROM embeddings)"""
 _SIM_ROWS = f"""WITH tr AS ({TOKROWS}), tv AS ({TOKVEC}),
 ph AS (SELECT doc_id, field, 'b' AS phase, token AS tok FROM tr UNION ALL SELECT doc_id, field, 'a', out_token FROM tr),
 v AS (SELECT ph.doc_id, ph.field, ph.phase, unnest(tv.vec) AS x, generate_subscripts(tv.vec, 1) AS dim

@@ -113,7 +113,7 @@ def _vectors(spark, sf_dir):
     return stage_table(spark, f"token_vectors:{sf_dir}", lambda: tables.token_vectors(spark, sf_dir))
 
 
-_TV = f"SELECT l.token, e.embedding::DOUBLE[] AS vec FROM ({QA.LEX}) l JOIN embeddings e ON e.vec_id = l.rank % 500"
+_TV = f"SELECT l.token, e.embedding::DOUBLE[] AS vec FROM ({QA.LEX}) l JOIN embeddings e ON e.vec_id = l.rank % (SELECT count(*) FROM embeddings)"
 _BERT = f"""WITH tv AS ({_TV}),
 pp AS (SELECT conv_id, turn, {_toks_sql('prediction')} AS pt, {_toks_sql('reference')} AS rt FROM ({PAIRS})),
 pv AS (SELECT conv_id, turn, i, tv.vec FROM (SELECT conv_id, turn, unnest(pt) AS tok, generate_subscripts(pt, 1) AS i FROM pp) x

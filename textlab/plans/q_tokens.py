@@ -286,7 +286,7 @@ def tokenize_splits(spark, sf_dir):
   CAST(floor(quantile_cont(token_highlight_len::DOUBLE, 0.99)) AS BIGINT) AS max_len,
   CAST(min(token_highlight_len) AS BIGINT) AS min_len,
   CAST(floor(max(token_article_len) / 1.1) AS BIGINT) AS input_len,
-  round(avg(token_article_len::DOUBLE), 6) AS mean_article, round(avg(token_highlight_len::DOUBLE), 6) AS mean_highlight,
+  CAST(trunc(avg(token_article_len::DOUBLE)) AS BIGINT) AS mean_article, CAST(trunc(avg(token_highlight_len::DOUBLE)) AS BIGINT) AS mean_highlight,
   CAST(count(*) AS BIGINT) AS n_samples FROM ({Q.filtered('word', WV)})""")
 def derive_seq_limits(spark, sf_dir):
     """decoder/encoder length limits derived from the token-length statistics row."""
@@ -299,8 +299,8 @@ def derive_seq_limits(spark, sf_dir):
     r = attach(m, q)
     return r.select(F.floor("q_0").cast("bigint").alias("max_len"), F.col("min_len").cast("bigint").alias("min_len"),
                     F.floor(F.col("max_art") / F.lit(1.1)).cast("bigint").alias("input_len"),
-                    F.round("mean_article", 6).alias("mean_article"),
-                    F.round("mean_highlight", 6).alias("mean_highlight"), "n_samples")
+                    F.col("mean_article").cast("bigint").alias("mean_article"),
+                    F.col("mean_highlight").cast("bigint").alias("mean_highlight"), "n_samples")
 
 
 @register("filter_long_sentences", f"""SELECT doc_id FROM ({S.CLEANED_PAIRS})

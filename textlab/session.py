@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    n = shuffle_partitions or int(os.environ.get("TEXTLAB_SHUFFLE_PARTITIONS", "8"))
+    n = shuffle_partitions or os.environ.get("TEXTLAB_SHUFFLE_PARTITIONS") or (8 if (master or "").startswith("local") else None)
+    if n:       # else the cluster's own value holds
+        builder = builder.config("spark.sql.shuffle.partitions", str(n))
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -42,13 +44,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; a private scratch
-    directory is created only when it is unset (local runs and tests).
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a
+    run in one process (local mode, tests) gets a private scratch directory;
+    a cluster gets an error, as its executors do not share such a directory.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="textlab-ckpt-")
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        d = _SCRATCH.setdefault(sc.applicationId, None) or tempfile.mkdtemp(prefix="textlab-ckpt-")
+        _SCRATCH[sc.applicationId] = d
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
@@ -70,6 +76,7 @@ def materialize(df, name: str = "t"):
 
 
 _WRITTEN: dict = {}
+_SCRATCH: dict = {}
 
 
 def drop_written_tables(spark) -> int:

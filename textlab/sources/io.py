@@ -56,15 +56,22 @@ def write_describe_csv(stats: DataFrame, path: str) -> None:
     stats.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: What Spark says of a path that is not there, and of a file that is not Parquet.
+UNREADABLE = ("PATH_NOT_FOUND", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
+
+
 def append_token_count(spark: SparkSession, path: str, tokenizer: str, token_count: int,
                        run_ts: _dt.datetime | None = None) -> None:
-    """Append a labelled token-count record; an unreadable existing table is replaced."""
+    """Append a labelled token-count record. A missing table is started, a corrupt one replaced; any
+    other failure to read it is raised, so that a short storage error does not cost the history."""
     ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     row = spark.createDataFrame([(tokenizer, ts, int(token_count))], TOKEN_COUNT_SCHEMA)
     mode = "append"
     try:
         spark.read.schema(TOKEN_COUNT_SCHEMA).parquet(path).limit(1).collect()
-    except Exception:  # missing or corrupt: start empty
+    except Exception as e:
+        if not any(x in str(e) for x in UNREADABLE):
+            raise
         mode = "overwrite"
     row.write.mode(mode).parquet(path)
 

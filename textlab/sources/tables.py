@@ -20,7 +20,6 @@ LEXICON_SIZE = 2000
 POS_BY_LEN_MOD6 = {0: "VERB", 1: "ADJ", 2: "ADV", 3: "DET"}  # others: NOUN
 DEFAULT_POS = "NOUN"
 PUNCT_POS = "PUNCT"
-EMBEDDING_ROWS = 500
 # ----------------------------------------------------------------------------
 
 
@@ -129,11 +128,12 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(token, vec ARRAY<DOUBLE>)``: lexicon entry of rank r -> ``embeddings.vec_id = r % 500``.
+    """``(token, vec ARRAY<DOUBLE>)``: lexicon entry of rank r -> ``embeddings.vec_id`` = r modulo the rows of the table.
 
     The lexicon side is bounded by ``LEXICON_SIZE`` rows and is the broadcast side.
     """
-    lex = lexicon(spark, sf_dir).select("token", (F.col("rank") % EMBEDDING_ROWS).alias("vec_id"))
+    rows = max(1, load(spark, sf_dir, "embeddings").count())
+    lex = lexicon(spark, sf_dir).select("token", (F.col("rank") % rows).alias("vec_id"))
     emb = load(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
     return emb.join(F.broadcast(lex), "vec_id").select("token", "vec")
