@@ -24,6 +24,7 @@ need no test, as the result is the components.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.components import components
-from textlab.llm.kernels import U64, Sketch, mix64, shingle_sets, signed, sketch_levels, slices
-from textlab.session import materialize, ship_package
+from textlab.llm.kernels import U64, Sketch, mix64, shingle_sets, signed, sketch_levels, slices, tidy
+from textlab.session import conf_override, materialize, ship_package
 
 SKETCH_BITS = 23             # counters of shingles, for the order
 WANTED_BITS = 21             # counters of class keys that are candidates
 BLOCK_ENTRIES = 1 << 18
 BITMAP = 512                 # parity bits of a set
-TILE = 512
-HELD_PAIRS = 1 << 20         # pairs that a task holds before it adds them up
+TILE = 256
+HELD_PAIRS = 1 << 19         # pairs that a task holds before it adds them up, and sends the sums if there are many
+BATCH_ROWS = 1000            # rows of an Arrow batch, as a text or a set may be long
 
 
 def overlap_needed(na, nb, num: int, den: int):
@@ -129,10 +131,10 @@ def _columns(table: pa.Table):
         if c in table.column_names:
             t[c] = table.column(c).to_numpy()[o]
     if "parity" in table.column_names:
-        p = table.column("parity").take(pa.array(o)).combine_chunks()
-        t["known"] = p.is_valid().to_numpy(zero_copy_only=False)
-        p = p.fill_null(bytes(BITMAP // 8))
-        t["parity"] = np.frombuffer(b"".join(p.to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+        p = table.column("parity").combine_chunks()
+        t["known"] = p.is_valid().to_numpy(zero_copy_only=False)[o]
+        p = p.fill_null(bytes(BITMAP // 8)).cast(pa.binary(BITMAP // 8))
+        t["parity"] = np.frombuffer(p.buffers()[1], np.uint64).reshape(-1, BITMAP // 64)[p.offset:p.offset + len(p)][o]
     h = t["h"]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if h.size else np.empty(0, np.int64)
     return t, start, np.diff(np.append(start, h.size))
@@ -173,9 +175,10 @@ def _star(num: int, den: int):
 
 def _product(num: int, den: int):
     """Round 2: overlap counts of the pairs of a block's columns whose members lie in
-    different components; ``near`` tells that some shared column leaves room for a link."""
-    def run(table: pa.Table) -> pa.Table:
-        t, start, length = _columns(table)
+    different components; ``near`` tells that some shared column leaves room for a link. A pair's
+    count may come in several parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, start, length = _columns(pa.Table.from_batches(list(batches)))
         cls, n, comp = t["cls"], t["n"], t["comp"]
         parts, held = [], 0
         for s, m in zip(start.tolist(), length.tolist()):
@@ -200,16 +203,19 @@ def _product(num: int, den: int):
                                                "c": np.ones(i.size, np.int64), "near": near.astype(np.int64)}))
                     held += i.size
                     if held > HELD_PAIRS:
-                        parts, held = [_accumulate(parts)], 0
-        if not parts:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "na", "nb", "c", "near")})
-        return _accumulate(parts).select(["a", "b", "na", "nb", "c", "near"])
-    return run
+                        sums = _accumulate(parts)
+                        if sums.num_rows > HELD_PAIRS // 2:
+                            yield from sums.to_batches()
+                            sums = sums.slice(0, 0)
+                        parts, held = [sums], sums.num_rows
+        if parts:
+            yield from _accumulate(parts).to_batches()
+    return tidy(run)
 
 
 def _accumulate(parts) -> pa.Table:
     t = pa.concat_tables(parts).group_by(["a", "b", "na", "nb"]).aggregate([("c", "sum"), ("near", "max")])
-    return t.rename_columns([x.removesuffix("_sum").removesuffix("_max") for x in t.column_names])
+    return t.rename_columns([x.removesuffix("_sum").removesuffix("_max") for x in t.column_names]).select(["a", "b", "na", "nb", "c", "near"])
 
 
 def _wanted_sets(width: int, wanted, bits: int):
@@ -260,13 +266,13 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int
     a sketch of the wanted keys, of fixed size, keeps nearly all others from being shuffled."""
     spark = texts.sparkSession
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    has = spark.sparkContext.broadcast(sketch_levels(wanted.mapInArrow(_key_sketch(WANTED_BITS), "seg int, counts binary"), WANTED_BITS) > 0)
-    sets = texts.mapInArrow(_wanted_sets(width, has, WANTED_BITS), "cls long, sig binary, hashes binary")
+    has = spark.sparkContext.broadcast(sketch_levels(wanted.mapInArrow(tidy(_key_sketch(WANTED_BITS)), "seg int, counts binary"), WANTED_BITS) > 0)
+    sets = texts.mapInArrow(tidy(_wanted_sets(width, has, WANTED_BITS)), "cls long, sig binary, hashes binary")
     sets = materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["sig"]), "sets")
     a = sets.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("hashes").alias("xa"))
     b = sets.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("hashes").alias("xb"))
     return materialize(pairs.select("a", "b").join(a, "a").join(b, "b").select("sa", "sb", "xa", "xb")
-                       .mapInArrow(_linked(num, den), "sa binary, sb binary"), "links")
+                       .mapInArrow(tidy(_linked(num, den)), "sa binary, sb binary"), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5),
@@ -280,18 +286,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     with nothing and is its own component. Repeated rows and equal texts are one class. Null ids stay
     null unless another id is in the component. An empty table gives an empty result.
     """
+    ship_package(docs.sparkSession)
+    with conf_override(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
+        return _components(docs, width, *threshold, id_col, text_col)
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    ship_package(spark)
-    num, den = threshold
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
-    first = materialize(base.mapInArrow(_profile(width, SKETCH_BITS),
+    first = materialize(base.mapInArrow(tidy(_profile(width, SKETCH_BITS)),
                                         f"doc_id {id_type}, n long, sig binary, parity binary, seg int, counts binary"), "shingles")
     rows = first.filter("seg is null").select("doc_id", "n", "sig", "parity")
     level = spark.sparkContext.broadcast(sketch_levels(first.filter("seg is not null").select("seg", "counts"), SKETCH_BITS))
 
     texts = base.select("text")
-    entries = texts.mapInArrow(_entries(width, level, SKETCH_BITS, num, den), "h long, cls long, at long")
+    entries = texts.mapInArrow(tidy(_entries(width, level, SKETCH_BITS, num, den)), "h long, cls long, at long")
     words_total = rows.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, int(words_total * (1 - num / den) * 1.2) // BLOCK_ENTRIES + 1)
 

@@ -8,11 +8,12 @@ whatever the lengths of the texts.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 U64 = np.uint64
 _M64 = (1 << 64) - 1
@@ -210,11 +211,7 @@ class Sketch:
         self.bits, self.counts = bits, np.zeros(1 << bits, np.uint32)
 
     def add(self, hashes: np.ndarray) -> None:
-        if hashes.size > 1 << 16:
-            self.counts += np.bincount((hashes >> U64(64 - self.bits)).astype(np.int64),
-                                       minlength=1 << self.bits).astype(np.uint32)
-        else:
-            np.add.at(self.counts, (hashes >> U64(64 - self.bits)).astype(np.int64), np.uint32(1))
+        np.add.at(self.counts, (hashes >> U64(64 - self.bits)).astype(np.int64), np.uint32(1))
 
     def parts(self):
         """(segment, bytes) of the segments that hold anything; a task's counter stops at 255."""
@@ -226,13 +223,14 @@ class Sketch:
 def sketch_levels(parts, bits: int) -> np.ndarray:
     """Sum of the emitted segments (columns ``seg`` and ``counts``) as 2**bits levels from 0 to 255:
     twelve for a doubling of the count, 0 only for none. The size does not depend on the data."""
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for x in table.column("counts"):
-            v = np.frombuffer(x.as_py(), np.uint8).astype(np.int64)
-            total = v if total is None else total + v
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg, total = None, np.zeros((1 << bits) // SEGMENTS, np.int64)
+        for b in batches:
+            seg = b.column("seg")[:1]
+            for x in b.column("counts"):
+                total += np.frombuffer(x.as_buffer(), np.uint8)
         level = np.minimum(255, np.floor(12 * np.log2(1.0 + total))).astype(np.uint8)
-        return pa.table({"seg": table.column("seg")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+        yield pa.record_batch({"seg": seg, "levels": pa.array([level.tobytes()], pa.binary())})
 
     out = np.zeros((SEGMENTS, (1 << bits) // SEGMENTS), np.uint8)
     for r in parts.groupBy("seg").applyInArrow(add, "seg int, levels binary").collect():
@@ -247,3 +245,15 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 def binaries(rows) -> pa.Array:
     return pa.array(list(rows), pa.binary())
+
+
+def tidy(fn):
+    """``fn`` (batches -> batches), giving Arrow's unused memory back to the system after every batch,
+    so that a worker between two tasks holds none of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in fn(batches):
+            yield b
+            del b
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+    return run
