@@ -9,7 +9,8 @@ the same links, a good one gives short columns.
 Columns are dealt to blocks by hash. The product is formed in two rounds, so that a group of
 near copies does not emit all its pairs:
 
-* round 1 pairs every member of a column with the column's smallest set, and verifies these pairs;
+* round 1 deals the members of a column to stars, whose centres are the smallest sets that no earlier
+  star took, and verifies the pairs of centre and member;
 * round 2 accumulates the overlap counts of the pairs that share a column and that round 1 has
   left in different components, and drops the pairs whose count, plus all that lies behind
   both prefixes, cannot reach the overlap that their sizes ask for. The others are verified.
@@ -161,14 +162,29 @@ def _room(t, i, j, num: int, den: int) -> np.ndarray:
 
 
 def _star(num: int, den: int):
-    """Round 1: pairs (column's smallest set, member) of class keys."""
+    """Round 1: pairs (centre, member) of class keys. A column's smallest set is its first centre and takes
+    the members that may link with it; the smallest of those left is the next one, and so on.
+    A member is taken once, so a column of m sets gives fewer than m pairs however many groups it holds."""
     def run(table: pa.Table) -> pa.Table:
         t, start, length = _columns(table)
         i, j = np.repeat(start, length), np.arange(t["h"].size)
-        ok = _room(t, i, j, num, den)
-        i, j = i[ok], j[ok]
-        ok = _may_link(t, i, j, num, den)
-        a, b = t["cls"][i[ok]], t["cls"][j[ok]]
+        ok = (i != j) & _room(t, i, j, num, den)
+        ok[ok] = _may_link(t, i[ok], j[ok], num, den)
+        pairs = [(i[ok], j[ok])]
+        left = ~ok
+        left[start] = False
+        many = np.add.reduceat(left, start, dtype=np.int64) >= 2 if start.size else left
+        for s, m in zip(start[many].tolist(), length[many].tolist()):
+            rest = s + np.flatnonzero(left[s:s + m])
+            while rest.size >= 2:
+                c, rest = rest[0], rest[1:]
+                near = rest[:np.searchsorted(t["n"][rest], t["n"][c] * den // num, side="right")]
+                taken = _room(t, c, near, num, den) & _may_link(t, c, near, num, den)
+                if taken.any():
+                    pairs.append((np.full(int(taken.sum()), c), near[taken]))
+                    rest = rest[np.append(~taken, np.ones(rest.size - near.size, bool))]
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        a, b = t["cls"][i], t["cls"][j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
     return run
 
