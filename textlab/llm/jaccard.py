@@ -11,6 +11,7 @@ near copies does not emit all its pairs:
 
 * round 1 deals the members of a column to stars, whose centres are the smallest sets that no earlier
   star took, and verifies the pairs of centre and member;
+* the same once more between the components that this gives, as one centre may not reach a whole group;
 * round 2 accumulates the overlap counts of the pairs that share a column and that round 1 has
   left in different components, and drops the pairs whose count, plus all that lies behind
   both prefixes, cannot reach the overlap that their sizes ask for. The others are verified.
@@ -164,22 +165,27 @@ def _room(t, i, j, num: int, den: int) -> np.ndarray:
 def _star(num: int, den: int):
     """Round 1: pairs (centre, member) of class keys. A column's smallest set is its first centre and takes
     the members that may link with it; the smallest of those left is the next one, and so on.
-    A member is taken once, so a column of m sets gives fewer than m pairs however many groups it holds."""
+    A member is taken once, so a column of m sets gives fewer than m pairs however many groups it holds.
+    Where components are known (column ``comp``), only pairs between two of them count."""
     def run(table: pa.Table) -> pa.Table:
         t, start, length = _columns(table)
         i, j = np.repeat(start, length), np.arange(t["h"].size)
-        ok = (i != j) & _room(t, i, j, num, den)
+        comp = t.get("comp", t["cls"])
+        ok = (comp[i] != comp[j]) & _room(t, i, j, num, den)
         ok[ok] = _may_link(t, i[ok], j[ok], num, den)
         pairs = [(i[ok], j[ok])]
         left = ~ok
         left[start] = False
         many = np.add.reduceat(left, start, dtype=np.int64) >= 2 if start.size else left
+        if "comp" in t and start.size:
+            many &= np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
         for s, m in zip(start[many].tolist(), length[many].tolist()):
             rest = s + np.flatnonzero(left[s:s + m])
             while rest.size >= 2:
                 c, rest = rest[0], rest[1:]
                 near = rest[:np.searchsorted(t["n"][rest], t["n"][c] * den // num, side="right")]
-                taken = _room(t, c, near, num, den) & _may_link(t, c, near, num, den)
+                taken = (comp[near] != comp[c]) & _room(t, c, near, num, den)
+                taken[taken] = _may_link(t, c, near[taken], num, den)
                 if taken.any():
                     pairs.append((np.full(int(taken.sum()), c), near[taken]))
                     rest = rest[np.append(~taken, np.ones(rest.size - near.size, bool))]
@@ -333,14 +339,14 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
     tested = materialize(blocked(lists, blocks).applyInArrow(_star(num, den), "a long, b long").distinct(), "pairs")
     links = _verified(texts, tested, width, num, den)
     comps = materialize(components(links, "sa", "sb"), "components")
-
-    written = lists.count()
-    names = comps.select(_le_long(F.substring("node", 1, 8)).alias("cls"), F.xxhash64("root").alias("named")).groupBy("cls").agg(
-        F.min("named").alias("named"))
-    lists = lists.join(names, "cls", "left").select("h", "cls", "at", "parity", F.when(
-        F.col("named").isNull() | F.col("parity").isNull(), F.xxhash64(F.lit("alone"), "cls")).otherwise(F.col("named")).alias("comp"))
     # the columns that are left fill fewer blocks, in which the counts of a pair add up before they are sent
-    pairs = (blocked(lists, written // BLOCK_ENTRIES + 1).applyInArrow(_product(num, den), "a long, b long, na long, nb long, c long, near long")
+    blocks = lists.count() // BLOCK_ENTRIES + 1
+    again = materialize(blocked(_named(lists, comps), blocks).applyInArrow(_star(num, den), "a long, b long").distinct()
+                        .join(tested, ["a", "b"], "left_anti"), "pairs")
+    if again.head(1):
+        comps = _joined(comps, _verified(texts, again, width, num, den))
+        tested = tested.unionByName(again)
+    pairs = (blocked(_named(lists, comps), blocks).applyInArrow(_product(num, den), "a long, b long, na long, nb long, c long, near long")
              .groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("near").alias("near")))
 
     def behind(n):
@@ -362,6 +368,14 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _named(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Matrix entries with the component of their class; a key that several classes share is alone."""
+    names = comps.select(_le_long(F.substring("node", 1, 8)).alias("cls"), F.xxhash64("root").alias("named")).groupBy("cls").agg(
+        F.min("named").alias("named"))
+    return lists.join(names, "cls", "left").select("h", "cls", "at", "parity", F.when(
+        F.col("named").isNull() | F.col("parity").isNull(), F.xxhash64(F.lit("alone"), "cls")).otherwise(F.col("named")).alias("comp"))
+
+
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """``comps`` (node, root) after more ``links`` (sa, sb): the components of the links between roots."""
     a = comps.select(F.col("node").alias("sa"), F.col("root").alias("ra"))
