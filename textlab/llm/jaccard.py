@@ -11,7 +11,8 @@ near copies does not emit all its pairs:
 
 * round 1 deals the members of a column to stars, whose centres are the smallest sets that no earlier
   star took, and verifies the pairs of centre and member;
-* the same once more between the components that this gives, as one centre may not reach a whole group;
+* as one centre may not reach a whole group, every member of a column is then paired with the few of other
+  components whose bitmaps are nearest;
 * round 2 accumulates the overlap counts of the pairs that share a column and that round 1 has
   left in different components, and drops the pairs whose count, plus all that lies behind
   both prefixes, cannot reach the overlap that their sizes ask for. The others are verified.
@@ -42,6 +43,7 @@ WANTED_BITS = 21             # counters of class keys that are candidates
 BLOCK_ENTRIES = 1 << 18
 BITMAP = 512                 # parity bits of a set
 TILE = 256
+BRIDGES = 4                  # pairs of a member of a column between the rounds
 HELD_PAIRS = 1 << 19         # pairs that a task holds before it adds them up, and sends the sums if there are many
 BATCH_ROWS = 1000            # rows of an Arrow batch, as a text or a set may be long
 
@@ -165,33 +167,65 @@ def _room(t, i, j, num: int, den: int) -> np.ndarray:
 def _star(num: int, den: int):
     """Round 1: pairs (centre, member) of class keys. A column's smallest set is its first centre and takes
     the members that may link with it; the smallest of those left is the next one, and so on.
-    A member is taken once, so a column of m sets gives fewer than m pairs however many groups it holds.
-    Where components are known (column ``comp``), only pairs between two of them count."""
+    A member is taken once, so a column of m sets gives fewer than m pairs however many groups it holds."""
     def run(table: pa.Table) -> pa.Table:
         t, start, length = _columns(table)
         i, j = np.repeat(start, length), np.arange(t["h"].size)
-        comp = t.get("comp", t["cls"])
-        ok = (comp[i] != comp[j]) & _room(t, i, j, num, den)
+        ok = (i != j) & _room(t, i, j, num, den)
         ok[ok] = _may_link(t, i[ok], j[ok], num, den)
         pairs = [(i[ok], j[ok])]
         left = ~ok
         left[start] = False
         many = np.add.reduceat(left, start, dtype=np.int64) >= 2 if start.size else left
-        if "comp" in t and start.size:
-            many &= np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
         for s, m in zip(start[many].tolist(), length[many].tolist()):
             rest = s + np.flatnonzero(left[s:s + m])
             while rest.size >= 2:
                 c, rest = rest[0], rest[1:]
                 near = rest[:np.searchsorted(t["n"][rest], t["n"][c] * den // num, side="right")]
-                taken = (comp[near] != comp[c]) & _room(t, c, near, num, den)
+                taken = _room(t, c, near, num, den)
                 taken[taken] = _may_link(t, c, near[taken], num, den)
                 if taken.any():
                     pairs.append((np.full(int(taken.sum()), c), near[taken]))
                     rest = rest[np.append(~taken, np.ones(rest.size - near.size, bool))]
-        i, j = (np.concatenate(x) for x in zip(*pairs))
-        a, b = t["cls"][i], t["cls"][j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+        return _pairs(t, pairs)
+    return run
+
+
+def _pairs(t, pairs) -> pa.Table:
+    """Distinct pairs of class keys, the smaller first, of the entries (i, j)."""
+    i, j = (np.concatenate(x) for x in zip(*pairs))
+    a, b = t["cls"][i], t["cls"][j]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+
+
+def _bridges(num: int, den: int):
+    """Between the rounds: of every member of a column, the pairs with the BRIDGES members of other components
+    that may link with it and whose bitmaps are nearest."""
+    def run(table: pa.Table) -> pa.Table:
+        t, start, length = _columns(table)
+        comp, n = t["comp"], t["n"]
+        pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        mixed = length >= 2
+        if start.size:
+            mixed &= np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        two = start[mixed & (length == 2)]
+        two = two[_room(t, two, two + 1, num, den)]
+        two = two[_may_link(t, two, two + 1, num, den)]
+        pairs.append((two, two + 1))
+        for s, m in zip(start[mixed & (length > 2)].tolist(), length[mixed & (length > 2)].tolist()):
+            size = n[s:s + m]
+            first = s + np.searchsorted(size, -(-size * num // den), side="left")
+            last = s + np.searchsorted(size, size * den // num, side="right")
+            for c in range(s, s + m):
+                near = first[c - s] + np.flatnonzero(comp[first[c - s]:last[c - s]] != comp[c])
+                near = near[_room(t, c, near, num, den)]
+                near = near[_may_link(t, c, near, num, den)]
+                if near.size > BRIDGES:
+                    differ = np.bitwise_count(t["parity"][near] ^ t["parity"][c]).sum(axis=1, dtype=np.int64)
+                    near = near[np.argpartition(differ, BRIDGES)[:BRIDGES]]
+                if near.size:
+                    pairs.append((np.full(near.size, c), near))
+        return _pairs(t, pairs)
     return run
 
 
@@ -341,7 +375,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
     comps = materialize(components(links, "sa", "sb"), "components")
     # the columns that are left fill fewer blocks, in which the counts of a pair add up before they are sent
     blocks = lists.count() // BLOCK_ENTRIES + 1
-    again = materialize(blocked(_named(lists, comps), blocks).applyInArrow(_star(num, den), "a long, b long").distinct()
+    again = materialize(blocked(_named(lists, comps), blocks).applyInArrow(_bridges(num, den), "a long, b long").distinct()
                         .join(tested, ["a", "b"], "left_anti"), "pairs")
     if again.head(1):
         comps = _joined(comps, _verified(texts, again, width, num, den))
