@@ -40,12 +40,12 @@ from textlab.session import conf_override, materialize, ship_package
 
 SKETCH_BITS = 23             # counters of shingles, for the order
 WANTED_BITS = 21             # counters of class keys that are candidates
-BLOCK_ENTRIES = 1 << 18
+BLOCK_ENTRIES = 1 << 16
 BITMAP = 512                 # parity bits of a set
 TILE = 256
 BRIDGES = 4                  # pairs of a member of a column between the rounds
 HELD_PAIRS = 1 << 19         # pairs that a task holds before it adds them up, and sends the sums if there are many
-BATCH_ROWS = 1000            # rows of an Arrow batch, as a text or a set may be long
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20      # of an Arrow batch, as a text or a set may be long
 
 
 def overlap_needed(na, nb, num: int, den: int):
@@ -343,7 +343,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     null unless another id is in the component. An empty table gives an empty result.
     """
     ship_package(docs.sparkSession)
-    with conf_override(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
+    with conf_override(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+                                           "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
         return _components(docs, width, *threshold, id_col, text_col)
 
 
