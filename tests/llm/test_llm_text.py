@@ -200,3 +200,21 @@ def test_line_dedup(docs, empty, spark):
     assert got[50] == (None, 0, 0) and got[51] == ("", 1, 0) and got[52] == ("", 1, 1)
     assert got[53] == (rows[-1][1], 1, 0)
     assert drop_recurring_lines(empty).collect() == [] and drop_recurring_lines(docs).count() == len(ROWS)
+
+
+@pytest.mark.parametrize("n", [2, 3, 9])
+def test_line_dedup_drops_a_constant_passage(spark, n):
+    """A passage of 60 words, 3 of them numbers, in few texts; a short line goes at ten texts only."""
+    passage = " ".join(f"word{'abc'[i % 3] * (i // 3 + 1)}" if i % 20 else str(i) for i in range(60))
+    rows = [(i, f"only here stands number {'x' * (i + 1)} of all\n{' ' * (i % 2)}{passage}\nRead more\n") for i in range(n)]
+    rows += [(20 + i, f"{'y' * (i + 1)} is nothing else than this\nSee also") for i in range(10)] + [(40, passage + " more"), (41, None)]
+    # the same text twice is one text: its lines do not recur
+    rows += [(50, "a line of two equal texts"), (51, "a line of two equal texts")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in drop_recurring_lines(
+        spark.createDataFrame(rows, "doc_id long, text string"), same_docs=2).collect()}
+    for i, t in rows[:n]:
+        assert got[i] == (t.split("\n")[0] + "\nRead more\n", 4, 1)
+    for i, t in rows[n:n + 10]:
+        assert got[i] == (t.split("\n")[0], 2, 1)
+    assert got[40] == (rows[n + 10][1], 1, 0) and got[41] == (None, 0, 0)
+    assert got[50] == got[51] == ("a line of two equal texts", 1, 0)

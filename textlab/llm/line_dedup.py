@@ -5,6 +5,9 @@ as variable) to a leaf. In a leaf, a token that stands at its position in the li
 ``min_docs`` documents is a variable field. What remains is the line's template; templates that
 recur across documents are boilerplate, and their lines are dropped. DataFrame functions only.
 
+A line whose whole text recurs unchanged needs no template: with ``same_docs`` it is dropped as soon as
+it stands in that many texts, by a count of line fingerprints (64-bit hash and length).
+
 Only lines of leaves that enough documents reach are looked at token by token. Documents with the same
 text count once, so that copies of a document (which exact deduplication removes) do not empty it.
 """
@@ -25,11 +28,27 @@ def _generalised(token) -> F.Column:
     return F.when(token.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(token)
 
 
+def _same_lines(base: DataFrame, key: F.Column, min_tokens: int, min_docs: int, same_docs: int) -> DataFrame:
+    """``(key, pos)`` of the lines that stand unchanged in enough different texts."""
+    bound = F.when(F.size(F.split("line", SPACE)) >= min_tokens, F.lit(same_docs)).otherwise(F.lit(min_docs))
+    lines = materialize(
+        base.filter("text is not null").select(key.alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("key", "pos", F.trim(F.col("line"), F.lit(BLANKS)).alias("line")).filter("line <> ''")
+        .select("key", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("len"), bound.alias("bound")), "same")
+    often = (lines.select("h", "len", "bound", "key").distinct().groupBy("h", "len", "bound").count()
+             .filter(F.col("count") >= F.col("bound")).select("h", "len"))
+    return lines.join(materialize(often, "often"), ["h", "len"], "left_semi").select("key", "pos")
+
+
 def drop_recurring_lines(docs: DataFrame, lead: int = 3, min_tokens: int = 3, min_docs: int = 10, fixed: float = 0.6,
-                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                         same_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts without the lines whose template recurs in ``min_docs`` different texts or more.
 
     A template needs at least ``min_tokens`` tokens and a share of ``fixed`` that are no variable fields.
+    With ``same_docs``, lines of at least ``min_tokens`` tokens are also dropped where the same line (but
+    for blanks around it) stands in ``same_docs`` different texts or more, and shorter ones, blank ones
+    excepted, where it stands in ``min_docs``. All their copies go, so near copies of whole documents
+    should be removed before.
     Returns one row per input row: ``doc_id``, ``text`` (the other lines, unchanged and in order),
     ``n_lines``, ``n_dropped``. A null text stays null with 0 lines; an empty one has one empty line,
     which stays. Repeated rows are treated alike. Lines and texts of any length are read whole. An
@@ -60,8 +79,10 @@ def drop_recurring_lines(docs: DataFrame, lead: int = 3, min_tokens: int = 3, mi
     hits = materialize(cand.join(named, ["leaf", "line"]).select("template", "key", "pos"), "hits")
     recurring = hits.select("template", "key").distinct().groupBy("template").count().filter(
         F.col("count") >= min_docs).select("template")
-    drops = (hits.join(recurring, "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("drop"))
-             .withColumnRenamed("key", "drop_key"))
+    gone = hits.join(recurring, "template", "left_semi").select("key", "pos")
+    if same_docs is not None:
+        gone = gone.unionByName(_same_lines(base, key, min_tokens, min_docs, same_docs))
+    drops = gone.groupBy("key").agg(F.collect_set("pos").alias("drop")).withColumnRenamed("key", "drop_key")
     joined = base.withColumn("key", F.when(F.col("text").isNotNull(), key)).join(drops, F.col("key") == F.col("drop_key"), "left")
     every = F.split("text", "\n")
     kept = F.filter(every, lambda _, i: ~F.array_contains(F.col("drop"), i))

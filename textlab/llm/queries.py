@@ -197,6 +197,23 @@ def op6_line_dedup(spark, sf_dir):
     return drop_recurring_lines(table(spark, sf_dir, "documents"))
 
 
+_LINE_DEDUP, _LINES_OUT = ORACLE["op6_line_dedup"].split("drops AS ")
+
+
+@query("op6_line_dedup_same", sql=_LINE_DEDUP + r"""
+same AS (
+    SELECT line, len(string_split_regex(line, '[\x20\x09-\x0D]+')) AS n_tokens FROM l WHERE line <> ''
+    GROUP BY line HAVING count(DISTINCT text) >= CASE WHEN n_tokens >= 3 THEN 2 ELSE 10 END),
+every_hit AS (
+    SELECT text, pos FROM hits SEMI JOIN rec USING (leaf, template)
+    UNION SELECT text, pos FROM l SEMI JOIN same USING (line)),
+drops AS (SELECT text, list(pos) AS gone FROM every_hit GROUP BY text)
+""" + _LINES_OUT[_LINES_OUT.index("SELECT doc_id"):])
+def op6_line_dedup_same(spark, sf_dir):
+    """Operator 6 over all documents, dropping also the lines that stand unchanged in two texts or more."""
+    return drop_recurring_lines(table(spark, sf_dir, "documents"), same_docs=2)
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark, sf_dir):
     """Operator 7 over all documents."""
