@@ -104,3 +104,16 @@ def test_unigram_em_does_not_lower_likelihood(spark):
     for (n1, l1), (n2, l2) in zip(hist, hist[1:]):
         if n1 == n2:
             assert l2 >= l1 - 1e-6
+
+
+def test_oov_summary_all_counts_both_columns_of_train(spark, monkeypatch):
+    from textlab.plans import q_tokens as QT
+    rows = [("train", [2, 1, 7, 3], [2, 1, 1, 3]), ("train", [2, 3], [2, 8, 3]), ("validation", [2, 1, 3], [2, 1, 3]),
+            ("test", [2, 1, 1, 3], [2, 9, 3])]
+
+    def encoded(spark, sf_dir, kind):
+        return spark.createDataFrame([(i, s, kind, a, h) for i, (s, a, h) in enumerate(rows)],
+                                     "doc_id long, split string, tokenizer string, article_ids array<int>, highlight_ids array<int>")
+    monkeypatch.setattr(QT, "_encode_splits", encoded)
+    got = {r.tokenizer: (r.tokens, r.unk, r.ratio) for r in QT.oov_summary_all(spark, "none").collect()}
+    assert got == {k: (13, 3, 0.230769) for k in ("bpe", "word", "char", "unigram")}

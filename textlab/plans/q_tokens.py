@@ -328,11 +328,11 @@ def encode_bpe(spark, sf_dir):
 
 @register("oov_summary_all")
 def oov_summary_all(spark, sf_dir):
-    """A13 for all four tokenizers over the encoded splits: tokens, unk count, ratio."""
-    u = reduce(lambda a, b: a.unionByName(b),
-               [_encode_splits(spark, sf_dir, k).select("tokenizer", "article_ids") for k in TR.NAMES])
-    g = u.groupBy("tokenizer").agg(F.sum(F.size("article_ids")).alias("tokens"),
-                                   F.sum(SQ.ids_count_value("article_ids", SQ.UNK_ID)).alias("unk"))
+    """A13 for all four tokenizers over both encoded columns of the train split: tokens, unk count, ratio."""
+    u = reduce(lambda a, b: a.unionByName(b), [_encode_splits(spark, sf_dir, k) for k in TR.NAMES])
+    unk = [SQ.ids_count_value(c, SQ.UNK_ID) for c in ("article_ids", "highlight_ids")]
+    g = u.where(F.col("split") == "train").groupBy("tokenizer").agg(
+        F.sum(F.size("article_ids") + F.size("highlight_ids")).alias("tokens"), F.sum(unk[0] + unk[1]).alias("unk"))
     return g.select("tokenizer", F.col("tokens").cast("bigint").alias("tokens"), F.col("unk").cast("bigint").alias("unk"),
                     F.round(F.try_divide(F.col("unk").cast("double"), F.col("tokens").cast("double")), 6).alias("ratio"))
 
