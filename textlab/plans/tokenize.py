@@ -13,7 +13,6 @@ from textlab.session import stage_table
 # --- fixed values -----------------------------------------------------------
 # Vocabulary sizes used by the registered fixture queries.
 FIXTURE_VOCAB = {"word": 8000, "char": 32000, "bpe": 250, "unigram": 250}
-UNIGRAM_MAX_LINES = 150000
 # ----------------------------------------------------------------------------
 
 
@@ -24,16 +23,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_lines(spark: SparkSession, sf_dir: str, kind: str = "word") -> DataFrame:
-    """Trainer input, one pre-tokenized line per pair (T17 + T16), as the trainers see it:
-    lines over the trainer's byte limit are skipped (F9) and the Unigram trainer reads
-    at most 150,000 lines in seeded order (W8)."""
+    """Trainer input, one pre-tokenized line per pair (T17 + T16). The BPE and Unigram trainers read
+    every line; the Word and Char vocabularies leave out lines over their byte limit (F9), as their SQL does."""
     from textlab.functions.text import concat_fields, pretokenize
     from textlab.operators.filters import MAX_SENTENCE_BYTES, filter_long_sentences
     c = corpus(spark, sf_dir).select("doc_id", pretokenize(concat_fields("cleaned_text", "highlights")).alias("line"))
-    c = filter_long_sentences(c, "line", MAX_SENTENCE_BYTES[kind])
-    if kind == "unigram":
-        from textlab.operators.selection import sample_rows
-        c = sample_rows(c, "doc_id", UNIGRAM_MAX_LINES)
+    if kind in ("word", "char"):
+        c = filter_long_sentences(c, "line", MAX_SENTENCE_BYTES[kind])
     return c
 
 
