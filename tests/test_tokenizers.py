@@ -128,3 +128,9 @@ def test_trainers_read_long_lines(spark, monkeypatch, kind):
     monkeypatch.setattr(TK, "corpus", lambda s, d: s.createDataFrame(rows, "doc_id long, split string, cleaned_text string, highlights string"))
     got = {r.word: r["count"] for r in TK.words(spark, "none", kind).groupBy("word").count().collect()}
     assert got == {"some": 1, "words": 1, "here": 1, "short": 1, "filler": 5000, "zebra": 1, "end": 1, "mid": 1500}
+
+
+def test_unigram_mstep_of_tiny_counts():
+    from textlab.operators.tokenizers.unigram import _mstep
+    got = _mstep({"a": 5e-324, "b": 1e6}, set())
+    assert got["b"] == 0.0 and -800 < got["a"] < -700

@@ -175,7 +175,7 @@ def _estep(state: DataFrame, logp: dict, max_len: int):
 
 def _mstep(counts: dict, keep: set) -> dict:
     tot = sum(c for p, c in counts.items() if c > 0)
-    out = {p: math.log(c / tot) for p, c in counts.items() if c > 0}
+    out = {p: math.log(c) - math.log(tot) for p, c in counts.items() if c > 0}  # c / tot can underflow
     floor = min(out.values()) - UNK_PENALTY if out else -UNK_PENALTY
     for p in keep:  # single characters never disappear
         out.setdefault(p, floor)
