@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textlab.llm import chat
 from textlab.llm.exact_dedup import exact_groups
+from textlab.llm.fim import fill_in_middle, restored
 from textlab.llm.jaccard import jaccard_components
 from textlab.llm.langid import identify
 from textlab.llm.line_dedup import drop_recurring_lines
@@ -224,3 +225,23 @@ def op7_best_fit_packing(spark, sf_dir):
 def op9_language_id(spark, sf_dir):
     """Operator 9 over all documents."""
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_in_middle", sql="""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (
+    SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+           CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b FROM k),
+o AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+""")
+def op13_fill_in_middle(spark, sf_dir):
+    """Operator 13 over all documents: code points, seed 1, 90 % of the texts, a fifth of them suffix first."""
+    out = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, unit="char", fim_percent=90, spm_percent=20)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
