@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlab.llm import chat
+from textlab.llm.divergence import audit
 from textlab.llm.exact_dedup import exact_groups
 from textlab.llm.fim import fill_in_middle, restored
 from textlab.llm.jaccard import jaccard_components
@@ -245,3 +246,34 @@ def op13_fill_in_middle(spark, sf_dir):
     out = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, unit="char", fim_percent=90, spm_percent=20)
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op11_source_divergence", sql=r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+l AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+ls AS (SELECT lang, count(*)::HUGEINT AS v, sum(ln)::HUGEINT AS n FROM l GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN l USING (lang, term) GROUP BY ALL),
+gs AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY ALL),
+p AS (
+    SELECT g.lang, g.source, l.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(gs.n, 0) + ls.v) AS p,
+           1 + (1000000000::HUGEINT * (l.ln + 1)) // (ls.n + ls.v) AS q
+    FROM g JOIN l USING (lang) JOIN ls USING (lang) LEFT JOIN gs USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+""")
+def op11_source_divergence(spark, sf_dir):
+    """Operator 11 over all documents: terms of 3 documents and more, 200 terms a group."""
+    return audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
