@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlab.llm import chat
+from textlab.llm.ann import nearest
 from textlab.llm.divergence import audit
 from textlab.llm.exact_dedup import exact_groups
 from textlab.llm.fim import fill_in_middle, restored
@@ -277,3 +278,9 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= 200
 def op11_source_divergence(spark, sf_dir):
     """Operator 11 over all documents: terms of 3 documents and more, 200 terms a group."""
     return audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+@query("op12_approximate_neighbours")
+def op12_approximate_neighbours(spark, sf_dir):
+    """Operator 12: twenty nearest found of every twentieth vector against all."""
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
