@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from textlab.session import materialize, ship_package
 
-SAMPLE_CELLS = 1 << 23          # components of the sample that the lists are fitted on
+SAMPLE_CELLS = 1 << 22          # components of the sample that the lists are fitted on
 SAMPLE_QUERIES = 512            # vectors of the sample whose neighbours give the ratio
 SAMPLE_PER_LIST = 8
 MAX_MODELS = 64                 # vector lengths with lists of their own; rarer ones have one list each, searched whole
@@ -138,8 +138,8 @@ def proximity_graph(c: np.ndarray) -> np.ndarray:
     n = c.shape[0]
     edges: list[set] = [{(i + 1) % n, (i - 1) % n} for i in range(n)]
     norm = np.square(c).sum(axis=1)
-    for a in range(0, n, 512):
-        far = norm - 2 * (c[a:a + 512] @ c.T)
+    for a in range(0, n, 128):
+        far = norm - 2 * (c[a:a + 128] @ c.T)
         near = np.argsort(far, axis=1)[:, 1:DEGREE + 1] if n <= DEGREE + 1 else None
         if near is None:
             near = np.argpartition(far, DEGREE, axis=1)[:, :DEGREE + 1]
@@ -228,6 +228,13 @@ def reach(model: dict, near: np.ndarray, d: np.ndarray) -> np.ndarray:
     return model["ratio"] * np.maximum(d[:, 0], model["radius"][near[:, 0]]) + ROUNDING * model["top"]
 
 
+def _best_of(x: np.ndarray, ask: np.ndarray, m: int) -> np.ndarray:
+    """Per row of ``ask`` the ``m`` other rows of largest inner product."""
+    score = x @ x[ask].T
+    score[ask, np.arange(ask.size)] = -np.inf
+    return np.argpartition(score, x.shape[0] - m, axis=0)[x.shape[0] - m:].T
+
+
 def fit(x: np.ndarray, top: float, n: int, k: int, recall: float, replicas: int, edge: float, cores: int) -> dict:
     """Lists, graph and ratio from a sample ``x`` of ``n`` different vectors of the largest norm ``top``."""
     norms = np.sqrt(np.square(x).sum(axis=1))
@@ -242,12 +249,10 @@ def fit(x: np.ndarray, top: float, n: int, k: int, recall: float, replicas: int,
              "block": (np.arange(lists) * blocks // lists).astype(np.int32), "ratio": np.inf, "beam": lists}
     # the ratio that reaches the neighbours of some vectors of the sample, in the sample
     ask = np.unique(np.linspace(0, x.shape[0] - 1, min(x.shape[0], SAMPLE_QUERIES)).astype(np.int64))
-    score = x[ask] @ x.T
-    score[np.arange(ask.size), ask] = -np.inf
     m = min(k, x.shape[0] - 1)
     if m < 1:
         return model
-    best = np.argpartition(-score, m - 1, axis=1)[:, :m]
+    best = np.concatenate([_best_of(x, ask[a:a + 16], m) for a in range(0, ask.size, 16)])
     members = np.unique(best)
     where = np.concatenate([postings(model, up[members[a:a + BATCH]], replicas, edge) for a in range(0, members.size, BATCH)])
     held = where[np.searchsorted(members, best)]                       # query x neighbour x replica
