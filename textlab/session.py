@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import re
 import tempfile
@@ -72,24 +74,58 @@ def materialize(df, name: str = "t"):
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    out = spark.read.parquet(path)
+    out.written_path = path
+    return out
 
 
 _WRITTEN: dict = {}
 _SCRATCH: dict = {}
+_SCOPE: contextvars.ContextVar = contextvars.ContextVar("textlab_tables", default=None)
+
+
+@contextlib.contextmanager
+def table_scope():
+    """The paths of the tables that ``materialize`` writes inside the block, as a list that fills up."""
+    made: list[str] = []
+    outer = _SCOPE.set(made)
+    try:
+        yield made
+    finally:
+        _SCOPE.reset(outer)
+        if _SCOPE.get() is not None:
+            _SCOPE.get().extend(made)
+
+
+def drop_tables(spark, paths) -> int:
+    """Delete written tables, which nothing may read any more; returns how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    known = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    n = 0
+    for p in list(paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        n += bool(path.getFileSystem(conf).delete(path, True))
+        if p in known:
+            known.remove(p)
+    return n
+
+
+def release(*tables) -> None:
+    """Delete the files behind results of ``materialize`` once whatever was computed from them is written too."""
+    for t in tables:
+        path = getattr(t, "written_path", None)
+        if path is not None:
+            drop_tables(t.sparkSession, [path])
 
 
 def drop_written_tables(spark) -> int:
     """Delete the tables this application wrote under the checkpoint directory
     (through the Hadoop FileSystem API, so it works on any shared store)."""
     app = spark.sparkContext.applicationId
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    for p in _WRITTEN.pop(app, []):
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(conf).delete(path, True):
-            n += 1
+    n = drop_tables(spark, _WRITTEN.get(app, []))
     for k in [k for k in _STAGES if k[0] == app]:
         _STAGES.pop(k, None)
     return n
