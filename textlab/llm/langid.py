@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.llm.kernels import distinct_counts, slices
 from textlab.session import materialize, ship_package
@@ -105,25 +106,25 @@ def profiles(rows: DataFrame, size: int = 400, lang_col: str = "lang", text_col:
     counts = (rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.lower(F.col(text_col)).alias("text"))
               .mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < size).drop("n")
+    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 def _predict(model, size: int):
-    """Rows (id, held_out, lower-cased text or null) -> prediction and score."""
+    """Rows (..., lower-cased text or null) -> the same without the text, with prediction and score."""
     def run(batches):
-        langs, grams, ranks = model.value
+        langs, ranked = model.value
         for b in batches:
             pred, score = [], []
-            for _, _, data, bounds in slices(b.column(2)):
-                p, s = _nearest(data, bounds, langs, grams, ranks, size)
+            for _, _, data, bounds in slices(b.column(b.num_columns - 1)):
+                p, s = _nearest(data, bounds, langs, ranked, size)
                 pred += p
                 score.append(s)
-            yield pa.record_batch({"doc_id": b.column(0), "held_out": b.column(1), "lang_pred": pa.array(pred, pa.string()),
-                                   "score": np.concatenate(score) if score else np.empty(0)})
+            yield pa.record_batch([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else np.empty(0))],
+                                  names=[*b.schema.names[:-1], "lang_pred", "score"])
     return run
 
 
-def _nearest(data, bounds, langs, grams, ranks, size):
+def _nearest(data, bounds, langs, ranked, size):
     n = bounds.size - 1
     if data.size == 0 or not langs:
         return [UNKNOWN] * n, np.zeros(n)
@@ -142,13 +143,11 @@ def _nearest(data, bounds, langs, grams, ranks, size):
     rank = np.arange(g.size) - first[g]
     top = rank < size
     g, c, rank = g[top], _wide(c[top], bits, alphabet), rank[top]
-    at = np.minimum(np.searchsorted(grams, c), grams.size - 1)
-    known = grams[at] == c
     m = np.bincount(g, minlength=n)
     best, who = np.full(n, np.inf), np.zeros(n, np.int64)
-    for i in range(len(langs)):
-        r = ranks[i][at]
-        far = np.where(known & (r >= 0), np.abs(rank - r), size)
+    for i, (grams, ranks) in enumerate(ranked):
+        at = np.minimum(np.searchsorted(grams, c), grams.size - 1)
+        far = np.where(grams[at] == c, np.abs(rank - ranks[at]), size)
         d = np.bincount(g, weights=far, minlength=n)
         better = d < best
         best[better], who[better] = d[better], i
@@ -165,20 +164,27 @@ def identify(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col:
     Whole texts count, of any length; repeated rows count each time. Nothing but the text
     enters a prediction. An empty table gives an empty result.
     """
+    base = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    out = predicted(base, size, "doc_id", "text", "lang")
+    return out.select("doc_id", "held_out", F.col("lang_pred"), F.col("score"))
+
+
+def predicted(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All rows and columns of ``docs``, with the columns ``lang_pred`` and ``score`` of ``identify`` in addition (a row keeps
+    its own prediction, whatever its id; columns of ``docs`` with these two names are replaced)."""
     spark = docs.sparkSession
     ship_package(spark)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
-                       held_out(F.col(id_col)).alias("held_out"))
-    table = materialize(profiles(base.filter(~F.col("held_out")), size), "profiles")
+    train = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(~held_out(F.col("doc_id")))
+    table = materialize(profiles(train, size), "profiles")
     if table.count() > MAX_PROFILE_ROWS:
         raise ValueError("too many languages for profiles that every task holds")
-    rows = table.collect()
-    langs = sorted({r["lang"] for r in rows})
-    grams = np.unique(np.array([r["gram"] for r in rows] or [0], np.int64))
-    ranks = np.full((len(langs), grams.size), -1, np.int64)
-    for r in rows:
-        ranks[langs.index(r["lang"]), np.searchsorted(grams, r["gram"])] = r["rank"]
-    model = spark.sparkContext.broadcast((langs, grams, ranks))
-    id_type = base.schema["doc_id"].dataType.simpleString()
-    return base.select("doc_id", "held_out", F.lower("text").alias("text")).mapInArrow(
-        _predict(model, size), f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    by_lang: dict = {}
+    for r in table.collect():
+        by_lang.setdefault(r["lang"], []).append((r["gram"], r["rank"]))
+    langs = sorted(by_lang)
+    ranked = [tuple(np.array(sorted(by_lang[x]), np.int64).T) for x in langs]
+    model = spark.sparkContext.broadcast((langs, ranked))
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(*[docs[c] for c in names], F.lower(docs[text_col]).alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(model, size), schema)
