@@ -109,7 +109,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns one row per input row: ``doc_id``, ``keep_id`` (the row of most code points, then the
     smallest id, then the first written, stays; a null id comes after all others),
     ``group_size``, ``kept`` (true for exactly one row of a group, repeated rows
-    included), ``text_sha256`` of the normalised text. Columns other than the two
+    included), ``text_sha256`` of the normalised text. Ids may be of any type that can be ordered. Columns other than the two
     named are not read; an empty table gives an empty result. Texts of any length are handled whole.
     """
     spark = docs.sparkSession
@@ -134,9 +134,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = classes.groupBy("sha").agg(F.sum("n").alias("verified"), F.count("*").alias("texts"))
     best = suspects.groupBy("sha").agg(
         F.count("*").alias("group_size"),
-        F.max(F.struct("chars", F.bitwise_not("doc_id").alias("o"), F.bitwise_not("rid").alias("r"))).alias("best"))
+        F.min(F.struct((-F.col("chars")).alias("back"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
     groups = materialize(best.join(classes, "sha").select(
-        "sha", "group_size", F.bitwise_not("best.o").alias("keep_id"), F.bitwise_not("best.r").alias("keep_rid"),
+        "sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"),
         F.assert_true((F.col("texts") == 1) & (F.col("verified") >= F.col("group_size")),
                       F.lit("different texts share a SHA-256")).alias("checked")), "groups")
     return (narrow.join(groups, "sha", "left").select(
