@@ -106,12 +106,35 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     narrow = materialize(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         place(F.col(id_col), F.col(text_col)).alias("h")), "sizes")
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, most)
-    t = materialize(thresholds(narrow, goal), "thresholds").withColumnRenamed("source", "t_source")
-    more = (F.col("base") < F.lit(int(most))) & (F.coalesce(F.col("h") < F.col("edge"), F.lit(False))
-                                                | F.coalesce((F.col("h") == F.col("edge")) & F.col("take_edge"), F.lit(False)))
-    return (narrow.join(t, narrow["source"].eqNullSafe(t["t_source"]))
-            .withColumn("copies", F.col("base") + more.cast("long"))
+    t = _plan(narrow, weights, share, most)
+    return (narrow.join(t, narrow["source"].eqNullSafe(t["t_source"])).withColumn("copies", _copies(F.col("h"), most))
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def _plan(narrow: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """One row for every source (column t_source) of ``narrow`` (source, size, h): its size, target and thresholds."""
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return materialize(thresholds(narrow, targets(sizes, weights, share, most)), "thresholds").withColumnRenamed("source", "t_source")
+
+
+def _copies(h, most: float) -> F.Column:
+    """How often the thresholds take a row of place ``h``."""
+    more = (F.col("base") < F.lit(int(most))) & (F.coalesce(h < F.col("edge"), F.lit(False)) | F.coalesce((h == F.col("edge")) & F.col("take_edge"), F.lit(False)))
+    return F.col("base") + more.cast("long")
+
+
+def mixture(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0,
+            id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it: a filter by the thresholds of the row's source, which needs
+    no list of ids. Columns stay as they are."""
+    narrow = materialize(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+                                     place(F.col(id_col), F.col(text_col)).alias("h")), "sizes")
+    t = _plan(narrow, weights, share, most).select("t_source", "base", "edge", "take_edge")
+    t = t.select(*[F.col(c).alias(f"__{c}") for c in t.columns])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("__docs_row")
+    taken = docs.select(row, docs[source_col].alias("__source"), place(docs[id_col], docs[text_col]).alias("__h")).join(
+        t, F.col("__source").eqNullSafe(F.col("__t_source")))
+    taken = taken.select("__docs_row", F.col("__h").alias("h"), *[F.col(f"__{c}").alias(c) for c in ("base", "edge", "take_edge")])
+    return taken.withColumn("copies", _copies(F.col("h"), most).cast("int")).filter("copies > 0").select(
+        "__docs_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__docs_row.*")
