@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.session import materialize
+from textlab.session import materialize, release
 
 
 def _relabel(links: DataFrame, small: bool) -> DataFrame:
@@ -43,7 +43,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     last = state(cur)
     for _ in range(max_rounds):
-        cur = materialize(_relabel(_relabel(cur, False), True), "links")
+        before, cur = cur, materialize(_relabel(_relabel(cur, False), True), "links")
+        release(before)
         now = state(cur)
         if now == last:
             break

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from textlab.llm.components import components
 from textlab.llm.kernels import U64, Sketch, mix64, shingle_sets, signed, sketch_levels, slices, tidy
-from textlab.session import conf_override, materialize, ship_package
+from textlab.session import conf_override, materialize, release, ship_package
 
 SKETCH_BITS = 23             # counters of shingles, for the order
 WANTED_BITS = 21             # counters of class keys that are candidates
@@ -324,7 +324,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     has = spark.sparkContext.broadcast(sketch_levels(wanted.mapInArrow(tidy(_key_sketch(WANTED_BITS)), "seg int, counts binary"), WANTED_BITS) > 0)
     sets = texts.mapInArrow(tidy(_wanted_sets(width, has, WANTED_BITS)), "cls long, sig binary, hashes binary")
-    sets = materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["sig"]), "sets")
+    sets = sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "sig"])        # dealt by cls throughout
     a = sets.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("hashes").alias("xa"))
     b = sets.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("hashes").alias("xb"))
     return materialize(pairs.select("a", "b").join(a, "a").join(b, "b").select("sa", "sb", "xa", "xb")
@@ -393,6 +393,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
     if pairs.head(1):
         comps = _joined(comps, _verified(texts, pairs, width, num, den))
 
+    release(lists, pairs)
     classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = classes.join(comps, classes["sig"] == comps["node"], "left").select(
         "sig", "least", F.coalesce("root", "sig").alias("root"))
