@@ -139,6 +139,112 @@ def test_pipeline_stages(spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def shingles(text, width=5):
+    words = (text or "").lower().split()
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)}
+
+
+def awkward(spark):
+    """Rows with repeated and null ids, exact and near copies, and texts that no stage may lose."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{i}" for i in range(80)]
+        for c in range(int(rng.integers(1, 6))):
+            some = list(words)
+            for _ in range(int(rng.integers(0, 4))):
+                some[int(rng.integers(0, 80))] = f"edit{g}x{c}x{rng.integers(0, 9)}"
+            rows.append((int(rng.integers(0, 60)) if rng.random() < 0.8 else None, (" " if c % 2 else "  ").join(some)))
+    rows += [(7, "one of three"), (7, "two of three"), (7, "three of three"), (None, "lost"), (None, "lost"), (None, None), (3, ""), (None, "a b"), (3, "a  b")]
+    return rows, spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __row string")
+
+
+@pytest.mark.parametrize("from_files", [True, False])
+def test_exact_copies_by_row(spark, tmp_path, from_files):
+    rows, df = awkward(spark)
+    if from_files:
+        df.repartition(3).write.parquet(str(tmp_path / "docs"))
+        df = spark.read.parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.exact_copies(spark, df, SF)
+    assert got.columns == df.columns
+    best = {}
+    for i, t in rows:
+        key = "".join((t or "").split())
+        order = (-len(t or ""), i is None, i or 0)
+        best[key] = min(best.get(key, order), order)
+    kept = got.collect()
+    assert sorted((-len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(best.values())
+    assert {"".join((r.text or "").split()) for r in kept} == set(best)
+
+
+@pytest.mark.parametrize("from_files", [True, False])
+def test_near_copies_by_row(spark, tmp_path, from_files):
+    rows, df = awkward(spark)
+    rows = list({"".join((t or "").split()): (i, t) for i, t in rows}.values())          # as after exact_copies
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], df.schema)
+    if from_files:
+        df.repartition(3).write.parquet(str(tmp_path / "docs"))
+        df = spark.read.parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.near_copies(spark, df, SF)
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for a in range(len(rows)):
+        groups[find(a)].append(rows[a])
+    assert any(len(g) > 2 for g in groups.values())
+    kept = got.collect()
+    where = {t: k for k, g in groups.items() for _, t in g}
+    assert sorted(where[r.text] for r in kept) == sorted(groups)
+    for r in kept:
+        ids = [i for i, _ in groups[where[r.text]]]
+        assert r.doc_id == min((i for i in ids if i is not None), default=None)
+
+
+def test_language_by_row(spark):
+    rows = [(1, "the cat sat on the mat and saw the dog run over the hill", "en"), (1, "le chat est sur la table et il regarde le chien", "fr"),
+            (1, "123 456 !!", "en"), (None, "555 !!", "en"), (None, "the dog and the cat ran to the house", "en"), (2, None, "en"), (3, "", None)]
+    df = spark.createDataFrame([(*r, "s", len(r[1] or ""), 1) for r in rows], "doc_id long, text string, lang string, source string, lang_pred long, score int")
+    got = corpus_pipeline.language(spark, df, SF)
+    assert got.columns == df.columns
+    assert sorted(r.text for r in got.collect()) == sorted(t for _, t, _ in rows if t and any(c.isalpha() for c in t))
+
+
+def test_mixture_by_row(spark):
+    rows = [(None, f"w{i} " * (1 + i % 7), "abc"[i % 3]) for i in range(300)] + [(5, "x " * 4, "a"), (5, "y " * 40, "a"), (6, None, "b"), (7, "", None)]
+    df = spark.createDataFrame([(i, t, "en", s, 1, "c") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, h string").repartition(3)
+    got = corpus_pipeline.mixture(spark, df, SF)
+    assert got.columns == df.columns
+    want = collections.Counter()
+    sizes = {}
+    for r in mix(df).collect():
+        want[r.source, r["size"]] += r.copies
+        sizes[r.source] = r.target
+    out = got.collect()
+    assert collections.Counter((r.source, len((r.text or "").split())) for r in out) == +want
+    for s, target in sizes.items():
+        assert abs(sum(len((r.text or "").split()) for r in out if r.source == s) - target) <= 20
+
+
+def test_without_leaves_every_other_row(spark):
+    from textlab.llm.rows import numbered, without
+    df = numbered(spark.range(20000).toDF("v"), "n")
+    assert df.select("n").distinct().count() == 20000
+    gone = df.filter("v % 3 = 0").select("n")
+    assert sorted(r.v for r in without(df, gone, "n").collect()) == [v for v in range(20000) if v % 3]
+    assert without(df, gone.limit(0), "n").count() == 20000
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_pipeline_stages_of_nothing(spark, stage):
     assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF).collect() == []
