@@ -1,71 +1,90 @@
 """A corpus pipeline over ``documents``: language, exact copies, near copies, mixture, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as
-Parquet and reread as the next one's ``docs``. All but the last return the columns of ``documents``.
+Parquet and reread as the next one's ``docs``. All but the last return the columns of ``documents``. Stages decide about
+rows, not ids: rows that share an id, or have none, are kept or dropped each for itself.
+
+A stage's result is to be written before the next stage is called: the call deletes the tables that the stage
+before it wrote on its way, unless its ``docs`` still read them.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm.exact_dedup import exact_groups
 from textlab.llm.jaccard import jaccard_components
-from textlab.llm.langid import UNKNOWN, identify
-from textlab.llm.mixing import mix
+from textlab.llm.langid import UNKNOWN, predicted
+from textlab.llm.mixing import mixture as mixed
 from textlab.llm.packing import best_fit
-from textlab.session import materialize
+from textlab.llm.rows import fresh, numbered, without
+from textlab.session import drop_tables, materialize, release, table_scope
 
 MIN_LANGUAGE_SCORE = 0.05      # below, hardly any of a text's n-grams is in a learnt profile
 
+_left: dict = {}               # application -> tables of the stage called last
+
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone`` (column doc_id, distinct)."""
-    gone = gone.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+def _stage(fn):
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        left = _left.pop(app, [])
+        folders = {f.split("/")[-2] for f in docs.inputFiles()} if left else set()
+        used = [p for p in left if p.split("/")[-1] in folders]
+        drop_tables(spark, [p for p in left if p not in used])
+        with table_scope() as made:
+            out = fn(spark, docs, sf_dir)
+        _left[app] = used + made
+        return out
+    return run_stage
 
 
-def _one_row_per_id(docs: DataFrame) -> DataFrame:
-    """Of rows that share an id, the longest text (then any equal one) stays; only those rows move."""
-    again = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "again")
-    if not again.head(1):
-        return docs
-    again = again.select(F.col("doc_id").alias("__again"))
-    some = docs.join(again, docs["doc_id"] == F.col("__again"), "left_semi")
-    least = some.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), F.xxhash64("text"))).alias("__row"))
-    return docs.join(again, docs["doc_id"] == F.col("__again"), "left_anti").unionByName(least.select("__row.*"))
+def _keyed(docs: DataFrame):
+    """(``docs`` with a row number, its name, narrow docs whose id is (no id, id, row number), so that it is never null and ends every tie)."""
+    row = fresh(docs, "__row")
+    docs = numbered(docs, row)
+    key = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), docs[row].alias("row"))
+    return docs, row, docs.select(key.alias("doc_id"), docs["text"].alias("text"))
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learnt language; texts without letters, and those of which the profiles know
-    next to nothing, go. A row without id is kept."""
-    found = identify(docs)
-    gone = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    return _without(docs, materialize(gone.select("doc_id").distinct(), "rejected"))
+    next to nothing, go."""
+    found, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    renamed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = predicted(renamed, id_col=at["doc_id"], text_col=at["text"], lang_col=at["lang"]).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("lang_pred").alias(found), F.col("score").alias(score))
+    return out.filter((F.col(found) != UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+@_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of equal texts (operator 5's keeper)."""
-    groups = exact_groups(docs)
-    gone = materialize(groups.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct(), "copies")
-    return _one_row_per_id(_without(docs, gone))
+    """One row of every group of equal texts (operator 5's keeper)."""
+    docs, row, narrow = _keyed(docs)
+    return without(docs, exact_groups(narrow).filter("not kept").select("doc_id.row"), row).drop(row)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of near copies (5-word shingles, similarity 0.8 and more): the smallest id."""
-    groups = jaccard_components(docs, width=5, threshold=(4, 5))
-    gone = materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near")
-    return _without(docs, gone)
+    """One row of every component of near copies (5-word shingles, similarity 0.8 and more): that of the smallest id."""
+    docs, row, narrow = _keyed(docs)
+    groups = jaccard_components(narrow, width=5, threshold=(4, 5))
+    return without(docs, groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id.row"), row).drop(row)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, as often as it takes them (0 to 2 times)."""
-    taken = mix(docs).filter("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    taken = taken.groupBy("__id", "__copy").count().select("__id", "__copy")
-    return docs.join(materialize(taken, "taken"), docs["doc_id"].eqNullSafe(F.col("__id"))).select(*[docs[c] for c in docs.columns])
+    return mixed(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequence and place of every piece of every document that is left (last stage)."""
     return best_fit(docs).drop("rid")
@@ -82,5 +101,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents`` of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
