@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.kernels import U64, distinct_counts, golomb_decode, golomb_encode
+from textlab.llm.rows import marked
 from textlab.session import materialize, ship_package
 
 WHITESPACE = r"[\x20\x09-\x0D]"
@@ -123,12 +124,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = narrow.count()
     bits = min(64, max(16, math.ceil(math.log2(n + 1)) + SPARE_BITS))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // OWNER_HASHES))
-    marked = duplicated_fingerprints(narrow.select("print"), bits, owners)
+    twice = duplicated_fingerprints(narrow.select("print"), bits, owners)
     cut = F.shiftrightunsigned("print", 64 - bits) if bits < 64 else F.col("print")
-    suspects = materialize(narrow.withColumn("cut", cut).join(marked, "cut", "left_semi"), "suspects")
+    suspects = materialize(narrow.withColumn("cut", cut).join(twice, "cut", "left_semi"), "suspects")
 
     # the suspects' texts, compared byte for byte: the text itself is the grouping key
-    texts = base.join(suspects.select("doc_id").distinct(), base["doc_id"].eqNullSafe(suspects["doc_id"]), "left_semi")
+    ids = materialize(suspects.select(F.col("doc_id").alias("suspect")).distinct(), "suspect_ids")
+    texts = marked(base, F.col("doc_id"), ids).filter("__maybe")
+    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["suspect"]), "left_semi")
     classes = (texts.select(norm.alias("norm")).groupBy("norm").agg(F.count("*").alias("n"))
                .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "n"))
     classes = classes.groupBy("sha").agg(F.sum("n").alias("verified"), F.count("*").alias("texts"))

@@ -170,7 +170,7 @@ def identify(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col:
 
 
 def predicted(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All rows and columns of ``docs``, with the columns ``lang_pred`` and ``score`` of ``identify`` in addition (a row keeps
+    """All rows and columns of ``docs`` but the text, with the columns ``lang_pred`` and ``score`` of ``identify`` in addition (a row has
     its own prediction, whatever its id; columns of ``docs`` with these two names are replaced)."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -184,7 +184,7 @@ def predicted(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col
     langs = sorted(by_lang)
     ranked = [tuple(np.array(sorted(by_lang[x]), np.int64).T) for x in langs]
     model = spark.sparkContext.broadcast((langs, ranked))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", text_col)]
     rows = docs.select(*[docs[c] for c in names], F.lower(docs[text_col]).alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_predict(model, size), schema)

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.session import materialize, release
+from textlab.session import materialize
 
 BUCKET = 1 << 15                # bits of a bitmap
 BITS_PER_ROW = 16
@@ -30,31 +30,33 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` whose number (column ``name``) is not in the one column of ``gone``.
+def marked(docs: DataFrame, key: F.Column, keys: DataFrame, name: str = "__maybe") -> DataFrame:
+    """``docs`` with a boolean column ``name``: false where ``key`` surely is not in the one column of ``keys`` (a written table).
 
-    Bitmaps of the hashes of ``gone``, about 16 bits a row and 64 MB at most, let the rows that surely
-    stay pass without a shuffle; the others (those that go, and a few) are compared by number.
+    The test is a table of bitmaps of the hashes of ``keys``, about 16 bits a key and 64 MB at most.
     """
-    gone = materialize(gone.toDF("__gone").distinct(), "gone")
-    n = gone.count()
-    if n == 0:
-        release(gone)
-        return docs
-    buckets = 1
+    n, buckets = keys.count(), 1
     while buckets < MAX_BUCKETS and buckets * BUCKET < n * BITS_PER_ROW:
         buckets *= 2
 
-    def at(number):
-        return F.pmod(F.xxhash64(number), F.lit(buckets * BUCKET))
-
-    maps = gone.select(F.shiftright(at(F.col("__gone")), 15).alias("__bucket"), F.pmod(at(F.col("__gone")), F.lit(BUCKET)).alias("bit")).groupBy("__bucket").agg(
-        F.bitmap_construct_agg("bit").alias("__map"))
-    maps = materialize(maps, "bitmaps")
-    place = F.pmod(at(F.col(name)), F.lit(BUCKET))
-    byte = F.conv(F.hex(F.expr(f"substring(__map, cast(pmod(xxhash64(`{name}`), {buckets * BUCKET}L) % {BUCKET} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.call_function("getbit", byte, F.pmod(place, F.lit(8)).cast("int"))
-    tested = docs.withColumn("__bucket", F.shiftright(at(F.col(name)), 15)).join(F.broadcast(maps), "__bucket", "left")
-    tested = tested.withColumn("__maybe", F.coalesce(bit, F.lit(0)) == 1).select(*docs.columns, "__maybe")
+    def at(value):
+        return F.pmod(F.xxhash64(value), F.lit(buckets * BUCKET))
+
+    own = F.col(keys.columns[0])
+    maps = materialize(keys.select(F.shiftright(at(own), 15).alias("__bucket"), F.pmod(at(own), F.lit(BUCKET)).alias("bit"))
+                       .groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__map")), "bitmaps")
+    tested = docs.select("*", at(key).alias("__at")).withColumn("__bucket", F.shiftright("__at", 15)).join(F.broadcast(maps), "__bucket", "left")
+    bit = F.pmod(F.col("__at"), F.lit(BUCKET))
+    byte = F.conv(F.hex(F.substring(F.col("__map"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return tested.select(*[F.col(c) for c in docs.columns], (F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")), F.lit(0)) == 1).alias(name))
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose number (column ``name``) is not in the one column of ``gone``.
+
+    Rows that surely stay pass without a shuffle; the others (those that go, and a few) are compared by number.
+    """
+    gone = materialize(gone.toDF("__gone").distinct(), "gone")
+    tested = marked(docs, F.col(name), gone)
     rest = tested.filter("__maybe").drop("__maybe")
     return tested.filter("not __maybe").drop("__maybe").unionByName(rest.join(gone, rest[name] == F.col("__gone"), "left_anti"))
