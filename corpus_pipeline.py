@@ -55,12 +55,10 @@ def _keyed(docs: DataFrame):
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learnt language; texts without letters, and those of which the profiles know
     next to nothing, go."""
-    found, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    renamed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    out = predicted(renamed, id_col=at["doc_id"], text_col=at["text"], lang_col=at["lang"]).select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("lang_pred").alias(found), F.col("score").alias(score))
-    return out.filter((F.col(found) != UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    docs, row, _ = _keyed(docs)
+    found = predicted(docs.select("doc_id", "text", "lang", F.col(row).alias("row")))
+    gone = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE))
+    return without(docs, gone.select("row"), row).drop(row)
 
 
 @_stage
