@@ -11,12 +11,25 @@ from textlab.operators.tokenizers import bpe, char, word
 from textlab.operators.tokenizers.vocab import decode
 
 
-def sequential_bpe(words, n_merges, max_len=16):
-    """One merge per round: most frequent adjacent pair (count desc, pair asc)."""
-    state = {w: list(w) for w in words}
+def merge_once(sym, a, b):
+    out, i = [], 0
+    while i < len(sym):
+        if i + 1 < len(sym) and sym[i] == a and sym[i + 1] == b:
+            out.append(a + b)
+            i += 2
+        else:
+            out.append(sym[i])
+            i += 1
+    return out
+
+
+def sequential_bpe(words, n_pieces, max_len=16):
+    """One merge at a time (count desc, then the shorter, then the smaller piece, then the shorter first part) until there
+    are ``n_pieces`` different pieces."""
     counts = Counter(words)
-    merges = []
-    for _ in range(n_merges):
+    state = {w: list(w) for w in counts}
+    pieces = []
+    while len(pieces) < n_pieces:
         pc = Counter()
         for w, sym in state.items():
             for a, b in zip(sym, sym[1:]):
@@ -24,29 +37,79 @@ def sequential_bpe(words, n_merges, max_len=16):
                     pc[(a, b)] += counts[w]
         if not pc:
             break
-        (a, b), _ = min(pc.items(), key=lambda t: (-t[1], t[0]))
-        merges.append(a + b)
-        for w in state:
-            state[w] = bpe.merge_symbols(state[w], {(a, b): a + b})
-    return merges
+        (a, b), _ = min(pc.items(), key=lambda t: bpe.order_key(*t[0], t[1]))
+        if a + b not in pieces:
+            pieces.append(a + b)
+        state = {w: merge_once(sym, a, b) for w, sym in state.items()}
+    return pieces
 
 
-def test_bpe_batched_equals_sequential(spark):
-    rnd = random.Random(3)
-    alphabet = "abcde"
-    words = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 7))) for _ in range(400)]
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_in_epochs_equals_one_merge_at_a_time(spark, seed):
+    rnd = random.Random(seed)
+    alphabet = "abcde" if seed % 2 else "ab"
+    stems = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 9))) for _ in range(120)]
+    words = [rnd.choice(stems) + rnd.choice(["", "ab", "ba", rnd.choice(stems)]) for _ in range(900)]
     df = spark.createDataFrame([(w,) for w in words], "word STRING")
     n_chars = len(set("".join(words)) | {"▁"})
-    n_merges = 40
-    vocab = bpe.train_bpe(df, 4 + n_merges + n_chars)
-    got = [r["piece"] for r in vocab.where("id >= 4").orderBy("id").collect()][:n_merges]
-    exp = sequential_bpe(["▁" + w for w in words], n_merges)
-    # the vocabulary keeps the first rank of a piece spelled by two merge paths
-    dedup = []
-    for p in exp:
-        if p not in dedup:
-            dedup.append(p)
-    assert got[: len(dedup)] == dedup[: len(got)]
+    expected = sequential_bpe(["▁" + w for w in words], 150)
+    history = []
+    vocab = bpe.train_bpe(df, 4 + n_chars + 150, start_pairs=8 if seed < 2 else 64, run_symbols=400 if seed < 2 else 10**6, history=history)
+    rows = vocab.orderBy("id").collect()
+    assert [r["piece"] for r in rows][4:4 + len(expected)] == expected
+    assert [r["id"] for r in rows] == list(range(len(rows))) and len({r["piece"] for r in rows}) == len(rows)
+    assert [x for _, x in history] == sorted((x for _, x in history), reverse=True)       # words leave as they finish
+    assert len(history) < sum(m for m, _ in history)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bpe_steps_on_many_small_corpora(seed):
+    """The epoch's own logic without Spark: runs, steps, limits from the pair counts."""
+    rnd = random.Random(seed)
+    words = Counter("".join(rnd.choice("abc"[: rnd.choice([2, 3])]) for _ in range(rnd.randint(2, 12))) for _ in range(60))
+    expected = sequential_bpe([w for w, n in words.items() for _ in range(n)], 40, 8)
+    state, symbols, pieces = {w: list(w) for w in words}, set("".join(words)), []
+    while len(pieces) < 40:
+        pc = Counter()
+        for w, sym in state.items():
+            for a, b in zip(sym, sym[1:]):
+                if len(a) + len(b) <= 8:
+                    pc[(a, b)] += words[w]
+        top = [(a, b, c) for (a, b), c in sorted(pc.items(), key=lambda t: bpe.order_key(*t[0], t[1]))]
+        if not top:
+            break
+        k = rnd.choice([2, 3, 5, 9])
+        chosen, first_out = top[:k], top[k] if len(top) > k else None
+        runs = Counter()
+        for w, sym in state.items():
+            for r in bpe.cut_runs(sym, {p[:2] for p in chosen}):
+                runs[r] += words[w]
+        limits = {}
+        for s in {a + b for a, b, _ in chosen}:
+            ways = [(a, b) for a, b, _ in chosen if a + b == s]
+            if len(ways) > 1 or s in symbols:
+                right, left = Counter(), Counter()
+                for (a, b), c in pc.items():
+                    if a == s or any(a == w[1] for w in ways):
+                        right[b] += c
+                    if b == s or any(b == w[0] for w in ways):
+                        left[a] += c
+                limits[s] = (len(ways), max([0, *right.values(), *left.values()]))
+        known = set(symbols)
+        merges = bpe.take_steps(list(runs.items()), first_out, symbols, limits, 40 - len(pieces), 8)
+        for a, b in merges:
+            if a + b not in known:
+                known.add(a + b)
+                pieces.append(a + b)
+        ranks = {}
+        for i, m in enumerate(merges):
+            ranks.setdefault(m, []).append(i)
+        one_by_one = dict(state)
+        for a, b in merges:
+            one_by_one = {w: merge_once(sym, a, b) for w, sym in one_by_one.items()}
+        state = {w: bpe.apply_in_order(sym, ranks) for w, sym in state.items()}
+        assert state == one_by_one
+    assert pieces == expected
 
 
 def test_bpe_segment_uses_ranks():
@@ -90,22 +153,83 @@ def test_viterbi_is_optimal():
             p = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(2, 4)))
             pieces[p] = math.log(rnd.random())
         w = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 8)))
-        seg, score = unigram.viterbi(w, pieces)
-        best = max(sum(pieces[p] for p in s) for s in _all_segmentations(w, pieces))
+        trie = unigram.build_trie(pieces)
+        seg, score = unigram.viterbi(w, trie)
+        every = list(_all_segmentations(w, pieces))
+        best = max(sum(pieces[p] for p in s) for s in every)
         assert abs(score - best) < 1e-9 and "".join(seg) == w
+        counts, z = unigram.forward_backward(w, trie)
+        weight = [math.exp(sum(pieces[p] for p in s)) for s in every]
+        assert abs(z - math.log(sum(weight))) < 1e-9
+        for p in pieces:
+            want = sum(x * s.count(p) for x, s in zip(weight, every)) / sum(weight)
+            assert abs(counts.get(p, 0.0) - want) < 1e-9
+
+
+def _unigram_words(n=300):
+    rnd = random.Random(5)
+    return ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(n)] + ["aé"]
 
 
 def test_unigram_em_does_not_lower_likelihood(spark):
     from textlab.operators.tokenizers import unigram
-    rnd = random.Random(5)
-    words = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(300)]
-    df = spark.createDataFrame([(w,) for w in words], "word STRING")
+    df = spark.createDataFrame([(w,) for w in _unigram_words()], "word STRING")
     hist = []
-    unigram.train_unigram(df, 30, seed_size=60, history=hist)
+    vocab = unigram.train_unigram(df, 30, seed_size=60, history=hist)
+    assert vocab.count() == 30 and hist[0][0] > hist[-1][0]
     # within each prune round the two EM steps run on the same piece set
     for (n1, l1), (n2, l2) in zip(hist, hist[1:]):
         if n1 == n2:
-            assert l2 >= l1 - 1e-6
+            assert l2 >= l1 - 1e-2
+
+
+def test_unigram_does_not_depend_on_partitions_and_covers_characters(spark):
+    from textlab.operators.tokenizers import unigram
+    df = spark.createDataFrame([(w,) for w in _unigram_words(1200)], "word STRING")
+    one = unigram.train_unigram(df, 40, seed_size=80, rows_per_partition=1000).orderBy("id").collect()
+    many = unigram.train_unigram(df.repartition(7), 40, seed_size=80, rows_per_partition=20).orderBy("id").collect()
+    assert one == many
+    pieces = {r["piece"] for r in one}
+    assert set("▁abcd") <= pieces and "é" not in pieces and not any("é" in p for p in pieces)
+    full = unigram.train_unigram(df, 40, seed_size=80, coverage=1.0)
+    assert "é" in {r["piece"] for r in full.collect()}
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram", "char", "word"])
+def test_encode_then_decode(spark, kind):
+    from textlab.operators.tokenizers import registry
+    tok = registry.get(kind)
+    texts = ["the cat sat on the mat", "  a  b\tc\n", "", None, "the the the", "Öl \u00a0 für die Straße 😀", "x" * 3000, "new☃char the"]
+    train = spark.createDataFrame([(w,) for t in texts[:-1] if t for w in t.split()], "word STRING")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id INT, t STRING").repartition(3)
+    v = tok.train(train, 400)
+    rows = decode(tok.encode(df, "t", v, "ids"), "ids", v, "back").orderBy("id").collect()
+    known = {r["piece"] for r in v.collect()}
+    for t, r in zip(texts, rows):
+        words = (t or "").split()
+        if kind == "word":
+            want = [w if "▁" + w in known else "⁇" for w in words]
+            assert r["ids"] == [next((x["id"] for x in v.collect() if x["piece"] == "▁" + w), 1) for w in words]
+            assert r["back"].replace(" ", "") == "".join(want)
+        else:
+            assert r["back"] == "".join(c if c in known or c == " " else "⁇" for c in " ".join(words))
+
+
+def test_bpe_segment_equals_repeated_best_merge():
+    rnd = random.Random(2)
+    for _ in range(300):
+        pieces = {}
+        for _ in range(12):
+            pieces.setdefault("".join(rnd.choice("ab") for _ in range(rnd.randint(2, 5))), len(pieces))
+        word = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 14)))
+        sym = list(word)
+        while True:
+            ranked = [(pieces[a + b], i) for i, (a, b) in enumerate(zip(sym, sym[1:])) if a + b in pieces]
+            if not ranked:
+                break
+            i = min(ranked)[1]
+            sym[i:i + 2] = [sym[i] + sym[i + 1]]
+        assert bpe.bpe_segment(word, pieces) == sym
 
 
 def test_oov_summary_all_counts_both_columns_of_train(spark, monkeypatch):
@@ -130,7 +254,11 @@ def test_trainers_read_long_lines(spark, monkeypatch, kind):
     assert got == {"some": 1, "words": 1, "here": 1, "short": 1, "filler": 5000, "zebra": 1, "end": 1, "mid": 1500}
 
 
-def test_unigram_mstep_of_tiny_counts():
+def test_unigram_mstep_of_tiny_counts(spark):
+    from decimal import Decimal
+
     from textlab.operators.tokenizers.unigram import _mstep
-    got = _mstep({"a": 5e-324, "b": 1e6}, set())
-    assert got["b"] == 0.0 and -800 < got["a"] < -700
+    counts = spark.createDataFrame([("ab", Decimal(1)), ("b", Decimal(10**30)), (None, Decimal(-5))], "piece string, c decimal(38,0)")
+    table = spark.createDataFrame([("a", 0.0), ("ab", 0.0), ("b", 0.0), ("bb", 0.0)], "piece string, logp double")
+    got = {r["piece"]: r["logp"] for r in _mstep(counts, table).collect()}
+    assert set(got) == {"a", "ab", "b"} and got["b"] == 0.0 and got["ab"] < -60 and got["a"] < got["ab"]

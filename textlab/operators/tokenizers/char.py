@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.operators.common import attach
+from textlab.operators.tokenizers.arrow import encode_points
 from textlab.operators.tokenizers.vocab import (
-    DEFAULT_VOCAB_SIZE, IDS_TYPE, SPACE, SPECIAL_PIECES, UNK, broadcast_piece_to_id, with_specials)
+    DEFAULT_VOCAB_SIZE, SPACE, SPECIAL_PIECES, piece_ids, with_specials)
 
 
 def char_counts(words: DataFrame) -> DataFrame:
@@ -38,23 +38,6 @@ def train_char_vocab(words: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, cov
     return with_specials(words.sparkSession, ranked)
 
 
-def char_encode_udf(bc):
-    @F.pandas_udf(IDS_TYPE)
-    def enc(s: pd.Series) -> pd.Series:
-        d = bc.value
-
-        def one(t):
-            if t is None:
-                return []
-            norm = " ".join(t.split())
-            if not norm:
-                return []
-            return [d.get(c, UNK) for c in SPACE + norm.replace(" ", SPACE)]
-        return s.map(one)
-    return enc
-
-
 def encode_char(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """K6: ``▁`` + text with spaces as ``▁``, one id per character (unk when absent)."""
-    bc = broadcast_piece_to_id(df.sparkSession, vocab)
-    return df.withColumn(out, char_encode_udf(bc)(F.coalesce(F.col(col), F.lit(""))))
+    """K6: ``▁`` + text with spaces as ``▁``, one id per character (unk when absent); map-only, whole batches."""
+    return df.withColumn(out, encode_points(piece_ids(vocab))(F.coalesce(F.col(col), F.lit(""))))

@@ -2,46 +2,49 @@
 
 Training runs on the table of distinct training words with counts:
 
-* seeds: all substrings (1..16 characters) of the distinct words, weighted
-  by ``count * length`` -- an explode + ``groupBy`` job; the ``seed_size``
-  heaviest plus every single character form the initial pieces;
-* E-step: forward-backward over each word's segmentation lattice inside
-  ``mapInPandas`` (pieces broadcast; a partition emits one partial sum per
-  piece), M-step: ``groupBy(piece).sum`` of the expected counts, then
-  log-probabilities ``log(c / sum c)``;
-* pruning: each piece's loss is its expected count times the log-probability
-  it adds over its best alternative segmentation (Viterbi over the other
-  pieces); the lowest-loss pieces go (never single characters) until the
-  target size is reached, 25 % per round at most.
-
-Only the piece table (bounded by ``seed_size``) reaches the driver.
+* characters outside the ``coverage`` of all characters get no piece; a word's lattice crosses them at a fixed cost;
+* seeds: the substrings (2..16 characters) that occur twice or more, weighted by ``count * length``. Partitions emit partial counts
+  whenever they hold many, and a ``groupBy`` adds them up; the ``seed_size`` heaviest, and every covered character, are the first pieces;
+* E-step: forward-backward over each word's segmentation lattice; a partition emits whole-number sums of expected counts, so
+  that no order of summation shows in the result;
+* M-step and pruning are queries on the piece table: log-probabilities ``log(c / sum c)``, and a piece's loss, its
+  expected count times the log-probability it adds over its best segmentation by other pieces. The pieces of largest
+  loss stay, 75 % a round, until the target is reached; characters always stay.
+
+What a step needs of the model, the piece table of at most ``seed_size`` rows and the alphabet, is a broadcast variable.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.operators.tokenizers.vocab import (
-    IDS_TYPE, SPACE, SPECIAL_PIECES, UNK, VOCAB_SCHEMA, broadcast_piece_to_id, specials)
-from textlab.session import conf_override, materialize, partitions_for
+from textlab.operators.common import attach
+from textlab.operators.tokenizers.arrow import encode_words
+from textlab.operators.tokenizers.vocab import SPACE, SPECIAL_PIECES, piece_ids, specials
+from textlab.session import conf_override, materialize, partitions_for, release
 
 # --- fixed values -----------------------------------------------------------
 MAX_PIECE_LEN = 16
-SEED_FACTOR = 10
-MAX_SEED = 1_000_000
+SEED_SIZE = 100_000
+COVERAGE = 0.9995
 EM_STEPS = 2
 SHRINK = 0.75
 UNK_PENALTY = 10.0
 # ----------------------------------------------------------------------------
+UNITS = 1 << 20                 # whole-number parts of an expected count
+HELD = 500_000                  # partial sums that a task holds
 
 NEG_INF = float("-inf")
+_LP = ""  # key of a piece's log-probability inside a trie node (never a character)
 
 
 def _logsumexp(vals: list) -> float:
+    if len(vals) == 1:
+        return vals[0]
     if not vals:
         return NEG_INF
     m = max(vals)
@@ -50,9 +53,6 @@ def _logsumexp(vals: list) -> float:
     return m + math.log(sum(math.exp(v - m) for v in vals))
 
 
-_LP = ""  # key of a piece's log-probability inside a trie node (never a character)
-
-
 def build_trie(logp: dict) -> dict:
     """Character trie of the pieces; a node holds its piece's log-probability under ``_LP``."""
     root: dict = {}
@@ -64,228 +64,228 @@ def build_trie(logp: dict) -> dict:
     return root
 
 
-def lattice(w: str, trie: dict, max_len: int = MAX_PIECE_LEN):
-    """Edges (start, end, piece, log p) of ``w``, found by walking the trie from every
-    start (only prefixes of existing pieces are visited)."""
-    L = len(w)
-    ends: list = [[] for _ in range(L + 1)]
-    starts: list = [[] for _ in range(L + 1)]
-    for i in range(L):
-        node = trie
-        for j in range(i, min(L, i + max_len)):
+def lattice(w: str, trie: dict, max_len: int = MAX_PIECE_LEN, unk_logp: float | None = None) -> list:
+    """Edges (end, piece, log p) of ``w`` from every start, found by walking the trie (only prefixes of pieces are visited). A
+    character without a piece is crossed at ``unk_logp``, if given, by an edge without a piece."""
+    n = len(w)
+    starts: list = []
+    for i in range(n):
+        node, edges = trie, []
+        for j in range(i, min(n, i + max_len)):
             node = node.get(w[j])
             if node is None:
                 break
             lp = node.get(_LP)
             if lp is not None:
-                e = (i, j + 1, w[i:j + 1], lp)
-                ends[j + 1].append(e)
-                starts[i].append(e)
-    return ends, starts
-
-
-def forward_backward(w: str, logp: dict, max_len: int = MAX_PIECE_LEN, trie: dict | None = None):
-    """Expected piece counts for one word and its log-likelihood.
-
-    The lattice edges are collected once (trie walk); forward, backward and the
-    expected counts then run over the edges only.
-    """
-    L = len(w)
-    ends, starts = lattice(w, trie if trie is not None else build_trie(logp), max_len)
-    alpha = [NEG_INF] * (L + 1)
+                edges.append((j + 1, w[i:j + 1], lp))
+        if unk_logp is not None and not (edges and edges[0][0] == i + 1):
+            edges.append((i + 1, None, unk_logp))
+        starts.append(edges)
+    return starts
+
+
+def forward_backward(w: str, trie: dict, max_len: int = MAX_PIECE_LEN, unk_logp: float | None = None):
+    """Expected piece counts for one word and its log-likelihood."""
+    n, starts = len(w), lattice(w, trie, max_len, unk_logp)
+    into: list = [[] for _ in range(n + 1)]
+    alpha = [NEG_INF] * (n + 1)
     alpha[0] = 0.0
-    for j in range(1, L + 1):
-        alpha[j] = _logsumexp([alpha[i] + lp for i, _, _, lp in ends[j] if alpha[i] != NEG_INF])
-    z = alpha[L]
+    for i in range(n):
+        if i:
+            alpha[i] = _logsumexp(into[i])
+        if alpha[i] != NEG_INF:
+            for j, _, lp in starts[i]:
+                into[j].append(alpha[i] + lp)
+    z = _logsumexp(into[n]) if n else 0.0
     if z == NEG_INF:
         return {}, NEG_INF
-    beta = [NEG_INF] * (L + 1)
-    beta[L] = 0.0
-    for i in range(L - 1, -1, -1):
-        beta[i] = _logsumexp([lp + beta[j] for _, j, _, lp in starts[i] if beta[j] != NEG_INF])
-    exp_counts: dict = {}
-    for i in range(L):
-        ai = alpha[i]
-        if ai == NEG_INF:
+    beta = [NEG_INF] * n + [0.0]
+    counts: dict = {}
+    for i in range(n - 1, -1, -1):
+        beta[i] = _logsumexp([lp + beta[j] for j, _, lp in starts[i] if beta[j] != NEG_INF])
+        if alpha[i] == NEG_INF:
             continue
-        for _, j, p, lp in starts[i]:
-            if beta[j] == NEG_INF:
-                continue
-            c = math.exp(ai + lp + beta[j] - z)
-            if c > 0:
-                exp_counts[p] = exp_counts.get(p, 0.0) + c
-    return exp_counts, z
+        for j, p, lp in starts[i]:
+            if p is not None and beta[j] != NEG_INF:
+                counts[p] = counts.get(p, 0.0) + math.exp(alpha[i] + lp + beta[j] - z)
+    return counts, z
 
 
-def viterbi(w: str, logp: dict, max_len: int = MAX_PIECE_LEN, exclude: str | None = None,
-            unk_logp: float | None = None):
+def viterbi(w: str, trie: dict, max_len: int = MAX_PIECE_LEN, exclude: str | None = None, unk_logp: float | None = None):
     """Best segmentation of ``w`` (list of pieces) and its log-probability.
 
     Characters without a piece become single-character pieces scored
     ``unk_logp`` when given (encoding), otherwise they make ``w`` unsegmentable.
     """
-    L = len(w)
-    best = [NEG_INF] * (L + 1)
-    back = [-1] * (L + 1)
+    n, starts = len(w), lattice(w, trie, max_len, unk_logp)
+    best, back = [NEG_INF] * (n + 1), [-1] * (n + 1)
     best[0] = 0.0
-    for j in range(1, L + 1):
-        for i in range(max(0, j - max_len), j):
-            if best[i] == NEG_INF:
-                continue
-            p = w[i:j]
-            lp = logp.get(p) if p != exclude else None
-            if lp is None and unk_logp is not None and j - i == 1:
-                lp = unk_logp
-            if lp is not None and best[i] + lp > best[j]:
-                best[j] = best[i] + lp
-                back[j] = i
-    if best[L] == NEG_INF:
+    for i in range(n):
+        if best[i] == NEG_INF:
+            continue
+        for j, p, lp in starts[i]:
+            if best[i] + lp > best[j] and (exclude is None or p != exclude):
+                best[j], back[j] = best[i] + lp, i
+    if best[n] == NEG_INF:
         return None, NEG_INF
-    out, j = [], L
+    out, j = [], n
     while j > 0:
-        i = back[j]
-        out.append(w[i:j])
-        j = i
-    return out[::-1], best[L]
-
-
-def _estep(state: DataFrame, logp: dict, max_len: int):
-    bc = state.sparkSession.sparkContext.broadcast(logp)
-
-    def run(it):
-        table = bc.value
-        trie = build_trie(table)
-        acc: dict = {}
-        ll = 0.0
-        for pdf in it:
-            for w, n in zip(pdf["w"], pdf["n"]):
-                ec, z = forward_backward(w, table, max_len, trie)
-                ll += n * z
-                for p, c in ec.items():
-                    acc[p] = acc.get(p, 0.0) + n * c
-        yield pd.DataFrame({"piece": list(acc) + [None], "c": list(acc.values()) + [ll]})
-
-    out = state.mapInPandas(run, "piece STRING, c DOUBLE")
-    agg = out.groupBy("piece").agg(F.sum("c").alias("c")).collect()  # one row per piece: bounded
-    counts = {r["piece"]: r["c"] for r in agg if r["piece"] is not None}
-    ll = sum(r["c"] for r in agg if r["piece"] is None)
-    bc.unpersist()
-    return counts, ll
-
-
-def _mstep(counts: dict, keep: set) -> dict:
-    tot = sum(c for p, c in counts.items() if c > 0)
-    out = {p: math.log(c) - math.log(tot) for p, c in counts.items() if c > 0}  # c / tot can underflow
-    floor = min(out.values()) - UNK_PENALTY if out else -UNK_PENALTY
-    for p in keep:  # single characters never disappear
-        out.setdefault(p, floor)
-    return out
-
-
-def seed_pieces(state: DataFrame, seed_size: int, max_len: int = MAX_PIECE_LEN) -> dict:
-    """Initial pieces: the heaviest substrings (count x length) plus all characters.
-
-    Substrings are enumerated per partition in ``mapInPandas`` (one partial
-    count per distinct substring and partition) and summed with ``groupBy``.
-    """
-    def subs(it):
-        acc: dict = {}
-        for pdf in it:
-            for w, n in zip(pdf["w"], pdf["n"]):
-                L = len(w)
-                for i in range(L):
-                    for j in range(i + 1, min(L, i + max_len) + 1):
+        out.append(w[back[j]:j])
+        j = back[j]
+    return out[::-1], best[n]
+
+
+# ---- training ------------------------------------------------------------------------
+
+def alphabet(state: DataFrame, coverage: float) -> DataFrame:
+    """(piece, n): the most frequent characters until ``coverage`` of all is reached (ties by code point)."""
+    counts = state.select(F.explode(F.split("w", "")).alias("piece"), "n").where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").cast("double").alias("total"))
+    w = Window.orderBy(F.desc("n"), "piece").rowsBetween(Window.unboundedPreceding, -1)          # the alphabet: a few thousand rows
+    return attach(counts, total).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(
+        F.col("before") < F.lit(coverage) * F.col("total")).select("piece", "n")
+
+
+def seed_pieces(state: DataFrame, seed_size: int, coverage: float = COVERAGE, max_len: int = MAX_PIECE_LEN) -> DataFrame:
+    """(piece, n): the covered characters, and the ``seed_size`` heaviest substrings of them that occur more than once."""
+    chars = materialize(alphabet(state, coverage), "unigram_chars")
+    known = state.sparkSession.sparkContext.broadcast({r["piece"] for r in chars.collect()})
+
+    def subs(batches):
+        covered, acc = known.value, {}
+
+        def part():
+            out = pa.record_batch({"piece": pa.array(acc.keys(), pa.string()), "n": pa.array(acc.values(), pa.int64())})
+            acc.clear()
+            return out
+
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i in range(len(w)):
+                    if w[i] not in covered:
+                        continue
+                    for j in range(i + 2, min(len(w), i + max_len) + 1):
+                        if w[j - 1] not in covered:
+                            break
                         p = w[i:j]
-                        acc[p] = acc.get(p, 0.0) + n
-        yield pd.DataFrame({"piece": list(acc), "n": list(acc.values())})
+                        acc[p] = acc.get(p, 0) + n
+                if len(acc) > HELD:
+                    yield part()
+        yield part()
 
-    weights = state.mapInPandas(subs, "piece STRING, n DOUBLE").groupBy("piece").agg(F.sum("n").alias("freq"))
-    weights = weights.withColumn("wt", F.col("freq") * F.length("piece"))
-    top = weights.where(F.length("piece") > 1).orderBy(F.desc("wt"), "piece").limit(seed_size).collect()
-    chars = weights.where(F.length("piece") == 1).collect()  # the alphabet: bounded
-    freqs = {r["piece"]: float(r["freq"]) for r in chars}
-    freqs.update({r["piece"]: float(r["freq"]) for r in top})
-    tot = sum(freqs.values())
-    return {p: math.log(f / tot) for p, f in freqs.items()}
+    counts = state.select("w", "n").mapInArrow(subs, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
+    heavy = counts.orderBy(F.desc(F.col("n") * F.length("piece")), "piece").limit(seed_size)
+    return chars.unionByName(heavy)
 
 
-def _em_prune(state, logp, target, max_len, em_steps, shrink, history):
-    chars = {p for p in logp if len(p) == 1}
-    while True:
-        for _ in range(em_steps):
-            ec, ll = _estep(state, logp, max_len)
-            if history is not None:
-                history.append((len(logp), ll))
-            logp = _mstep(ec, chars)
-        if len(logp) <= target:
-            return logp
-        # pruning loss on the piece table (bounded by the seed size)
-        losses = []
-        for p, lp in logp.items():
-            if len(p) == 1:
-                continue
-            _, alt = viterbi(p, logp, max_len, exclude=p)
-            c = ec.get(p, 0.0)
-            losses.append((c * (lp - alt) if alt != NEG_INF else float("inf"), p))
-        losses.sort()
-        n_drop = min(len(logp) - target, max(1, int(len(logp) * (1 - shrink))))
-        for _, p in losses[:n_drop]:
-            logp.pop(p, None)
-
-
-def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = None, max_len: int = MAX_PIECE_LEN,
-                  em_steps: int = EM_STEPS, shrink: float = SHRINK, history: list | None = None,
-                  rows_per_partition: int = 50_000) -> DataFrame:
-    """K4: vocabulary = 4 specials + pieces by log-probability (score = log p)."""
+class _Model:
+    """The piece table as a broadcast trie, for one step."""
+
+    def __init__(self, table: DataFrame):
+        rows = table.select("piece", "logp").collect()                   # at most seed_size and the alphabet
+        self.shared = table.sparkSession.sparkContext.broadcast({r["piece"]: r["logp"] for r in rows})
+
+
+def _trie_of(shared):
+    logp = shared.value
+    return build_trie(logp), min(logp.values(), default=0.0) - UNK_PENALTY
+
+
+def _estep(state: DataFrame, table: DataFrame, max_len: int) -> DataFrame:
+    """(piece, c, ll): expected counts in whole numbers of 1 / UNITS; the row without a piece has the likelihood, in the same units."""
+    shared = _Model(table).shared
+
+    def run(batches):
+        trie, unk = _trie_of(shared)
+        acc, ll = {}, 0
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts, z = forward_backward(w, trie, max_len, unk)
+                ll += round(n * z * UNITS)
+                for p, c in counts.items():
+                    acc[p] = acc.get(p, 0) + round(n * c * UNITS)
+        yield pa.record_batch({"piece": pa.array([*acc, None], pa.string()), "c": pa.array([*acc.values(), ll], pa.decimal128(38, 0))})
+
+    return state.select("w", "n").mapInArrow(run, "piece string, c decimal(38,0)").groupBy("piece").agg(F.sum("c").cast("decimal(38,0)").alias("c"))
+
+
+def _mstep(counts: DataFrame, table: DataFrame) -> DataFrame:
+    """(piece, c, logp): log shares of the expected counts; pieces without any go, but characters keep a floor."""
+    have = counts.where("piece is not null and c > 0")
+    total = have.agg(F.sum("c").cast("double").alias("total"), F.min("c").cast("double").alias("least"))
+    lp = F.round(F.when(F.col("c") > 0, F.log(F.col("c").cast("double")) - F.log("total")).otherwise(
+        F.log("least") - F.log("total") - F.lit(UNK_PENALTY)), 9)
+    kept = table.select("piece").join(have, "piece", "left").where((F.col("c") > 0) | (F.length("piece") == 1))
+    return attach(kept, total).select("piece", F.coalesce(F.col("c"), F.lit(0)).cast("decimal(38,0)").alias("c"), lp.alias("logp"))
+
+
+def _losses(table: DataFrame, max_len: int) -> DataFrame:
+    """The pieces of two characters and more with the ``loss`` of leaving each out."""
+    shared = _Model(table).shared
+
+    def run(batches):
+        trie, _ = _trie_of(shared)
+        for b in batches:
+            loss = []
+            for p, c, lp in zip(*(x.to_pylist() for x in b.columns)):
+                _, alt = viterbi(p, trie, max_len, exclude=p)
+                loss.append(c * (lp - alt) if alt != NEG_INF else float("inf"))
+            yield pa.record_batch({"piece": b.column(0), "logp": b.column(2), "loss": pa.array(loss, pa.float64())})
+
+    long = table.where(F.length("piece") > 1).select("piece", F.col("c").cast("double").alias("c"), "logp")
+    return long.repartition("piece").mapInArrow(run, "piece string, logp double, loss double")
+
+
+def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = SEED_SIZE, max_len: int = MAX_PIECE_LEN,
+                  em_steps: int = EM_STEPS, shrink: float = SHRINK, coverage: float = COVERAGE, history: list | None = None,
+                  rows_per_partition: int = 20_000) -> DataFrame:
+    """K4: vocabulary = 4 specials + pieces by log-probability (score = log p). ``history`` receives (pieces, likelihood) of every E-step."""
     spark = words.sparkSession
-    counts = words.select(F.concat(F.lit(SPACE), F.col("word")).alias("w")).groupBy("w").agg(
-        F.count("*").cast("double").alias("n"))
-    # size the state by its rows (distinct words): the E-step is CPU-bound, and
-    # AQE would otherwise coalesce a small table into a single partition
-    n_rows = counts.count()
-    n_parts = partitions_for(spark, n_rows, rows_per_partition)
-    state = materialize(counts.repartition(n_parts, "w"), "unigram0")
+    counts = materialize(words.select(F.concat(F.lit(SPACE), F.col("word")).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "unigram_words")
+    n_parts = partitions_for(spark, counts.count(), rows_per_partition)      # by distinct words: the E-step is CPU-bound
+    state = materialize(counts.repartition(n_parts, "w"), "unigram")
+    release(counts)
     target = max(1, vocab_size - len(SPECIAL_PIECES))
-    logp = seed_pieces(state, seed_size or min(MAX_SEED, SEED_FACTOR * vocab_size), max_len)
     # EM rounds are a fixed loop of small jobs: static plans, no adaptive re-planning
     with conf_override(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(n_parts)}):
-        logp = _em_prune(state, logp, target, max_len, em_steps, shrink, history)
-    ranked = sorted(logp.items(), key=lambda t: (-t[1], t[0]))[:target]
-    rows = [(i + len(SPECIAL_PIECES), p, round(lp, 6)) for i, (p, lp) in enumerate(ranked)]
-    return specials(spark).unionByName(spark.createDataFrame(rows, VOCAB_SCHEMA))
-
-
-def unigram_encode_udf(bc_piece_to_id, bc_logp):
-    @F.pandas_udf(IDS_TYPE)
-    def enc(s: pd.Series) -> pd.Series:
-        d, logp = bc_piece_to_id.value, bc_logp.value
-        unk_lp = (min(logp.values()) if logp else 0.0) - UNK_PENALTY
-        memo: dict = {}
-
-        def word_ids(w):
-            r = memo.get(w)
-            if r is None:
-                pieces, _ = viterbi(SPACE + w, logp, MAX_PIECE_LEN, unk_logp=unk_lp)
-                r = [d.get(p, UNK) for p in (pieces or [])]
-                if len(memo) < 500_000:
-                    memo[w] = r
-            return r
-
-        def one(t):
-            if t is None:
-                return []
-            out = []
-            for w in t.split():
-                out.extend(word_ids(w))
-            return out
-        return s.map(one)
-    return enc
+        seeds = seed_pieces(state, seed_size or SEED_SIZE, coverage, max_len)
+        total = seeds.agg(F.sum("n").cast("double").alias("total"))
+        table = materialize(attach(seeds, total).select("piece", F.round(F.log(F.col("n") / F.col("total")), 9).alias("logp")), "unigram_pieces")
+        table = _em_prune(state, table, target, max_len, em_steps, shrink, history)
+    release(state)
+    top = table.orderBy(F.desc("logp"), "piece").limit(target)
+    w = Window.orderBy(F.desc("logp"), "piece")                              # at most vocab_size rows
+    ranked = top.select((F.row_number().over(w) + len(SPECIAL_PIECES) - 1).cast("int").alias("id"), "piece", F.round("logp", 6).alias("score"))
+    return specials(spark).unionByName(ranked)
+
+
+def _em_prune(state, table, target, max_len, em_steps, shrink, history) -> DataFrame:
+    while True:
+        for _ in range(em_steps):
+            counts = materialize(_estep(state, table, max_len), "unigram_counts")
+            if history is not None:
+                ll = counts.where("piece is null").first()
+                history.append((table.count(), float(ll["c"]) / UNITS if ll else 0.0))
+            before, table = table, materialize(_mstep(counts, table), "unigram_pieces")
+            release(before, counts)
+        n = table.count()
+        if n <= target:
+            return table
+        chars = table.where(F.length("piece") == 1)
+        keep = max(target, math.ceil(n * shrink)) - chars.count()
+        if keep <= 0:                          # characters alone fill the vocabulary
+            return chars
+        kept = _losses(table, max_len).orderBy(F.desc("loss"), "piece").limit(keep)
+        before, table = table, materialize(kept.select("piece", "logp").unionByName(chars.select("piece", "logp")), "unigram_pieces")
+        release(before)
 
 
 def encode_unigram(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """K8: Viterbi segmentation of each whitespace word under the piece log-probabilities."""
-    spark = df.sparkSession
-    rows = vocab.where(F.col("id") >= len(SPECIAL_PIECES)).select("piece", "score").collect()  # bounded
-    bcl = spark.sparkContext.broadcast({r["piece"]: float(r["score"]) for r in rows})
-    bc = broadcast_piece_to_id(spark, vocab)
-    return df.withColumn(out, unigram_encode_udf(bc, bcl)(F.coalesce(F.col(col), F.lit(""))))
+    """K8: Viterbi segmentation of each whitespace word under the piece log-probabilities; map-only, a task segments every distinct word once."""
+    rows = vocab.where(F.col("id") >= len(SPECIAL_PIECES)).select("piece", "score").collect()          # at most vocab_size
+    scores = vocab.sparkSession.sparkContext.broadcast({r["piece"]: float(r["score"]) for r in rows})
+
+    def segmenter(_: dict):
+        trie, unk = _trie_of(scores)
+        return lambda w: viterbi(SPACE + w, trie, MAX_PIECE_LEN, unk_logp=unk)[0] or []
+    return df.withColumn(out, encode_words(piece_ids(vocab), segmenter)(F.coalesce(F.col(col), F.lit(""))))

@@ -1,29 +1,23 @@
 """Vocabulary tables and the Arrow lookups shared by all tokenizers.
 
 A vocabulary is a DataFrame ``(id INT, piece STRING, score DOUBLE)`` of at
-most ``vocab_size`` rows. It is the only thing that reaches the driver: it is
-collected once (bounded by the vocabulary size) and shipped to executors as a
-broadcast variable, so encoding and decoding are map-only (no shuffle of the
-token stream).
+most ``vocab_size`` rows, which is its size bound as a broadcast variable.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.functions.text import concat_fields, pretokens
 from textlab.operators.common import attach
+from textlab.operators.tokenizers.arrow import BOS, EOS, PAD, SPACE, UNK, decode_pieces  # noqa: F401
 
 # --- fixed values -----------------------------------------------------------
-PAD, UNK, BOS, EOS = 0, 1, 2, 3
 SPECIAL_PIECES = ["<pad>", "<unk>", "<s>", "</s>"]
-SPACE = "▁"          # word-boundary marker
 UNK_SURFACE = "⁇"    # text shown for an unknown id when decoding
 DEFAULT_VOCAB_SIZE = 32000
-MAX_VOCAB_COLLECT = 1_000_000
 # ----------------------------------------------------------------------------
 
 VOCAB_SCHEMA = "id INT, piece STRING, score DOUBLE"
@@ -76,49 +70,16 @@ def write_vocab_text(vocab: DataFrame, path: str) -> None:
      .coalesce(1).write.mode("overwrite").text(path))
 
 
-def collect_vocab(vocab: DataFrame) -> list[tuple[int, str]]:
-    """Driver copy of a vocabulary (bounded by its size; refuses data-sized tables)."""
-    n = vocab.count()
-    if n > MAX_VOCAB_COLLECT:
-        raise ValueError(f"vocabulary of {n} rows is too large to broadcast")
-    return [(int(r["id"]), r["piece"]) for r in vocab.select("id", "piece").collect()]
-
-
-def broadcast_piece_to_id(spark: SparkSession, vocab: DataFrame):
-    return spark.sparkContext.broadcast({p: i for i, p in collect_vocab(vocab)})
-
-
-def broadcast_id_to_piece(spark: SparkSession, vocab: DataFrame):
-    return spark.sparkContext.broadcast({i: p for i, p in collect_vocab(vocab)})
+def piece_ids(vocab: DataFrame):
+    """Broadcast piece -> id. A vocabulary has at most ``vocab_size`` rows, whatever the corpus."""
+    rows = vocab.select("id", "piece").collect()
+    return vocab.sparkSession.sparkContext.broadcast({r["piece"]: int(r["id"]) for r in rows})
 
 
 IDS_TYPE = T.ArrayType(T.IntegerType())
 
 
-def decode_udf(bc_id_to_piece, unk_surface: str = UNK_SURFACE):
+def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out: str = "text", unk_surface: str = UNK_SURFACE):
     """K9: ids -> text. pad/bos/eos are dropped, unk shows as ``unk_surface``;
     the boundary marker becomes a space and the leading space is removed."""
-    drop = {PAD, BOS, EOS}
-
-    @F.pandas_udf(T.StringType())
-    def dec(s: pd.Series) -> pd.Series:
-        d = bc_id_to_piece.value
-
-        def one(ids):
-            if ids is None:
-                return None
-            parts = []
-            for i in ids:
-                i = int(i)
-                if i in drop:
-                    continue
-                parts.append(unk_surface if i == UNK else d.get(i, unk_surface))
-            out = "".join(parts).replace(SPACE, " ")
-            return out[1:] if out.startswith(" ") else out
-        return s.map(one)
-    return dec
-
-
-def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out: str = "text", unk_surface: str = UNK_SURFACE):
-    spark = df.sparkSession
-    return df.withColumn(out, decode_udf(broadcast_id_to_piece(spark, vocab), unk_surface)(F.col(ids_col)))
+    return df.withColumn(out, decode_pieces(piece_ids(vocab), unk_surface)(F.col(ids_col)))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlab.operators.tokenizers.arrow import encode_lookup
 from textlab.operators.tokenizers.vocab import (
-    DEFAULT_VOCAB_SIZE, IDS_TYPE, SPACE, SPECIAL_PIECES, UNK, broadcast_piece_to_id, rank_pieces, with_specials)
+    DEFAULT_VOCAB_SIZE, SPACE, SPECIAL_PIECES, piece_ids, rank_pieces, with_specials)
 
 
 def train_word_vocab(words: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
@@ -19,15 +19,6 @@ def train_word_vocab(words: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE) ->
     return with_specials(words.sparkSession, ranked)
 
 
-def word_encode_udf(bc):
-    @F.pandas_udf(IDS_TYPE)
-    def enc(s: pd.Series) -> pd.Series:
-        d = bc.value
-        return s.map(lambda t: [d.get(SPACE + w, UNK) for w in t.split()] if t is not None else [])
-    return enc
-
-
 def encode_word(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """K5: whitespace words -> ids (unk when absent); map-only, vocab broadcast."""
-    bc = broadcast_piece_to_id(df.sparkSession, vocab)
-    return df.withColumn(out, word_encode_udf(bc)(F.coalesce(F.col(col), F.lit(""))))
+    """K5: whitespace words -> ids (unk when absent); map-only, one hash lookup of a batch's words."""
+    return df.withColumn(out, encode_lookup(piece_ids(vocab))(F.coalesce(F.col(col), F.lit(""))))
