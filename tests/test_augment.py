@@ -4,18 +4,36 @@ import hashlib
 import math
 import re
 
+import pytest
+
 from textlab.operators import augment as AG
 
-LEX = [("run", "VERB", ["race", "rush"]), ("fast", "ADJ", ["quick"]), ("quick", "ADJ", ["fast"]),
-       ("the", "DET", []), ("very", "ADV", ["really"]), ("jump", "VERB", []), ("cat", "NOUN", ["kitty"])]
-TEXTS = ["The cat will run very fast , then jump .", "Run run RUN fast quick", "", "nothing here matches",
-         "the the the run"]
+LEX = [("run", "VERB"), ("race", "VERB"), ("rush", "VERB"), ("fast", "ADJ"), ("fine", "ADJ"), ("the", "DET"), ("very", "ADV"),
+       ("jump", "VERB"), ("cat", "NOUN"), ("rare", "VERB"), ("fresh", "ADJ")]                  # by rank
+
+
+def synonyms(word):
+    """The other entries of a word's POS and first letter, in order."""
+    pos = dict(LEX).get(word)
+    return sorted(w for w, p in LEX if p == pos and w[0] == word[0] and w != word)
+
+
+def lexicon(spark):
+    rows = []
+    for i, (w, p) in enumerate(LEX, 1):
+        group = sorted(x for x, q in LEX if q == p and x[0] == w[0])
+        rows.append((w, p, w[0], i, group.index(w), len(group)))
+    return spark.createDataFrame(rows, "token STRING, pos STRING, letter STRING, rank BIGINT, member BIGINT, members BIGINT")
+
+
+TEXTS = ["The cat will run very fast , then jump .", "Run run RUN fast fresh Rare rare", "", "nothing here matches",
+         "the the the run", None, "rush fine " * 300]
 PRETOKEN = re.compile(r"\d+|\w+|[^\w\s]")
 
 
 def py_augment(doc_id, text, ratio=0.15, seed=42):
-    lex = {t: (p, s) for t, p, s in LEX}
-    toks = PRETOKEN.findall(text)
+    lex = {t: (p, synonyms(t)) for t, p in LEX}
+    toks = PRETOKEN.findall(text or "")
     rows = []
     for i, t in enumerate(toks):
         if re.fullmatch(r"[^\w]+", t):
@@ -40,14 +58,33 @@ def py_augment(doc_id, text, ratio=0.15, seed=42):
     return " ".join(out), len(rows), len(cands), len(chosen), content
 
 
-def test_augment_matches_python(spark):
-    lex = spark.createDataFrame(LEX, "token STRING, pos STRING, synonyms ARRAY<STRING>")
-    df = spark.createDataFrame([(i, "a", t) for i, t in enumerate(TEXTS)], "doc_id BIGINT, field STRING, text STRING")
-    got = {r["doc_id"]: r for r in AG.augment_docs(df, ["doc_id", "field"], "text", lex, ratio=0.3).collect()}
+@pytest.mark.parametrize("hot", [0, 4, 100])
+def test_augment_matches_python(spark, hot):
+    df = spark.createDataFrame([(i, "a", t, 7) for i, t in enumerate(TEXTS)], "doc_id BIGINT, field STRING, text STRING, member INT").repartition(3)
+    got = {r["doc_id"]: r for r in AG.augment_docs(df, ["doc_id", "field"], "text", lexicon(spark), ratio=0.3, hot=hot).collect()}
+    assert len(got) == len(TEXTS)
     for i, t in enumerate(TEXTS):
         text, total, cand, repl, content = py_augment(i, t, ratio=0.3)
         r = got[i]
         assert r["aug_text"] == text
-        assert (r["tokens_total"], r["tokens_candidate"], r["tokens_replaced"], r["content_tokens"]) == \
+        assert (r["tokens_total"], r["tokens_candidate"], r["tokens_replaced"], r["content_tokens"] or 0) == \
             (total, cand, repl, content)
         assert r["replace_ratio_actual"] == repl / max(1, content)
+        assert all(r[f"before_{p}"] == r[f"after_{p}"] for p in AG.TAGS)
+    assert got[6]["tokens_replaced"] > 0
+
+
+def test_lexicon_holds_all_words_with_their_places(spark, tmp_path):
+    from collections import Counter
+
+    from textlab.sources import tables
+    texts = ["the cat sat Sat cats", "the dog 12 x_y ok", None, "", "zebra the", "dot dig den"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["token"]: r for r in tables.lexicon(spark, str(tmp_path)).collect()}
+    counts = Counter(w for t in texts for w in PRETOKEN.findall(t or "") if re.fullmatch("[a-z]+", w))
+    assert set(got) == set(counts)
+    assert [t for t, _ in sorted(got.items(), key=lambda x: x[1]["rank"])] == sorted(counts, key=lambda t: (-counts[t], t))
+    for t, r in got.items():
+        group = sorted(x for x in got if got[x]["pos"] == r["pos"] and x[0] == t[0])
+        assert (r["letter"], r["member"], r["members"]) == (t[0], group.index(t), len(group))
+    assert got["dig"]["members"] == 4

@@ -71,3 +71,34 @@ def test_rouge_n_matches_python(spark):
         rc = ov / max(sum(rg.values()), 1)
         f = 2 * pr * rc / (pr + rc) if pr + rc > 0 else 0.0
         assert abs(got[k]["rouge2_f"] - f) < 1e-12
+
+
+def test_greedy_match_and_cosine_against_numpy(spark):
+    import numpy as np
+
+    from textlab.operators.vectors import doc_cosine, greedy_match
+    rng = np.random.default_rng(1)
+    vec = {w: rng.normal(size=5) for w in "abcdefgh"}
+    vec["zero"] = np.zeros(5)
+    table = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()], "token string, vec array<double>")
+    rnd = random.Random(3)
+    words = [*"abcdefgh", "zero", "other"]
+    rows = [(k, k % 3, rnd.choices(words, k=rnd.randint(0, 9)), rnd.choices(words, k=rnd.randint(0, 9))) for k in range(80)] + [(99, 0, None, ["a"]), (100, 0, ["a"] * 500, ["a"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, p array<string>, r array<string>").repartition(3)
+    got = {r["conv_id"]: r for r in greedy_match(df, ["conv_id", "turn"], "p", "r", table, 0.1).collect()}
+    cos = df.selectExpr("conv_id", "explode(array(struct('p' as side, p as t), struct('r' as side, r as t))) as s").selectExpr("conv_id", "s.side", "explode(s.t) as tok")
+    near = {r["conv_id"]: r["cosine"] for r in doc_cosine(cos, ["conv_id"], "side", "tok", table, "p", "r").collect()}
+    assert len(got) == len(rows)
+    for k, _, p, r in rows:
+        a, b = ([vec[w] for w in x or [] if w in vec] for x in (p, r))
+        if not a or not b:
+            assert got[k]["precision"] is None and got[k]["f1"] is None
+            continue
+        unit = [np.array([v / (np.linalg.norm(v) or 1) for v in x]) for x in (a, b)]
+        sim = unit[0] @ unit[1].T
+        pr, rc = sim.max(axis=1).mean(), sim.max(axis=0).mean()
+        f = 2 * pr * rc / (pr + rc) if pr + rc else 0.0
+        assert np.allclose([got[k]["precision"], got[k]["recall"], got[k]["f1"]], [(x - 0.1) / 0.9 for x in (pr, rc, f)])
+        x, y = sum(a), sum(b)
+        if np.linalg.norm(x) > 0 and np.linalg.norm(y) > 0:
+            assert abs(near[k] - x @ y / np.linalg.norm(x) / np.linalg.norm(y)) < 1e-9

@@ -1,21 +1,21 @@
-"""Synonym-replacement augmentation as one Spark job.
+"""Synonym-replacement augmentation.
 
-Per (document, field):
+The lexicon (``token, pos, letter, rank, member, members``) holds all words and is never broadcast whole. Per (document, field):
 
-1. pre-tokens are exploded with their position and tagged by a broadcast
-   join to the lexicon (a bounded dimension table); punctuation is tagged by
+1. pre-tokens are tagged by the lexicon: the ``HOT_TOKENS`` entries of lowest rank are a broadcast of fixed size; of the other
+   words, a document's different ones are looked up by key and come back as one map a document. Punctuation is tagged by
    pattern and unlisted words default to NOUN (G5);
-2. candidates are VERB/ADJ/ADV tokens; synonyms exclude the word itself,
-   case-insensitively (J4, F6);
+2. candidates are VERB/ADJ/ADV tokens; synonyms are the other members of the entry's group, so their number is
+   ``members - 1`` (J4, F6);
 3. ``k = min(int(content * ratio), candidates)`` where content excludes
    PUNCT/DET (F7); the candidates that have synonyms are ranked by a seeded
    hash and the first ``k`` are replaced (W5) -- the same outcome as drawing
    candidates without replacement until ``k`` draws have a synonym;
-4. the synonym is picked by a second seeded hash (W6);
-5. tokens are reassembled in position order and joined by single spaces (G1).
+4. a second seeded hash gives the place of the synonym in its group, and a join on (pos, letter, place) fetches it (W6);
+   only replaced tokens take part, and their places are spread evenly;
+5. the replaced tokens come back as one map a document and are put into the token array (G1).
 
-The text rows are hash-partitioned by (document, field) once, before the
-explode; the window (step 3) and the aggregation (step 5) reuse that
+Texts are hash-partitioned by (document, field) before the explode; the window (step 3) and the counts reuse that
 partitioning, so exploded token rows are never shuffled.
 """
 
@@ -35,6 +35,8 @@ RARE_LABELS = ("SCONJ", "INTJ", "X", "SYM", "SPACE")
 PUNCT_RE = r"^[^\p{L}\p{N}_]+$"
 SEED = 42
 # ----------------------------------------------------------------------------
+HOT_TOKENS = 50_000         # entries of the lexicon, the most frequent ones, that every task holds
+# ----------------------------------------------------------------------------
 
 
 def _key_str(keys, pos_col: str, seed: int, suffix: str | None = None) -> Column:
@@ -49,37 +51,39 @@ def hash_int(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
 
 
-def tag_tokens(df: DataFrame, keys, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """``(*keys, pos_in_doc, token, tag, synonyms)`` with a broadcast lexicon join.
-
-    The text rows are hash-partitioned by ``keys`` *before* the explode: the
-    compact text moves once, and the per-document window and aggregation
-    downstream find their distribution already satisfied (no shuffle of the
-    exploded token rows).
-    """
-    toks = df.repartition(*keys).select(
-        *keys, F.posexplode_outer(pretokens(text_col)).alias("pos_in_doc", "token"))
-    lex = lexicon.select(F.col("token").alias("__lk"), F.col("pos").alias("__lpos"),
-                         F.col("synonyms").alias("__syn"))
-    # the lexicon is bounded by construction (LEXICON_SIZE rows)
-    t = toks.join(F.broadcast(lex), F.lower(F.col("token")) == F.col("__lk"), "left")
+_ENTRY = ("pos", "letter", "member", "members")
+
+
+def tag_tokens(df: DataFrame, keys, text_col: str, lexicon: DataFrame, hot: int = HOT_TOKENS) -> DataFrame:
+    """``(*keys, pos_in_doc, token, tag, pos, letter, member, members)``; the entry's columns are NULL for words outside the
+    lexicon. An empty text is one row without a token."""
+    k = list(keys)
+    entry = F.struct(*[F.col(c) for c in _ENTRY])
+    frequent = lexicon.where(F.col("rank") <= hot).select(F.col("token").alias("__hot"), entry.alias("__hot_entry"))      # at most ``hot`` rows
+    rare = lexicon.where(F.col("rank") > hot).select(F.col("token").alias("__rare"), entry.alias("__entry"))
+    words = df.select(*k, F.explode(F.array_distinct(F.transform(pretokens(text_col), lambda t: F.lower(t)))).alias("__word"))
+    words = words.where(F.col("__word").rlike("^[a-z]+$")).join(F.broadcast(frequent.select("__hot")), F.col("__word") == F.col("__hot"), "left_anti")
+    found = (words.join(rare, F.col("__word") == F.col("__rare")).groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(k)])
+             .agg(F.map_from_entries(F.collect_list(F.struct("__word", "__entry"))).alias("__found")))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(k)]
+    toks = df.select(*k, text_col).repartition(*k).join(found, same, "left").select(
+        *k, F.posexplode_outer(pretokens(text_col)).alias("pos_in_doc", "token"), "__found")
+    word = F.lower(F.col("token"))
+    t = toks.join(F.broadcast(frequent), word == F.col("__hot"), "left")
+    e = F.coalesce(F.col("__hot_entry"), F.when(F.col("__found").isNotNull(), F.try_element_at("__found", word)))
+    t = t.select(*k, "pos_in_doc", "token", e.alias("__e"))
     tag = (F.when(F.col("token").isNull(), F.lit(None))
            .when(F.col("token").rlike(PUNCT_RE), "PUNCT")
-           .otherwise(F.coalesce(F.col("__lpos"), F.lit("NOUN"))))
-    # synonyms matter only for candidates: evaluate the (interpreted) filter lambda there only
-    empty = F.array().cast("array<string>")
-    syn = F.when(tag.isin(*CANDIDATE_POS) & F.col("__syn").isNotNull(),
-                 F.filter(F.col("__syn"), lambda x: F.lower(x) != F.lower(F.col("token")))).otherwise(empty)
-    return t.select(*keys, "pos_in_doc", "token", tag.alias("tag"), syn.alias("synonyms"))
+           .otherwise(F.coalesce(F.col("__e.pos"), F.lit("NOUN"))))
+    return t.select(*k, "pos_in_doc", "token", tag.alias("tag"), *[F.col(f"__e.{c}").alias(c) for c in _ENTRY])
 
 
 def choose_replacements(tagged: DataFrame, keys, ratio: float = REPLACE_RATIO, seed: int = SEED) -> DataFrame:
-    """Mark the replaced tokens and pick their synonyms."""
+    """The tokens with ``is_cand``, ``content`` (content tokens of the document), ``replace`` and, for replaced
+    ones, ``pick``, the place of the synonym in its group."""
     w = Window.partitionBy(*keys)
-    is_cand = F.col("tag").isin(*CANDIDATE_POS)
-    has_syn = is_cand & (F.size("synonyms") > 0)
-    d = tagged.withColumn("is_cand", F.coalesce(is_cand, F.lit(False))).withColumn(
-        "has_syn", F.coalesce(has_syn, F.lit(False)))
+    is_cand = F.coalesce(F.col("tag").isin(*CANDIDATE_POS), F.lit(False))
+    d = tagged.withColumn("is_cand", is_cand).withColumn("has_syn", is_cand & (F.coalesce("members", F.lit(0)) > 1))
     d = d.withColumn("content", F.count_if(F.col("token").isNotNull() & ~F.col("tag").isin(*NON_CONTENT_POS)).over(w))
     d = d.withColumn("n_cand", F.count_if(F.col("is_cand")).over(w))
     d = d.withColumn("k", F.least(F.floor(F.col("content") * F.lit(ratio)), F.col("n_cand")))
@@ -87,43 +91,51 @@ def choose_replacements(tagged: DataFrame, keys, ratio: float = REPLACE_RATIO, s
     rank_w = Window.partitionBy(*keys).orderBy(
         F.desc("has_syn"), F.when(F.col("has_syn"), F.md5(_key_str(keys, "pos_in_doc", seed))))
     d = d.withColumn("replace", F.col("has_syn") & (F.row_number().over(rank_w) <= F.col("k")))
-    pick = F.element_at(F.array_sort("synonyms"),
-                        (F.pmod(hash_int(_key_str(keys, "pos_in_doc", seed, "syn")),
-                                F.greatest(F.size("synonyms"), F.lit(1))) + 1).cast("int"))
-    return d.withColumn("out_token", F.when(F.col("replace"), pick).otherwise(F.col("token"))).drop("k", "n_cand")
+    at = F.pmod(hash_int(_key_str(keys, "pos_in_doc", seed, "syn")), F.greatest(F.col("members") - 1, F.lit(1)))
+    return d.withColumn("pick", F.when(F.col("replace"), at + (at >= F.col("member")).cast("bigint"))).drop("k", "n_cand")
+
+
+def picked(chosen: DataFrame, keys, lexicon: DataFrame) -> DataFrame:
+    """``(*keys, pos_in_doc, token, tag, out_token, out_tag)`` of the replaced tokens."""
+    by_place = lexicon.select("pos", "letter", F.col("member").alias("pick"), F.col("token").alias("out_token"))
+    return (chosen.where("replace").select(*keys, "pos_in_doc", "token", "tag", "pos", "letter", "pick")
+            .join(by_place, ["pos", "letter", "pick"]).select(*keys, "pos_in_doc", "token", "tag", "out_token", F.col("pos").alias("out_tag")))
 
 
-def retag(df: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Tag of the output token (the augmented text re-tagged with the same lexicon)."""
-    lex = lexicon.select(F.col("token").alias("__lk2"), F.col("pos").alias("__lpos2"))
-    t = df.join(F.broadcast(lex), F.lower(F.col("out_token")) == F.col("__lk2"), "left")
-    tag = (F.when(F.col("out_token").isNull(), F.lit(None))
-           .when(F.col("out_token").rlike(PUNCT_RE), "PUNCT")
-           .otherwise(F.coalesce(F.col("__lpos2"), F.lit("NOUN"))))
-    return t.withColumn("out_tag", tag).drop("__lk2", "__lpos2")
+def with_picks(df: DataFrame, keys, text_col: str, picks: DataFrame, out: str = "out_tokens") -> DataFrame:
+    """``df`` with the token array of ``text_col`` after the replacements."""
+    k = list(keys)
+    maps = picks.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(k)]).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos_in_doc", "out_token"))).alias("__picks"))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(k)]
+    toks = F.transform(pretokens(text_col), lambda t, i: F.coalesce(F.try_element_at("__picks", i), t))
+    return df.join(maps, same, "left").withColumn(out, F.when(F.col("__picks").isNull(), pretokens(text_col)).otherwise(toks)).drop(
+        "__picks", *[f"__k{i}" for i in range(len(k))])
 
 
 def augment_docs(df: DataFrame, keys, text_col: str, lexicon: DataFrame, ratio: float = REPLACE_RATIO,
-                 seed: int = SEED) -> DataFrame:
+                 seed: int = SEED, chosen: DataFrame | None = None, picks: DataFrame | None = None, hot: int = HOT_TOKENS) -> DataFrame:
     """G1-G3 + A14 inputs: augmented text and per-document statistics.
 
     Output: keys, ``aug_text``, tokens_total, tokens_candidate, tokens_replaced,
     content_tokens, replace_ratio_actual, replaced_{ADJ,ADV,VERB} and per-tag
-    counts before/after (``before_<TAG>``, ``after_<TAG>``).
+    counts before/after (``before_<TAG>``, ``after_<TAG>``). ``chosen`` and ``picks`` may be given where they are written already.
     """
-    t = retag(choose_replacements(tag_tokens(df, keys, text_col, lexicon), keys, ratio, seed), lexicon)
-    ordered = F.array_sort(F.collect_list(F.struct("pos_in_doc", "out_token")))
+    chosen = chosen if chosen is not None else choose_replacements(tag_tokens(df, keys, text_col, lexicon, hot), keys, ratio, seed)
+    picks = picks if picks is not None else picked(chosen, keys, lexicon)
+    # a synonym has the POS of its group, that of the word it replaces
     aggs = [
-        F.array_join(F.transform(ordered, lambda s: s["out_token"]), " ").alias("aug_text"),
         F.count("token").alias("tokens_total"),
         F.count_if("is_cand").alias("tokens_candidate"),
         F.count_if("replace").alias("tokens_replaced"),
         F.max("content").alias("content_tokens"),
         *[F.count_if(F.col("replace") & (F.col("tag") == p)).alias(f"replaced_{p}") for p in ("ADJ", "ADV", "VERB")],
         *[F.count_if(F.col("tag") == p).alias(f"before_{p}") for p in TAGS],
-        *[F.count_if(F.col("out_tag") == p).alias(f"after_{p}") for p in TAGS],
+        *[F.count_if(F.when(F.col("replace"), F.col("pos")).otherwise(F.col("tag")) == p).alias(f"after_{p}") for p in TAGS],
     ]
-    g = t.groupBy(*keys).agg(*aggs)
+    stats = chosen.groupBy(*keys).agg(*aggs)
+    texts = with_picks(df.select(*keys, text_col), keys, text_col, picks).select(*keys, F.array_join("out_tokens", " ").alias("aug_text"))
+    g = texts.join(stats, list(keys))
     return g.withColumn("replace_ratio_actual",
                         F.col("tokens_replaced") / F.greatest(F.lit(1), F.col("content_tokens")).cast("double"))
 

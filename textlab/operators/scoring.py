@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.functions.stem import stem
+from textlab.sources.tables import DEFAULT_POS, POS_BY_LEN_MOD6
 
 # --- fixed values -----------------------------------------------------------
 ROUGE_TOKEN_RE = "[^a-z0-9]+"
@@ -125,7 +126,14 @@ def rouge_l(df: DataFrame, keys, pred_tokens: str, ref_tokens: str) -> DataFrame
         *keys, F.col("__s.p").alias("rougeL_p"), F.col("__s.r").alias("rougeL_r"), F.col("__s.f").alias("rougeL_f"))
 
 
-def meteor_one(hyp, ref, synonyms: dict | None = None, alpha=METEOR_ALPHA, beta=METEOR_BETA,
+def same_synonym_group(a: str, b: str) -> bool:
+    """Whether the lexicon counts two words as synonyms: POS and first letter agree (POS goes by word length)."""
+    def pos(w):
+        return POS_BY_LEN_MOD6.get(len(w) % 6, DEFAULT_POS)
+    return a != b and a[:1] == b[:1] and pos(a) == pos(b) and all(w.isascii() and w.isalpha() for w in (a, b))
+
+
+def meteor_one(hyp, ref, synonyms=None, alpha=METEOR_ALPHA, beta=METEOR_BETA,
                gamma=METEOR_GAMMA) -> float:
     """Unigram METEOR: exact, then stem, then synonym matching; fragmentation penalty."""
     hyp = [h.lower() for h in hyp]
@@ -154,7 +162,7 @@ def meteor_one(hyp, ref, synonyms: dict | None = None, alpha=METEOR_ALPHA, beta=
     stage(lambda a, b: a == b)
     stage(lambda a, b: stem(a) == stem(b))
     if synonyms:
-        stage(lambda a, b: b in synonyms.get(a, ()))
+        stage(synonyms)
     m = len(matches)
     if m == 0:
         return 0.0
@@ -169,11 +177,11 @@ def meteor_one(hyp, ref, synonyms: dict | None = None, alpha=METEOR_ALPHA, beta=
     return fmean * (1 - penalty)
 
 
-def meteor_udf(bc_synonyms=None):
+def meteor_udf(synonyms=None):
+    """``synonyms``: a test of two lower-case words."""
     @F.pandas_udf(T.DoubleType())
     def score(pred: pd.Series, ref: pd.Series) -> pd.Series:
-        syn = bc_synonyms.value if bc_synonyms is not None else None
-        return pd.Series([meteor_one(list(a) if a is not None else [], list(b) if b is not None else [], syn)
+        return pd.Series([meteor_one(list(a) if a is not None else [], list(b) if b is not None else [], synonyms)
                           for a, b in zip(pred, ref)])
     return score
 

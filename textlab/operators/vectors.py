@@ -1,37 +1,39 @@
 """Vector arithmetic over token-vector tables.
 
-Token vectors are a dimension table ``(token, vec ARRAY<DOUBLE>)`` whose size
-is bounded by the lexicon, so it is the broadcast side of every join here.
+Token vectors are a table ``(token, vec ARRAY<DOUBLE>)`` with a row for every word of the lexicon. It grows with the
+vocabulary, so tokens meet their vectors in joins by key; frequent tokens are counted per document first,
+and what is left of their skew is split by adaptive execution.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from textlab.session import materialize, partitions_for
+
+BLOCK_ROWS = 20_000             # (pair, side, token) rows of a block of pairs
 
 
 def doc_cosine(tokens: DataFrame, keys, side_col: str, tok_col: str, vectors: DataFrame,
                side_a: str, side_b: str) -> DataFrame:
     """Cosine between the summed vectors of two sides of each document.
 
-    Token rows are joined to their vector (broadcast), exploded to
+    The different tokens of a side are counted, joined to their vectors by key, exploded to
     components and summed per (document, side, component) -- partial
     aggregation collapses them map-side -- then dot product and norms are
     one more aggregation. Documents where a side has no vector get NULL.
     """
     k = list(keys)
     v = vectors.select(F.col("token").alias("__t"), F.col("vec").alias("__vec"))
-    j = tokens.join(F.broadcast(v), F.lower(F.col(tok_col)) == F.col("__t"))
-    comp = j.select(*k, side_col, F.posexplode("__vec").alias("__dim", "__x"))
-    sums = comp.groupBy(*k, side_col, "__dim").agg(F.sum("__x").alias("__x"))
-    a = sums.where(F.col(side_col) == side_a).select(*k, "__dim", F.col("__x").alias("__xa"))
-    b = sums.where(F.col(side_col) == side_b).select(*k, "__dim", F.col("__x").alias("__xb"))
-    d = a.join(b, [*k, "__dim"]).groupBy(*k).agg(
+    counted = tokens.groupBy(*k, side_col, F.lower(F.col(tok_col)).alias("__t")).agg(F.count("*").cast("double").alias("__n"))
+    comp = counted.join(v, "__t").select(*k, side_col, "__n", F.posexplode("__vec").alias("__dim", "__x"))
+    sums = comp.groupBy(*k, "__dim").agg(*[F.sum(F.when(F.col(side_col) == s, F.col("__n") * F.col("__x"))).alias(c)
+                                           for s, c in ((side_a, "__xa"), (side_b, "__xb"))])
+    d = sums.groupBy(*k).agg(
         F.sum(F.col("__xa") * F.col("__xb")).alias("__dot"),
         F.sum(F.col("__xa") * F.col("__xa")).alias("__na"),
         F.sum(F.col("__xb") * F.col("__xb")).alias("__nb"))
@@ -40,58 +42,61 @@ def doc_cosine(tokens: DataFrame, keys, side_col: str, tok_col: str, vectors: Da
     return d.select(*k, cos.alias("cosine"))
 
 
-def _norm_rows(m: np.ndarray) -> np.ndarray:
+def _unit_rows(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     n[n == 0] = 1.0
     return m / n
 
 
-def greedy_match_udf(bc_vectors, baseline: float | None = None):
+def _match_block(keys, baseline: float | None):
+    """Rows (keys, is_pred, n, vec) of a block of pairs -> (keys, precision, recall, f1)."""
+    def run(t: pa.Table) -> pa.Table:
+        names = [pa.compute.dictionary_encode(t.column(c).combine_chunks()).indices.to_numpy() for c in keys]
+        order = np.lexsort((t.column("is_pred").to_numpy(), *names))
+        vec = t.column("vec").combine_chunks()
+        x = _unit_rows(vec.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)[order])
+        n, pred = t.column("n").to_numpy()[order].astype(np.float64), t.column("is_pred").to_numpy()[order]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in names], axis=0)
+        start = np.flatnonzero(new)
+        out = []
+        for a, z in zip(start, [*start[1:], t.num_rows]):
+            m = a + int(np.count_nonzero(~pred[a:z]))
+            if m == a or m == z:
+                out.append((None, None, None))
+                continue
+            sim = x[m:z] @ x[a:m].T
+            p = float((sim.max(axis=1) * n[m:z]).sum() / n[m:z].sum())
+            r = float((sim.max(axis=0) * n[a:m]).sum() / n[a:m].sum())
+            f = 2 * p * r / (p + r) if p + r != 0 else 0.0
+            if baseline is not None:
+                p, r, f = ((s - baseline) / (1 - baseline) for s in (p, r, f))
+            out.append((p, r, f))
+        cols = {c: t.column(c).take(pa.array(order[start])) for c in keys}
+        return pa.table({**cols, **{c: pa.array([o[i] for o in out], pa.float64()) for i, c in enumerate(("precision", "recall", "f1"))}})
+    return run
+
+
+def greedy_match(pairs: DataFrame, keys, pred_tokens: str, ref_tokens: str, vectors: DataFrame, baseline: float | None = None) -> DataFrame:
     """E5: BERTScore-style greedy matching per pair.
 
     Each prediction token is matched to its most similar reference token
     (cosine) and vice versa; P and R are the means of those maxima, F1 their
-    harmonic mean. Only tokens with a vector take part; the similarity matrix
-    is built over the *distinct* such tokens of each side (weighted by their
-    counts), so its size is capped by the bounded vector table, not by text
-    length. Optional baseline rescaling ``(x - b) / (1 - b)``.
+    harmonic mean. Only tokens with a vector take part; a pair without any on one side gets NULLs. With a ``baseline`` b each
+    score x becomes ``(x - b) / (1 - b)``.
+
+    The different tokens of each side, with their counts, meet their vectors in a join by token; the rows are
+    then dealt by pair to blocks of bounded size, and a block matches its pairs one by one (the
+    similarity matrix is different tokens by different tokens).
     """
-    schema = T.StructType([T.StructField("precision", T.DoubleType()),
-                           T.StructField("recall", T.DoubleType()),
-                           T.StructField("f1", T.DoubleType())])
-
-    @F.pandas_udf(schema)
-    def score(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        table = bc_vectors.value
-        out_p, out_r, out_f = [], [], []
-        for ps, rs in zip(pred, ref):
-            # distinct tokens with a vector and their occurrence counts: the
-            # similarity matrix is bounded by the vector table on both sides
-            pc = Counter(t for t in (ps if ps is not None else []) if t in table)
-            rc = Counter(t for t in (rs if rs is not None else []) if t in table)
-            if not pc or not rc:
-                out_p.append(None), out_r.append(None), out_f.append(None)
-                continue
-            pt, rt = list(pc), list(rc)
-            a = _norm_rows(np.asarray([table[t] for t in pt]))
-            b = _norm_rows(np.asarray([table[t] for t in rt]))
-            sim = a @ b.T
-            pw = np.asarray([pc[t] for t in pt], dtype=np.float64)
-            rw = np.asarray([rc[t] for t in rt], dtype=np.float64)
-            p = float((sim.max(axis=1) * pw).sum() / pw.sum())
-            r = float((sim.max(axis=0) * rw).sum() / rw.sum())
-            if baseline is not None:
-                p, r = (p - baseline) / (1 - baseline), (r - baseline) / (1 - baseline)
-            f = 2 * p * r / (p + r) if (p + r) != 0 else 0.0
-            out_p.append(p), out_r.append(r), out_f.append(f)
-        return pd.DataFrame({"precision": out_p, "recall": out_r, "f1": out_f})
-    return score
-
-
-def broadcast_vectors(vectors: DataFrame, limit: int = 100_000):
-    """Driver copy of a bounded token-vector table as a broadcast dict."""
-    n = vectors.count()
-    if n > limit:
-        raise ValueError(f"token-vector table of {n} rows is too large to broadcast")
-    d = {r["token"]: np.asarray(r["vec"], dtype=np.float64) for r in vectors.collect()}
-    return vectors.sparkSession.sparkContext.broadcast(d)
+    k = list(keys)
+    long = pairs.select(*k, F.explode(F.array(F.struct(F.lit(True).alias("is_pred"), F.col(pred_tokens).alias("toks")),
+                                              F.struct(F.lit(False).alias("is_pred"), F.col(ref_tokens).alias("toks")))).alias("s"))
+    long = long.select(*k, "s.is_pred", F.explode("s.toks").alias("token")).groupBy(*k, "is_pred", "token").agg(F.count("*").alias("n"))
+    long = materialize(long, "pair_tokens")
+    blocks = partitions_for(long.sparkSession, long.count(), BLOCK_ROWS)
+    rows = long.join(vectors.select("token", "vec"), "token").select(F.pmod(F.xxhash64(*k), F.lit(blocks)).alias("__block"), *k, "is_pred", "n", "vec")
+    types = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in k)
+    scores = rows.groupBy("__block").applyInArrow(_match_block(k, baseline), f"{types}, precision double, recall double, f1 double")
+    scores = scores.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(k)], "precision", "recall", "f1")
+    return pairs.select(*k).join(scores, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(k)], "left").select(*k, "precision", "recall", "f1")

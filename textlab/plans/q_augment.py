@@ -31,26 +31,34 @@ def lexicon(spark, sf_dir):
     return stage_table(spark, f"lexicon:{sf_dir}", lambda: tables.lexicon(spark, sf_dir))
 
 
-def token_rows(spark, sf_dir):
-    lex = lexicon(spark, sf_dir)
-    return AG.retag(AG.choose_replacements(AG.tag_tokens(fields(spark, sf_dir), KEYS, "text", lex), KEYS), lex)
+def tagged(spark, sf_dir):
+    """Every pre-token with its tag and lexicon entry."""
+    return AG.tag_tokens(fields(spark, sf_dir), KEYS, "text", lexicon(spark, sf_dir))
+
+
+def chosen(spark, sf_dir):
+    """Every pre-token with the decision to replace it, written once."""
+    return stage_table(spark, f"chosen:{sf_dir}", lambda: AG.choose_replacements(tagged(spark, sf_dir), KEYS))
+
+
+def picks(spark, sf_dir):
+    """The replaced tokens with their synonyms, written once."""
+    return stage_table(spark, f"picks:{sf_dir}", lambda: AG.picked(chosen(spark, sf_dir), KEYS, lexicon(spark, sf_dir)))
 
 
 def augmented(spark, sf_dir):
-    return stage_table(spark, f"augmented:{sf_dir}",
-                       lambda: AG.augment_docs(fields(spark, sf_dir), KEYS, "text", lexicon(spark, sf_dir)))
+    return stage_table(spark, f"augmented:{sf_dir}", lambda: AG.augment_docs(
+        fields(spark, sf_dir), KEYS, "text", lexicon(spark, sf_dir), chosen=chosen(spark, sf_dir), picks=picks(spark, sf_dir)))
 
 
 # ---- DuckDB side ------------------------------------------------------------
 LEX = f"""WITH c AS (SELECT tok AS token, count(*) AS n FROM (
     SELECT unnest(regexp_extract_all(text, '{S.PRETOKEN}')) AS tok FROM documents)
   WHERE regexp_full_match(tok, '[a-z]+') GROUP BY tok),
-top AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rank FROM c),
 t AS (SELECT token, CASE length(token) % 6 WHEN 0 THEN 'VERB' WHEN 1 THEN 'ADJ' WHEN 2 THEN 'ADV'
-  WHEN 3 THEN 'DET' ELSE 'NOUN' END AS pos, rank FROM top WHERE rank <= 2000),
-g AS (SELECT pos, substr(token, 1, 1) AS l, list_sort(list(token)) AS members FROM t GROUP BY 1, 2)
-SELECT t.token, t.pos, t.token AS lemma, t.rank, list_filter(g.members, lambda x: x <> t.token) AS synonyms
-FROM t JOIN g ON g.pos = t.pos AND g.l = substr(t.token, 1, 1)"""
+  WHEN 3 THEN 'DET' ELSE 'NOUN' END AS pos, substr(token, 1, 1) AS letter, row_number() OVER (ORDER BY n DESC, token) AS rank FROM c)
+SELECT token, pos, letter, token AS lemma, rank, row_number() OVER (PARTITION BY pos, letter ORDER BY token) - 1 AS member,
+  count(*) OVER (PARTITION BY pos, letter) AS members FROM t"""
 
 FIELDS = (f"SELECT doc_id, 'article' AS field, cleaned_text AS text FROM ({Q.CORPUS}) "
           f"UNION ALL SELECT doc_id, 'highlights' AS field, highlights AS text FROM ({Q.CORPUS})")
@@ -62,16 +70,16 @@ TOKROWS = f"""WITH lex AS ({LEX}),
 tk AS (SELECT doc_id, field, unnest(xs) AS token, generate_subscripts(xs, 1) - 1 AS pos_in_doc
   FROM (SELECT doc_id, field, regexp_extract_all(coalesce(text, ''), '{S.PRETOKEN}') AS xs FROM ({FIELDS}))),
 tg AS (SELECT tk.*, CASE WHEN regexp_full_match(tk.token, {_PUNCT}) THEN 'PUNCT' ELSE coalesce(l.pos, 'NOUN') END AS tag,
-  list_filter(coalesce(l.synonyms, []::VARCHAR[]), lambda x: lower(x) <> lower(tk.token)) AS syn
-  FROM tk LEFT JOIN lex l ON l.token = lower(tk.token)),
-w AS (SELECT *, tag IN ('VERB', 'ADJ', 'ADV') AS is_cand, (tag IN ('VERB', 'ADJ', 'ADV') AND len(syn) > 0) AS has_syn,
+  l.pos AS lpos, l.letter, l.member, l.members FROM tk LEFT JOIN lex l ON l.token = lower(tk.token)),
+w AS (SELECT *, tag IN ('VERB', 'ADJ', 'ADV') AS is_cand, (tag IN ('VERB', 'ADJ', 'ADV') AND coalesce(members, 0) > 1) AS has_syn,
   sum(CASE WHEN tag NOT IN ('PUNCT', 'DET') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, field) AS content,
   sum(CASE WHEN tag IN ('VERB', 'ADJ', 'ADV') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, field) AS n_cand FROM tg),
 r AS (SELECT *, least(floor(content * 0.15), n_cand) AS k,
   row_number() OVER (PARTITION BY doc_id, field ORDER BY has_syn DESC, md5({_K})) AS rk FROM w),
-o AS (SELECT *, (has_syn AND rk <= k) AS repl,
-  CASE WHEN has_syn AND rk <= k THEN list_sort(syn)[1 + (('0x' || substr(md5({_K} || ':syn'), 1, 8))::BIGINT % len(syn))]
-  ELSE token END AS out_token FROM r)
+d AS (SELECT *, (has_syn AND rk <= k) AS repl,
+  CASE WHEN has_syn AND rk <= k THEN ('0x' || substr(md5({_K} || ':syn'), 1, 8))::BIGINT % (members - 1) END AS at FROM r),
+o AS (SELECT d.*, CASE WHEN repl THEN s.token ELSE d.token END AS out_token
+  FROM d LEFT JOIN lex s ON s.pos = d.lpos AND s.letter = d.letter AND s.member = CASE WHEN d.at < d.member THEN d.at ELSE d.at + 1 END)
 SELECT o.*, CASE WHEN regexp_full_match(out_token, {_PUNCT}) THEN 'PUNCT' ELSE coalesce(l2.pos, 'NOUN') END AS out_tag
 FROM o LEFT JOIN lex l2 ON l2.token = lower(o.out_token)"""
 
@@ -103,26 +111,35 @@ CORPUS_SHARE = (f"SELECT phase, tag, s / sum(s) OVER (PARTITION BY phase) AS sha
 
 @register("lexicon_tag", f"SELECT doc_id, field, CAST(pos_in_doc AS INT) AS pos_in_doc, token, tag FROM ({TOKROWS})")
 def lexicon_tag(spark, sf_dir):
-    """POS tag of every pre-token via the broadcast lexicon (PUNCT by pattern, default NOUN)."""
-    t = AG.tag_tokens(fields(spark, sf_dir), KEYS, "text", lexicon(spark, sf_dir))
-    return t.where(F.col("token").isNotNull()).select(*KEYS, "pos_in_doc", "token", "tag")
+    """POS tag of every pre-token by the lexicon of all words (PUNCT by pattern, default NOUN)."""
+    return tagged(spark, sf_dir).where(F.col("token").isNotNull()).select(*KEYS, "pos_in_doc", "token", "tag")
 
 
-@register("synonym_lookup", f"SELECT doc_id, field, CAST(pos_in_doc AS INT) AS pos_in_doc, array_to_string(syn, ' ') AS synonyms "
-                            f"FROM ({TOKROWS}) WHERE is_cand")
+@register("synonym_lookup", f"""WITH x AS ({LEX}), t AS ({TOKROWS})
+SELECT t.doc_id, t.field, CAST(t.pos_in_doc AS INT) AS pos_in_doc, t.token, CAST(greatest(coalesce(t.members, 0) - 1, 0) AS BIGINT) AS n_synonyms,
+  f.token AS first_synonym, z.token AS last_synonym
+FROM t LEFT JOIN x f ON f.pos = t.lpos AND f.letter = t.letter AND t.members > 1 AND f.member = CASE WHEN t.member = 0 THEN 1 ELSE 0 END
+LEFT JOIN x z ON z.pos = t.lpos AND z.letter = t.letter AND t.members > 1 AND z.member = t.members - CASE WHEN t.member = t.members - 1 THEN 2 ELSE 1 END
+WHERE t.is_cand""")
 def synonym_lookup(spark, sf_dir):
-    """Synonyms of each candidate (lemma, POS), the word itself removed case-insensitively."""
-    t = AG.tag_tokens(fields(spark, sf_dir), KEYS, "text", lexicon(spark, sf_dir))
-    return t.where(F.col("tag").isin(*AG.CANDIDATE_POS)).select(
-        *KEYS, "pos_in_doc", F.array_join("synonyms", " ").alias("synonyms"))
+    """For each candidate the number of its synonyms (lemma, POS; the word itself is none, whatever its case), the first and the last."""
+    t = tagged(spark, sf_dir).where(F.col("tag").isin(*AG.CANDIDATE_POS))
+    ends = lexicon(spark, sf_dir).groupBy("pos", "letter").agg(                # a row for a POS and letter
+        F.max(F.when(F.col("member") == 0, F.col("token"))).alias("a0"), F.max(F.when(F.col("member") == 1, F.col("token"))).alias("a1"),
+        F.max(F.when(F.col("member") == F.col("members") - 1, F.col("token"))).alias("z0"),
+        F.max(F.when(F.col("member") == F.col("members") - 2, F.col("token"))).alias("z1"))
+    t = t.join(F.broadcast(ends), ["pos", "letter"], "left")
+    some = F.col("members") > 1
+    return t.select(*KEYS, "pos_in_doc", "token", F.greatest(F.coalesce("members", F.lit(0)) - 1, F.lit(0)).cast("bigint").alias("n_synonyms"),
+                    F.when(some, F.when(F.col("member") == 0, F.col("a1")).otherwise(F.col("a0"))).alias("first_synonym"),
+                    F.when(some, F.when(F.col("member") == F.col("members") - 1, F.col("z1")).otherwise(F.col("z0"))).alias("last_synonym"))
 
 
 @register("filter_pos_candidates", f"SELECT doc_id, field, CAST(pos_in_doc AS INT) AS pos_in_doc, token, tag "
                                    f"FROM ({TOKROWS}) WHERE is_cand")
 def filter_pos_candidates(spark, sf_dir):
     """VERB/ADJ/ADV tokens."""
-    t = AG.tag_tokens(fields(spark, sf_dir), KEYS, "text", lexicon(spark, sf_dir))
-    return t.where(F.col("tag").isin(*AG.CANDIDATE_POS)).select(*KEYS, "pos_in_doc", "token", "tag")
+    return tagged(spark, sf_dir).where(F.col("tag").isin(*AG.CANDIDATE_POS)).select(*KEYS, "pos_in_doc", "token", "tag")
 
 
 @register("filter_content_tokens", f"SELECT doc_id, field, CAST(content_tokens AS BIGINT) AS content_tokens FROM ({DOCS})")
@@ -134,14 +151,14 @@ def filter_content_tokens(spark, sf_dir):
 @register("sample_k_per_doc", f"SELECT doc_id, field, CAST(pos_in_doc AS INT) AS pos_in_doc FROM ({TOKROWS}) WHERE repl")
 def sample_k_per_doc(spark, sf_dir):
     """The k replaced positions per document field (seeded hash order among candidates with synonyms)."""
-    return token_rows(spark, sf_dir).where("replace").select(*KEYS, "pos_in_doc")
+    return chosen(spark, sf_dir).where("replace").select(*KEYS, "pos_in_doc")
 
 
 @register("pick_synonym", f"SELECT doc_id, field, CAST(pos_in_doc AS INT) AS pos_in_doc, token, out_token "
                           f"FROM ({TOKROWS}) WHERE repl")
 def pick_synonym(spark, sf_dir):
     """The synonym chosen for each replaced token."""
-    return token_rows(spark, sf_dir).where("replace").select(*KEYS, "pos_in_doc", "token", "out_token")
+    return picks(spark, sf_dir).select(*KEYS, "pos_in_doc", "token", "out_token")
 
 
 @register("augment_text", f"SELECT doc_id, field, aug_text FROM ({DOCS})")
@@ -261,12 +278,16 @@ FROM ({FIELDS}) d LEFT JOIN ({_SIM_ROWS}) r USING (doc_id, field)""")
 def semantic_similarity(spark, sf_dir):
     """Cosine between the mean word vectors of the original and the augmented text
     (mean and sum have the same direction); NULL when no token has a vector."""
+    from textlab.functions.text import pretokens
     from textlab.operators.vectors import doc_cosine
-    tr = token_rows(spark, sf_dir)
-    phases = tr.select(*KEYS, F.explode(F.array(
-        F.struct(F.lit("b").alias("phase"), F.col("token").alias("tok")),
-        F.struct(F.lit("a").alias("phase"), F.col("out_token").alias("tok")))).alias("s")).select(*KEYS, "s.*")
-    vecs = tables.token_vectors(spark, sf_dir)
-    sims = doc_cosine(phases, KEYS, "phase", "tok", vecs, "b", "a")
+    both = AG.with_picks(fields(spark, sf_dir), KEYS, "text", picks(spark, sf_dir))
+    sides = F.array(F.struct(F.lit("b").alias("phase"), pretokens("text").alias("toks")), F.struct(F.lit("a").alias("phase"), F.col("out_tokens").alias("toks")))
+    phases = both.select(*KEYS, F.explode(sides).alias("s")).select(*KEYS, "s.phase", F.explode("s.toks").alias("tok"))
+    sims = doc_cosine(phases, KEYS, "phase", "tok", vectors(spark, sf_dir), "b", "a")
     return fields(spark, sf_dir).select(*KEYS).join(sims, KEYS, "left").select(
         *KEYS, F.round("cosine", 6).alias("semantic_similarity"))
+
+
+def vectors(spark, sf_dir):
+    """A vector for every word of the lexicon, written once."""
+    return stage_table(spark, f"token_vectors:{sf_dir}", lambda: tables.token_vectors(spark, sf_dir, lexicon(spark, sf_dir)))

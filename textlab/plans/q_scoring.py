@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from textlab.operators import scoring as SC
-from textlab.operators.vectors import broadcast_vectors, greedy_match_udf
+from textlab.operators.vectors import greedy_match
 from textlab.plans import q_augment as QA
 from textlab.plans import q_tokens as QT
 from textlab.plans.registry import register
-from textlab.session import stage_table
 from textlab.sources import tables
 
 KEYS = ["conv_id", "turn"]
@@ -94,25 +93,18 @@ def porter_stem(spark, sf_dir):
     return SC.stem_table(toks, "token")
 
 
-def _synonyms_bc(spark, sf_dir):
-    lex = QA.lexicon(spark, sf_dir).select("token", "synonyms")
-    d = {r["token"]: frozenset(r["synonyms"]) for r in lex.collect()}  # bounded by the lexicon size
-    return spark.sparkContext.broadcast(d)
-
-
 @register("meteor")
 def meteor(spark, sf_dir):
     """METEOR (exact, stem and lexicon-synonym stages; alpha 0.9, beta 3, gamma 0.5) on whitespace tokens."""
     p = tables.score_pairs(spark, sf_dir)
-    u = SC.meteor_udf(_synonyms_bc(spark, sf_dir))
+    u = SC.meteor_udf(SC.same_synonym_group)
     return p.select(*KEYS, F.round(u(SC.whitespace_tokens("prediction"), SC.whitespace_tokens("reference")), 6)
                     .alias("meteor"))
 
 
-def _vectors(spark, sf_dir):
-    return stage_table(spark, f"token_vectors:{sf_dir}", lambda: tables.token_vectors(spark, sf_dir))
-
-
+# --- fixed values -----------------------------------------------------------
+MATCH_BASELINE = 0.25       # score of unrelated texts, which rescaling moves to 0
+# ----------------------------------------------------------------------------
 _TV = f"SELECT l.token, e.embedding::DOUBLE[] AS vec FROM ({QA.LEX}) l JOIN embeddings e ON e.vec_id = l.rank % (SELECT count(*) FROM embeddings)"
 _BERT = f"""WITH tv AS ({_TV}),
 pp AS (SELECT conv_id, turn, {_toks_sql('prediction')} AS pt, {_toks_sql('reference')} AS rt FROM ({PAIRS})),
@@ -122,20 +114,17 @@ rv AS (SELECT conv_id, turn, j, tv.vec FROM (SELECT conv_id, turn, unnest(rt) AS
   JOIN tv ON tv.token = x.tok),
 s AS (SELECT pv.conv_id, pv.turn, pv.i, rv.j, list_cosine_similarity(pv.vec, rv.vec) AS c FROM pv JOIN rv USING (conv_id, turn)),
 pm AS (SELECT conv_id, turn, avg(m) AS p FROM (SELECT conv_id, turn, i, max(c) AS m FROM s GROUP BY ALL) GROUP BY ALL),
-rm AS (SELECT conv_id, turn, avg(m) AS r FROM (SELECT conv_id, turn, j, max(c) AS m FROM s GROUP BY ALL) GROUP BY ALL)
-SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall,
-  round(CASE WHEN p IS NULL OR r IS NULL THEN NULL WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1
-FROM ({PAIRS}) LEFT JOIN pm USING (conv_id, turn) LEFT JOIN rm USING (conv_id, turn)"""
+rm AS (SELECT conv_id, turn, avg(m) AS r FROM (SELECT conv_id, turn, j, max(c) AS m FROM s GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT conv_id, turn, p, r, CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pm JOIN rm USING (conv_id, turn))
+SELECT conv_id, turn, {', '.join(f'round(({c} - {MATCH_BASELINE}) / (1 - {MATCH_BASELINE}), 6) AS {n}' for c, n in (('p', 'precision'), ('r', 'recall'), ('f1', 'f1')))}
+FROM ({PAIRS}) LEFT JOIN f USING (conv_id, turn)"""
 
 
 @register("greedy_embedding_match", _BERT)
 def greedy_embedding_match(spark, sf_dir):
-    """E5: greedy cosine matching of token vectors (BERTScore-style P, R, F1) per pair."""
-    bc = broadcast_vectors(_vectors(spark, sf_dir))
-    t = tokenized_pairs(spark, sf_dir)
-    s = greedy_match_udf(bc)(F.col("pt"), F.col("rt"))
-    return t.select(*KEYS, s.alias("s")).select(
-        *KEYS, *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+    """E5: greedy cosine matching of token vectors (BERTScore-style P, R, F1, rescaled) per pair."""
+    s = greedy_match(tokenized_pairs(spark, sf_dir), KEYS, "pt", "rt", QA.vectors(spark, sf_dir), MATCH_BASELINE)
+    return s.select(*KEYS, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @register("zip_pairs", """SELECT u.conv_id, u.turn, coalesce(u.text, '') AS reference, coalesce(a.text, '') AS prediction

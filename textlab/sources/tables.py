@@ -6,7 +6,7 @@ grows with the input; none is materialized on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.functions.text import pretokens
@@ -15,8 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 # --- fixed values -----------------------------------------------------------
-# Lexicon fixture: size, POS by word length modulo 6, candidate POS tags.
-LEXICON_SIZE = 2000
+# Lexicon fixture: POS by word length modulo 6.
 POS_BY_LEN_MOD6 = {0: "VERB", 1: "ADJ", 2: "ADV", 3: "DET"}  # others: NOUN
 DEFAULT_POS = "NOUN"
 PUNCT_POS = "PUNCT"
@@ -102,38 +101,34 @@ def weighted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(token, pos, lemma, rank, synonyms)``: a bounded dictionary built from the corpus.
+    """``(token, pos, letter, lemma, rank, member, members)``: the dictionary of all words of the corpus.
 
-    The ``LEXICON_SIZE`` most frequent lower-case alphabetic pre-tokens of
-    ``documents`` (count desc, token asc). POS is assigned by word length;
-    synonyms are the other entries with the same POS and first letter, sorted.
-    The table has at most ``LEXICON_SIZE`` rows, so it is safe to broadcast.
+    Entries are all lower-case alphabetic pre-tokens of ``documents``; ``rank`` is their place by (count desc, token asc). POS is assigned by
+    word length. The entries of one POS and first letter are synonyms of each other; ``member`` is an entry's place among them in
+    alphabetical order (from 0), ``members`` their number. So the n-th synonym of a word is a computed place, and no list of
+    synonyms is stored. The table grows with the vocabulary and stays distributed; both numberings are range-partitioned.
     """
+    from textlab.operators.prefix import global_row_number
     d = balanced(load(spark, sf_dir, "documents").select("text"))
     counts = (d.select(F.explode(pretokens("text")).alias("token"))
               .where(F.col("token").rlike("^[a-z]+$"))
               .groupBy("token").count())
-    top = counts.orderBy(F.desc("count"), "token").limit(LEXICON_SIZE)
     ln = F.length("token") % 6
     pos = F.lit(DEFAULT_POS)
     for m, tag in sorted(POS_BY_LEN_MOD6.items(), reverse=True):
         pos = F.when(ln == m, tag).otherwise(pos)
-    rk = Window.orderBy(F.desc("count"), "token")
-    top = top.select("token", pos.alias("pos"), F.col("token").alias("lemma"),
-                     F.row_number().over(rk).alias("rank"))
-    grp = Window.partitionBy("pos", F.substring("token", 1, 1))
-    return top.withColumn(
-        "synonyms",
-        F.array_sort(F.array_remove(F.collect_list("token").over(grp), F.col("token"))))
+    ranked = global_row_number(counts, [F.desc("count"), F.col("token")], out="rank").select(
+        "token", pos.alias("pos"), F.substring("token", 1, 1).alias("letter"), F.col("rank").cast("bigint").alias("rank"))
+    placed = global_row_number(ranked, ["pos", "letter", "token"], ["pos", "letter"], out="member")
+    sizes = placed.groupBy("pos", "letter").agg(F.count("*").alias("members"))        # one row for a POS and letter
+    return placed.join(sizes, ["pos", "letter"]).select(
+        "token", "pos", "letter", F.col("token").alias("lemma"), "rank", (F.col("member") - 1).cast("bigint").alias("member"), "members")
 
 
-def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(token, vec ARRAY<DOUBLE>)``: lexicon entry of rank r -> ``embeddings.vec_id`` = r modulo the rows of the table.
-
-    The lexicon side is bounded by ``LEXICON_SIZE`` rows and is the broadcast side.
-    """
+def token_vectors(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
+    """``(token, vec ARRAY<DOUBLE>)``: lexicon entry of rank r -> ``embeddings.vec_id`` = r modulo the rows of the table."""
     rows = max(1, load(spark, sf_dir, "embeddings").count())
-    lex = lexicon(spark, sf_dir).select("token", (F.col("rank") % rows).alias("vec_id"))
+    lex = (lexicon(spark, sf_dir) if lex is None else lex).select("token", (F.col("rank") % rows).alias("vec_id"))
     emb = load(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
-    return emb.join(F.broadcast(lex), "vec_id").select("token", "vec")
+    return emb.join(lex, "vec_id").select("token", "vec")
