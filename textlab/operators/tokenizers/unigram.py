@@ -34,6 +34,7 @@ COVERAGE = 0.9995
 EM_STEPS = 2
 SHRINK = 0.75
 UNK_PENALTY = 10.0
+ROOM = 1.1
 # ----------------------------------------------------------------------------
 UNITS = 1 << 20                 # whole-number parts of an expected count
 HELD = 500_000                  # partial sums that a task holds
@@ -246,12 +247,13 @@ def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = SEE
     state = materialize(counts.repartition(n_parts, "w"), "unigram")
     release(counts)
     target = max(1, vocab_size - len(SPECIAL_PIECES))
+    room = math.ceil(ROOM * target)                # EM stops a little above the target, as pieces may lose all their counts
     # EM rounds are a fixed loop of small jobs: static plans, no adaptive re-planning
     with conf_override(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(n_parts)}):
         seeds = seed_pieces(state, seed_size or SEED_SIZE, coverage, max_len)
         total = seeds.agg(F.sum("n").cast("double").alias("total"))
         table = materialize(attach(seeds, total).select("piece", F.round(F.log(F.col("n") / F.col("total")), 9).alias("logp")), "unigram_pieces")
-        table = _em_prune(state, table, target, max_len, em_steps, shrink, history)
+        table = _em_prune(state, table, room, max_len, em_steps, shrink, history)
     release(state)
     top = table.orderBy(F.desc("logp"), "piece").limit(target)
     w = Window.orderBy(F.desc("logp"), "piece")                              # at most vocab_size rows

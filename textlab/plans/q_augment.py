@@ -9,6 +9,7 @@ from textlab.operators import profile as PR
 from textlab.plans import sqlgen as S
 from textlab.plans import sqltok as Q
 from textlab.plans import tokenize as TK
+from textlab.plans import registry
 from textlab.plans.registry import register
 from textlab.session import stage_table
 from textlab.sources import tables
@@ -237,10 +238,14 @@ def augment_summary(spark, sf_dir):
     return PR.describe(augmented(spark, sf_dir), _DESC_COLS, ddof=1)
 
 
-@register("augment_union", f"""SELECT doc_id * 2 AS row_id, false AS is_augmented, cleaned_text, highlights FROM ({Q.CORPUS})
+_UNION = f"""SELECT doc_id * 2 AS row_id, false AS is_augmented, cleaned_text, highlights FROM ({Q.CORPUS})
 UNION ALL SELECT doc_id * 2 + 1, true, cleaned_text, highlights FROM (
   SELECT doc_id, max(CASE WHEN field = 'article' THEN aug_text END) AS cleaned_text,
-  max(CASE WHEN field = 'highlights' THEN aug_text END) AS highlights FROM ({DOCS}) GROUP BY doc_id)""")
+  max(CASE WHEN field = 'highlights' THEN aug_text END) AS highlights FROM ({DOCS}) GROUP BY doc_id)"""
+registry.PRELUDE["train_rows"] = f"SELECT row_id AS doc_id, cleaned_text, highlights FROM ({_UNION}) WHERE (row_id // 2) % 10 < 8"
+
+
+@register("augment_union", _UNION)
 def augment_union(spark, sf_dir):
     """Originals plus augmented copies (row count x2), fresh row ids."""
     orig = TK.corpus(spark, sf_dir).select((F.col("doc_id") * 2).alias("row_id"), F.lit(False).alias("is_augmented"),

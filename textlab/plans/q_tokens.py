@@ -17,7 +17,8 @@ from textlab.plans import preprocess as P
 from textlab.plans import sqlgen as S
 from textlab.plans import sqltok as Q
 from textlab.plans import tokenize as TK
-from textlab.plans.registry import register
+from textlab.plans.registry import PRELUDE, register
+from textlab.session import stage_table
 
 WV = TK.FIXTURE_VOCAB["word"]
 CV = TK.FIXTURE_VOCAB["char"]
@@ -42,14 +43,20 @@ def train_char_vocab(spark, sf_dir):
 
 def _encode_query(kind, v):
     def q(spark, sf_dir):
+        """Articles and highlights encoded."""
         e = TK.encoded(spark, sf_dir, kind)
-        return e.select("doc_id", F.size("article_ids").cast("bigint").alias("n_tokens"),
-                        _ids_text("article_ids").alias("ids"))
+        return e.select("doc_id", F.size("article_ids").cast("bigint").alias("n_tokens"), _ids_text("article_ids").alias("ids"),
+                        F.size("highlight_ids").cast("bigint").alias("highlight_tokens"), _ids_text("highlight_ids").alias("highlight_ids"))
     return q
 
 
-register("encode_word", Q.encoded_text("word", WV, "cleaned_text"))(_encode_query("word", WV))
-register("encode_char", Q.encoded_text("char", CV, "cleaned_text"))(_encode_query("char", CV))
+def _both_encoded(kind, v):
+    return (f"SELECT doc_id, a.n_tokens, a.ids, h.n_tokens AS highlight_tokens, h.ids AS highlight_ids "
+            f"FROM ({Q.encoded_text(kind, v, 'cleaned_text')}) a JOIN ({Q.encoded_text(kind, v, 'highlights')}) h USING (doc_id)")
+
+
+register("encode_word", _both_encoded("word", WV))(_encode_query("word", WV))
+register("encode_char", _both_encoded("char", CV))(_encode_query("char", CV))
 
 _DEC_ROWS = Q.token_rows("word", WV, "cleaned_text")
 
@@ -57,7 +64,7 @@ _DEC_ROWS = Q.token_rows("word", WV, "cleaned_text")
 @register("decode_ids", f"""SELECT c.doc_id, coalesce(CASE WHEN s LIKE ' %' THEN substr(s, 2) ELSE s END, '') AS text FROM
 ({Q.CORPUS}) c LEFT JOIN (
   SELECT e.doc_id, replace(string_agg(CASE WHEN e.id = 1 THEN '⁇' ELSE v.piece END, '' ORDER BY e.pos), '▁', ' ') AS s
-  FROM ({_DEC_ROWS}) e JOIN ({Q.word_vocab(WV)}) v ON v.id = e.id WHERE e.id NOT IN (0, 2, 3) GROUP BY e.doc_id
+  FROM ({_DEC_ROWS}) e JOIN ({Q.vocab('word', WV)}) v ON v.id = e.id WHERE e.id NOT IN (0, 2, 3) GROUP BY e.doc_id
 ) d USING (doc_id)""")
 def decode_ids(spark, sf_dir):
     """K9: decode the word encoding of each article back to text (unknown words show as ⁇)."""
@@ -67,7 +74,7 @@ def decode_ids(spark, sf_dir):
 
 
 @register("encode_stats", f"SELECT doc_id, token_article_len, article_unk, token_highlight_len, summary_unk "
-                          f"FROM ({Q.encode_stats('word', WV)})")
+                          f"FROM ({Q.encode_stats('word', WV, Q.CORPUS)})")
 def encode_stats(spark, sf_dir):
     """K10 + J3: token length and unk count per article and highlight (word tokenizer)."""
     return TK.encode_stats(TK.encoded(spark, sf_dir, "word")).drop("cleaned_text", "highlights")
@@ -120,7 +127,7 @@ def teacher_shift(spark, sf_dir):
 def _stats_union(spark, sf_dir, filtered: bool):
     parts = []
     for kind, _ in SQL_KINDS:
-        d = TK.length_filtered(spark, sf_dir, kind) if filtered else TK.encode_stats(TK.encoded(spark, sf_dir, kind))
+        d = TK.length_filtered(spark, sf_dir, kind) if filtered else TK.train_stats(spark, sf_dir, kind)
         parts.append(d.withColumn("tokenizer", F.lit(kind)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -138,13 +145,13 @@ def filter_token_p90(spark, sf_dir):
 @register("length_filter_report", f"""SELECT s.tokenizer, t.p90, t.threshold,
   CAST(count_if(s.token_article_len <= t.threshold) AS BIGINT) AS kept_samples,
   CAST(count(*) AS BIGINT) AS total_samples
-FROM ({_sql_union(Q.encode_stats)}) s JOIN ({_sql_union(Q.threshold)}) t USING (tokenizer)
+FROM ({_sql_union(Q.train_stats)}) s JOIN ({_sql_union(Q.threshold)}) t USING (tokenizer)
 GROUP BY s.tokenizer, t.p90, t.threshold""")
 def length_filter_report(spark, sf_dir):
     """p90, threshold, kept and total samples per tokenizer."""
     out = []
     for kind, _ in SQL_KINDS:
-        st = TK.encode_stats(TK.encoded(spark, sf_dir, kind))
+        st = TK.train_stats(spark, sf_dir, kind)
         thr = FL.token_p90_threshold(st, "token_article_len")
         r = attach(st, thr).groupBy("p90", "threshold").agg(
             F.count_if(F.col("token_article_len") <= F.col("threshold")).alias("kept_samples"),
@@ -218,68 +225,92 @@ def token_total(spark, sf_dir):
     """Total tokens of both columns including bos/eos (the size of the wrapped sequences)."""
     out = []
     for kind, _ in SQL_KINDS:
-        e = TK.encoded(spark, sf_dir, kind)
-        st = TK.length_filtered(spark, sf_dir, kind).select("doc_id")
-        e = e.join(st, "doc_id", "left_semi")
-        out.append(e.select(F.lit(kind).alias("tokenizer"),
-                            (F.size(SQ.ids_wrap("article_ids")) + F.size(SQ.ids_wrap("highlight_ids"))).alias("n")))
+        st = TK.length_filtered(spark, sf_dir, kind)
+        out.append(st.select(F.lit(kind).alias("tokenizer"), (F.col("token_article_len") + F.col("token_highlight_len") + 4).alias("n")))
     u = reduce(lambda a, b: a.unionByName(b), out)
     return u.groupBy("tokenizer").agg(F.sum("n").cast("bigint").alias("tokens_count"),
                                       F.count("*").alias("n_rows"))
 
 
-_ALL_SPLITS = (f"SELECT doc_id, split, CASE WHEN split = 'test' THEN article ELSE cleaned_text END AS src_text, "
-               f"CASE WHEN split = 'test' THEN highlights ELSE cleaned_highlights END AS src_highlights "
-               f"FROM ({S.CLEANED_PAIRS})")
+def _split_rows(kind, v):
+    """K11's input: train as filtered by token length (F4), validation as filtered by words (F2) with raw highlights, test raw. Rows
+    are keyed by split and id."""
+    def words(c):
+        return f"len(regexp_extract_all({c}, '[^{S.WS}]+'))"
+
+    return f"""SELECT 'train:' || doc_id AS doc_id, 'train' AS split, cleaned_text AS src_text, highlights AS src_highlights FROM ({Q.filtered(kind, v)})
+UNION ALL SELECT split || ':' || doc_id, split, cleaned_text, highlights FROM ({S.CLEANED_PAIRS}) WHERE split = 'validation'
+  AND {words('cleaned_text')} > 250 AND {words('highlights')}::DOUBLE / {words('cleaned_text')} BETWEEN 0.05 AND 0.5
+UNION ALL SELECT split || ':' || doc_id, split, article, highlights FROM ({S.CLEANED_PAIRS}) WHERE split = 'test'"""
+
+
+def _split_tokens(kind, v):
+    name = f"split_rows_{kind}"
+    PRELUDE.setdefault(name, _split_rows(kind, v))
+    return f"SELECT * FROM {name}"
 
 
 ORACLE_OOV_SUMMARY = " UNION ALL ".join(
-    f"""SELECT '{k}' AS tokenizer, CAST(count(*) + 2 * (SELECT count(*) FROM ({_ALL_SPLITS})) AS BIGINT) AS tokens,
-  CAST(count_if(id = 1) AS BIGINT) AS unk,
-  round(count_if(id = 1)::DOUBLE / (count(*) + 2 * (SELECT count(*) FROM ({_ALL_SPLITS}))), 6) AS ratio
-FROM ({Q.token_rows(k, v, 'src_text', _ALL_SPLITS)})""" for k, v in SQL_KINDS)
+    f"""SELECT '{k}' AS tokenizer, CAST(sum(token_article_len + token_highlight_len + 4) AS BIGINT) AS tokens,
+  CAST(sum(article_unk + summary_unk) AS BIGINT) AS unk,
+  round(sum(article_unk + summary_unk)::DOUBLE / sum(token_article_len + token_highlight_len + 4), 6) AS ratio
+FROM ({Q.filtered(k, v)})""" for k, v in SQL_KINDS)
 
 
-@register("oov_summary", ORACLE_OOV_SUMMARY)
-def oov_summary(spark, sf_dir):
-    """Per tokenizer over the encoded splits (articles with bos/eos): tokens, unk count, ratio."""
-    out = []
-    for kind, _ in SQL_KINDS:
-        e = _encode_splits(spark, sf_dir, kind).select("tokenizer", "article_ids")
-        out.append(e)
-    u = reduce(lambda a, b: a.unionByName(b), out)
-    g = u.groupBy("tokenizer").agg(F.sum(F.size("article_ids")).alias("tokens"),
-                                   F.sum(SQ.ids_count_value("article_ids", SQ.UNK_ID)).alias("unk"))
+def _oov(spark, sf_dir, kinds):
+    u = reduce(lambda a, b: a.unionByName(b), [_encode_splits(spark, sf_dir, k) for k in kinds])
+    unk = [SQ.ids_count_value(c, SQ.UNK_ID) for c in ("article_ids", "highlight_ids")]
+    g = u.where(F.col("split") == "train").groupBy("tokenizer").agg(
+        F.sum(F.size("article_ids") + F.size("highlight_ids")).alias("tokens"), F.sum(unk[0] + unk[1]).alias("unk"))
     return g.select("tokenizer", F.col("tokens").cast("bigint").alias("tokens"), F.col("unk").cast("bigint").alias("unk"),
                     F.round(F.try_divide(F.col("unk").cast("double"), F.col("tokens").cast("double")), 6).alias("ratio"))
 
 
+@register("oov_summary", ORACLE_OOV_SUMMARY)
+def oov_summary(spark, sf_dir):
+    """Tokens, unk count and ratio per tokenizer over both encoded columns of the train split (with bos/eos)."""
+    return _oov(spark, sf_dir, [k for k, _ in SQL_KINDS])
+
+
 def _encode_splits(spark, sf_dir, kind):
-    """train/validation use the cleaned text, test the raw text; both columns wrapped with bos/eos."""
-    tok = TR.get(kind)
-    vocab = TK.train(spark, sf_dir, kind)
-    c = P.cleaned_pairs(spark, sf_dir)
-    is_test = F.col("split") == "test"
-    c = c.select("doc_id", "split",
-                 F.when(is_test, F.col("article")).otherwise(F.col("cleaned_text")).alias("src_text"),
-                 F.when(is_test, F.col("highlights")).otherwise(F.col("cleaned_highlights")).alias("src_highlights"))
-    c = tok.encode(c, "src_text", vocab, "a")
-    c = tok.encode(c, "src_highlights", vocab, "h")
-    return c.select("doc_id", "split", F.lit(kind).alias("tokenizer"),
-                    SQ.ids_wrap("a").alias("article_ids"), SQ.ids_wrap("h").alias("highlight_ids"))
-
-
-@register("tokenize_splits", f"""SELECT a.doc_id, s.split,
+    """The three splits with their own treatment (see ``_split_rows``), both columns wrapped with bos/eos."""
+    def build():
+        tok = TR.get(kind)
+        vocab = TK.train(spark, sf_dir, kind)
+        c = P.cleaned_pairs(spark, sf_dir)
+        train = TK.length_filtered(spark, sf_dir, kind).select(
+            F.lit("train").alias("split"), "doc_id", F.col("cleaned_text").alias("src_text"), F.col("highlights").alias("src_highlights"))
+        val = FL.filter_len_ratio(FL.with_pair_lengths(c.where("split = 'validation'"), "cleaned_text", "highlights", unit="word")).select(
+            "split", "doc_id", F.col("cleaned_text").alias("src_text"), F.col("highlights").alias("src_highlights"))
+        test = c.where("split = 'test'").select("split", "doc_id", F.col("article").alias("src_text"), F.col("highlights").alias("src_highlights"))
+        rows = train.unionByName(val).unionByName(test)
+        rows = tok.encode(tok.encode(rows, "src_text", vocab, "a"), "src_highlights", vocab, "h")
+        return rows.select(F.concat_ws(":", "split", F.col("doc_id").cast("string")).alias("doc_id"), "split", F.lit(kind).alias("tokenizer"),
+                           SQ.ids_wrap("a").alias("article_ids"), SQ.ids_wrap("h").alias("highlight_ids"))
+    return stage_table(spark, f"splits:{kind}:{sf_dir}", build)
+
+
+def _splits_sql(kind, v):
+    src = _split_tokens(kind, v)
+    return f"""SELECT a.doc_id, s.split,
   CASE WHEN a.ids = '' THEN '2 3' ELSE '2 ' || a.ids || ' 3' END AS tokenized_articles,
   CASE WHEN h.ids = '' THEN '2 3' ELSE '2 ' || h.ids || ' 3' END AS tokenized_highlights
-FROM ({Q.encoded_text('word', WV, 'src_text', _ALL_SPLITS)}) a
-JOIN ({Q.encoded_text('word', WV, 'src_highlights', _ALL_SPLITS)}) h USING (doc_id)
-JOIN ({_ALL_SPLITS}) s USING (doc_id)""")
-def tokenize_splits(spark, sf_dir):
-    """Encode articles and highlights of all three splits with bos/eos (word tokenizer)."""
-    e = _encode_splits(spark, sf_dir, "word")
-    return e.select("doc_id", "split", _ids_text("article_ids").alias("tokenized_articles"),
-                    _ids_text("highlight_ids").alias("tokenized_highlights"))
+FROM ({Q.encoded_text(kind, v, 'src_text', src)}) a
+JOIN ({Q.encoded_text(kind, v, 'src_highlights', src)}) h USING (doc_id)
+JOIN ({src}) s USING (doc_id)"""
+
+
+def _splits_query(kind):
+    def q(spark, sf_dir):
+        """Articles and highlights of the three splits encoded with bos/eos."""
+        e = _encode_splits(spark, sf_dir, kind)
+        return e.select("doc_id", "split", _ids_text("article_ids").alias("tokenized_articles"),
+                        _ids_text("highlight_ids").alias("tokenized_highlights"))
+    return q
+
+
+register("tokenize_splits", _splits_sql("word", WV))(_splits_query("word"))
+register("tokenize_splits_char", _splits_sql("char", CV))(_splits_query("char"))
 
 
 @register("derive_seq_limits", f"""SELECT
@@ -316,47 +347,49 @@ def filter_long_sentences(spark, sf_dir):
 
 @register("train_bpe")
 def train_bpe(spark, sf_dir):
-    """K3: BPE vocabulary (specials, merges by rank with score -rank, characters)."""
+    """K3: BPE vocabulary (specials, merged pieces by rank with score -rank, characters)."""
     return TK.train(spark, sf_dir, "bpe")
 
 
-@register("encode_bpe")
-def encode_bpe(spark, sf_dir):
-    """K7: articles encoded with the trained BPE merges."""
-    return _encode_query("bpe", TK.FIXTURE_VOCAB["bpe"])(spark, sf_dir)
-
-
-@register("oov_summary_all")
-def oov_summary_all(spark, sf_dir):
-    """A13 for all four tokenizers over both encoded columns of the train split: tokens, unk count, ratio."""
-    u = reduce(lambda a, b: a.unionByName(b), [_encode_splits(spark, sf_dir, k) for k in TR.NAMES])
-    unk = [SQ.ids_count_value(c, SQ.UNK_ID) for c in ("article_ids", "highlight_ids")]
-    g = u.where(F.col("split") == "train").groupBy("tokenizer").agg(
-        F.sum(F.size("article_ids") + F.size("highlight_ids")).alias("tokens"), F.sum(unk[0] + unk[1]).alias("unk"))
-    return g.select("tokenizer", F.col("tokens").cast("bigint").alias("tokens"), F.col("unk").cast("bigint").alias("unk"),
-                    F.round(F.try_divide(F.col("unk").cast("double"), F.col("tokens").cast("double")), 6).alias("ratio"))
-
-
 @register("train_unigram")
 def train_unigram(spark, sf_dir):
     """K4: Unigram-LM vocabulary (EM + pruning), pieces by log-probability."""
     return TK.train(spark, sf_dir, "unigram")
 
 
-@register("encode_unigram")
-def encode_unigram(spark, sf_dir):
-    """K8: articles encoded by Viterbi segmentation under the Unigram model."""
-    return _encode_query("unigram", TK.FIXTURE_VOCAB["unigram"])(spark, sf_dir)
+register("encode_bpe")(_encode_query("bpe", TK.FIXTURE_VOCAB["bpe"]))
+register("encode_unigram")(_encode_query("unigram", TK.FIXTURE_VOCAB["unigram"]))
 
 
-@register("tokenize_splits_char", f"""SELECT a.doc_id, s.split,
-  CASE WHEN a.ids = '' THEN '2 3' ELSE '2 ' || a.ids || ' 3' END AS tokenized_articles,
-  CASE WHEN h.ids = '' THEN '2 3' ELSE '2 ' || h.ids || ' 3' END AS tokenized_highlights
-FROM ({Q.encoded_text('char', CV, 'src_text', _ALL_SPLITS)}) a
-JOIN ({Q.encoded_text('char', CV, 'src_highlights', _ALL_SPLITS)}) h USING (doc_id)
-JOIN ({_ALL_SPLITS}) s USING (doc_id)""")
-def tokenize_splits_char(spark, sf_dir):
-    """K11 with the Char tokenizer: all three splits, both columns, bos/eos added."""
-    e = _encode_splits(spark, sf_dir, "char")
-    return e.select("doc_id", "split", _ids_text("article_ids").alias("tokenized_articles"),
-                    _ids_text("highlight_ids").alias("tokenized_highlights"))
+def _alphabet(coverage):
+    """The trainers' alphabet, one row with a list, as a named table."""
+    name = f"alphabet_{round(coverage * 10000)}"
+    PRELUDE.setdefault(name, f"SELECT list(piece) AS known FROM ({Q.char_vocab(10**9, coverage)}) WHERE id > 3")
+    return name
+
+
+def _spelled(col):
+    """``col`` with single spaces, characters outside the list ``known`` as the unk sign."""
+    norm = f"trim(regexp_replace(coalesce({col}, ''), '[{S.WS}]+', ' ', 'g'))"
+    return f"""array_to_string(list_transform(string_split({norm}, ''),
+    lambda c: CASE WHEN c = ' ' OR list_contains(known, c) THEN c ELSE '⁇' END), '')"""
+
+
+def _decoded(kind, coverage):
+    @register(f"decode_{kind}", f"SELECT doc_id, {_spelled('cleaned_text')} AS text, {_spelled('highlights')} AS highlights FROM ({Q.CORPUS}), {_alphabet(coverage)}")
+    def q(spark, sf_dir):
+        """K7/K8 and K9: articles and highlights encoded and decoded again: the text with single spaces, unknown characters as ⁇."""
+        e, vocab = TK.encoded(spark, sf_dir, kind), TK.train(spark, sf_dir, kind)
+        return decode(decode(e.select("doc_id", "article_ids", "highlight_ids"), "article_ids", vocab, "text"), "highlight_ids", vocab, "highlights").select(
+            "doc_id", "text", "highlights")
+    return q
+
+
+_decoded("bpe", 1.0)
+_decoded("unigram", 0.9995)
+
+
+@register("oov_summary_all")
+def oov_summary_all(spark, sf_dir):
+    """A13 for all four tokenizers."""
+    return _oov(spark, sf_dir, TR.NAMES)

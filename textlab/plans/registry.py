@@ -6,6 +6,7 @@ whole input tables. Oracle SQL runs on DuckDB views of the same parquet files.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,21 @@ def spark_rounding(sql: str) -> str:
     return "".join(out)
 
 
+PRELUDE: dict[str, str] = {}
+
+
+def with_prelude(sql: str) -> str:
+    """``sql`` behind the definitions of the named tables that it, or one of them, reads (in order of definition)."""
+    text, used = sql, []
+    for name in reversed(PRELUDE):
+        if re.search(rf"\b{name}\b", text):
+            used.insert(0, name)
+            text += PRELUDE[name]
+    if not used:
+        return sql
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({PRELUDE[n]})" for n in used) + f"\nSELECT * FROM ({sql})"
+
+
 def register(name: str, sql: str | None = None):
     """Decorator: register a query builder (and its oracle SQL, if SQL-expressible)."""
     def deco(fn):
@@ -91,13 +107,21 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = spark_rounding(sql)
+            ORACLE[name] = sql
         return fn
     return deco
 
 
 def load_all() -> None:
-    """Import the modules that register queries."""
+    """Import the modules that register queries, then finish their SQL."""
+    global _finished
     from textlab.plans import (  # noqa: F401
         q_cleaning, q_profile, q_tokens, q_log, q_augment, q_scoring, q_io,
     )
+    if not _finished:
+        _finished = True
+        for name, sql in ORACLE.items():
+            ORACLE[name] = spark_rounding(with_prelude(sql))
+
+
+_finished = False

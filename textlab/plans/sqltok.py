@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from textlab.plans import sqlgen as S
+from textlab.plans.registry import PRELUDE
 
+PRELUDE.setdefault("train_rows", "")          # filled in by the augmentation queries
 CORPUS = f"SELECT doc_id, split, cleaned_text, cleaned_highlights AS highlights FROM ({S.POST_FILTER})"
 _LINE = (f"array_to_string(regexp_extract_all(coalesce(cleaned_text, '') || ' ' || coalesce(highlights, ''), "
          f"'{S.PRETOKEN}'), ' ')")
-# trainer input: pre-tokenized lines within the 16,384-byte limit, split into words
+# the augmented train split (defined with the augmentation queries) and the trainers' words
+TRAIN = "SELECT doc_id, cleaned_text, highlights FROM train_rows"
 WORDS = (f"SELECT word FROM (SELECT unnest(string_split(line, ' ')) AS word FROM (SELECT {_LINE} AS line "
-         f"FROM ({CORPUS})) WHERE strlen(line) <= 16384) WHERE word <> ''")
+         f"FROM ({TRAIN}))) WHERE word <> ''")
 SPECIALS = ("SELECT CAST(0 AS INT) AS id, '<pad>' AS piece, 0.0::DOUBLE AS score UNION ALL "
             "SELECT 1, '<unk>', 0.0 UNION ALL SELECT 2, '<s>', 0.0 UNION ALL SELECT 3, '</s>', 0.0")
 
@@ -35,7 +38,10 @@ WHERE rk <= {v - 4} AND coalesce(before, 0) < {coverage} * total"""
 
 
 def vocab(kind: str, v: int) -> str:
-    return word_vocab(v) if kind == "word" else char_vocab(v)
+    """The vocabulary as a named table of the finished SQL."""
+    name = f"vocab_{kind}_{v}"
+    PRELUDE.setdefault(name, word_vocab(v) if kind == "word" else char_vocab(v))
+    return f"SELECT * FROM {name}"
 
 
 def token_rows(kind: str, v: int, col: str, src: str = CORPUS) -> str:
@@ -60,25 +66,32 @@ def encoded_text(kind: str, v: int, col: str, src: str = CORPUS) -> str:
 FROM ({src}) c LEFT JOIN ({token_rows(kind, v, col, src)}) e USING (doc_id) GROUP BY c.doc_id"""
 
 
-def encode_stats(kind: str, v: int) -> str:
+def encode_stats(kind: str, v: int, src: str = TRAIN) -> str:
     """Per row: token_article_len, article_unk, token_highlight_len, summary_unk (+ text columns)."""
-    a = token_rows(kind, v, "cleaned_text")
-    h = token_rows(kind, v, "highlights")
+    a = token_rows(kind, v, "cleaned_text", src)
+    h = token_rows(kind, v, "highlights", src)
     return f"""SELECT c.doc_id, c.cleaned_text, c.highlights,
   CAST(coalesce(a.n, 0) AS BIGINT) AS token_article_len, CAST(coalesce(a.u, 0) AS BIGINT) AS article_unk,
   CAST(coalesce(h.n, 0) AS BIGINT) AS token_highlight_len, CAST(coalesce(h.u, 0) AS BIGINT) AS summary_unk
-FROM ({CORPUS}) c
+FROM ({src}) c
 LEFT JOIN (SELECT doc_id, count(*) AS n, count_if(id = 1) AS u FROM ({a}) GROUP BY doc_id) a USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n, count_if(id = 1) AS u FROM ({h}) GROUP BY doc_id) h USING (doc_id)"""
 
 
+def train_stats(kind: str, v: int) -> str:
+    """``encode_stats`` of the augmented train split as a named table."""
+    vocab(kind, v)
+    PRELUDE.setdefault(f"train_stats_{kind}_{v}", encode_stats(kind, v))
+    return f"SELECT * FROM train_stats_{kind}_{v}"
+
+
 def threshold(kind: str, v: int) -> str:
-    st = encode_stats(kind, v)
+    st = train_stats(kind, v)
     return (f"SELECT CAST(floor(quantile_cont(token_article_len::DOUBLE, 0.9)) AS BIGINT) AS p90, "
             f"CAST(floor(floor(quantile_cont(token_article_len::DOUBLE, 0.9)) * 1.1) AS BIGINT) AS threshold "
             f"FROM ({st})")
 
 
 def filtered(kind: str, v: int) -> str:
-    return f"SELECT s.*, t.p90, t.threshold FROM ({encode_stats(kind, v)}) s, ({threshold(kind, v)}) t " \
+    return f"SELECT s.*, t.p90, t.threshold FROM ({train_stats(kind, v)}) s, ({threshold(kind, v)}) t " \
            f"WHERE s.token_article_len <= t.threshold"

@@ -1,4 +1,4 @@
-"""EP2: train a tokenizer on the cleaned corpus, encode, and report token statistics."""
+"""EP2: train a tokenizer on the augmented train split, encode, and report token statistics."""
 
 from __future__ import annotations
 
@@ -6,37 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.functions.sequences import UNK_ID, ids_count_value
-from textlab.functions.text import word_len_re
+from textlab.functions.text import concat_fields, pretokens, word_len_re
 from textlab.plans import preprocess as P
 from textlab.session import stage_table
+from textlab.sources import tables
 
 # --- fixed values -----------------------------------------------------------
-# Vocabulary sizes used by the registered fixture queries.
-FIXTURE_VOCAB = {"word": 8000, "char": 32000, "bpe": 250, "unigram": 250}
+# Vocabulary sizes used by the registered queries.
+FIXTURE_VOCAB = {"word": 32000, "char": 32000, "bpe": 32000, "unigram": 32000}
 # ----------------------------------------------------------------------------
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, cleaned_text, highlights)``: the cleaned, length/ratio-filtered pairs."""
+    """``(doc_id, split, cleaned_text, highlights)``: the cleaned, length/ratio-filtered pairs of all splits."""
     return P.post_filter(spark, sf_dir).select(
         "doc_id", "split", "cleaned_text", F.col("cleaned_highlights").alias("highlights"))
 
 
-def training_lines(spark: SparkSession, sf_dir: str, kind: str = "word") -> DataFrame:
-    """Trainer input, one pre-tokenized line per pair (T17 + T16). The BPE and Unigram trainers read
-    every line; the Word and Char vocabularies leave out lines over their byte limit (F9), as their SQL does."""
-    from textlab.functions.text import concat_fields, pretokenize
-    from textlab.operators.filters import MAX_SENTENCE_BYTES, filter_long_sentences
-    c = corpus(spark, sf_dir).select("doc_id", pretokenize(concat_fields("cleaned_text", "highlights")).alias("line"))
-    if kind in ("word", "char"):
-        c = filter_long_sentences(c, "line", MAX_SENTENCE_BYTES[kind])
-    return c
+def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, cleaned_text, highlights)``: the train split, originals and augmented copies (J1), with their row ids."""
+    from textlab.plans import q_augment as QA
+
+    def build():
+        split = tables.split_name(F.floor(F.col("row_id") / 2).cast("bigint"))
+        return QA.augment_union(spark, sf_dir).where(split == "train").select(F.col("row_id").alias("doc_id"), "cleaned_text", "highlights")
+    return stage_table(spark, f"train_rows:{sf_dir}", build)
 
 
-def words(spark: SparkSession, sf_dir: str, kind: str = "word") -> DataFrame:
-    """``(word)`` rows of the trainer input."""
-    lines = training_lines(spark, sf_dir, kind)
-    return lines.select(F.explode(F.split("line", " ")).alias("word")).where(F.col("word") != "")
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(word)`` rows of the trainers' input: the pre-tokens of every line (T17 + T16), whatever its length."""
+    return train_rows(spark, sf_dir).select(F.explode(pretokens(concat_fields("cleaned_text", "highlights"))).alias("word"))
 
 
 def train(spark: SparkSession, sf_dir: str, kind: str, vocab_size: int | None = None) -> DataFrame:
@@ -44,21 +43,23 @@ def train(spark: SparkSession, sf_dir: str, kind: str, vocab_size: int | None =
     from textlab.operators.tokenizers import registry
     v = vocab_size or FIXTURE_VOCAB[kind]
     return stage_table(spark, f"vocab:{kind}:{v}:{sf_dir}",
-                       lambda: registry.get(kind).train(words(spark, sf_dir, kind), v))
+                       lambda: registry.get(kind).train(words(spark, sf_dir), v))
 
 
-def encoded(spark: SparkSession, sf_dir: str, kind: str, vocab_size: int | None = None) -> DataFrame:
-    """Corpus + ``article_ids`` and ``highlight_ids`` (no bos/eos), stage table."""
+def _encoded(spark: SparkSession, sf_dir: str, kind: str, rows: DataFrame) -> DataFrame:
     from textlab.operators.tokenizers import registry
-    tok = registry.get(kind)
+    tok, vocab = registry.get(kind), train(spark, sf_dir, kind)
+    return tok.encode(tok.encode(rows, "cleaned_text", vocab, "article_ids"), "highlights", vocab, "highlight_ids")
 
-    def build():
-        vocab = train(spark, sf_dir, kind, vocab_size)
-        c = corpus(spark, sf_dir)
-        c = tok.encode(c, "cleaned_text", vocab, "article_ids")
-        return tok.encode(c, "highlights", vocab, "highlight_ids")
-    v = vocab_size or FIXTURE_VOCAB[kind]
-    return stage_table(spark, f"encoded:{kind}:{v}:{sf_dir}", build)
+
+def encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Corpus + ``article_ids`` and ``highlight_ids`` (no bos/eos), stage table."""
+    return stage_table(spark, f"encoded:{kind}:{sf_dir}", lambda: _encoded(spark, sf_dir, kind, corpus(spark, sf_dir)))
+
+
+def train_encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The same for the augmented train split, on which the token statistics are taken."""
+    return stage_table(spark, f"train_encoded:{kind}:{sf_dir}", lambda: _encoded(spark, sf_dir, kind, train_rows(spark, sf_dir)))
 
 
 def encode_stats(enc: DataFrame) -> DataFrame:
@@ -71,10 +72,15 @@ def encode_stats(enc: DataFrame) -> DataFrame:
         ids_count_value("highlight_ids", UNK_ID).alias("summary_unk"))
 
 
+def train_stats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """``encode_stats`` of the augmented train split, stage table (the encodings are read once)."""
+    return stage_table(spark, f"train_stats:{kind}:{sf_dir}", lambda: encode_stats(train_encoded(spark, sf_dir, kind)))
+
+
 def length_filtered(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """F4 applied to the encode stats: keep ``token_article_len <= int(int(p90) * 1.1)``."""
+    """F4 applied to the encode stats of the train split: keep ``token_article_len <= int(int(p90) * 1.1)``."""
     from textlab.operators.filters import filter_token_p90
-    return filter_token_p90(encode_stats(encoded(spark, sf_dir, kind)), "token_article_len")
+    return filter_token_p90(train_stats(spark, sf_dir, kind), "token_article_len")
 
 
 def with_compression(df: DataFrame) -> DataFrame:
