@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.components import components
-from textlab.llm.kernels import U64, Sketch, mix64, shingle_sets, signed, sketch_levels, slices, tidy
+from textlab.llm.kernels import U64, Sketch, mix64, shingle_sets, signed, sketch_levels, slices, tidy, tidy_group
 from textlab.session import conf_override, materialize, release, ship_package
 
 SKETCH_BITS = 23             # counters of shingles, for the order
@@ -371,14 +371,14 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
     keys = (rows.filter("sig is not null").groupBy(_le_long(F.substring("sig", 1, 8)).alias("cls"))
             .agg(F.min("sig").alias("x"), F.max("sig").alias("y"), F.min("parity").alias("parity"))
             .select("cls", F.when(F.col("x") == F.col("y"), F.col("parity")).alias("parity")))
-    lists = materialize(blocked(entries, blocks).applyInArrow(_shared, "h long, cls long, at long").join(keys, "cls")
+    lists = materialize(blocked(entries, blocks).applyInArrow(tidy_group(_shared), "h long, cls long, at long").join(keys, "cls")
                         .select("h", "cls", "at", "parity"), "columns")
-    tested = materialize(blocked(lists, blocks).applyInArrow(_star(num, den), "a long, b long").distinct(), "pairs")
+    tested = materialize(blocked(lists, blocks).applyInArrow(tidy_group(_star(num, den)), "a long, b long").distinct(), "pairs")
     links = _verified(texts, tested, width, num, den)
     comps = materialize(components(links, "sa", "sb"), "components")
     # the columns that are left fill fewer blocks, in which the counts of a pair add up before they are sent
     blocks = lists.count() // BLOCK_ENTRIES + 1
-    again = materialize(blocked(_named(lists, comps), blocks).applyInArrow(_bridges(num, den), "a long, b long").distinct()
+    again = materialize(blocked(_named(lists, comps), blocks).applyInArrow(tidy_group(_bridges(num, den)), "a long, b long").distinct()
                         .join(tested, ["a", "b"], "left_anti"), "pairs")
     if again.head(1):
         comps = _joined(comps, _verified(texts, again, width, num, den))

@@ -7,6 +7,7 @@ whatever the lengths of the texts.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Iterator
 
@@ -247,13 +248,36 @@ def binaries(rows) -> pa.Array:
     return pa.array(list(rows), pa.binary())
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):          # another C library: it has no such call
+    _trim = None
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold but do not use to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def tidy(fn):
-    """``fn`` (batches -> batches), giving Arrow's unused memory back to the system after every batch,
+    """``fn`` (batches -> batches), giving unused memory back to the system after every batch,
     so that a worker between two tasks holds none of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in fn(batches):
             yield b
             del b
-            pa.default_memory_pool().release_unused()
-        pa.default_memory_pool().release_unused()
+            give_back()
+        give_back()
+    return run
+
+
+def tidy_group(fn):
+    """The same for ``fn`` (table -> table)."""
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        del table
+        give_back()
+        return out
     return run

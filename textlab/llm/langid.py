@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.kernels import distinct_counts, slices
+from textlab.llm.kernels import distinct_counts, slices, tidy
 from textlab.session import materialize, ship_package
 
 EDGE = 0x20                     # a word's edge inside an n-gram
@@ -104,7 +104,7 @@ def profiles(rows: DataFrame, size: int = 400, lang_col: str = "lang", text_col:
     rows with a non-null language; ties to the smaller code points. ``gram`` holds three code points in 21 bits each."""
     ship_package(rows.sparkSession)
     counts = (rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.lower(F.col(text_col)).alias("text"))
-              .mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+              .mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
@@ -187,4 +187,4 @@ def predicted(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col
     names = [c for c in docs.columns if c not in ("lang_pred", "score", text_col)]
     rows = docs.select(*[docs[c] for c in names], F.lower(docs[text_col]).alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predict(model, size), schema)
+    return rows.mapInArrow(tidy(_predict(model, size)), schema)
