@@ -6,13 +6,12 @@ is partial/final hash aggregation over the whole corpus.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.operators.common import attach
-from textlab.operators.quantiles import _is_integral, quantiles, small_distinct
+from textlab.operators.quantiles import quantiles
 from textlab.session import materialize
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
@@ -23,70 +22,31 @@ def _pname(p: float) -> str:
     return f"p{int(round(p * 100))}"
 
 
-def describe(df: DataFrame, cols, group_cols=(), ddof: int = 1, probs=DESCRIBE_PROBS,
-             digits: int | None = 6, approx: bool = False) -> DataFrame:
+def describe(df: DataFrame, cols, group_cols=(), ddof: int = 1, probs=DESCRIBE_PROBS, digits: int | None = 6) -> DataFrame:
     """A1/A2: count, mean, std, min, percentiles, max per column (long format).
 
     ``ddof=1`` is the sample standard deviation (pandas ``describe``),
     ``ddof=0`` the population one (NumPy ``std``). Percentiles are exact with
-    linear interpolation (``approx=True`` switches every column to
-    ``percentile_approx`` with bounded memory instead).
-
-    Moments and the percentiles of integral columns -- and of fractional
-    columns whose per-group distinct count is checked to be small -- come from
-    one aggregation pass. Other fractional columns need the distributed rank
-    path (several passes), so the narrow input is first written to shared
-    storage and those passes read it instead of recomputing the upstream plan.
+    linear interpolation. The columns become rows of one narrow table, written once, on which the moments are one aggregation
+    and the percentiles of all columns one series of histogram passes.
     """
     gcols = list(group_cols)
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
-    narrow = df.select(*gcols, *cols)
-    frac = [] if approx else [c for c in cols if not _is_integral(narrow, c)]
-    if frac:  # fractional columns with few distinct values keep the one-pass percentile
-        small = small_distinct(narrow, frac, gcols)
-        frac = [c for c in frac if c not in small]
-    if frac:
-        narrow = materialize(narrow, "describe")
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), std(x).alias(f"{c}__std"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        if approx:
-            aggs.append(F.percentile_approx(x, [float(p) for p in probs], 100000).cast("array<double>")
-                        .alias(f"{c}__q"))
-        elif c not in frac:
-            aggs.append(F.percentile(x, parr).alias(f"{c}__q"))
-    moments = narrow.groupBy(*gcols).agg(*aggs)
+    long = materialize(df.select(*gcols, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")).select(*gcols, "s.*"), "describe")
+    by = [*gcols, "column"]
+    moments = long.groupBy(*by).agg(F.count("x").cast("bigint").alias("count"), F.avg("x").alias("mean"), std("x").alias("std"),
+                                    F.min("x").alias("min"), F.max("x").alias("max"))
     qn = [_pname(p) for p in probs]
-
-    def qcols(c):
-        if c in frac:
-            return [F.lit(None).cast("double").alias(n) for n in qn]
-        return [F.col(f"{c}__q")[i].alias(n) for i, n in enumerate(qn)]
-
-    long = moments.select(*gcols, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").cast("bigint").alias("count"),
-                 F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                 F.col(f"{c}__min").alias("min"), *qcols(c), F.col(f"{c}__max").alias("max"))
-        for c in cols])).alias("s")).select(*gcols, "s.*")
-    if frac:
-        qs = [quantiles(narrow, c, probs, gcols, method="ranks")
-              .select(*gcols, F.lit(c).alias("column"),
-                      *[F.col(f"q_{i}").alias(f"__{n}") for i, n in enumerate(qn)]) for c in frac]
-        qall = reduce(lambda a, b: a.unionByName(b), qs)
-        long = long.join(qall, [*gcols, "column"], "left")
-        long = long.select(*gcols, "column", "count", "mean", "std", "min",
-                           *[F.coalesce(F.col(n), F.col(f"__{n}")).alias(n) for n in qn], "max")
-    stat_cols = ["mean", "std", "min", *qn, "max"]
+    q = quantiles(long, "x", probs, by).select(*[F.col(c).alias(f"__{c}") for c in by], *[F.col(f"q_{i}").alias(n) for i, n in enumerate(qn)])
+    both = moments.join(q, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
     r = (lambda e: F.round(e, digits)) if digits is not None else (lambda e: e)
-    return long.select(*gcols, "column", "count", *[r(F.col(s)).alias(s) for s in stat_cols])
+    return both.select(*gcols, "column", "count", *[r(F.col(s)).alias(s) for s in ["mean", "std", "min", *qn, "max"]])
 
 
-def length_stats(df: DataFrame, cols, group_cols=(), digits: int | None = 6, approx: bool = False) -> DataFrame:
+def length_stats(df: DataFrame, cols, group_cols=(), digits: int | None = 6) -> DataFrame:
     """A2: count, mean, std (population), min, p50/80/90/95/99, max."""
-    return describe(df, cols, group_cols, ddof=0, probs=LENGTH_PROBS, digits=digits, approx=approx)
+    return describe(df, cols, group_cols, ddof=0, probs=LENGTH_PROBS, digits=digits)
 
 
 def char_freq(df: DataFrame, col: str) -> DataFrame:
