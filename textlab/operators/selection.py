@@ -23,9 +23,43 @@ def seeded_key(key, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
+HASH_DIGITS = 32
+STEP = 3                    # hash digits a pass: 4,096 buckets
+
+
+def hash_edge(hashes: DataFrame, n: int) -> tuple[str, int]:
+    """(edge, rest) for a column ``h`` of hex hashes: all rows with ``h < edge`` and ``rest`` of those with ``h = edge`` are the ``n``
+    smallest ones (all rows, if fewer: the edge lies behind the last hash).
+
+    Rows are counted by leading digits; only the bucket in which the n-th row lies is looked at again, some digits
+    deeper, until it is taken whole or is a single hash. A pass sends at most 4,096 counts to the driver.
+    """
+    edge, left = "", int(n)
+    for depth in range(STEP, HASH_DIGITS + STEP, STEP):
+        here = hashes.where(F.startswith(F.col("h"), F.lit(edge))) if edge else hashes
+        counts = sorted((r["b"], int(r["n"])) for r in here.groupBy(F.substring("h", 1, depth).alias("b")).agg(F.count("*").alias("n")).collect())
+        for bucket, size in counts:
+            if size > left:
+                break
+            left -= size
+        else:
+            return edge + "g" if edge else "g", 0         # behind every hex digit: the whole bucket
+        if left == 0:
+            return bucket, 0
+        edge = bucket
+        if len(edge) >= HASH_DIGITS:
+            return edge, left
+    return edge, left
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
-    """``n`` rows in seeded hash order (a top-k; the limit is the sample size)."""
-    return df.withColumn("__h", seeded_key(key, seed)).orderBy("__h", key).limit(n).drop("__h")
+    """The ``n`` rows of smallest seeded hash (all rows, if fewer), by a threshold on hash counts and a filter: nothing is sorted,
+    and no task reads more than its share. Rows with equal keys have one hash; where the sample ends among them, any of them are taken. A null
+    key is a key."""
+    h = F.coalesce(seeded_key(key, seed), F.md5(F.lit(f"{seed}:")))
+    edge, rest = hash_edge(df.select(h.alias("h")), n)
+    out = df.where(h < F.lit(edge))
+    return out.unionByName(df.where(h == F.lit(edge)).limit(rest)) if rest else out
 
 
 def first_n(df: DataFrame, order_col: str, n: int) -> DataFrame:

@@ -13,15 +13,29 @@ MOVING_WINDOW = 100
 # ----------------------------------------------------------------------------
 
 
-def read_train_log(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV ``step,loss,lr,vram_gb`` with an explicit schema.
+def with_place(df: DataFrame, by_time: bool = True, out: str = "ingest_seq") -> DataFrame:
+    """Rows read from files with their place in the log: (file time, file name, start of the block, row in the block).
 
-    ``ingest_seq`` records file order: ``monotonically_increasing_id`` grows
-    with the partition index and the row within it, and the partitions of a
-    file are in offset order.
+    Spark reads large files first and packs blocks of several files into one task, so a plain row number does not follow the files. The rows
+    of one block are read by one task in their order, so the number only has to order those. With ``by_time`` false files
+    go by name alone, as the parts of one write do.
     """
-    return (spark.read.schema(LOG_SCHEMA).option("header", True).csv(path)
-            .withColumn("ingest_seq", F.monotonically_increasing_id()))
+    meta = df.metadataColumn("_metadata")
+    time = [meta["file_modification_time"].alias("time")] if by_time else []
+    return df.select("*", F.struct(*time, meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
+                                   F.monotonically_increasing_id().alias("row")).alias(out))
+
+
+def read_train_log(spark: SparkSession, path: str, by_time: bool = True, schema: str = LOG_SCHEMA) -> DataFrame:
+    """Header CSV ``step,loss,lr,vram_gb`` with an explicit schema (and partition columns from folder names); ``ingest_seq`` is the
+    row's place in the log (see ``with_place``), which orders re-run steps."""
+    return with_place(spark.read.schema(schema).option("header", True).csv(path), by_time)
+
+
+def write_train_log(df: DataFrame, path: str, order_col: str, run_col: str, files: int) -> None:
+    """A log as header CSVs in a folder for each run, its rows in ``order_col`` order over the names of the files."""
+    (df.repartitionByRange(files, order_col).sortWithinPartitions(run_col, order_col).drop(order_col)
+     .write.partitionBy(run_col).option("header", True).mode("overwrite").csv(path))
 
 
 def keep_last(df: DataFrame, key_cols, seq_col: str = "ingest_seq") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textlab.functions import sequences as SQ
@@ -12,6 +14,7 @@ from textlab.plans import sqlgen as S
 from textlab.plans import sqltok as Q
 from textlab.plans import tokenize as TK
 from textlab.plans.registry import register
+from textlab.session import ensure_checkpoint_dir, materialize
 from textlab.sources import tables
 
 TLOG = ("SELECT user_id % 5 AS run, event_id % 500 AS step, value AS loss, event_id AS ingest_seq FROM events")
@@ -28,10 +31,17 @@ TOP_P = 0.9              # W12
 # ----------------------------------------------------------------------------
 
 
-@register("train_log_read", f"SELECT run, step, round(loss, 6) AS loss, ingest_seq FROM ({TLOG})")
+@register("train_log_read", f"""SELECT run, step, round(loss, 6) AS loss,
+  row_number() OVER (PARTITION BY run ORDER BY ingest_seq) AS pos FROM ({TLOG})""")
 def train_log_read(spark, sf_dir):
-    """The training-log table (from ``events``; ``read_train_log`` reads the CSV form)."""
-    return tables.train_log(spark, sf_dir).withColumn("loss", F.round("loss", 6))
+    """The training log written as CSV files, a folder for each run, and read back with the place of every row."""
+    from textlab.operators.prefix import global_row_number
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logs/{uuid.uuid4().hex}"
+    files = max(2, spark.sparkContext.defaultParallelism)
+    TL.write_train_log(tables.train_log(spark, sf_dir), path, "ingest_seq", "run", files)
+    log = materialize(TL.read_train_log(spark, path, by_time=False, schema="step BIGINT, loss DOUBLE"), "log")
+    placed = global_row_number(log, ["run", "ingest_seq"], ["run"], out="pos")
+    return placed.select(F.col("run").cast("bigint").alias("run"), "step", F.round("loss", 6).alias("loss"), F.col("pos").cast("int").alias("pos"))
 
 
 @register("log_keep_last", f"SELECT run, step, round(loss, 6) AS loss, ingest_seq FROM ({LAST})")
@@ -159,15 +169,16 @@ def softmax_entropy(spark, sf_dir):
 
 @register("log_keep_last_stream", f"SELECT run, step, round(loss, 6) AS loss, ingest_seq FROM ({LAST})")
 def log_keep_last_stream(spark, sf_dir):
-    """W1 as a Structured Streaming aggregation over the events files (state store, complete mode)."""
-    from textlab.streaming.trainlog import keep_last_stream, run_to_memory
+    """W1 as a stream over the events files: micro-batches merged into a table of last rows."""
+    from textlab.streaming.trainlog import keep_last_stream, read_last
     schema = tables.load(spark, sf_dir, "events").schema
     # the table directory holds every table: pick the events file by name
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     s = s.select((F.col("user_id") % 5).alias("run"), (F.col("event_id") % 500).alias("step"),
                  F.col("value").alias("loss"), F.col("event_id").alias("ingest_seq"))
-    _, name = run_to_memory(spark, keep_last_stream(s, ["run", "step"], "ingest_seq"))
-    return spark.table(name).select("run", "step", F.round("loss", 6).alias("loss"), "ingest_seq")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    keep_last_stream(s, f"{base}/last", f"{base}/checkpoint", ["run", "step"])
+    return read_last(spark, f"{base}/last").select("run", "step", F.round("loss", 6).alias("loss"), "ingest_seq")
 
 
 @register("ids_strip_pad", f"""SELECT doc_id, array_to_string(list_filter(string_split(padded, ' '), lambda x: x <> '0'), ' ') AS out
