@@ -70,17 +70,30 @@ register("rouge_2", _rouge_sql(2))(_rouge_query(2))
 
 @register("rouge_n_stemmed")
 def rouge_n_stemmed(spark, sf_dir):
-    """E1 with the Porter stemmer on tokens longer than 3 characters (ROUGE-1 and ROUGE-2)."""
+    """E1 and E2 with the Porter stemmer on tokens longer than 3 characters (ROUGE-1, ROUGE-2 and ROUGE-L)."""
     t = tokenized_pairs(spark, sf_dir, stemmed=True)
-    r1 = SC.rouge_n(t, KEYS, "pt", "rt", 1)
-    r2 = SC.rouge_n(t, KEYS, "pt", "rt", 2)
-    r = r1.join(r2, KEYS)
+    r = SC.rouge_n(t, KEYS, "pt", "rt", 1).join(SC.rouge_n(t, KEYS, "pt", "rt", 2), KEYS).join(SC.rouge_l(t, KEYS, "pt", "rt"), KEYS)
     return _round(r, [c for c in r.columns if c.startswith("rouge")])
 
 
-@register("rouge_l")
+# the table of the longest common subsequence, a row for each prediction token, as a fold over lists
+_LCS_SQL = f"""WITH t AS (SELECT conv_id, turn, {_toks_sql('prediction')} AS pt, {_toks_sql('reference')} AS rt FROM ({PAIRS})),
+u AS (SELECT *, list_distinct(list_concat(pt, rt)) AS every FROM t),
+x AS (SELECT conv_id, turn, list_transform(pt, lambda w: [list_position(every, w)::INTEGER]) AS xs,
+  list_transform(rt, lambda w: list_position(every, w)::INTEGER) AS ys FROM u),
+l AS (SELECT conv_id, turn, len(xs) AS n, len(ys) AS m, list_reduce(
+    list_concat([list_transform(range(len(ys) + 1), lambda i: 0::INTEGER)], xs),
+    lambda above, x: list_reduce(list_concat([[0::INTEGER]], list_transform(range(1, len(ys) + 1), lambda j: [j::INTEGER])),
+      lambda row, j: list_append(row, CASE WHEN ys[j[1]] = x[1] THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], row[len(row)]) END)
+    ))[-1] AS lcs FROM x),
+s AS (SELECT conv_id, turn, lcs / greatest(n, 1)::DOUBLE AS p, lcs / greatest(m, 1)::DOUBLE AS r FROM l)
+SELECT conv_id, turn, round(p, 6) AS "rougeL_p", round(r, 6) AS "rougeL_r",
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS "rougeL_f" FROM s"""
+
+
+@register("rouge_l", _LCS_SQL)
 def rouge_l(spark, sf_dir):
-    """ROUGE-L (LCS) precision, recall, F1 per pair."""
+    """ROUGE-L (LCS) precision, recall, F1 per pair, without the stemmer."""
     r = SC.rouge_l(tokenized_pairs(spark, sf_dir), KEYS, "pt", "rt")
     return _round(r, ["rougeL_p", "rougeL_r", "rougeL_f"])
 
@@ -136,7 +149,8 @@ def zip_pairs(spark, sf_dir):
 
 
 def score_all(spark, sf_dir):
-    t = tokenized_pairs(spark, sf_dir)
+    """Every metric of every pair; ROUGE on stemmed tokens."""
+    t = tokenized_pairs(spark, sf_dir, stemmed=True)
     r1 = SC.rouge_n(t, KEYS, "pt", "rt", 1).select(*KEYS, "rouge1_f")
     r2 = SC.rouge_n(t, KEYS, "pt", "rt", 2).select(*KEYS, "rouge2_f")
     rl = SC.rouge_l(t, KEYS, "pt", "rt").select(*KEYS, "rougeL_f")
