@@ -181,40 +181,37 @@ t AS (
     FROM l WHERE len(string_split_regex(line, '[\x20\x09-\x0D]+')) >= 3),
 leaves AS (SELECT leaf FROM t GROUP BY leaf HAVING count(DISTINCT text) >= 10),
 cand AS (SELECT * FROM t SEMI JOIN leaves USING (leaf)),
-seen AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT text) AS n FROM cand GROUP BY leaf, line),
-tok AS (SELECT leaf, line, n, unnest(tokens) AS token, unnest(range(len(tokens))) AS slot FROM seen),
-sup AS (SELECT *, sum(n) OVER (PARTITION BY leaf, slot, token) >= 10 AND token <> '<*>' AS fixed FROM tok),
+seen AS (SELECT leaf, line, any_value(tokens) AS tokens FROM cand GROUP BY leaf, line),
+tok AS (SELECT leaf, line, unnest(tokens) AS token, unnest(range(len(tokens))) AS slot FROM seen),
+every_tok AS (SELECT leaf, text, unnest(tokens) AS token, unnest(range(len(tokens))) AS slot FROM cand),
+texts AS (SELECT leaf, slot, token, count(DISTINCT text) AS n FROM every_tok GROUP BY ALL),
+sup AS (SELECT tok.*, n >= 10 AND token <> '<*>' AS fixed FROM tok JOIN texts USING (leaf, slot, token)),
 tmpl AS (
     SELECT leaf, line, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, chr(31) ORDER BY slot) AS template
     FROM sup GROUP BY leaf, line HAVING avg(fixed::INTEGER) >= 0.6),
 hits AS (SELECT text, pos, leaf, template FROM cand JOIN tmpl USING (leaf, line)),
 rec AS (SELECT leaf, template FROM hits GROUP BY leaf, template HAVING count(DISTINCT text) >= 10),
-drops AS (SELECT text, list(pos) AS gone FROM hits SEMI JOIN rec USING (leaf, template) GROUP BY text)
+same AS (
+    SELECT line, len(string_split_regex(line, '[\x20\x09-\x0D]+')) AS n_tokens FROM l WHERE line <> ''
+    GROUP BY line HAVING count(DISTINCT text) >= CASE WHEN n_tokens >= 3 THEN 2 ELSE 10 END),
+every_hit AS (
+    SELECT text, pos FROM hits SEMI JOIN rec USING (leaf, template)
+    UNION SELECT text, pos FROM l SEMI JOIN same USING (line)),
+drops AS (SELECT text, list(pos) AS gone FROM every_hit GROUP BY text)
 SELECT doc_id, CASE WHEN gone IS NULL THEN d.text ELSE
            coalesce(array_to_string(list_filter(every, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text,
        coalesce(len(every), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped
 FROM d LEFT JOIN drops ON d.text = drops.text
 """)
 def op6_line_dedup(spark, sf_dir):
-    """Operator 6 over all documents."""
+    """Operator 6 over all documents: templates in 10 texts and more, unchanged lines in 2."""
     return drop_recurring_lines(table(spark, sf_dir, "documents"))
 
 
-_LINE_DEDUP, _LINES_OUT = ORACLE["op6_line_dedup"].split("drops AS ")
-
-
-@query("op6_line_dedup_same", sql=_LINE_DEDUP + r"""
-same AS (
-    SELECT line, len(string_split_regex(line, '[\x20\x09-\x0D]+')) AS n_tokens FROM l WHERE line <> ''
-    GROUP BY line HAVING count(DISTINCT text) >= CASE WHEN n_tokens >= 3 THEN 2 ELSE 10 END),
-every_hit AS (
-    SELECT text, pos FROM hits SEMI JOIN rec USING (leaf, template)
-    UNION SELECT text, pos FROM l SEMI JOIN same USING (line)),
-drops AS (SELECT text, list(pos) AS gone FROM every_hit GROUP BY text)
-""" + _LINES_OUT[_LINES_OUT.index("SELECT doc_id"):])
+@query("op6_line_dedup_same", sql=ORACLE["op6_line_dedup"])
 def op6_line_dedup_same(spark, sf_dir):
-    """Operator 6 over all documents, dropping also the lines that stand unchanged in two texts or more."""
-    return drop_recurring_lines(table(spark, sf_dir, "documents"), same_docs=2)
+    """The same under the name that it had while unchanged lines were an option."""
+    return op6_line_dedup(spark, sf_dir)
 
 
 @query("op7_best_fit_packing")
