@@ -96,9 +96,10 @@ def ascii_fold(x) -> Column:
     return F.coalesce(_fold_udf(F.when(c.rlike(NON_ASCII_RE), c)), c)
 
 
-def drop_disallowed(x) -> Column:
-    """T5: delete characters outside ASCII letters/digits/punctuation and (any) whitespace."""
-    return F.regexp_replace(_c(x), "[^" + ALLOWED_ASCII + WS + "]", "")
+def drop_disallowed(x, folded: bool = False) -> Column:
+    """T5: delete characters outside ASCII letters/digits/punctuation and (any) whitespace. ``folded``: the text
+    is ASCII already, for which a narrower pattern does the same."""
+    return F.regexp_replace(_c(x), "[^" + ALLOWED_ASCII + ("" if folded else WS) + "]", "")
 
 
 def squeeze_ws(x) -> Column:
@@ -112,11 +113,12 @@ def squeeze_ws_unicode(x) -> Column:
     return F.regexp_replace(y, "^ | $", "")
 
 
-def fix_punct(x) -> Column:
-    """No space before ``.,;!?`` or ``)``, none after ``(``, ``..+`` -> ``.``."""
+def fix_punct(x, squeezed: bool = False) -> Column:
+    """No space before ``.,;!?`` or ``)``, none after ``(``, ``..+`` -> ``.``. ``squeezed``: all whitespace of the text is single
+    spaces."""
     y = _c(x)
     for pattern, replacement in PUNCT_RULES:
-        y = F.regexp_replace(y, pattern, replacement)
+        y = F.regexp_replace(y, pattern.replace(_W + "+", " ") if squeezed else pattern, replacement)
     return y
 
 
@@ -140,8 +142,8 @@ def clean_text_columns(df, src: str, out: str = "cleaned_text", removed: str | N
     ascii_ = "__ascii"
     c = F.coalesce(F.col(src), F.lit(""))
     df = df.withColumn(pre, strip_wire_marker(strip_dateline(strip_byline(c))))
-    df = df.withColumn(ascii_, drop_disallowed(ascii_fold(pre)))
-    df = df.withColumn(out, straight_quotes(fix_punct(squeeze_ws(ascii_))))
+    df = df.withColumn(ascii_, drop_disallowed(ascii_fold(pre), folded=True))
+    df = df.withColumn(out, straight_quotes(fix_punct(squeeze_ws(ascii_), squeezed=True)))
     if removed:
         df = df.withColumn(removed, F.length(pre) - F.length(ascii_))
     return df.drop(pre, ascii_)
@@ -151,5 +153,5 @@ def clean_text(x) -> Column:
     """T9 as a single Column expression (no removed-char count)."""
     c = F.coalesce(_c(x), F.lit(""))
     y = strip_wire_marker(strip_dateline(strip_byline(c)))
-    y = drop_disallowed(ascii_fold(y))
-    return straight_quotes(fix_punct(squeeze_ws(y)))
+    y = drop_disallowed(ascii_fold(y), folded=True)
+    return straight_quotes(fix_punct(squeeze_ws(y), squeezed=True))
