@@ -129,9 +129,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     suspects = materialize(narrow.withColumn("cut", cut).join(twice, "cut", "left_semi"), "suspects")
 
     # the suspects' texts, compared byte for byte: the text itself is the grouping key
+    # (bitmaps of their ids let a few others pass, whose texts are no suspect's and meet no group)
     ids = materialize(suspects.select(F.col("doc_id").alias("suspect")).distinct(), "suspect_ids")
     texts = marked(base, F.col("doc_id"), ids).filter("__maybe")
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["suspect"]), "left_semi")
     classes = (texts.select(norm.alias("norm")).groupBy("norm").agg(F.count("*").alias("n"))
                .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "n"))
     classes = classes.groupBy("sha").agg(F.sum("n").alias("verified"), F.count("*").alias("texts"))

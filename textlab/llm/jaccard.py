@@ -324,13 +324,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     has = spark.sparkContext.broadcast(sketch_levels(wanted.mapInArrow(tidy(_key_sketch(WANTED_BITS)), "seg int, counts binary"), WANTED_BITS) > 0)
     sets = texts.mapInArrow(tidy(_wanted_sets(width, has, WANTED_BITS)), "cls long, sig binary, hashes binary")
-    sets = materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "sig"]), "sets")        # dealt by cls throughout
+    sets = sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "sig"])        # dealt by cls once, for both sides
     a = sets.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("hashes").alias("xa"))
     b = sets.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("hashes").alias("xb"))
-    links = materialize(pairs.select("a", "b").join(a, "a").join(b, "b").select("sa", "sb", "xa", "xb")
-                        .mapInArrow(tidy(_linked(num, den)), "sa binary, sb binary"), "links")
-    release(sets)
-    return links
+    return materialize(pairs.select("a", "b").join(a, "a").join(b, "b").select("sa", "sb", "xa", "xb")
+                       .mapInArrow(tidy(_linked(num, den)), "sa binary, sb binary"), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5),
