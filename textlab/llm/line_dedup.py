@@ -6,16 +6,15 @@ as variable) to a leaf. In a leaf, a token that stands at its position in the li
 recur across documents are boilerplate, and their lines are dropped. DataFrame functions only.
 
 A line whose whole text recurs unchanged needs no template: it is dropped as soon as
-it stands in ``same_docs`` texts, by a count of line fingerprints.
+it stands in ``same_docs`` texts, by a count of line fingerprints (64-bit hash and length).
 
-Lines are told apart by their leaf, 64-bit hash and length; only lines of leaves that enough texts reach are looked at token by
-token, each different one once. Documents with the same
+Only lines of leaves that enough texts reach are looked at token by token, each different one once. Documents with the same
 text count once, so that copies of a document (which exact deduplication removes) do not empty it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.session import materialize
@@ -29,44 +28,25 @@ def _generalised(token) -> F.Column:
     return F.when(token.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(token)
 
 
-LINE = ["leaf", "h", "len"]          # what tells lines apart
+def _same_lines(base: DataFrame, key: F.Column, min_tokens: int, min_docs: int, same_docs: int) -> DataFrame:
+    """``(key, pos)`` of the lines that stand unchanged in enough different texts."""
+    bound = F.when(F.size(F.split("line", SPACE)) >= min_tokens, F.lit(same_docs)).otherwise(F.lit(min_docs))
+    lines = materialize(
+        base.filter("text is not null").select(key.alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("key", "pos", F.trim(F.col("line"), F.lit(BLANKS)).alias("line")).filter("line <> ''")
+        .select("key", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("len"), bound.alias("bound")), "same")
+    often = (lines.select("h", "len", "bound", "key").distinct().groupBy("h", "len", "bound").count()
+             .filter(F.col("count") >= F.col("bound")).select("h", "len"))
+    return lines.join(materialize(often, "often"), ["h", "len"], "left_semi").select("key", "pos")
 
 
-def _lines(base: DataFrame, key: F.Column, lead: int, min_tokens: int) -> DataFrame:
-    """(key, pos, line, leaf) of all lines but blank ones; the leaf of a line of fewer than ``min_tokens`` tokens is null."""
-    tokens = F.split("line", SPACE)
-    leaf = F.when(F.size("tokens") >= min_tokens, F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, lead), _generalised)))
-    return (base.filter("text is not null").select(key.alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .select("key", "pos", F.trim(F.col("line"), F.lit(BLANKS)).alias("line")).filter("line <> ''")
-            .withColumn("tokens", tokens).select("key", "pos", "line", leaf.alias("leaf"), F.xxhash64("line").alias("h"), F.length("line").alias("len")))
-
-
-def _templates(lines: DataFrame, found: DataFrame, lead: int, min_docs: int, fixed: float) -> DataFrame:
-    """The lines (LINE) whose template recurs in ``min_docs`` texts. ``found`` has a row (LINE, key, pos) for every line."""
-    leaves = materialize(found.filter("leaf is not null").select("leaf", "key").distinct().groupBy("leaf").count()
-                         .filter(F.col("count") >= min_docs).select("leaf"), "leaves")
-    cand = found.join(leaves, "leaf", "left_semi").select(*LINE, "key").distinct()
-    # a text with one line in a leaf counts once for each of its tokens; one with several lines may repeat a token
-    cand = materialize(cand.withColumn("several", F.count("*").over(Window.partitionBy("leaf", "key")) > 1), "candidates")
-    texts = lines.join(leaves, "leaf", "left_semi").groupBy(*LINE).agg(F.min("line").alias("line"))
-    seen = texts.join(cand.groupBy(*LINE).agg(F.count_if(~F.col("several")).alias("n")), LINE)
-    seen = materialize(seen.withColumn("id", F.monotonically_increasing_id()), "lines")
-    tokens = seen.select("leaf", "id", "n", F.posexplode(F.split("line", SPACE)).alias("at", "raw")).select(
-        "leaf", "id", "n", "at", _generalised(F.col("raw")).alias("token"))
-    place = ["leaf", "at", "token"]
-    many = cand.filter("several").join(seen.select(*LINE, "id"), LINE).select("id", "key").join(tokens, "id").select(*place, "key").distinct()
-    support = tokens.groupBy(*place).agg(F.sum("n").alias("s")).unionByName(many.groupBy(*place).agg(F.count("*").alias("s")))
-    support = support.groupBy(*place).agg(F.sum("s").alias("s"))
-    constant = (F.col("s") >= min_docs) & (F.col("token") != VARIABLE)
-    templates = (tokens.join(support, place)
-                 .select("leaf", "id", "at", constant.cast("int").alias("c"),
-                         F.when(constant, F.col("token")).otherwise(F.lit(VARIABLE)).alias("token"))
-                 .groupBy("leaf", "id").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"), F.avg("c").alias("fixed"))
-                 .filter(F.col("fixed") >= fixed).select("id", F.xxhash64("leaf", "t.token").alias("template")))
-    named = materialize(seen.select(*LINE, "id").join(templates, "id").select(*LINE, "template"), "named")
-    recurring = (cand.join(named, LINE).select("template", "key").distinct().groupBy("template").count()
-                 .filter(F.col("count") >= min_docs).select("template"))
-    return named.join(recurring, "template", "left_semi").select(*LINE)
+def _repeated(cand: DataFrame) -> DataFrame:
+    """(leaf, at, token, again): how often a token stands at its place in further lines of a text that has it there already."""
+    lines = cand.select("leaf", "key", "line").distinct()
+    several = lines.groupBy("leaf", "key").count().filter("count > 1").select("leaf", "key")
+    tokens = lines.join(several, ["leaf", "key"], "left_semi").select("leaf", "key", F.posexplode(F.split("line", SPACE)).alias("at", "raw"))
+    return (tokens.groupBy("leaf", "key", "at", _generalised(F.col("raw")).alias("token")).count().filter("count > 1")
+            .groupBy("leaf", "at", "token").agg(F.sum(F.col("count") - 1).alias("again")))
 
 
 def drop_recurring_lines(docs: DataFrame, lead: int = 3, min_tokens: int = 3, min_docs: int = 10, fixed: float = 0.6,
@@ -85,15 +65,34 @@ def drop_recurring_lines(docs: DataFrame, lead: int = 3, min_tokens: int = 3, mi
     """
     key = F.struct(F.xxhash64("text").alias("a"), F.length("text").alias("b"))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = _lines(base, key, lead, min_tokens)
-    found = materialize(lines.select("key", "pos", *LINE), "found")
-    gone = found.join(_templates(lines, found, lead, min_docs, fixed), LINE, "left_semi").select("key", "pos")
+    lines = (base.filter("text is not null").select(key.alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+             .select("key", "pos", F.trim(F.col("line"), F.lit(BLANKS)).alias("line"))
+             .withColumn("tokens", F.split("line", SPACE)).filter(F.size("tokens") >= min_tokens)
+             .select("key", "pos", "line", F.xxhash64(F.size("tokens"), F.transform(
+                 F.slice("tokens", 1, lead), _generalised)).alias("leaf")))
+    leaves = materialize(lines.select("leaf", "key").distinct().groupBy("leaf").count()
+                         .filter(F.col("count") >= min_docs).select("leaf"), "leaves")
+    cand = materialize(lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "key", "pos"), "candidates")
+    seen = cand.select("leaf", "line", "key").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    seen = materialize(seen.withColumn("id", F.monotonically_increasing_id()), "lines")
+    tokens = seen.select("leaf", "id", "n", F.posexplode(F.split("line", SPACE)).alias("at", "raw")).select(
+        "leaf", "id", "n", "at", _generalised(F.col("raw")).alias("token"))
+    support = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("s"))
+    support = support.join(_repeated(cand), ["leaf", "at", "token"], "left").select(
+        "leaf", "at", "token", (F.col("s") - F.coalesce("again", F.lit(0))).alias("s"))
+    constant = (F.col("s") >= min_docs) & (F.col("token") != VARIABLE)
+    templates = (tokens.join(support, ["leaf", "at", "token"])
+                 .select("leaf", "id", "at", constant.cast("int").alias("c"),
+                         F.when(constant, F.col("token")).otherwise(F.lit(VARIABLE)).alias("token"))
+                 .groupBy("leaf", "id").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"), F.avg("c").alias("fixed"))
+                 .filter(F.col("fixed") >= fixed).select("id", F.xxhash64("leaf", "t.token").alias("template")))
+    named = materialize(seen.join(templates, "id").select("leaf", "line", "template"), "named")
+    recurring = (cand.join(named, ["leaf", "line"]).select("template", "key").distinct().groupBy("template").count()
+                 .filter(F.col("count") >= min_docs).select("template"))
+    # decided on the different lines: a hot template's hits never meet in a join
+    gone = cand.join(named.join(recurring, "template", "left_semi"), ["leaf", "line"], "left_semi").select("key", "pos")
     if same_docs is not None:
-        bound = F.when(F.col("leaf").isNull(), F.lit(min_docs)).otherwise(F.lit(same_docs))
-        whole = [F.coalesce("leaf", F.lit(0)).alias("leaf"), "h", "len"]
-        often = (found.select("leaf", "h", "len", "key").distinct().groupBy("leaf", "h", "len").count()
-                 .filter(F.col("count") >= bound).select(*whole))
-        gone = gone.unionByName(found.select("key", "pos", *whole).join(materialize(often, "often"), LINE, "left_semi").select("key", "pos"))
+        gone = gone.unionByName(_same_lines(base, key, min_tokens, min_docs, same_docs))
     drops = gone.groupBy("key").agg(F.collect_set("pos").alias("drop")).withColumnRenamed("key", "drop_key")
     joined = base.withColumn("key", F.when(F.col("text").isNotNull(), key)).join(drops, F.col("key") == F.col("drop_key"), "left")
     joined = joined.withColumn("every", F.split("text", "\n"))
