@@ -68,20 +68,24 @@ def first_n(df: DataFrame, order_col: str, n: int) -> DataFrame:
 
 
 def batch_pad(df: DataFrame, order_col: str, ids_col: str, batch_size: int, max_len: int | None = None,
-              pad_id: int = 0) -> DataFrame:
-    """Consecutive fixed-size batches in ``order_col`` order, ids truncated to
-    ``max_len`` and right-padded with ``pad_id`` to the longest sequence of the batch.
+              pad_id: int = 0, target_col: str | None = None) -> DataFrame:
+    """Consecutive fixed-size batches in ``order_col`` order. Source ids are truncated to
+    ``max_len`` and right-padded with ``pad_id`` to the longest sequence of the batch (``padded``); those of ``target_col``, if
+    given, are padded without truncation (``target_padded``).
 
     The global row number comes from a two-phase prefix sum (no single-task window).
     """
-    ids = F.col(ids_col) if max_len is None else F.slice(ids_col, 1, max_len)
-    d = global_row_number(df.withColumn("__ids", ids), [order_col], out="__rn")
+    sides = {"padded": F.col(ids_col) if max_len is None else F.slice(ids_col, 1, max_len)}
+    if target_col is not None:
+        sides["target_padded"] = F.col(target_col)
+    d = global_row_number(df.select("*", *[c.alias(f"__{n}") for n, c in sides.items()]), [order_col], out="__rn")
     d = (d.withColumn("batch_id", F.floor((F.col("__rn") - 1) / batch_size).cast("bigint"))
           .withColumn("row_in_batch", ((F.col("__rn") - 1) % batch_size).cast("int")))
     w = Window.partitionBy("batch_id")
-    d = d.withColumn("__max", F.max(F.size("__ids")).over(w))
-    padded = F.concat(F.col("__ids"), F.array_repeat(F.lit(pad_id), (F.col("__max") - F.size("__ids")).cast("int")))
-    return d.withColumn("padded", padded).drop("__ids", "__max", "__rn")
+    for n in sides:
+        ids = F.col(f"__{n}")
+        d = d.withColumn(n, F.concat(ids, F.array_repeat(F.lit(pad_id), (F.max(F.size(ids)).over(w) - F.size(ids)).cast("int"))))
+    return d.drop("__rn", *[f"__{n}" for n in sides])
 
 
 def token_budget(df: DataFrame, key: str, tokens_col: str, budget: int, seed: int = SEED) -> DataFrame:
@@ -108,12 +112,15 @@ def top_p_cutoff(df: DataFrame, group: str, item: str, p_col: str, top_p: float)
 
 
 def softmax_entropy(df: DataFrame, group: str, score: str, temperature: float = 1.0,
-                    theta: float = 1.0) -> DataFrame:
+                    theta: float = 1.0, masked: Column | None = None) -> DataFrame:
     """Softmax per group, its entropy, and the entropy-scaled temperature
-    ``T * N ** (theta / H)`` (floored at 0.01) with the re-tempered softmax."""
+    ``T * N ** (theta / H)`` (floored at 0.01) with the re-tempered softmax. Items for which ``masked`` is true have
+    probability 0 before the entropy is taken (the others are not scaled up), and take part in the re-tempered softmax."""
     w = Window.partitionBy(group)
     d = df.withColumn("__z", F.col(score) - F.max(score).over(w))
     d = d.withColumn("p", F.exp("__z") / F.sum(F.exp("__z")).over(w))
+    if masked is not None:
+        d = d.withColumn("p", F.when(masked, F.lit(0.0)).otherwise(F.col("p")))
     d = d.withColumn("entropy", -F.sum(F.col("p") * F.log(F.col("p") + ENTROPY_EPS)).over(w))
     d = d.withColumn("n_items", F.count("*").over(w))
     t = F.lit(temperature) * F.pow(F.col("n_items").cast("double"), F.lit(theta) / (F.col("entropy") + ENTROPY_EPS))

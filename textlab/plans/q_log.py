@@ -110,20 +110,25 @@ def filter_first_n(spark, sf_dir):
 _ENC = Q.encoded_text("word", TK.FIXTURE_VOCAB["word"], "cleaned_text")
 
 
-_BATCH_PAD_SQL = f"""WITH e AS (SELECT doc_id, CASE WHEN ids = '' THEN []::VARCHAR[] ELSE string_split(ids, ' ')[1:{SOURCE_LEN}] END AS xs,
-  row_number() OVER (ORDER BY doc_id) AS rn FROM ({_ENC})),
-b AS (SELECT doc_id, xs, (rn - 1) // {BATCH_SIZE} AS batch_id, CAST((rn - 1) % {BATCH_SIZE} AS INT) AS row_in_batch,
-  max(len(xs)) OVER (PARTITION BY (rn - 1) // {BATCH_SIZE}) AS m FROM e)
-SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, row_in_batch,
-  array_to_string(list_concat(xs, list_transform(range(m - len(xs)), lambda x: '0')), ' ') AS padded FROM b"""
+_ENC_HL = Q.encoded_text("word", TK.FIXTURE_VOCAB["word"], "highlights")
+
+
+_BATCH_PAD_SQL = f"""WITH e AS (SELECT doc_id, CASE WHEN a.ids = '' THEN []::VARCHAR[] ELSE string_split(a.ids, ' ')[1:{SOURCE_LEN}] END AS xs,
+  CASE WHEN h.ids = '' THEN []::VARCHAR[] ELSE string_split(h.ids, ' ') END AS ys,
+  row_number() OVER (ORDER BY doc_id) AS rn FROM ({_ENC}) a JOIN ({_ENC_HL}) h USING (doc_id)),
+b AS (SELECT doc_id, xs, ys, CAST((rn - 1) // {BATCH_SIZE} AS BIGINT) AS batch_id, CAST((rn - 1) % {BATCH_SIZE} AS INT) AS row_in_batch FROM e),
+m AS (SELECT *, max(len(xs)) OVER (PARTITION BY batch_id) AS mx, max(len(ys)) OVER (PARTITION BY batch_id) AS my FROM b)
+SELECT doc_id, batch_id, row_in_batch, {', '.join(f"array_to_string(list_concat({c}, list_transform(range({m} - len({c})), lambda x: '0')), ' ') AS {n}"
+                                                for c, m, n in (('xs', 'mx', 'padded'), ('ys', 'my', 'target_padded')))} FROM m"""
 
 
 @register("batch_pad", _BATCH_PAD_SQL)
 def batch_pad(spark, sf_dir):
-    """Batches of 16 in row order, sources truncated to 256 ids, right-padded with 0."""
-    e = TK.encoded(spark, sf_dir, "word").select("doc_id", "article_ids")
-    b = SEL.batch_pad(e, "doc_id", "article_ids", BATCH_SIZE, SOURCE_LEN)
-    return b.select("doc_id", "batch_id", "row_in_batch", F.array_join("padded", " ").alias("padded"))
+    """Batches of 16 in row order, sources truncated to 256 ids, targets whole, both right-padded with 0."""
+    e = TK.encoded(spark, sf_dir, "word").select("doc_id", "article_ids", "highlight_ids")
+    b = SEL.batch_pad(e, "doc_id", "article_ids", BATCH_SIZE, SOURCE_LEN, target_col="highlight_ids")
+    return b.select("doc_id", "batch_id", "row_in_batch", F.array_join("padded", " ").alias("padded"),
+                    F.array_join("target_padded", " ").alias("target_padded"))
 
 
 @register("token_budget", f"""SELECT doc_id, n, cum_tokens FROM (
@@ -153,20 +158,40 @@ def top_p_cutoff(spark, sf_dir):
 _SHARES = f"SELECT grp, item, score / sum(score) OVER (PARTITION BY grp) AS score FROM ({_ITEMS})"
 
 
-@register("softmax_entropy", f"""WITH z AS (SELECT grp, item, score, score - max(score) OVER (PARTITION BY grp) AS z FROM ({_SHARES})),
-p AS (SELECT grp, item, score, exp(z) / sum(exp(z)) OVER (PARTITION BY grp) AS p FROM z),
+# --- fixed values -----------------------------------------------------------
+MASKED_ITEM = "purchase"    # W13: the item that may not be chosen
+# ----------------------------------------------------------------------------
+
+
+def _softmax_sql(p):
+    return f"""WITH z AS (SELECT grp, item, score, score - max(score) OVER (PARTITION BY grp) AS z FROM ({_SHARES})),
+s AS (SELECT grp, item, score, exp(z) / sum(exp(z)) OVER (PARTITION BY grp) AS q FROM z),
+p AS (SELECT grp, item, score, {p} AS p FROM s),
 h AS (SELECT *, -sum(p * ln(p + 1e-12)) OVER (PARTITION BY grp) AS entropy, count(*) OVER (PARTITION BY grp) AS n_items FROM p),
 t AS (SELECT *, greatest(1.0 * pow(n_items::DOUBLE, 1.0 / (entropy + 1e-12)), 0.01) AS temp FROM h),
 u AS (SELECT *, score / temp - max(score / temp) OVER (PARTITION BY grp) AS zt FROM t)
 SELECT grp, item, round(p, 6) AS p, round(entropy, 6) AS entropy, round(temp, 6) AS temp,
-  round(exp(zt) / sum(exp(zt)) OVER (PARTITION BY grp), 6) AS p_temp FROM u""")
-def softmax_entropy(spark, sf_dir):
-    """Softmax, entropy and entropy-scaled temperature per user over event-type shares."""
+  round(exp(zt) / sum(exp(zt)) OVER (PARTITION BY grp), 6) AS p_temp FROM u"""
+
+
+def _softmax(spark, sf_dir, masked=None):
     d = SEL.shares(tables.weighted_items(spark, sf_dir), "grp", "score", out="p_share")
-    d = SEL.softmax_entropy(d.select("grp", "item", F.col("p_share").alias("score")), "grp", "score")
+    d = SEL.softmax_entropy(d.select("grp", "item", F.col("p_share").alias("score")), "grp", "score", masked=masked)
     return d.select("grp", "item", *[F.round(c, 6).alias(c) for c in ("p", "entropy", "temp", "p_temp")])
 
 
+@register("softmax_entropy", _softmax_sql("q"))
+def softmax_entropy(spark, sf_dir):
+    """Softmax, entropy and entropy-scaled temperature per user over event-type shares."""
+    return _softmax(spark, sf_dir)
+
+
+@register("softmax_entropy_masked", _softmax_sql(f"CASE WHEN item = '{MASKED_ITEM}' THEN 0.0 ELSE q END"))
+def softmax_entropy_masked(spark, sf_dir):
+    """W13 with an item masked before the entropy."""
+    return _softmax(spark, sf_dir, F.col("item") == MASKED_ITEM)
+
+
 @register("log_keep_last_stream", f"SELECT run, step, round(loss, 6) AS loss, ingest_seq FROM ({LAST})")
 def log_keep_last_stream(spark, sf_dir):
     """W1 as a stream over the events files: micro-batches merged into a table of last rows."""

@@ -110,15 +110,15 @@ _seq_query("ids_count_value", lambda c: SQ.ids_count_value(c, SQ.UNK_ID),
 _seq_query("ids_text_roundtrip", lambda c: _ids_text(SQ.text_to_ids(SQ.ids_to_text(c))), "ids")
 
 
-@register("teacher_shift", f"""SELECT doc_id,
-  array_to_string(string_split('2 ' || ids || ' 3', ' ')[1:len(string_split('2 ' || ids || ' 3', ' ')) - 1], ' ') AS dec_in,
-  array_to_string(string_split('2 ' || ids || ' 3', ' ')[2:], ' ') AS target
-FROM ({_WORD_ENC}) WHERE ids <> ''""")
+_WRAPPED = "string_split(CASE WHEN ids = '' THEN '2 3' ELSE '2 ' || ids || ' 3' END, ' ')"
+
+
+@register("teacher_shift", f"""SELECT doc_id, array_to_string({_WRAPPED}[1:len({_WRAPPED}) - 1], ' ') AS dec_in,
+  array_to_string({_WRAPPED}[2:], ' ') AS target FROM ({_WORD_ENC})""")
 def teacher_shift(spark, sf_dir):
     """Decoder input (all but last) and target (all but first) of the wrapped sequence."""
-    e = TK.encoded(spark, sf_dir, "word").where(F.size("article_ids") > 0)
-    w = SQ.ids_wrap(F.col("article_ids"))
-    a, b = SQ.teacher_shift(w)
+    e = TK.encoded(spark, sf_dir, "word")
+    a, b = SQ.teacher_shift(SQ.ids_wrap(F.col("article_ids")))
     return e.select("doc_id", _ids_text(a).alias("dec_in"), _ids_text(b).alias("target"))
 
 
