@@ -102,6 +102,37 @@ def test_pack_fills_and_shrinks():
     assert pack(np.empty(0, np.int64))[2].size == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pack_against_a_linear_scan(seed):
+    """The same rules without sorted lists: longest first, into the fullest sequence that takes the piece, else the least cost for each token."""
+    from textlab.llm.packing import cost
+    rng = np.random.default_rng(seed)
+    lengths = (16, 32, 64) if seed % 2 else (10, 64)
+    sizes = rng.integers(1, 65, 120)
+    order = sorted(range(sizes.size), key=lambda i: (-sizes[i], i))
+    bins, where = [], {}                                   # [capacity, used]
+    shrunk = lambda n: min(c for c in lengths if c >= n)
+    for k, i in enumerate(order):
+        s = int(sizes[i])
+        fits = [(c - u, b) for b, (c, u) in enumerate(bins) if c - u >= s]
+        if fits:
+            b = min(fits)[1]
+        else:
+            best = []
+            for c in lengths:
+                if c >= s:
+                    beside = sum(int(sizes[j]) for j in order[k + 1:] if sizes[j] <= c - s)
+                    hold = s + min(c - s, max(0, beside - sum(x - u for x, u in bins)))
+                    best.append((cost(shrunk(hold), 4.0) / hold, c))
+            b = len(bins)
+            bins.append([min(best)[1], 0])
+        where[i] = (b, bins[b][1])
+        bins[b][1] += s
+    got, offsets, cap, used = pack(sizes, lengths, 4.0)
+    assert [(int(got[i]), int(offsets[i])) for i in range(sizes.size)] == [where[i] for i in range(sizes.size)]
+    assert used.tolist() == [u for _, u in bins] and cap.tolist() == [shrunk(u) for _, u in bins]
+
+
 def test_best_fit(spark):
     rows = [(1, "a " * 9000), (2, None), (3, ""), (4, "x y z"), (4, "x y z"), (None, "n"), (5, "b " * 4096)]
     got = best_fit(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, bin_id string")).collect()

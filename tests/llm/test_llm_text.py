@@ -278,3 +278,41 @@ def test_line_dedup_drops_a_constant_passage(spark, n):
         assert got[i] == (t.split("\n")[0], 2, 1)
     assert got[40] == (rows[n + 10][1], 1, 0) and got[41] == (None, 0, 0)
     assert got[50] == got[51] == ("a line of two equal texts", 1, 0)
+
+
+def letter_grams(text):
+    """1 to 3 letters of a lower-cased text, a word's edges as blanks; three only around a letter that is not alone."""
+    x = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    x = [ord(c) for c in re.sub(" +", " ", x)]
+    out = collections.Counter((0, 0, c) for c in x if c != 32)
+    out.update((0, a, b) for a, b in zip(x, x[1:]) if a != 32 or b != 32)
+    out.update((a, b, c) for a, b, c in zip(x, x[1:], x[2:]) if b != 32 and (a != 32 or c != 32))
+    return out
+
+
+@pytest.mark.parametrize("size", [7, 400])
+def test_language_against_brute_force(spark, size):
+    rng = np.random.default_rng(1)
+    words = {"en": "the cat and a dog of house in hill I run".split(), "de": "der Hund und die Katze über Straße im Öl ein".split(),
+             "fr": "le chat et la été rue à il regarde un œuf".split()}
+    rows = []
+    for i in range(90):
+        lang = ["en", "de", "fr"][i % 3]
+        text = " ".join(rng.choice(words[lang], rng.integers(1, 25))) + rng.choice(["", ".", " 12x", "\n", "'s"])
+        rows.append((i, text, lang if i % 7 else None))
+    rows += [(200, None, "en"), (201, "", "de"), (202, "123 !!", "fr"), (203, "x", "en"), (204, "I a", None), (None, "the dog", "en"), (5, "le chat " * 4000, "fr"),
+             (206, "ЖЖ щ", "ru"), (207, "ЖЖ", None), (208, "the dog", "en"), (208, "the dog", "en")]
+    got = identify(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, score int, lang_pred string").repartition(4), size).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    counts = collections.defaultdict(collections.Counter)
+    for i, t, lang in rows:
+        if lang is not None and not held(i):
+            counts[lang].update(letter_grams(t))
+    top = lambda c: {g: r for r, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size])}
+    profiles = {lang: top(c) for lang, c in counts.items() if c}
+    want = []
+    for i, t, _ in rows:
+        mine = top(letter_grams(t))
+        best = min(((sum(abs(r - p[g]) if g in p else size for g, r in mine.items()), lang) for lang, p in profiles.items()))
+        want.append((str(i), held(i), best[1], round(1 - best[0] / (len(mine) * size), 9)) if mine else (str(i), held(i), "und", 0.0))
+    assert sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in got) == sorted(want)
