@@ -30,7 +30,9 @@ def _generalised(token) -> F.Column:
 
 def _same_lines(base: DataFrame, key: F.Column, min_tokens: int, min_docs: int, same_docs: int) -> DataFrame:
     """``(key, pos)`` of the lines that stand unchanged in enough different texts."""
-    bound = F.when(F.size(F.split("line", SPACE)) >= min_tokens, F.lit(same_docs)).otherwise(F.lit(min_docs))
+    token = SPACE.replace("[", "[^", 1)
+    long = F.col("line").rlike(f"^(?:{token}{SPACE}){{{min_tokens - 1}}}{token[:-1]}")          # min_tokens tokens, without a split
+    bound = F.when(long, F.lit(same_docs)).otherwise(F.lit(min_docs))
     lines = materialize(
         base.filter("text is not null").select(key.alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .select("key", "pos", F.trim(F.col("line"), F.lit(BLANKS)).alias("line")).filter("line <> ''")
@@ -68,8 +70,8 @@ def drop_recurring_lines(docs: DataFrame, lead: int = 3, min_tokens: int = 3, mi
     lines = (base.filter("text is not null").select(key.alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
              .select("key", "pos", F.trim(F.col("line"), F.lit(BLANKS)).alias("line"))
              .withColumn("tokens", F.split("line", SPACE)).filter(F.size("tokens") >= min_tokens)
-             .select("key", "pos", "line", F.xxhash64(F.size("tokens"), F.transform(
-                 F.slice("tokens", 1, lead), _generalised)).alias("leaf")))
+             .select("key", "pos", "line", F.xxhash64(F.size("tokens"), *[
+                 _generalised(F.get("tokens", F.lit(i))) for i in range(lead)]).alias("leaf")))
     leaves = materialize(lines.select("leaf", "key").distinct().groupBy("leaf").count()
                          .filter(F.col("count") >= min_docs).select("leaf"), "leaves")
     cand = materialize(lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "key", "pos"), "candidates")
