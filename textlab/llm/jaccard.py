@@ -354,8 +354,9 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
     id_type = base.schema["doc_id"].dataType.simpleString()
     first = materialize(base.mapInArrow(tidy(_profile(width, SKETCH_BITS)),
                                         f"doc_id {id_type}, n long, sig binary, parity binary, seg int, counts binary"), "shingles")
-    rows = first.filter("seg is null").select("doc_id", "n", "sig", "parity")
     level = spark.sparkContext.broadcast(sketch_levels(first.filter("seg is not null").select("seg", "counts"), SKETCH_BITS))
+    rows = materialize(first.filter("seg is null").select("doc_id", "n", "sig", "parity"), "sets")
+    release(first)               # the tasks' sketches, some megabytes each
 
     texts = base.select("text")
     entries = texts.mapInArrow(tidy(_entries(width, level, SKETCH_BITS, num, den)), "h long, cls long, at long")
