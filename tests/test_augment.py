@@ -74,6 +74,23 @@ def test_augment_matches_python(spark, hot):
     assert got[6]["tokens_replaced"] > 0
 
 
+def test_chosen_is_a_row_for_a_document_without_window_or_token_rows(spark):
+    df = spark.createDataFrame([(i, "a", t) for i, t in enumerate(TEXTS)] + [(None, "a", "run fast race")], "doc_id BIGINT, field STRING, text STRING")
+    keys = ["doc_id", "field"]
+    chosen = AG.choose_replacements(AG.tag_documents(df, keys, "text", lexicon(spark), hot=4), keys, lexicon(spark), ratio=0.3, hot=4)
+    assert "Window" not in chosen._jdf.queryExecution().executedPlan().toString()
+    rows = {r["doc_id"]: r for r in chosen.collect()}
+    assert len(rows) == chosen.count() == len(TEXTS) + 1
+    for i, t in enumerate(TEXTS):
+        out = py_augment(i, t, ratio=0.3)[0].split(" ") if t else []
+        toks = PRETOKEN.findall(t or "")
+        assert [p["token"] for p in rows[i]["picks"]] == [toks[p["pos_in_doc"]] for p in rows[i]["picks"]]
+        assert {j for j, (a, b) in enumerate(zip(toks, out)) if a != b} <= {p["pos_in_doc"] for p in rows[i]["picks"]}
+        assert len(rows[i]["picks"]) == rows[i]["tokens_replaced"]
+    got = AG.with_picks(df, keys, "text", AG.picked(chosen, keys, lexicon(spark))).collect()
+    assert all(" ".join(r["out_tokens"]) == py_augment(r["doc_id"], r["text"], ratio=0.3)[0] for r in got if r["doc_id"] is not None)
+
+
 def test_lexicon_holds_all_words_with_their_places(spark, tmp_path):
     from collections import Counter
 
