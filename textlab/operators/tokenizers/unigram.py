@@ -255,7 +255,8 @@ def train_unigram(words: DataFrame, vocab_size: int, seed_size: int | None = SEE
         table = materialize(attach(seeds, total).select("piece", F.round(F.log(F.col("n") / F.col("total")), 9).alias("logp")), "unigram_pieces")
         table = _em_prune(state, table, room, max_len, em_steps, shrink, history)
     release(state)
-    top = table.orderBy(F.desc("logp"), "piece").limit(target)
+    # characters always stay: where the pieces are more than the target, others give way
+    top = table.orderBy(F.desc(F.length("piece") == 1), F.desc("logp"), "piece").limit(target)
     w = Window.orderBy(F.desc("logp"), "piece")                              # at most vocab_size rows
     ranked = top.select((F.row_number().over(w) + len(SPECIAL_PIECES) - 1).cast("int").alias("id"), "piece", F.round("logp", 6).alias("score"))
     return specials(spark).unionByName(ranked)
@@ -284,8 +285,10 @@ def _em_prune(state, table, target, max_len, em_steps, shrink, history) -> DataF
 
 def encode_unigram(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """K8: Viterbi segmentation of each whitespace word under the piece log-probabilities; map-only, a task segments every distinct word once."""
-    rows = vocab.where(F.col("id") >= len(SPECIAL_PIECES)).select("piece", "score").collect()          # at most vocab_size
-    scores = vocab.sparkSession.sparkContext.broadcast({r["piece"]: float(r["score"]) for r in rows})
+    scores = getattr(vocab, "shared_scores", None)
+    if scores is None:
+        rows = vocab.where(F.col("id") >= len(SPECIAL_PIECES)).select("piece", "score").collect()          # at most vocab_size
+        scores = vocab.shared_scores = vocab.sparkSession.sparkContext.broadcast({r["piece"]: float(r["score"]) for r in rows})
 
     def segmenter(_: dict):
         trie, unk = _trie_of(scores)
