@@ -261,3 +261,19 @@ def test_unigram_mstep_of_tiny_counts(spark):
     table = spark.createDataFrame([("a", 0.0), ("ab", 0.0), ("b", 0.0), ("bb", 0.0)], "piece string, logp double")
     got = {r["piece"]: r["logp"] for r in _mstep(counts, table).collect()}
     assert set(got) == {"a", "ab", "b"} and got["b"] == 0.0 and got["ab"] < -60 and got["a"] < got["ab"]
+
+
+def test_a_worker_works_on_parts_and_has_one_broadcast_of_a_vocabulary(spark):
+    import pyarrow as pa
+
+    from textlab.operators.tokenizers import arrow, vocab
+    seen = []
+
+    def part(texts):
+        seen.append(len(texts))
+        return texts
+    texts = pa.array([str(i) for i in range(2 * arrow.TEXTS_AT_ONCE + 1)])
+    assert arrow.in_parts(part)(texts).equals(texts) and max(seen) == arrow.TEXTS_AT_ONCE and len(seen) == 3
+    assert arrow.in_parts(part)(texts.slice(0, 0)).equals(texts.slice(0, 0))
+    v = vocab.specials(spark)
+    assert vocab.piece_ids(v) is vocab.piece_ids(v)

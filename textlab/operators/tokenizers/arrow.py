@@ -2,10 +2,13 @@
 
 Texts are split, looked up and put together as flat arrays with offsets; Python code runs for a distinct word of a
 task at most. The vocabulary, of at most ``vocab_size`` pieces, is a broadcast variable; the token stream is never shuffled.
+A batch is worked on ``TEXTS_AT_ONCE`` texts at a time, so that only its input and its result are held whole.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +18,19 @@ from pyspark.sql import functions as F
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 SPACE = "▁"          # word-boundary marker
 # ----------------------------------------------------------------------------
-MEMO_WORDS = 500_000            # segmented words that a worker remembers
+MEMO_WORDS = 250_000            # segmented words that a worker remembers
+TEXTS_AT_ONCE = 250             # texts whose words or characters are held as flat arrays
+TABLES = 4                      # lookup structures that a worker keeps
+
+
+def in_parts(f):
+    """``f`` of an array, part by part; what the parts took goes back to the system."""
+    def whole(texts: pa.Array) -> pa.Array:
+        out = [f(texts.slice(i, TEXTS_AT_ONCE)) for i in range(0, max(1, len(texts)), TEXTS_AT_ONCE)]
+        joined = out[0] if len(out) == 1 else pa.concat_arrays(out)
+        pa.default_memory_pool().release_unused()
+        return joined
+    return whole
 
 
 def split_words(texts: pa.Array):
@@ -34,21 +49,28 @@ def lists_of(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def encode_lookup(shared):
     """Words -> the id of the piece ``SPACE + word``, or unk, by one hash lookup of a batch (``shared``: broadcast piece -> id)."""
-    @F.arrow_udf("array<int>")
-    def enc(texts: pa.Array) -> pa.Array:
+    def part(texts: pa.Array) -> pa.Array:
         words, ids = _table(shared, "words", lambda d: (
             pa.array([p[1:] for p in d if p.startswith(SPACE)], pa.string()), np.array([i for p, i in d.items() if p.startswith(SPACE)], np.int32)))
         flat, offsets = split_words(texts)
         at = pc.index_in(flat, value_set=words)
         found = np.append(ids, UNK)[pc.fill_null(at, len(ids)).to_numpy(zero_copy_only=False)]
         return lists_of(found, offsets)
+
+    @F.arrow_udf("array<int>")
+    def enc(texts: pa.Array) -> pa.Array:
+        return in_parts(part)(texts)
     return enc
 
 
+def _end(strings: pa.Array) -> int:
+    """Bytes of all ``strings``, an array that is no slice."""
+    return int(np.frombuffer(strings.buffers()[1], np.int32)[len(strings)]) if len(strings) else 0
+
+
 def encode_points(shared):
     """``SPACE`` before every word, then one id for every code point, by a table of all code points."""
-    @F.arrow_udf("array<int>")
-    def enc(texts: pa.Array) -> pa.Array:
+    def part(texts: pa.Array) -> pa.Array:
         def table(d):
             out = np.full(0x110000, UNK, np.int32)
             for p, i in d.items():
@@ -59,15 +81,19 @@ def encode_points(shared):
         words, offsets = split_words(texts)
         marked = pc.binary_join_element_wise(pa.scalar(SPACE), words, "") if len(words) else words
         size = np.concatenate([[0], np.cumsum(pc.utf8_length(marked).to_numpy(zero_copy_only=False))]) if len(words) else np.zeros(1, np.int64)
-        points = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), np.uint32)
+        data = marked.buffers()[2] if len(words) else None
+        points = np.frombuffer((data.to_pybytes() if data is not None else b"")[:_end(marked)].decode().encode("utf-32-le"), np.uint32)
         return lists_of(ids[points], size[offsets])
+
+    @F.arrow_udf("array<int>")
+    def enc(texts: pa.Array) -> pa.Array:
+        return in_parts(part)(texts)
     return enc
 
 
 def encode_words(shared, segmenter):
     """Words -> pieces by ``segmenter(piece -> id)`` (a function of one word), every distinct word of a task once."""
-    @F.arrow_udf("array<int>")
-    def enc(texts: pa.Array) -> pa.Array:
+    def part(texts: pa.Array) -> pa.Array:
         d = shared.value
         segment = _table(shared, "segment", segmenter)
         memo = _table(shared, "memo", lambda _: {})
@@ -77,26 +103,29 @@ def encode_words(shared, segmenter):
         for w in coded.dictionary.to_pylist():
             ids = memo.get(w)
             if ids is None:
-                ids = np.array([d.get(p, UNK) for p in segment(w)], np.int32)
+                ids = tuple([d.get(p, UNK) for p in segment(w)])
                 if len(memo) < MEMO_WORDS:
                     memo[w] = ids
             pieces.append(ids)
-        size = np.array([p.size for p in pieces], np.int64)
+        size = np.array([len(p) for p in pieces], np.int64)
         first = np.concatenate([[0], np.cumsum(size)])
         which = coded.indices.to_numpy(zero_copy_only=False)
-        every = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
+        every = np.fromiter(chain.from_iterable(pieces), np.int32, first[-1])
         length = size[which] if which.size else np.empty(0, np.int64)
         end = np.concatenate([[0], np.cumsum(length)])
         at = np.arange(end[-1]) - np.repeat(end[:-1] - (first[which] if which.size else 0), length)
         return lists_of(every[at], end[offsets])
+
+    @F.arrow_udf("array<int>")
+    def enc(texts: pa.Array) -> pa.Array:
+        return in_parts(part)(texts)
     return enc
 
 
 def decode_pieces(shared, unk_surface: str):
     """Ids -> text (``shared``: broadcast piece -> id): pad, bos and eos are dropped, unk and unknown ids show as ``unk_surface``, the boundary marker becomes a
     space, and the leading one goes. The pieces of a batch are one buffer, of which a text is a stretch."""
-    @F.arrow_udf("string")
-    def dec(lists: pa.Array) -> pa.Array:
+    def part(lists: pa.Array) -> pa.Array:
         def table(d):
             top = max(d.values(), default=EOS) + 1
             shown = [unk_surface] * (top + 1)               # the last stands for ids outside
@@ -120,6 +149,10 @@ def decode_pieces(shared, unk_surface: str):
         text = pc.replace_substring(text, SPACE, " ")
         text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
         return pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.large_string())).cast(pa.string())
+
+    @F.arrow_udf("string")
+    def dec(lists: pa.Array) -> pa.Array:
+        return in_parts(part)(lists)
     return dec
 
 
@@ -131,7 +164,7 @@ def _table(shared, name: str, build):
     key = (id(shared.value), name)
     if key not in _tables:
         for k in [k for k in _tables if k[0] != key[0]]:
-            if len(_tables) > 8:
+            if len(_tables) >= TABLES:
                 del _tables[k]
         _tables[key] = (shared.value, build(shared.value))       # the reference keeps the id from being used again
     return _tables[key][1]

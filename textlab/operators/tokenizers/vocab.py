@@ -71,9 +71,12 @@ def write_vocab_text(vocab: DataFrame, path: str) -> None:
 
 
 def piece_ids(vocab: DataFrame):
-    """Broadcast piece -> id. A vocabulary has at most ``vocab_size`` rows, whatever the corpus."""
-    rows = vocab.select("id", "piece").collect()
-    return vocab.sparkSession.sparkContext.broadcast({r["piece"]: int(r["id"]) for r in rows})
+    """Broadcast piece -> id, once for a vocabulary, so that a worker has one table of it. It has at most ``vocab_size`` rows, whatever the corpus."""
+    shared = getattr(vocab, "shared_ids", None)
+    if shared is None:
+        rows = vocab.select("id", "piece").collect()
+        shared = vocab.shared_ids = vocab.sparkSession.sparkContext.broadcast({r["piece"]: int(r["id"]) for r in rows})
+    return shared
 
 
 IDS_TYPE = T.ArrayType(T.IntegerType())
