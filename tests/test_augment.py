@@ -105,3 +105,17 @@ def test_lexicon_holds_all_words_with_their_places(spark, tmp_path):
         group = sorted(x for x in got if got[x]["pos"] == r["pos"] and x[0] == t[0])
         assert (r["letter"], r["member"], r["members"]) == (t[0], group.index(t), len(group))
     assert got["dig"]["members"] == 4
+
+
+def test_token_cosine_sums_frequent_vectors_where_the_texts_are(spark):
+    from textlab.operators.vectors import token_cosine
+    vec = [("x", [1.0, 0.0]), ("y", [0.0, 2.0]), ("y", [0.0, 1.0]), ("z", [1.0, 1.0]), ("n", None)]
+    v = spark.createDataFrame(vec, "token string, vec array<double>")
+    docs = spark.createDataFrame([(1, ["X", "y", ","], ["x", "z"]), (2, ["q"], ["x"]), (3, [], None), (4, ["z", "z", "n"], ["Z"]), (None, ["x"], ["y"])],
+                                 "id long, a array<string>, b array<string>").repartition(3)
+    want = {1: (1 * 2 + 3 * 1) / (math.sqrt(10) * math.sqrt(5)), 4: 1.0, None: 0.0, 2: None, 3: None}
+    for frequent in ([], ["y", "z"], ["x", "y", "z", "n"]):
+        f = spark.createDataFrame([(w,) for w in frequent], "token string")
+        out = token_cosine(docs, ["id"], "a", "b", v, f, "^[a-z]+$")
+        got = {r["id"]: r["cosine"] for r in out.collect()}
+        assert {k: got.get(k) for k in want} == pytest.approx(want)

@@ -287,11 +287,10 @@ def semantic_similarity(spark, sf_dir):
     """Cosine between the mean word vectors of the original and the augmented text
     (mean and sum have the same direction); NULL when no token has a vector."""
     from textlab.functions.text import pretokens
-    from textlab.operators.vectors import doc_cosine
-    both = AG.with_picks(fields(spark, sf_dir), KEYS, "text", picks(spark, sf_dir))
-    sides = F.array(F.struct(F.lit("b").alias("phase"), pretokens("text").alias("toks")), F.struct(F.lit("a").alias("phase"), F.col("out_tokens").alias("toks")))
-    phases = both.select(*KEYS, F.explode(sides).alias("s")).select(*KEYS, "s.phase", F.explode("s.toks").alias("tok"))
-    sims = doc_cosine(phases, KEYS, "phase", "tok", vectors(spark, sf_dir), "b", "a")
+    from textlab.operators.vectors import HOT_VECTORS, token_cosine
+    both = AG.with_picks(fields(spark, sf_dir), KEYS, "text", picks(spark, sf_dir)).select(*KEYS, pretokens("text").alias("tokens"), "out_tokens")
+    frequent = lexicon(spark, sf_dir).where(F.col("rank") <= HOT_VECTORS)
+    sims = token_cosine(both, KEYS, "tokens", "out_tokens", vectors(spark, sf_dir), frequent, "^[a-z]+$")
     return fields(spark, sf_dir).select(*KEYS).join(sims, KEYS, "left").select(
         *KEYS, F.round("cosine", 6).alias("semantic_similarity"))
 
