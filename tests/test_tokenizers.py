@@ -277,3 +277,52 @@ def test_a_worker_works_on_parts_and_has_one_broadcast_of_a_vocabulary(spark):
     assert arrow.in_parts(part)(texts.slice(0, 0)).equals(texts.slice(0, 0))
     v = vocab.specials(spark)
     assert vocab.piece_ids(v) is vocab.piece_ids(v)
+
+
+def test_lattices_of_many_words_equal_one_by_one():
+    import math
+
+    import numpy as np
+
+    from textlab.operators.tokenizers import unigram
+    from textlab.operators.tokenizers.lattice import Pieces
+    rnd = random.Random(3)
+    logp = {"".join(rnd.choice("abcd▁é") for _ in range(rnd.randint(1, 7))): math.log(rnd.random()) - 3 for _ in range(400)}
+    logp |= {"ab": -4.0, "a": -2.0, "b": -2.0, "x" * 17: -1.0}          # a tie, and a piece beyond the length
+    logp.pop("d", None)
+    words = ["", "ab", "d", "😀a\0b", "aab" * 70] + ["▁" + "".join(rnd.choice("abcdé") for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    times, unk = np.arange(1, len(words) + 1), min(logp.values()) - unigram.UNK_PENALTY
+    trie, pieces = unigram.build_trie(logp), Pieces(logp, unigram.MAX_PIECE_LEN, unk)
+    piece, c, z = pieces.expected(words, times)
+    got = Counter()
+    for p, x in zip(piece.tolist(), np.rint(c * unigram.UNITS).tolist()):
+        got[pieces.names[p]] += x
+    want = Counter()
+    for w, n, ll in zip(words, times.tolist(), z):
+        counts, one = unigram.forward_backward(w, trie, unk_logp=unk)
+        assert abs(one - ll) < 1e-9
+        want.update({p: round(n * x * unigram.UNITS) for p, x in counts.items()})
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) <= 2 for p in want)
+    found, n = pieces.best(words)
+    one_by_one = [unigram.viterbi(w, trie, unk_logp=unk)[0] for w in words]
+    assert n.tolist() == [len(s) for s in one_by_one]
+    assert [pieces.names[p] if p >= 0 else None for p in found.tolist()] == [p if p in logp else None for s in one_by_one for p in s]
+    assert [x.tolist() for x in Pieces({}, 16, -1.0).best(["ab", ""])] == [[-1, -1], [2, 0]]
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram", "char", "word"])
+def test_trainers_take_counted_words(spark, kind):
+    from textlab.operators.tokenizers import registry
+    plain = spark.createDataFrame([(w,) for w in _unigram_words()], "word STRING")
+    once = plain.groupBy("word").agg(F.count("*").alias("n"))
+    train = registry.get(kind).train
+    assert train(once, 40).orderBy("id").collect() == train(plain, 40).orderBy("id").collect()
+
+
+def test_the_text_is_cut_up_once_for_all_trainers(spark, monkeypatch):
+    from textlab.plans import tokenize as TK
+    cut = []
+    monkeypatch.setattr(TK, "words", lambda s, d: cut.append(d) or s.createDataFrame([(w,) for w in _unigram_words()], "word STRING"))
+    for kind in ("word", "char", "bpe"):
+        assert TK.train(spark, "words-once", kind, 40).count() > 4
+    assert cut == ["words-once"]
