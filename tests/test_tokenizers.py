@@ -326,3 +326,28 @@ def test_the_text_is_cut_up_once_for_all_trainers(spark, monkeypatch):
     for kind in ("word", "char", "bpe"):
         assert TK.train(spark, "words-once", kind, 40).count() > 4
     assert cut == ["words-once"]
+
+
+def test_token_statistics_write_numbers_only(spark, monkeypatch):
+    from textlab.plans import tokenize as TK
+    rows = [(1, "The cat, the cat", "a cat"), (2, None, ""), (2, "...", None), (4, "dog_1 x", "zebra")]
+    monkeypatch.setattr(TK, "train_rows", lambda s, d: s.createDataFrame(rows, "doc_id long, cleaned_text string, highlights string"))
+    monkeypatch.setattr(TK, "train", lambda s, d, kind: s.createDataFrame(
+        [(4, "▁the", 0.0), (5, "▁cat", 0.0), (6, "▁x", 0.0), (7, "▁a", 0.0)], "id int, piece string, score double"))
+    first = TK.train_stats(spark, "numbers-a", "word")
+    assert not TK.has_stage(spark, TK._train_key("numbers-a", "word"))               # counted as they are made
+    enc = TK.train_encoded(spark, "numbers-b", "word")
+    assert "string" not in [t for _, t in [*first.dtypes, *enc.dtypes]]
+    then = TK.train_stats(spark, "numbers-b", "word")                              # read from the table
+    order = ["doc_id", "cleaned_len"]
+    assert then.orderBy(order).collect() == first.orderBy(order).collect()
+    got = [tuple(r) for r in TK.with_compression(first).orderBy(order).select(
+        "doc_id", "cleaned_len", "token_article_len", "article_unk", "token_highlight_len", "summary_unk", "compression").collect()]
+    assert got == [(1, 4, 4, 2, 2, 0, 1.0), (2, 0, 0, 0, 0, 0, None), (2, 0, 1, 1, 0, 0, None), (4, 2, 2, 1, 1, 1, 1.0)]
+
+
+def test_encoded_corpus_has_no_texts(spark, monkeypatch):
+    from textlab.plans import tokenize as TK
+    monkeypatch.setattr(TK, "corpus", lambda s, d: s.createDataFrame([(1, "train", "a b", None)], "doc_id long, split string, cleaned_text string, highlights string"))
+    monkeypatch.setattr(TK, "train", lambda s, d, kind: s.createDataFrame([(4, "▁a", 0.0)], "id int, piece string, score double"))
+    assert [r.asDict() for r in TK.encoded(spark, "no-texts", "word").collect()] == [{"doc_id": 1, "split": "train", "article_ids": [4, 1], "highlight_ids": []}]

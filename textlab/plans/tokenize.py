@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textlab.functions.sequences import UNK_ID, ids_count_value
 from textlab.functions.text import concat_fields, pretokens, word_len_re
 from textlab.plans import preprocess as P
-from textlab.session import stage_table
+from textlab.session import has_stage, stage_table
 from textlab.sources import tables
 
 # --- fixed values -----------------------------------------------------------
@@ -59,19 +59,30 @@ def _encoded(spark: SparkSession, sf_dir: str, kind: str, rows: DataFrame) -> Da
 
 
 def encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Corpus + ``article_ids`` and ``highlight_ids`` (no bos/eos), stage table."""
-    return stage_table(spark, f"encoded:{kind}:{sf_dir}", lambda: _encoded(spark, sf_dir, kind, corpus(spark, sf_dir)))
+    """``(doc_id, split, article_ids, highlight_ids)`` (no bos/eos) of the corpus, stage table; the texts stay where they are."""
+    return stage_table(spark, f"encoded:{kind}:{sf_dir}", lambda: _encoded(spark, sf_dir, kind, corpus(spark, sf_dir)).drop("cleaned_text", "highlights"))
+
+
+def _train_encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    rows = train_rows(spark, sf_dir).withColumn("cleaned_len", word_len_re("cleaned_text"))
+    return _encoded(spark, sf_dir, kind, rows).drop("cleaned_text", "highlights")
 
 
 def train_encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """The same for the augmented train split, on which the token statistics are taken."""
-    return stage_table(spark, f"train_encoded:{kind}:{sf_dir}", lambda: _encoded(spark, sf_dir, kind, train_rows(spark, sf_dir)))
+    """``(doc_id, cleaned_len, article_ids, highlight_ids)`` of the augmented train split, stage table; ``cleaned_len`` is the number
+    of ``\\w+`` words of the article."""
+    return stage_table(spark, _train_key(sf_dir, kind), lambda: _train_encoded(spark, sf_dir, kind))
+
+
+def _train_key(sf_dir: str, kind: str) -> str:
+    return f"train_encoded:{kind}:{sf_dir}"
 
 
 def encode_stats(enc: DataFrame) -> DataFrame:
     """K10 (+J3: highlight stats on the same row): token lengths and unk counts per row."""
+    keep = [c for c in ("doc_id", "cleaned_len") if c in enc.columns]
     return enc.select(
-        "doc_id", "cleaned_text", "highlights",
+        *keep,
         F.size("article_ids").cast("bigint").alias("token_article_len"),
         ids_count_value("article_ids", UNK_ID).alias("article_unk"),
         F.size("highlight_ids").cast("bigint").alias("token_highlight_len"),
@@ -79,8 +90,12 @@ def encode_stats(enc: DataFrame) -> DataFrame:
 
 
 def train_stats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """``encode_stats`` of the augmented train split, stage table (the encodings are read once)."""
-    return stage_table(spark, f"train_stats:{kind}:{sf_dir}", lambda: encode_stats(train_encoded(spark, sf_dir, kind)))
+    """``encode_stats`` of the augmented train split, stage table of numbers. The encodings are read where they are written already,
+    else counted as they are made, and not written."""
+    def build():
+        written = has_stage(spark, _train_key(sf_dir, kind))
+        return encode_stats(train_encoded(spark, sf_dir, kind) if written else _train_encoded(spark, sf_dir, kind))
+    return stage_table(spark, f"train_stats:{kind}:{sf_dir}", build)
 
 
 def length_filtered(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -91,5 +106,4 @@ def length_filtered(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def with_compression(df: DataFrame) -> DataFrame:
     """A11 input: tokens per ``\\w+`` word of the article (NULL when it has no words)."""
-    return df.withColumn("cleaned_len", word_len_re("cleaned_text")).withColumn(
-        "compression", F.try_divide(F.col("token_article_len").cast("double"), F.col("cleaned_len").cast("double")))
+    return df.withColumn("compression", F.try_divide(F.col("token_article_len").cast("double"), F.col("cleaned_len").cast("double")))
