@@ -339,7 +339,7 @@ def test_token_statistics_write_numbers_only(spark, monkeypatch):
     enc = TK.train_encoded(spark, "numbers-b", "word")
     assert "string" not in [t for _, t in [*first.dtypes, *enc.dtypes]]
     then = TK.train_stats(spark, "numbers-b", "word")                              # read from the table
-    order = ["doc_id", "cleaned_len"]
+    order = ["doc_id", "cleaned_len", "token_article_len"]
     assert then.orderBy(order).collect() == first.orderBy(order).collect()
     got = [tuple(r) for r in TK.with_compression(first).orderBy(order).select(
         "doc_id", "cleaned_len", "token_article_len", "article_unk", "token_highlight_len", "summary_unk", "compression").collect()]
@@ -351,3 +351,24 @@ def test_encoded_corpus_has_no_texts(spark, monkeypatch):
     monkeypatch.setattr(TK, "corpus", lambda s, d: s.createDataFrame([(1, "train", "a b", None)], "doc_id long, split string, cleaned_text string, highlights string"))
     monkeypatch.setattr(TK, "train", lambda s, d, kind: s.createDataFrame([(4, "▁a", 0.0)], "id int, piece string, score double"))
     assert [r.asDict() for r in TK.encoded(spark, "no-texts", "word").collect()] == [{"doc_id": 1, "split": "train", "article_ids": [4, 1], "highlight_ids": []}]
+
+
+def test_length_filter_counts_words_once_for_all_rules(spark, tmp_path):
+    from textlab.operators import filters as FL
+    rows = [(1, "w " * 300, "w " * 30), (2, "w " * 250, "w " * 30), (3, "w " * 300, "w"), (4, "w " * 300, "w " * 151), (5, None, "w"), (6, "", None), (7, "w " * 251, None),
+            (8, "w " * 300, "w " * 15), (9, "w " * 300, "w " * 150)]
+    spark.createDataFrame(rows, "id int, a string, h string").write.parquet(str(tmp_path / "t"))
+    d = FL.with_pair_lengths(spark.read.parquet(str(tmp_path / "t")), "a", "h", unit="word")
+    kept = FL.filter_len_ratio(d)
+    assert sorted(r["id"] for r in kept.collect()) == sorted(r["id"] for r in d.where(FL.keep_mask()).collect()) == [1, 8, 9]
+    plan = kept.select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all") + plan.count("regexp_count") <= 3
+
+
+def test_words_are_stretches_without_white_space(spark):
+    from textlab.functions import text as TX
+    pieces = ["a", "é", "!", "~", "_", "\x7f", "\x1b", "😀", "\\", "]", " ", "\n", "\u00a0", "\u2003", "\x00", "\x1c", "\x85", "\u200b"]
+    rnd = random.Random(4)
+    texts = [None, "", " ", "\n\n"] + ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(400)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", TX.word_len_ws("t").alias("n"))
+    assert d.where(F.col("n") != F.regexp_count(F.coalesce("t", F.lit("")), F.lit("[^" + TX.WS + "]+"))).count() == 0 and d.where("n > 1").count() > 100
