@@ -4,8 +4,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from textlab.llm import ann
 from textlab.llm.ann import balanced_lists, fit, nearest, postings, proximity_graph, walk
 
 
@@ -80,3 +82,30 @@ def test_boundary_vectors_are_replicated_and_the_ratio_prunes():
     held = postings(model, up[:500], 4, 0.15)
     assert (held[:, 0] >= 0).all() and 1.2 < (held >= 0).sum(axis=1).mean() <= 4
     assert np.isfinite(model["ratio"]) and model["beam"] < len(model["radius"])
+
+
+def test_a_cell_holds_the_hits_of_a_few_queries_at_once(monkeypatch):
+    rng, k, lists = np.random.default_rng(5), 4, 30
+    x, q = (rng.integers(-3, 4, (n, 8)).astype("<f4") for n in (lists * 20, 2000))             # many equal scores
+    posts = [sorted({i % lists, (7 * i) % lists}) for i in range(len(x))]
+    cand = pa.table({"key": pa.array([b"c%05d" % i for i in range(len(x))]), "lists": pa.array(posts, pa.list_(pa.int32())), "vec": pa.array([v.tobytes() for v in x]),
+                     "members": pa.array([[{"vec_id": 3 * i, "rid": i}] for i in range(len(x))], ann._MEMBERS)})
+    asked = pa.table({"key": pa.array([b"q%05d" % i for i in range(len(q))]), "vec": pa.array([v.tobytes() for v in q]),
+                      "lists": pa.array([list(range(lists)) if i % 10 else [i % lists] for i in range(len(q))], pa.list_(pa.int32()))})
+    most, cut = [0], ann._cut
+
+    def counted(i, *rest):
+        most[0] = max(most[0], len(i))
+        return cut(i, *rest)
+    monkeypatch.setattr(ann, "_cut", counted)
+    monkeypatch.setattr(ann, "HITS", 2000, raising=False)
+    monkeypatch.setattr(ann, "ASKED_AT_ONCE", 100, raising=False)
+    out = ann._cell("<f4", k)(cand, asked)
+    assert most[0] < 2000 + 100 * lists * (k + 1)                                               # all at once: 270,000
+    assert max(b.num_rows for b in out.to_batches()) <= 100 * (k + 1)
+    want = []
+    for i, v in enumerate(q):
+        seen = [j for j in range(len(x)) if i % 10 or i % lists in posts[j]]
+        best = sorted((-float(v.astype(float) @ x[j].astype(float)), 3 * j) for j in seen)[:k + 1]
+        want += [(b"q%05d" % i, b"c%05d" % (j // 3), -s) for s, j in best]
+    assert sorted(zip(*(out.column(c).to_pylist() for c in ("key", "near", "score")))) == sorted(want)

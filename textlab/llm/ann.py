@@ -34,6 +34,9 @@ BATCH = 256                     # vectors that walk together
 BLOCK_ROWS = 1 << 15            # candidates of a block, as planned from the sample
 ROUNDING = 1e-3                 # error of a distance near 0, in parts of the largest norm: distances are single precision
 CELL_COMPONENTS = 1 << 22       # components of a cell's candidates, and of its queries
+CELL_QUERIES = 1 << 14          # queries of a cell
+ASKED_AT_ONCE = 1 << 10         # queries of a cell whose hits are held together
+HITS = 1 << 18                  # hits that are held before all but the best go
 
 _MEMBERS = pa.list_(pa.struct([("vec_id", pa.int64()), ("rid", pa.int64())]))
 
@@ -317,36 +320,53 @@ def _cell(kind: str, k: int):
 
     def by_list(t):
         lists = t.column("lists").combine_chunks()
-        row = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        row = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy())
         number = lists.flatten().to_numpy()
         o = np.argsort(number, kind="stable")
         number, row = number[o], row[o]
         names = np.unique(number)
         return {int(i): r for i, r in zip(names, np.split(row, np.searchsorted(number, names[1:])))}
 
+    def hits_of(q, x, mine, theirs, least):
+        """(query, candidate, score) of the k + 1 best of every query; a hit below those that the query has so far is not kept."""
+        floor, slack = np.full(len(q), -np.inf), 1e-9 * np.sqrt(np.square(q).sum(axis=1) * np.square(x).sum(axis=1).max())
+        held, size = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+        for number, ask in theirs.items():
+            rows = mine.get(number)
+            for a in range(0, ask.size if rows is not None else 0, 512):
+                some = ask[a:a + 512]
+                score = q[some] @ x[rows].T
+                m = min(k + 1, rows.size)
+                kth = np.partition(score, rows.size - m, axis=1)[:, rows.size - m]
+                low = floor[some] - slack[some]
+                i, j = np.nonzero((score >= kth[:, None]) & (score >= np.where(np.isfinite(low), low, -np.inf)[:, None]))
+                i, j = some[i], rows[j]
+                held.append(_cut(i, j, (q[i] * x[j]).sum(axis=1), least, k))      # a score that no product's shape changes
+                size += len(held[-1][0])
+            if size > HITS:
+                held = [_cut(*(np.concatenate(h) for h in zip(*held)), least, k)]
+                size = 0
+                i, last = np.unique(held[0][0][::-1], return_index=True)
+                full = np.bincount(held[0][0], minlength=len(q))[i] > k
+                floor[i[full]] = held[0][2][::-1][last[full]]
+        return _cut(*(np.concatenate(h) for h in zip(*held)), least, k)
+
     def run(cand: pa.Table, asked: pa.Table) -> pa.Table:
+        none, out = pa.table({c: pa.array([], t) for c, t in _HIT.items()}), []
         if cand.num_rows == 0 or asked.num_rows == 0:
-            return pa.table({c: pa.array([], t) for c, t in _HIT.items()})
-        x, q = matrix(cand), matrix(asked)
+            return none
+        x = matrix(cand)
         members = cand.column("members").combine_chunks()
         least = members.field(0) if not isinstance(members, pa.ListArray) else members.values.field(0)
         least = least.to_numpy()[members.offsets.to_numpy()[:-1]]
-        mine, theirs = by_list(cand), by_list(asked)
-        hits = []
-        for number, rows in mine.items():
-            for a in range(0, theirs.get(number, rows[:0]).size, 512):
-                ask = theirs[number][a:a + 512]
-                score = q[ask] @ x[rows].T
-                m = min(k + 1, rows.size)
-                kth = np.partition(score, rows.size - m, axis=1)[:, rows.size - m]
-                i, j = np.nonzero(score >= kth[:, None])
-                i, j = ask[i], rows[j]
-                hits.append(_cut(i, j, (q[i] * x[j]).sum(axis=1), least, k))      # a score that no product's shape changes
-        if not hits:
-            return pa.table({c: pa.array([], t) for c, t in _HIT.items()})
-        i, j, s = _cut(*(np.concatenate(h) for h in zip(*hits)), least, k)
-        return pa.table({"key": asked.column("key").take(pa.array(i)), "near": cand.column("key").take(pa.array(j)), "score": s,
-                         "least": least[j], "members": cand.column("members").take(pa.array(j))})
+        mine = by_list(cand)
+        for a in range(0, asked.num_rows, ASKED_AT_ONCE):            # a part of the result at a time, each a batch of its own
+            part = asked.slice(a, ASKED_AT_ONCE)
+            i, j, s = hits_of(matrix(part), x, mine, by_list(part), least)
+            if i.size:
+                out.append(pa.table({"key": part.column("key").take(pa.array(i)), "near": cand.column("key").take(pa.array(j)), "score": s,
+                                     "least": least[j], "members": members.take(pa.array(j))}))
+        return pa.concat_tables(out) if out else none
     return run
 
 
@@ -424,8 +444,9 @@ def _best(cand: DataFrame, asked: DataFrame, kind: str, k: int) -> DataFrame:
         return df.groupBy("dim", "block").agg(F.count("*").alias(name))
 
     room = F.greatest(F.lit(1), F.floor(F.lit(CELL_COMPONENTS) / F.col("dim")))
+    seats = F.least(room, F.lit(CELL_QUERIES))
     grid = materialize(counted(cand, "c").join(counted(asked, "q"), ["dim", "block"]).select(
-        "dim", "block", F.ceil(F.col("c") / room).cast("int").alias("cs"), F.ceil(F.col("q") / room).cast("int").alias("qs")), "grid")
+        "dim", "block", F.ceil(F.col("c") / room).cast("int").alias("cs"), F.ceil(F.col("q") / seats).cast("int").alias("qs")), "grid")
     part = F.xxhash64("key")
     left = cand.join(grid, ["dim", "block"]).select(
         "dim", "block", F.pmod(part, F.col("cs")).cast("int").alias("ci"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qi"),
