@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -112,6 +114,60 @@ def test_bpe_steps_on_many_small_corpora(seed):
     assert pieces == expected
 
 
+def test_bpe_batches_equal_one_word_at_a_time(monkeypatch):
+    from textlab.operators.tokenizers.merges import Merges, lists_of_strings, numbered, runs
+    rng = random.Random(11)
+    for seed in range(60):
+        words = ["".join(rng.choices("aab%s\U0001F600" % ("c" if seed % 2 else "\n"), k=rng.randint(1, 9))) for _ in range(40)]
+        lists, times = pa.array([list(w) for w in words][3:], pa.list_(pa.string())), np.arange(1, len(words) - 2)
+        lists = pa.concat_arrays([lists, lists])[len(lists):]                           # a slice
+        symbols, merges = sorted({c for w in words for c in w if c != "\U0001F600"}), []
+        for _ in range(12):                                                             # pieces that are spelled twice, pairs that return
+            a, b = rng.choice(symbols), rng.choice(symbols)
+            merges.append((a, b))
+            symbols.append(a + b)
+        ranks: dict = {}
+        for i, p in enumerate(merges):
+            ranks.setdefault(p, []).append(i)
+        table = Merges(sorted({s for a, b in merges for s in (a, b, a + b)}), [(*p, r) for p, r in ranks.items()], True)
+        sym, size, strings = numbered(lists, pa.array(table.names, pa.string()))
+        assert lists_of_strings(strings, *table.merged(sym, size)).to_pylist() == [bpe.apply_in_order(list(w), ranks) for w in words[3:]]
+        pairs = {p for p in merges if len(p[0] + p[1]) == 2}
+        names = sorted({s for p in pairs for s in p})
+        keys = np.array(sorted(names.index(a) * len(names) + names.index(b) for a, b in pairs), np.int64)
+        want, got = Counter(), Counter()
+        for w, n in zip(words[3:], times):
+            for r in bpe.cut_runs(list(w), pairs):
+                want[r] += int(n)
+        if len(keys):
+            for r, n in zip(*runs(lists, times, pa.array(names, pa.string()), keys)):
+                got[tuple(r.as_py())] += int(n)
+        assert got == want
+        ids = {"<unk>": 1, **{c: 100 + i for i, c in enumerate("abc")}, **{s: 4 + i for i, s in enumerate(dict.fromkeys(a + b for a, b in merges))}}
+        order = {p: i for p, i in ids.items() if len(p) > 1 and i >= 4}
+        one = [tuple(ids.get(p, 1) for p in bpe.bpe_segment("▁" + w, order)) for w in words]
+        monkeypatch.setattr(bpe, "merge_all", None)                                     # no word is merged alone
+        assert bpe.segmenter(ids)(words) == one
+        assert bpe.segmenter(ids)([]) == []
+        monkeypatch.undo()
+
+
+def test_substrings_of_a_batch():
+    from textlab.operators.tokenizers.unigram import substrings
+    rng = random.Random(12)
+    for max_len in (2, 4, 16):
+        words = ["".join(rng.choices("aab\U0001F600x", k=rng.randint(0, 20))) for _ in range(50)]
+        times, want = np.array([rng.randint(1, 2**40) for _ in words]), Counter()
+        for w, n in zip(words, times.tolist()):
+            for i in range(len(w)):
+                for j in range(i + 2, min(len(w), i + max_len) + 1):
+                    if "x" not in w[i:j]:
+                        want[w[i:j]] += n
+        found, n = substrings(words, times, np.array(sorted(map(ord, "ab\U0001F600"))), max_len)
+        assert len(set(found)) == len(found) and dict(zip(found, n.tolist())) == want
+    assert substrings([], np.empty(0, np.int64), np.array([97]), 16)[0] == []
+
+
 def test_bpe_segment_uses_ranks():
     ranks = {"ab": 4, "abc": 5, "bc": 6}
     assert bpe.bpe_segment("abc", ranks) == ["abc"]
